@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, tiff, unigram
+from . import katz, language, neardup, packing, tiff, unigram
 from ._spark import read
 
 
@@ -24,6 +24,11 @@ def op2_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode_n_best(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), with_ids=False)
 
 
+def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class of near-duplicates, named by the smallest id, and the class's size."""
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -35,9 +40,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, samples).select("doc_id", held_out, "lang_pred", "score", "letters", "bits")
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op5_power_of_two_packing, op6_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op5_power_of_two_packing, op6_language_id, op8_katz_backoff, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
