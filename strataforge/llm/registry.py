@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, language, neardup, packing, tiff, unigram
+from . import katz, language, neardup, packing, quality, tiff, unigram
 from ._spark import read
 
 
@@ -29,6 +29,10 @@ def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
+def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(read(spark, sf_dir, "documents"))
+
+
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -48,5 +52,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op5_power_of_two_packing, op6_language_id, op8_katz_backoff, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op8_katz_backoff, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
