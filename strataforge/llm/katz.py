@@ -31,7 +31,7 @@ from ._text import LOWER_ASCII, blocks, crc_of_ids, mix, span_hashes, utf8, word
 
 K = 5
 RESERVE = 0.5
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 12 << 20
 WORD_BITS = 48
 START, END = np.uint64(1), np.uint64(2)
 ADD = 0.1
@@ -107,12 +107,13 @@ def _occurrences(batches, buckets: int, modulus: int):
         nonlocal part, held, ids, size
         fold = crc_of_ids(ids) % modulus
         train = fold != 0
-        place = np.empty(len(ids), np.int64)  # training texts first
+        place = np.empty(len(ids), np.int32)  # training texts first
         place[np.argsort(~train, kind="stable")] = np.arange(len(ids))
         context, word, document = (np.concatenate([h[k] for h in held]) for k in range(3))
         tokens = np.bincount(document, minlength=len(ids))
+        held.clear()
         document = place[document]
-        bucket = bucket_of(context, buckets)
+        bucket = bucket_of(context, buckets).astype(np.int32)
         order = np.lexsort((document, word, context, bucket))
         context, word, document, bucket = context[order], word[order], document[order], bucket[order]
         fresh = np.ones(len(context), bool)
@@ -139,10 +140,10 @@ def _occurrences(batches, buckets: int, modulus: int):
         part, held, ids, size = part + 1, [], [], 0
 
     for batch in batches:
-        for block in blocks(batch):
+        for block in blocks(batch, limit=2 << 20):
             data, offsets = utf8(block.column(1))
             context, word, document = token_pairs(data, offsets)
-            held.append((context, word, document + len(ids)))
+            held.append((context, word, (document + len(ids)).astype(np.int32)))
             ids += block.column(0).to_pylist()
             size += len(data)
             if size >= GROUP_BYTES:
