@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, language, neardup, packing, quality, tiff, unigram
+from . import katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram
 from ._spark import read
 
 
@@ -44,13 +44,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, samples).select("doc_id", held_out, "lang_pred", "score", "letters", "bits")
 
 
+def op7_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").where(language.fold("doc_id", 4) != 2).select("doc_id", "toxic")
+    found = toxicity.score(read(spark, sf_dir, "documents"), labels)
+    return found.withColumn("held_out", language.fold("doc_id", 4) == 2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op8_katz_backoff, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op7_pii_candidates, op8_katz_backoff, op9_toxicity_lexicon, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
