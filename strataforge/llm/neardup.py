@@ -1,18 +1,20 @@
 """Near-duplicate documents by ProbMinHash on weighted five-word shingles, banding and exact verification.
 
-Signature: every shingle of a text is a Poisson process of arrivals whose rate is the shingle's count; each arrival
-takes one of the M slots at random, and a slot keeps the shingle that arrives first. Arrivals are drawn in
+Signature: every shingle of a text is a Poisson process of arrivals whose rate is 1 + ln(its count); each arrival
+takes one of BANDS * ROWS slots at random, and a slot keeps the shingle that arrives first. Arrivals are drawn in
 rounds, and a shingle stops as soon as its next arrival comes after the text's slowest slot. Two texts agree in a slot
-with the probability Jaccard similarity of their shingle counts (for shingles that occur once each: the Jaccard
+with the probability Jaccard similarity of these weights (for shingles that occur once each: the Jaccard
 similarity of the sets).
 
 Candidates are texts that agree in all ROWS slots of one of BANDS bands. At a similarity of 0.8 a pair is missed
-with a probability below 1e-7. Every candidate link counts only after its similarity has been computed exactly.
+with a probability below 4e-6. Every candidate link counts only after its similarity has been computed exactly.
 
 Texts of equal words are one text from the start. Within a band's bucket the texts are compared with LEADERS chosen
-members (a star, not all pairs); connected texts share a class. Where a bucket still holds several classes, each
-text outside its largest class is compared with all members of other classes, so no link between classes is lost,
-while groups of thousands of copies cost a few comparisons a member.
+members (stars, not all pairs): the one that shares buckets with most texts, which in a group of copies tends to be the
+original, and others by hash. Connected texts share a class. In buckets that still hold several classes, the texts outside
+the largest class are compared with PROBES of its members at a time, until all pairs between different classes
+of a bucket are few (WHOLE_BUCKETS times the bucket rows); then these pairs are all compared, so no link between
+classes is lost, while groups of thousands of copies cost a few comparisons a member.
 
 Words are [^\\x20\\x09-\\x0D]+ in lower-case ASCII. Defined cases: a text of one to four words has one shingle, all its
 words; null texts and texts without words are never linked; a null id is an id like others; rows with
@@ -31,8 +33,9 @@ from ._text import LOWER_ASCII, blocks, mix, span_hashes, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
-LEADERS = 3
+BANDS, ROWS = 32, 5
+LEADERS, PROBES = 3, 8
+WHOLE_BUCKETS, MAX_TURNS = 8, 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,12 +68,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return document[first], value[first], np.diff(np.append(first, len(value))), mark
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    """A shingle's weight grows with the logarithm of its count, so that one line repeated a thousand times isn't the whole text."""
+    return 1.0 + np.log(count)
+
+
 def signatures(document: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, slots: int = BANDS * ROWS) -> np.ndarray:
     """The shingle that arrives first in each slot, for each of n texts (0 in texts without shingles)."""
     earliest = np.full(n * slots, np.inf)
     winner = np.zeros(n * slots, np.uint64)
     time = np.zeros(len(value))
-    rate = count.astype(np.float64)
+    rate = weights(count)
     turn = 0
     while len(value):
         turn += 1
@@ -101,8 +109,9 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
         return 0.0
     if len(x) == int(x.sum()) and len(y) == int(y.sum()):
         return len(common) / (len(a) + len(b) - len(common))
-    u, v = x[i].astype(np.float64), y[j].astype(np.float64)
-    only_x, only_y = float(x.sum()) - u.sum(), float(y.sum()) - v.sum()
+    x, y = weights(x), weights(y)
+    u, v = x[i], y[j]
+    only_x, only_y = x.sum() - u.sum(), y.sum() - v.sum()
     ratio = u / v
     order = np.argsort(ratio, kind="stable")
     sums_x = np.concatenate([[0], np.cumsum(u[order])])
@@ -194,27 +203,38 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     prints = cut(fingerprint_texts(docs, id_col, text_col))
     texts = cut(prints.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
     banded = texts.select("mark", F.explode("bands").alias("band"))
-    other = [F.min(F.struct(F.xxhash64("mark", F.lit(k)), F.col("mark"))).getField("mark").alias(f"l{k}") for k in range(1, LEADERS)]
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("mark").alias("l0"), *other).where(F.col("n") > 1)
-    members = cut(banded.join(shared, "band"))
-    leaders = F.array(*[f"l{k}" for k in range(LEADERS)])
-    pairs = _ordered(members.select("mark", F.explode(F.array_distinct(leaders)).alias("leader")), "mark", "leader")
-    chosen_ids = texts.join(members.select("mark").distinct(), "mark", "left_semi").select("key")
-    matched = chosen.join(chosen_ids.select(F.col("key").alias("chosen")).distinct(), F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    found = banded.join(shared, "band")
+    degrees = found.groupBy("mark").agg(F.sum("n").alias("degree"))
+    members = cut(found.select("band", "mark").join(degrees, "mark"))
+    chosen_ids = texts.join(degrees, "mark", "left_semi").select(F.col("key").alias("chosen")).distinct()
+    matched = chosen.join(chosen_ids, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
     sets = cut(shingle_table(matched).dropDuplicates(["mark"]))
-    tested = cut(pairs)
+    tested = cut(_ordered(_with_leaders(members, members, LEADERS, 0), "mark", "leader"))
     links = cut(verify(tested, sets, threshold))
     labels = components(links)
+    turn = 0
     while True:
-        more = cut(_unresolved(members.select("band", "mark"), labels).join(tested, ["a", "b"], "left_anti"))
-        if not more.take(1):
+        turn += 1
+        open_ = cut(_unresolved(members, labels))
+        outside = open_.where(F.col("label") != F.col("top"))
+        size = open_.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("top")).alias("out")).agg(F.sum("n"), F.sum(F.col("n") * F.col("out"))).first()
+        if not size[0]:
             break
-        found = cut(verify(more, sets, threshold))
+        last = size[1] <= WHOLE_BUCKETS * size[0] or turn == MAX_TURNS
+        if last:
+            pairs = outside.select("band", F.col("mark").alias("x"), F.col("label").alias("own")).join(open_.select("band", F.col("mark").alias("y"), "label"), "band").where(F.col("own") != F.col("label"))
+            pairs = _ordered(pairs, "x", "y")
+        else:
+            pairs = _ordered(_with_leaders(outside, open_.where(F.col("label") == F.col("top")), PROBES, turn), "mark", "leader")
+        more = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        fresh = cut(verify(more, sets, threshold))
         tested = tested.unionByName(more)
-        if not found.take(1):
+        if fresh.take(1):
+            links = links.unionByName(fresh)
+            labels = components(links)
+        if last:
             break
-        links = links.unionByName(found)
-        labels = components(links)
     named = texts.select("mark", "key").join(labels.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "key", F.coalesce("label", "mark").alias("label"))
     counts = prints.where(F.col("mark").isNotNull()).groupBy("mark").count()
     sizes = named.join(counts, "mark").groupBy("label").agg(F.min("key").alias("class_id"), F.sum("count").alias("class_size"))
@@ -224,19 +244,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     )
 
 
+def _with_leaders(members: DataFrame, among: DataFrame, n: int, turn: int) -> DataFrame:
+    """(mark, leader): each member with n leaders of its bucket, drawn from `among`: the one that meets most texts, then others by hash."""
+    draw = [F.struct("degree", "mark") if k == turn == 0 else F.struct(F.xxhash64("mark", F.lit(1000 * turn + k)), F.col("mark")) for k in range(n)]
+    leaders = among.groupBy("band").agg(*[F.max(d).getField("mark").alias(f"l{k}") for k, d in enumerate(draw)])
+    return members.select("band", "mark").join(leaders, "band").select("mark", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(n)]))).alias("leader")).distinct()
+
+
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct pairs a < b."""
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within buckets of several classes: texts outside a bucket's largest class with members of other classes."""
+    """(band, mark, degree, label, top) of the buckets that hold several classes; top is the largest one."""
     labelled = members.join(labels.withColumnRenamed("node", "mark"), "mark", "left").withColumn("label", F.coalesce("label", "mark"))
     per_class = labelled.groupBy("band", "label").count()
     largest = per_class.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("count", "label")).alias("top")).where(F.col("classes") > 1)
-    open_ = cut(labelled.join(largest, "band"))
-    outside = open_.where(F.col("label") != F.col("top")).select("band", F.col("mark").alias("x"), F.col("label").alias("own"))
-    return _ordered(outside.join(open_.select("band", F.col("mark").alias("y"), "label"), "band").where(F.col("own") != F.col("label")), "x", "y")
+    return labelled.join(largest.select("band", "top"), "band")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
