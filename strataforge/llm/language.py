@@ -144,39 +144,61 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return {k: v for k, v in sorted(samples.items()) if any(v)}
 
 
+def _predict(column: pa.Array, names: list[str], tables: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Language, score, letters and bits a symbol of each text."""
+    codes, at = symbols(*utf8(column))
+    n = len(at) - 1
+    letters = np.diff(np.concatenate([[0], np.cumsum(codes != 0)])[at])
+    pred, score, bits = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
+    good = letters > 0
+    if names:
+        cost = phrase_counts(codes, at, tables) * weight / np.maximum(1, np.diff(at))[:, None]
+        rank = np.argsort(cost, axis=1, kind="stable")
+        lines = np.arange(n)
+        best = cost[lines, rank[:, 0]]
+        pred[good] = np.array(names, object)[rank[good, 0]]
+        bits[good] = best[good]
+        score[good] = np.clip(1 - best / np.maximum(cost[lines, rank[:, 1]], 1e-12), 0, 1)[good] if len(names) > 1 else 1.0
+    return pred, score, letters, bits
+
+
+def _shared(docs: DataFrame, samples: dict[str, bytes]):
+    return docs.sparkSession.sparkContext.broadcast(([parse_table(t) for t in samples.values()], np.array([np.log2(max(2, len(t))) for t in samples.values()])))
+
+
 def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """lang_pred and score of each text, with its letters and the winner's bits a symbol.
 
     score: how much lower the winner's bits a symbol are than the second language's (1 with one language).
     """
-    names = list(samples)
-    shared = docs.sparkSession.sparkContext.broadcast([(parse_table(t), np.log2(max(2, len(t)))) for t in samples.values()])
+    names, shared = list(samples), _shared(docs, samples)
 
     def run(batches):
-        tables = [t for t, _ in shared.value]
-        weight = np.array([w for _, w in shared.value])
         for batch in batches:
             for part in blocks(batch):
-                data, offsets = utf8(part.column(1))
-                codes, at = symbols(data, offsets)
-                letters = np.diff(np.concatenate([[0], np.cumsum(codes != 0)])[at])
-                good = (letters > 0) & bool(names)
-                pred, score, bits = np.full(len(at) - 1, UNKNOWN, object), np.zeros(len(at) - 1), np.zeros(len(at) - 1)
-                if names:
-                    cost = phrase_counts(codes, at, tables) * weight / np.maximum(1, np.diff(at))[:, None]
-                    rank = np.argsort(cost, axis=1, kind="stable")
-                    lines = np.arange(len(cost))
-                    best = cost[lines, rank[:, 0]]
-                    pred[good] = np.array(names, object)[rank[good, 0]]
-                    bits[good] = best[good]
-                    score[good] = (1 - best / np.maximum(cost[lines, rank[:, 1]], 1e-12))[good] if len(names) > 1 else 1.0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(letters), pa.array(bits)], names=["key", "lang_pred", "score", "letters", "bits"])
+                pred, score, letters, bits = _predict(part.column(1), names, *shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(letters), pa.array(bits)], names=["key", "lang_pred", "score", "letters", "bits"])
 
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
     return chosen.mapInArrow(run, f"key {kind}, lang_pred string, score double, letters long, bits double").withColumnRenamed("key", id_col)
 
 
+def keep_known(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` whose text is in some language, with that language in `lang_col`; the others (`und`) go."""
+    columns, shared, names = docs.columns, _shared(docs, samples), list(samples)
+    position, target = columns.index(text_col), columns.index(lang_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                pred = _predict(part.column(position), names, *shared.value)[0]
+                arrays = [pa.array(pred, pa.string()) if k == target else c for k, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(pred != UNKNOWN, pa.bool_()))
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def fold(id_col: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus` (a null id: 0)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % modulus, F.lit(0))

@@ -197,8 +197,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """(id, class_id, class_size) of every row: class_id is the smallest id among the near-duplicates, class_size its rows."""
+def _solve(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(key, mark, bands) of every row; (mark, key, label) of every distinct text, with its smallest id and its class's label."""
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     prints = cut(fingerprint_texts(docs, id_col, text_col))
     texts = cut(prints.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
@@ -235,7 +235,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
             labels = components(links)
         if last:
             break
-    named = texts.select("mark", "key").join(labels.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "key", F.coalesce("label", "mark").alias("label"))
+    named = texts.select("mark", "key").join(labels.withColumnRenamed("node", "mark"), "mark", "left")
+    return prints, named.select("mark", "key", F.coalesce("label", "mark").alias("label"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """(id, class_id, class_size) of every row: class_id is the smallest id among the near-duplicates, class_size its rows."""
+    prints, named = _solve(docs, id_col, text_col, threshold)
     counts = prints.where(F.col("mark").isNotNull()).groupBy("mark").count()
     sizes = named.join(counts, "mark").groupBy("label").agg(F.min("key").alias("class_id"), F.sum("count").alias("class_size"))
     by_mark = named.select("mark", "label").join(sizes, "label").select("mark", "class_id", "class_size")
@@ -264,14 +270,28 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(largest.select("band", "top"), "band")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay when one document of each class does: the one with the smallest id.
+def with_marks(docs: DataFrame, text_col: str = "text", out: str = "mark_") -> DataFrame:
+    """`docs` with the fingerprint of each text's words in a last column (null: no words)."""
+    names = docs.columns
+    position = names.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch, text_col):
+                mark = shingles(*utf8(part.column(position)))[3]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mark.view(np.int64), mask=mark == 0)], names=[*names, out])
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` that stay when one document of each class does: the one with the smallest id (null ids last).
 
-    Of several rows with that id one stays, whichever text it has; rows without words all stay.
+    Rows without words all stay.
     """
-    found = classes(docs, id_col, text_col)
-    stay = found.where(F.col("text_hash").isNotNull() & F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("stay_id")).distinct()
-    numbered = docs.withColumn("row_number_", F.monotonically_increasing_id())
-    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = numbered.where(has_words).join(stay, F.col(id_col).eqNullSafe(F.col("stay_id")), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(numbered.where(~has_words)).drop("row_number_")
+    _, named = _solve(docs, id_col, text_col, threshold)
+    stay = named.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))).getField("mark").alias("mark_")).select("mark_")
+    marked = with_marks(docs, text_col)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = marked.join(stay, "mark_", "left_semi").groupBy("mark_").agg(F.min_by(whole, F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row_"))
+    return one.select("row_.*").unionByName(marked.where(F.col("mark_").isNull()).select(*docs.columns))

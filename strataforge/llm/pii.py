@@ -27,8 +27,8 @@ from ._spark import cut
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "tel", "secret", "ssn", "iban")
-PRECISION = 0.95
-TREES, RATE, RIDGE = 40, 0.3, 1.0
+PRECISION = 0.99
+TREES, RATE, RIDGE = 24, 0.4, 1.0
 MAX_CELLS = 1 << 16
 CHUNK = 256
 GROUP, DOT, OTHER = "", "", ""
@@ -194,18 +194,16 @@ def fit(found: DataFrame, column: str = "found") -> tuple[Trees, list[float]]:
     return trees, thresholds
 
 
-def chosen(found: Column, trees: Trees, thresholds: list[float]) -> tuple[Column, Column]:
-    """The base spans and all spans, by start and kind."""
-    order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    base = F.filter(found, lambda s: s["strict"] & (s["kind"] < len(BASE)))
+def with_spans(table: DataFrame, column: str, trees: Trees, thresholds: list[float]) -> DataFrame:
+    """`table` with the candidates in `column` replaced by base_ and every_: arrays of (start, kind, end), by start and kind."""
+    kept = [c for c in table.columns if c not in (column, "base_", "every_")]
+    is_base = lambda s: s["strict"] & (s["kind"] < len(BASE))
+    plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     limit = F.array(*[F.lit(t) for t in thresholds])
-
-    def more(s: Column) -> Column:
-        is_base = s["strict"] & (s["kind"] < len(BASE))
-        free = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~is_base & (trees.probability(s["flags"]) >= F.element_at(limit, s["kind"] + 1)) & free
-
-    return order(base), order(F.concat(base, F.filter(found, more)))
+    good = lambda s: ~is_base(s) & (trees.probability(s["flags"]) >= F.element_at(limit, s["kind"] + 1))
+    split = table.select(*kept, F.transform(F.filter(column, is_base), plain).alias("base_"), F.transform(F.filter(column, good), plain).alias("more_"))
+    free = lambda s: ~F.exists("base_", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return split.select(*kept, F.array_sort("base_").alias("base_"), F.array_sort(F.concat("base_", F.filter("more_", free))).alias("every_"))
 
 
 def written(spans: Column) -> Column:
@@ -221,10 +219,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The columns of the contract for each row of `docs`."""
     found = cut(candidates(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))).select("key", "found"))
     trees, thresholds = fit(found)
-    base, every = chosen(F.col("found"), trees, thresholds)
-    spans = found.select("key", base.alias("base"), every.alias("every"))
-    counts = [F.size(F.filter("base", partial(_is_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
-    return spans.select(F.col("key").alias(id_col), *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("every")).alias("spans"))
+    spans = with_spans(found, "found", trees, thresholds)
+    counts = [F.size(F.filter("base_", partial(_is_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    return spans.select(F.col("key").alias(id_col), *counts, F.sha2(written(F.col("base_")), 256).alias("base_sha256"), written(F.col("every_")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -232,8 +229,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = docs.columns
     found = candidates(docs, text_col, "found_")
     trees, thresholds = fit(found, "found_")
-    _, every = chosen(F.col("found_"), trees, thresholds)
-    spans = found.select(*columns, every.alias("spans_"))
+    spans = with_spans(found, "found_", trees, thresholds).select(*columns, F.col("every_").alias("spans_"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -241,6 +237,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         piece = F.concat(F.substring(F.col(text_col), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.element_at(names, s["kind"] + 1))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(piece))).alias("out"))
 
-    cut_up = F.aggregate("spans_", start, step)
+    spans = spans.select(*columns, F.when(F.size("spans_") > 0, F.aggregate("spans_", start, step)).alias("cut_"))
+    cut_up = F.col("cut_")
     whole = F.concat(F.array_join(cut_up["out"], ""), F.substring(F.col(text_col), cut_up["at"] + 1, F.length(text_col)))
-    return spans.select(*[F.when(F.size("spans_") == 0, F.col(c)).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in columns])
+    return spans.select(*[F.when(F.col("cut_").isNull(), F.col(c)).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in columns])
