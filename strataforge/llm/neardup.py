@@ -11,10 +11,11 @@ with a probability below 4e-6. Every candidate link counts only after its simila
 
 Texts of equal words are one text from the start. Within a band's bucket the texts are compared with LEADERS chosen
 members (stars, not all pairs): the one that shares buckets with most texts, which in a group of copies tends to be the
-original, and others by hash. Connected texts share a class. In buckets that still hold several classes, the texts outside
-the largest class are compared with PROBES of its members at a time, until all pairs between different classes
-of a bucket are few (WHOLE_BUCKETS times the bucket rows); then these pairs are all compared, so no link between
-classes is lost, while groups of thousands of copies cost a few comparisons a member.
+original, and one by hash. Connected texts share a class. In buckets that still hold several classes, the texts outside
+the largest class are compared with PROBES of its members, and in the last turn with all members of other classes, so no
+link between classes is lost. In these turns a pair counts only if both texts share enough shingles with any other text of
+such buckets: two texts of x and y shingles at similarity t have at least t / (1 + t) (x + y) in common. This
+spares copies that were changed too much the comparison with the whole group.
 
 Words are [^\\x20\\x09-\\x0D]+ in lower-case ASCII. Defined cases: a text of one to four words has one shingle, all its
 words; null texts and texts without words are never linked; a null id is an id like others; rows with
@@ -34,8 +35,7 @@ from ._text import LOWER_ASCII, blocks, mix, span_hashes, utf8, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-LEADERS, PROBES = 3, 8
-WHOLE_BUCKETS, MAX_TURNS = 8, 8
+LEADERS, PROBES, TURNS = 2, 4, 2
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,31 +210,26 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tup
     chosen_ids = texts.join(degrees, "mark", "left_semi").select(F.col("key").alias("chosen")).distinct()
     matched = chosen.join(chosen_ids, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
     sets = cut(shingle_table(matched).dropDuplicates(["mark"]))
-    tested = cut(_ordered(_with_leaders(members, members, LEADERS, 0), "mark", "leader"))
+    tested = cut(_ordered(_with_leaders(members, LEADERS), "mark", "leader"))
     links = cut(verify(tested, sets, threshold))
     labels = components(links)
-    turn = 0
-    while True:
-        turn += 1
+    for turn in range(1, TURNS + 1):
         open_ = cut(_unresolved(members, labels))
-        outside = open_.where(F.col("label") != F.col("top"))
-        size = open_.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("top")).alias("out")).agg(F.sum("n"), F.sum(F.col("n") * F.col("out"))).first()
-        if not size[0]:
+        if not open_.take(1):
             break
-        last = size[1] <= WHOLE_BUCKETS * size[0] or turn == MAX_TURNS
-        if last:
-            pairs = outside.select("band", F.col("mark").alias("x"), F.col("label").alias("own")).join(open_.select("band", F.col("mark").alias("y"), "label"), "band").where(F.col("own") != F.col("label"))
-            pairs = _ordered(pairs, "x", "y")
-        else:
-            pairs = _ordered(_with_leaders(outside, open_.where(F.col("label") == F.col("top")), PROBES, turn), "mark", "leader")
+        sized = cut(support(sets.join(open_.select("mark").distinct(), "mark", "left_semi")))
+        known = open_.join(sized, "mark")
+        outside = known.where(F.col("label") != F.col("top"))
+        inside = known if turn == TURNS else _drawn(known.where(F.col("label") == F.col("top")), PROBES, turn)
+        mine = outside.select("band", *[F.col(c).alias(f"x_{c}") for c in ("mark", "label", *SUPPORT)])
+        other = inside.select("band", *[F.col(c).alias(f"y_{c}") for c in ("mark", "label", *SUPPORT)])
+        pairs = _ordered(mine.join(other, (mine.band == other.band) & (F.col("x_label") != F.col("y_label")) & _possible(threshold)), "x_mark", "y_mark")
         more = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        fresh = cut(verify(more, sets, threshold))
         tested = tested.unionByName(more)
+        fresh = cut(verify(more, sets, threshold))
         if fresh.take(1):
             links = links.unionByName(fresh)
             labels = components(links)
-        if last:
-            break
     named = texts.select("mark", "key").join(labels.withColumnRenamed("node", "mark"), "mark", "left")
     return prints, named.select("mark", "key", F.coalesce("label", "mark").alias("label"))
 
@@ -250,13 +245,48 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     )
 
 
-def _with_leaders(members: DataFrame, among: DataFrame, n: int, turn: int) -> DataFrame:
-    """(mark, leader): each member with n leaders of its bucket, drawn from `among`: the one that meets most texts, then others by hash."""
-    draw = [F.struct("degree", "mark") if k == turn == 0 else F.struct(F.xxhash64("mark", F.lit(1000 * turn + k)), F.col("mark")) for k in range(n)]
-    leaders = among.groupBy("band").agg(*[F.max(d).getField("mark").alias(f"l{k}") for k, d in enumerate(draw)])
+SUPPORT = ("size", "shared", "plain")
+
+
+def support(sets: DataFrame) -> DataFrame:
+    """(mark, size, shared, plain): how many shingles each text has, how many of them another text has too, and whether each occurs once."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                arrays = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                size = np.array([len(x) for x in arrays])
+                mark = np.repeat(np.asarray(part.column(0)), size)
+                plain = np.repeat([not t for t in part.column(2).to_pylist()], size)
+                yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(np.concatenate(arrays)), pa.array(plain)], names=["mark", "shingle", "plain"])
+
+    rows = sets.select("mark", "hashes", "times").mapInArrow(run, "mark long, shingle long, plain boolean")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("mark").alias("mark")).where(F.col("n") == 1).groupBy("mark").agg(F.count("*").alias("alone"))
+    sizes = sets.select("mark", (F.length("hashes") / 8).cast("long").alias("size"), (F.length("times") == 0).alias("plain"))
+    return sizes.join(alone, "mark", "left").select("mark", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"), "plain")
+
+
+def _possible(threshold: float):
+    """Whether two texts can reach the threshold at all: both share enough shingles with other texts. Exact for shingles that occur once each."""
+    need = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
+    return ~(F.col("x_plain") & F.col("y_plain")) | (F.least("x_shared", "y_shared") >= need)
+
+
+def _with_leaders(members: DataFrame, n: int) -> DataFrame:
+    """(mark, leader): each member with n leaders of its bucket: the member that meets most texts, then others by hash."""
+    draw = [F.struct("degree", "mark") if k == 0 else F.struct(F.xxhash64("mark", F.lit(k)), F.col("mark")) for k in range(n)]
+    leaders = members.groupBy("band").agg(*[F.max(d).getField("mark").alias(f"l{k}") for k, d in enumerate(draw)])
     return members.select("band", "mark").join(leaders, "band").select("mark", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(n)]))).alias("leader")).distinct()
 
 
+def _drawn(rows: DataFrame, n: int, turn: int) -> DataFrame:
+    """n rows of each bucket, by hash (fewer where a row is drawn twice)."""
+    whole = F.struct(*rows.columns)
+    found = rows.groupBy("band").agg(*[F.max_by(whole, F.xxhash64("mark", F.lit(1000 * turn + k))).alias(f"l{k}") for k in range(n)])
+    return found.select(F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(n)]))).alias("l_")).select("l_.*")
+
+
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct pairs a < b."""
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
