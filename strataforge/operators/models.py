@@ -123,12 +123,12 @@ def clopper_pearson(table: DataFrame, hits: str, rows: str, confidence: float =
 
     half = (1 - confidence) / 2
 
-    @F.pandas_udf("array<double>")
-    def bounds(k: pd.Series, n: pd.Series) -> pd.Series:
+    def bounds(k, n):
         out = []
         for a, b in zip(k.tolist(), n.tolist(), strict=True):
             out.append([0.0 if a == 0 else bound(a, b, half), 1.0 if a == b else bound(a + 1, b, 1 - half)] if b else [None, None])
         return pd.Series(out)
 
-    found = table.withColumn("b_", bounds(F.col(hits), F.col(rows)))
+    bounds.__annotations__ = {"k": pd.Series, "n": pd.Series, "return": pd.Series}
+    found = table.withColumn("b_", F.pandas_udf(bounds, "array<double>")(F.col(hits), F.col(rows)))
     return found.withColumns({"lower": F.col("b_")[0], "upper": F.col("b_")[1]}).drop("b_")

@@ -141,9 +141,9 @@ def banded(spark, sf):
 _BANDED = f"SELECT e.*, r.radius, exp(predicted_log - r.radius) AS band_lower, exp(predicted_log + r.radius) AS band_upper, target_log BETWEEN predicted_log - r.radius AND predicted_log + r.radius AS covered FROM errors e LEFT JOIN ({_RADIUS}) r ON r.model = e.model AND r.target_period = e.target_period - 1"
 
 
-@register(f"SELECT entity_key, target_period, model, round(band_lower, 6) AS band_lower, round(band_upper, 6) AS band_upper, covered FROM ({_BANDED})", "errors")
+@register(f"SELECT entity_key, target_period, model, round(ln(band_lower), 6) AS log_lower, round(ln(band_upper), 6) AS log_upper, covered FROM ({_BANDED})", "errors")
 def prediction_bands(spark, sf):
-    return six(banded(spark, sf).select("entity_key", "target_period", "model", "band_lower", "band_upper", "covered"))
+    return banded(spark, sf).select("entity_key", "target_period", "model", r6(F.log("band_lower"), "log_lower"), r6(F.log("band_upper"), "log_upper"), "covered")
 
 
 @register(f"SELECT target_period, model, count(*) AS rows, count(band_lower) AS available, count(*) - count(band_lower) AS unavailable, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered)::DOUBLE / nullif(count(band_lower), 0), 6) AS coverage, round(avg(2 * radius), 6) AS mean_width FROM ({_BANDED}) GROUP BY ALL", "errors")
@@ -330,7 +330,7 @@ def gate_table(spark, sf):
     return both.groupBy("model").agg((1 - F.avg("mae_log") / F.avg("ref")).alias("skill"), F.count_if(d < 0).alias("improved"), F.max(d).alias("worst"), F.min("rows").alias("least_rows"))
 
 
-_FAILED = "array_to_string(list_filter([CASE WHEN skill < 0.01 THEN 'skill' END, CASE WHEN improved < 2 THEN 'improved' END, CASE WHEN worst > 0.02 THEN 'worst' END, CASE WHEN least_rows < 10 THEN 'rows' END], x -> x IS NOT NULL), ',')"
+_FAILED = "array_to_string(list_filter([CASE WHEN skill < 0.01 THEN 'skill' END, CASE WHEN improved < 2 THEN 'improved' END, CASE WHEN worst > 0.02 THEN 'worst' END, CASE WHEN least_rows < 10 THEN 'rows' END], lambda x: x IS NOT NULL), ',')"
 
 
 def criteria(rules):
