@@ -428,8 +428,9 @@ def test_native_plan(spark, sf):
 
 
 # Katz
-def test_katz_equals_a_plain_model(docs, empty):
-    rows = katz.score_texts(docs, 3).collect()
+@pytest.mark.parametrize("buckets", [None, 64])
+def test_katz_equals_a_plain_model(docs, empty, buckets):
+    rows = katz.score_texts(docs, 3, buckets=buckets).collect()
     assert len(rows) == len(texts())
     lower = lambda t: [w for w in tokens(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))] + [None]
     fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 3
@@ -465,6 +466,14 @@ def test_katz_equals_a_plain_model(docs, empty):
     assert katz.score_texts(empty).count() == 0
 
 
+def test_heavy_contexts_are_dealt_out():
+    heavy = katz.Heavy({5: 0.4, 9: 0.02}, 50)
+    context, word = np.repeat(np.array([5, 9, 11], np.uint64), 1000), np.arange(3000, dtype=np.uint64)
+    bucket = heavy.bucket(context, word)
+    assert [len(set(bucket[context == c].tolist())) for c in (5, 9, 11)] == [41, 3, 1]
+    assert set(zip(context[:2000].tolist(), bucket[:2000].tolist(), strict=True)) <= set(heavy.homes())
+
+
 def test_katz_tables_reuse_the_exchange(docs):
     table = katz.model_tables(docs, 3).toPandas()
     assert (table["count"] > 0).all() and (table.log10_p <= 0).all()
