@@ -178,9 +178,9 @@ def _occurrences(batches, heavy: Heavy, modulus: int):
         fresh[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
         pair = np.flatnonzero(fresh)
         head = np.ones(len(pair), bool)
-        head[1:] = context[pair][1:] != context[pair][:-1]
-        n_train = int(train.sum())
         owner = bucket[pair]
+        head[1:] = (context[pair][1:] != context[pair][:-1]) | (owner[1:] != owner[:-1])
+        n_train = int(train.sum())
         cuts = np.searchsorted(owner, np.arange(buckets + 1))
         begin = np.append(pair, len(context))
         rows = []
