@@ -8,7 +8,7 @@ at the latest where its block ends; every block of every text is parsed.
 
 Bounds of what is broadcast: SAMPLE_SYMBOLS symbols a language make at most twice as many states of ALPHABET
 transitions. At most SAMPLE_ROWS rows a language are read for them; these are the rows with the smallest hashed ids
-(at each of them the whole text is taken until the sample is full).
+(of each at most twice SAMPLE_SYMBOLS characters, until the sample is full).
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without any labelled row every
 text is `und`; a language whose sample has no letters can't win; ties go to the first language by name.

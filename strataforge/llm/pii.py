@@ -227,7 +227,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with each span of its text replaced by [KIND]; spans that overlap are replaced together, by the first one's kind."""
     columns = docs.columns
-    found = candidates(docs, text_col, "found_")
+    found = cut(candidates(docs, text_col, "found_"))
     trees, thresholds = fit(found, "found_")
     spans = with_spans(found, "found_", trees, thresholds).select(*columns, F.col("every_").alias("spans_"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
