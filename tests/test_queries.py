@@ -19,7 +19,7 @@ def con(sf):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def text(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
             return ""
         return f"{v:.5f}" if isinstance(v, float) else str(v)[:10] if hasattr(v, "year") else str(v)
 
