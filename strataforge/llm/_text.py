@@ -127,7 +127,7 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def per_document(values: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
     """Sum of the values of each document (whole numbers below 2^53 stay exact)."""
-    return np.bincount(document, values, minlength=n)
+    return np.bincount(document, values, minlength=n).astype(np.float64)
 
 
 def crc_of_ids(ids: list) -> np.ndarray:

@@ -31,8 +31,6 @@ from ._text import blocks, expand, per_document, span_hashes, utf8
 BLANK, FEED = 0x20, 0x0A
 META = "▁".encode()
 N_BEST = 4
-#: Segments longer than this many bytes are cut from the lanes' common loop by memory, not by result.
-LANE_BYTES = 8 << 20
 
 
 class Pieces:
@@ -117,7 +115,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     start[1:] = (blank[1:] & ~blank[:-1]) | feed[1:] | feed[:-1]
     start[at[:-1][full]] = True
     starts = np.flatnonzero(start)
-    return out, starts, np.append(starts[1:], len(out)), np.searchsorted(at, starts, side="right") - 1
+    return out, starts, np.append(starts[1:], len(out))[: len(starts)], np.searchsorted(at, starts, side="right") - 1
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,8 +317,6 @@ def encode_n_best(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "do
         known: dict[int, list] = {}
         raw = out.tobytes()
         rows: list[tuple] = []
-        width = (np.cumsum(model.length[flat]) if len(flat) else np.zeros(0, np.int64)).astype(np.int64)
-        del width
         surface = model.surface
         for d in range(docs_in):
             lo, hi = int(segment_from[d]), int(segment_from[d + 1])

@@ -44,6 +44,26 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+@pytest.fixture(scope="module")
+def blank(spark):
+    """Texts without a word only."""
+    return spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "", None, None, None)], DOCS)
+
+
+def test_tables_of_empty_texts(blank, spark):
+    assert tiff.text_media_digest(blank).count() == 3
+    assert [r.n_tokens for r in unigram.count_tokens(blank, piece_file()).collect()] == [0, 0, 0]
+    assert [(r.n_tokens, r.score, r.round_trip) for r in unigram.encode_n_best(blank, piece_file()).collect()] == [(0, 0.0, True)] * 3
+    assert [r.length for r in packing.pack(blank, word_file()).collect()] == [1, 1, 1]
+    assert {r.lang_pred for r in language.identify(blank, {"en": b"\x01\x02"}).collect()} == {"und"} and language.learn(blank) == {}
+    assert [r.kept for r in quality.verdicts(blank).collect()] == [False] * 3 and quality.keep_good(blank).count() == 0
+    assert {r.doc_id: r.class_id for r in neardup.classes(blank).collect()} == {1: 1, 2: 2, None: None} and neardup.keep_one(blank).count() == 3
+    assert [r.spans for r in pii.find(blank).collect()] == [""] * 3 and pii.redact(blank).count() == 3
+    assert {r.n_tokens for r in katz.score_texts(blank).collect()} == {1}
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, None)], "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.score(blank, labels).collect()}) == 1
+
+
 # TIFF
 def test_texts_survive_tiff(docs):
     rows = tiff.text_media_digest(docs).collect()
@@ -486,7 +506,6 @@ def test_katz_tables_reuse_the_exchange(docs):
 def test_toxic_documents_are_found(spark, docs, empty):
     r = random.Random(2)
     mild = "stone river walks green light under water slowly again".split()
-    bad = ["zorgling", "фrettin", "vextule"]
     rows, labels = [], []
     for i in range(400):
         words = [r.choice(mild) for _ in range(60)]
@@ -498,7 +517,7 @@ def test_toxic_documents_are_found(spark, docs, empty):
         labels.append((i, int(toxic)))
     d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {x.doc_id: x.predicted for x in toxicity.score(d, y.where("doc_id % 2 = 0")).collect()}
-    assert got == dict(labels) and bad
+    assert got == dict(labels)
     scores = toxicity.score(docs, y).collect()
     assert len(scores) == len(texts()) and all(0 <= x.score <= 1 for x in scores)
     assert toxicity.score(empty, y).count() == 0
