@@ -13,9 +13,10 @@ Texts of equal words are one text from the start. Within a band's bucket the tex
 members (stars, not all pairs): the one that shares buckets with most texts, which in a group of copies tends to be the
 original, and one by hash. Connected texts share a class. In buckets that still hold several classes, the texts outside
 the largest class are compared with PROBES of its members, and in the last turn with all members of other classes, so no
-link between classes is lost. In these turns a pair counts only if both texts share enough shingles with any other text of
-such buckets: two texts of x and y shingles at similarity t have at least t / (1 + t) (x + y) in common. This
-spares copies that were changed too much the comparison with the whole group.
+link between classes is lost. In these turns a pair counts only if it can be similar at all: two texts of x and y
+shingles at similarity t have at least t / (1 + t) (x + y) in common, and how many they have is bounded by what each
+has in common with the bucket's leader and with any other text. This spares copies that were changed too much the
+comparison with the whole group.
 
 Words are [^\\x20\\x09-\\x0D]+ in lower-case ASCII. Defined cases: a text of one to four words has one shingle, all its
 words; null texts and texts without words are never linked; a null id is an id like others; rows with
@@ -155,28 +156,29 @@ def shingle_table(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold."""
+    """Pairs (a, b) with the number of their common shingles (at most), and whether their exact similarity reaches the threshold."""
 
     def run(batches):
         for batch in batches:
             a, b, *fields = batch.columns
             left, right, left_times, right_times = (f.to_pylist() for f in fields)
-            keep = []
+            keep, common = [], []
             for p, q, s, t in zip(left, right, left_times, right_times, strict=True):
                 x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 if min(len(x), len(y)) < 0.1 * max(len(x), len(y)) and not s and not t:
                     keep.append(False)
+                    common.append(min(len(x), len(y)))
                     continue
                 u = np.frombuffer(s, np.uint32) if s else np.ones(len(x), np.uint32)
                 v = np.frombuffer(t, np.uint32) if t else np.ones(len(y), np.uint32)
                 keep.append(similarity(x, u, y, v) >= threshold - 1e-12)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(keep, pa.bool_())], names=["a", "b", "common", "similar"])
 
     right = sets.select(F.col("mark").alias("b"), F.col("hashes").alias("right"), F.col("times").alias("right_times"))
     left = sets.select(F.col("mark").alias("a"), F.col("hashes").alias("left"), F.col("times").alias("left_times"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right", "left_times", "right_times")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, common long, similar boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,15 +212,16 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tup
     chosen_ids = texts.join(degrees, "mark", "left_semi").select(F.col("key").alias("chosen")).distinct()
     matched = chosen.join(chosen_ids, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
     sets = cut(shingle_table(matched).dropDuplicates(["mark"]))
-    tested = cut(_ordered(_with_leaders(members, LEADERS), "mark", "leader"))
-    links = cut(verify(tested, sets, threshold))
+    measured = cut(verify(_ordered(_with_leaders(members, LEADERS), "mark", "leader"), sets, threshold))
+    tested, links = measured.select("a", "b"), measured.where("similar").select("a", "b")
+    tops = members.groupBy("band").agg(F.max(F.struct("degree", "mark")).getField("mark").alias("leader"))
     labels = components(links)
     for turn in range(1, TURNS + 1):
         open_ = cut(_unresolved(members, labels))
         if not open_.take(1):
             break
         sized = cut(support(sets.join(open_.select("mark").distinct(), "mark", "left_semi")))
-        known = open_.join(sized, "mark")
+        known = cut(_with_common(open_.join(sized, "mark").join(tops, "band"), measured))
         outside = known.where(F.col("label") != F.col("top"))
         inside = known if turn == TURNS else _drawn(known.where(F.col("label") == F.col("top")), PROBES, turn)
         mine = outside.select("band", *[F.col(c).alias(f"x_{c}") for c in ("mark", "label", *SUPPORT)])
@@ -226,7 +229,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tup
         pairs = _ordered(mine.join(other, (mine.band == other.band) & (F.col("x_label") != F.col("y_label")) & _possible(threshold)), "x_mark", "y_mark")
         more = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(more)
-        fresh = cut(verify(more, sets, threshold))
+        fresh = cut(verify(more, sets, threshold).where("similar").select("a", "b"))
         if fresh.take(1):
             links = links.unionByName(fresh)
             labels = components(links)
@@ -245,7 +248,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     )
 
 
-SUPPORT = ("size", "shared", "plain")
+SUPPORT = ("size", "shared", "common", "plain")
+
+
+def _with_common(rows: DataFrame, measured: DataFrame) -> DataFrame:
+    """`rows` (mark, leader, size, ...) with the number of shingles that each text has in common with its bucket's leader."""
+    pair = {"a": F.least("mark", "leader"), "b": F.greatest("mark", "leader")}
+    found = rows.withColumns(pair).join(measured.select("a", "b", "common"), ["a", "b"], "left").drop("a", "b")
+    return found.withColumn("common", F.when(F.col("mark") == F.col("leader"), F.col("size")).otherwise(F.coalesce("common", F.lit(0)))).drop("leader")
 
 
 def support(sets: DataFrame) -> DataFrame:
@@ -268,9 +278,14 @@ def support(sets: DataFrame) -> DataFrame:
 
 
 def _possible(threshold: float):
-    """Whether two texts can reach the threshold at all: both share enough shingles with other texts. Exact for shingles that occur once each."""
+    """Whether two texts can reach the threshold at all. Exact for texts whose shingles occur once each; others always can.
+
+    Both have some shingles in common with their bucket's leader, and some others that any other text has too; they
+    have at most the smaller number of the first kind and the smaller number of the second kind in common.
+    """
     need = threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9
-    return ~(F.col("x_plain") & F.col("y_plain")) | (F.least("x_shared", "y_shared") >= need)
+    most = F.least("x_common", "y_common") + F.least(F.col("x_shared") - F.col("x_common"), F.col("y_shared") - F.col("y_common"))
+    return ~(F.col("x_plain") & F.col("y_plain")) | (most >= need)
 
 
 def _with_leaders(members: DataFrame, n: int) -> DataFrame:
