@@ -12,8 +12,8 @@ with a probability below 4e-6. Every candidate link counts only after its simila
 Texts of equal words are one text from the start. Within a band's bucket the texts are compared with LEADERS chosen
 members (stars, not all pairs): the one that shares buckets with most texts, which in a group of copies tends to be the
 original, and one by hash. Connected texts share a class. In buckets that still hold several classes, the texts outside
-the largest class are compared with PROBES of its members, and in the last turn with all members of other classes, so no
-link between classes is lost. In these turns a pair counts only if it can be similar at all: two texts of x and y
+the largest class are compared with all members of other classes, so no link between classes is lost; where TURNS is
+more than 1, with PROBES members of the largest class at a time before. In these turns a pair counts only if it can be similar at all: two texts of x and y
 shingles at similarity t have at least t / (1 + t) (x + y) in common, and how many they have is bounded by what each
 has in common with the bucket's leader and with any other text. This spares copies that were changed too much the
 comparison with the whole group.
@@ -36,7 +36,7 @@ from ._text import LOWER_ASCII, blocks, mix, span_hashes, utf8, words
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-LEADERS, PROBES, TURNS = 2, 4, 2
+LEADERS, PROBES, TURNS = 2, 4, 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
