@@ -344,6 +344,33 @@ def test_verdicts_keep_clean_documents(spark, sf, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
 
 
+def test_all_languages_have_models(spark):
+    """40 languages, more than are broadcast; and texts of one that occurs with null `lang` only."""
+
+    def written(name, n):
+        letters = random.Random(name).sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 9)
+        r = random.Random(f"{name}{n}")
+        words = ["".join(random.Random(f"{name}{k}").choice(letters) for _ in range(2 + k % 6)) for k in range(80)]
+        return " ".join(r.choice(words) for _ in range(60 + r.randrange(9)))
+
+    def check(names):
+        rows = [(i, written(str(name), i), name) for i, name in enumerate([*names, *names[:1]] * 25)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in quality.verdicts(table).collect()}
+        assert [got[i].model for i, _, _ in rows] == [name or "" for _, _, name in rows]
+        kept = {i for i, r in got.items() if r.kept}
+        assert len(kept) > 0.98 * len(rows) and kept == {r.doc_id for r in quality.keep_good(table).collect()}
+
+    check([f"x{k}" for k in range(40)])
+    check(["x0", "x1", None])
+
+
+def test_trigrams_of_several_texts():
+    code, document = quality.trigrams(*utf8(pa.array(["ab", "", None, "c"])))
+    at = lambda *s: (s[0] * 64 + s[1]) * 64 + s[2]
+    assert code.tolist() == [at(0, 0, 1), at(0, 1, 2), at(1, 2, 63), at(0, 0, 3), at(0, 3, 63)] and document.tolist() == [0, 0, 0, 3, 3]
+
+
 # near-duplicates
 def test_classes_equal_brute_force(spark):
     r = random.Random(8)
