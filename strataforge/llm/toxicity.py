@@ -1,7 +1,9 @@
 """Toxicity by a weighted lexicon: folded text, Aho-Corasick matches, exception phrases, normalised by length.
 
-Folding: lower case; look-alike letters of other scripts as Latin ones; a digit or sign that stands for a letter, and
-stands alone between letters, as that letter; every run of other characters as one blank.
+Folding: lower case; look-alike letters of other scripts as Latin ones; digits and signs that stand for letters, in a word
+that holds at least one letter, as those letters; every run of other characters as one blank. A word is a run of letters
+and such signs. Before its first and after its last letter the signs of MARKS are punctuation, and so is what lies beyond
+them; only one ! right at the beginning stands for a letter.
 
 The lexicon is learned from labelled texts: whole words and word beginnings of MIN_STEM to MAX_STEM letters, each weighted by
 its log odds between toxic and other texts. A longer entry is left out where its beginning weighs as much.
@@ -39,6 +41,8 @@ LOOK_ALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l",
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
+#: Signs that are punctuation at either end of a word.
+MARKS = "!|+"
 BLANK = 32
 
 
@@ -59,6 +63,30 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return letter, sign
 
 
+def _inside(real: np.ndarray, stands: np.ndarray, mark: np.ndarray, bang: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions of the signs that stand for letters in their word. real: letters; mark, bang: signs of MARKS, and !."""
+    n = len(real)
+    place = np.arange(n)
+    member = real | stands
+    first = member.copy()
+    first[1:] &= ~member[:-1]
+    borders = at[:-1][at[:-1] < n]
+    first[borders] = member[borders]
+    begin = np.maximum.accumulate(np.where(first | ~member, place, 0))
+    last = np.ones(n, bool)
+    last[:-1] = first[1:] | ~member[1:]
+    end = np.minimum.accumulate(np.where(last, place, n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(real, place, -1))
+    after = np.minimum.accumulate(np.where(real, place, n)[::-1])[::-1]
+    p = np.flatnonzero(stands)
+    left, right = before[p] >= begin[p], after[p] <= end[p]
+    marks = np.concatenate([[0], np.cumsum(mark)])
+    ahead = marks[np.minimum(after[p], n)] - marks[p]
+    behind = marks[p + 1] - marks[np.maximum(before[p], 0)]
+    opens = (ahead == 0) | (bang[p] & first[p] & (ahead == 1))
+    return p[np.where(left & right, True, np.where(right, opens, left & (behind == 0)))]
+
+
 def fold(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     """The folded texts, each with one blank before and after."""
     points, at = code_points(data, offsets)
@@ -67,13 +95,10 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     plain = letter[near]
     plain[points > 0xFFFF] = BLANK
     real = plain != BLANK
-    stands = np.flatnonzero(sign[near] > 0)
-    inner = stands[(stands > 0) & (stands < len(points) - 1)]
-    inner = inner[real[inner - 1] & real[inner + 1]]
-    border = np.zeros(len(points) + 1, bool)
-    border[at] = True
-    inner = inner[~border[inner] & ~border[inner + 1]]
-    plain[inner] = sign[near[inner]]
+    stands = (sign[near] > 0) & ~real
+    if stands.any():
+        inner = _inside(real, stands, np.isin(near, [ord(c) for c in MARKS]), near == ord("!"), at)
+        plain[inner] = sign[near[inner]]
     keep = np.ones(len(plain), bool)
     keep[1:] = (plain[1:] != BLANK) | (plain[:-1] != BLANK)
     firsts = at[:-1][at[:-1] < at[1:]]

@@ -556,3 +556,21 @@ def test_folding_and_exceptions():
     assert folded[0] == " idiot idiot " and folded[1] == "  "
     found = toxicity._automaton(((" idiot ", 2.0), (" trash ", 3.0)), toxicity.EXCEPTIONS)
     assert toxicity.match_weight(found, folded[0]) == (4.0, 2) and toxicity.match_weight(found, folded[2]) == (3.0, 1)
+
+
+def test_folding_of_runs_and_borders():
+    cases = {
+        "l00ser 1diot a$$hole @$$ idi07 !d10t": "looser idiot asshole idiot idiot", "Z0rgling! idiot!!! idiot!1": "zorgling idiot idiot",
+        "10 $5 3+4 100%idiot |idiot| b!+ch C++": "idiot idiot bitch c", "!!wow wow!!no": "wow wowiino", "1d": "id", "10": "", "x😀1diot": "x idiot",
+    }
+    assert toxicity.fold(*utf8(pa.array(list(cases)))) == [f" {v} " for v in cases.values()]
+    assert toxicity.fold(*utf8(pa.array(["idiot", "1", "", "0x"]))) == [" idiot ", "  ", "  ", " ox "]
+
+
+def test_disguised_words_are_found(spark):
+    rows = [(i, " ".join(["stone river walks under light"] * 9) + (" idiot" if i % 4 == 0 else "")) for i in range(80)]
+    rows += [(100 + k, f"stone river {w} walks") for k, w in enumerate(["1diot", "id1ot", "1d10t", "idi07", "!diot", "river"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.score(d, y).collect()}
+    assert [got[100 + k] for k in range(6)] == [1, 1, 1, 1, 1, 0]
