@@ -2,7 +2,7 @@
 
 Everything runs as DataFrame functions. Generators with high recall propose spans of eight kinds, which may overlap. Each
 candidate has a word of flags: its kind, format and neighbours. Labels come from strict checks (Luhn, mod 97, octets
-up to 255, lengths, a key word in front): candidates of all documents are counted by flags and label, so the
+up to 255, lengths, area, group and serial numbers, a word of the kind in front): candidates of all documents are counted by flags and label, so the
 training table has at most one row for each flag word, and boosted trees of two levels are fitted on those
 counts. For each kind the lowest threshold whose selected candidates were right to PRECISION selects
 the spans that are added; those of the four base kinds that pass their checks always stay, and an added span never
@@ -33,6 +33,18 @@ MAX_CELLS = 1 << 16
 CHUNK = 256
 GROUP, DOT, OTHER = "", "", ""
 LABEL_CHARS, LOCAL = "A-Za-z0-9-", f"A-Za-z0-9._%+{DOT}-"
+#: Lengths of account numbers (IBAN) by country; of other countries any form is proposed.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_forms() -> str:
+    """The countries' account numbers, whole or with single blanks."""
+    return "|".join(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, countries in IBAN_LENGTHS.items())
+
+
 #: Patterns over the rewritten text (the column named first).
 PATTERNS = {
     "email": ("dotted", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[{LABEL_CHARS}]++{DOT}[{LABEL_CHARS}{DOT}]++"),
@@ -42,13 +54,16 @@ PATTERNS = {
     "tel": ("plain", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "secret": ("plain", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{20,}+"),
     "ssn": ("plain", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": ("plain", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
+    "iban": ("plain", rf"(?<![A-Za-z0-9])(?:{_iban_forms()}|[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?))(?![A-Za-z0-9])"),
 }
 #: A text without a match of this has no candidate of the kind.
-GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{10,}[0-9]", "phone": r"\+[0-9]", "tel": r"[0-9]{3}[ .-][0-9]{4}", "secret": r"[A-Za-z0-9_-]{20}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"}
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{10,}[0-9]", "phone": r"\+[0-9]", "tel": r"[0-9]{3}[ .-][0-9]{4}", "secret": r"[A-Za-z0-9_-]{20}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}"}
 KEY_WORDS = r"(?i)(token|secret|key|passw|pwd|auth)[a-z]{0,6}[\"']?[ ]{0,3}[=:]?[ ]{0,3}[\"']?$"
 CONTACT_WORDS = r"(?i)(tel|phone|fon|mobile|call|fax|cell|contact|movil|handy)[^a-z]{0,6}$"
-FLAGS = (*(f"kind_{k}" for k in KINDS), "digits_10", "digits_14", "digits_to_15", "digits_to_19", "clear_before", "clear_after", "key_word", "contact_word", "separated", "mixed", "octets", "luhn", "card_start", "mod97", "area")
+SECURITY_WORDS = r"(?i)(?<![a-z])(ssn|social|security|tax|taxpayer|tin|itin)([ .:#=-]{1,3}(security|id|no|nr|num|number|is|was)){0,4}[^a-z0-9]{0,6}$"
+#: Plan of the national numbers that are written in 3, 3 and 4 digits: area and exchange begin with 2 to 9 and don't end in 11.
+NATIONAL = "^([2-9](?!11)[0-9]{2}){2}"
+FLAGS = (*(f"kind_{k}" for k in KINDS), "digits_10", "digits_14", "digits_to_15", "digits_to_19", "clear_before", "clear_after", "key_word", "contact_word", "separated", "mixed", "octets", "luhn", "card_start", "mod97", "area", "security_word", "national")
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -102,13 +117,15 @@ def _described(kind: str, found: Column) -> Column:
         key, contact = x["before"].rlike(KEY_WORDS), x["before"].rlike(CONTACT_WORDS)
         octets = F.forall(F.split(x["value"], r"\."), lambda p: F.coalesce(F.try_to_number(F.right(F.concat(F.lit("0000"), F.regexp_replace(p, "^0+", "")), F.greatest(F.lit(4), F.length(F.regexp_replace(p, "^0+", "")))), F.lit("9999")) <= 255, no)) if kind == "ip" else no
         good_luhn = F.when(n.between(14, 19), luhn(digits)).otherwise(False) if kind == "card" else no
-        area = ~F.substring(digits, 1, 3).rlike("^(000|666|9..)") if kind == "ssn" else no
-        iban = mod97(x["value"]) if kind == "iban" else no
-        strict = {"email": F.lit(True), "ip": octets, "card": good_luhn, "phone": n.between(10, 15), "tel": contact, "secret": key & x["value"].rlike("[A-Za-z]"), "ssn": area & contact, "iban": iban}[kind]
+        area = ~digits.rlike("^(000|666|9|...00|.{5}0000)") if kind == "ssn" else no
+        security = x["before"].rlike(SECURITY_WORDS) if kind == "ssn" else no
+        national = digits.rlike(NATIONAL) if kind == "tel" else no
+        iban = mod97(F.replace(x["value"], F.lit(" "), F.lit(""))) if kind == "iban" else no
+        strict = {"email": F.lit(True), "ip": octets, "card": good_luhn, "phone": n.between(10, 15), "tel": contact | national, "secret": key & x["value"].rlike("[A-Za-z]"), "ssn": area & security, "iban": iban}[kind]
         flags = [
             *(F.lit(k == kind) for k in KINDS), n >= 10, n >= 14, n <= 15, n <= 19,
             x["before"].rlike(r"(^|[\s\"'(|>:=,])$"), x["after"].rlike(r"^($|[\s\"')|<,.;:!?])"), key, contact, x["value"].rlike(rf"[ ().{GROUP}-]"), x["value"].rlike("[A-Za-z]") & x["value"].rlike("[0-9]"),
-            octets, good_luhn, digits.rlike("^[3-6]"), iban, area,
+            octets, good_luhn, digits.rlike("^[3-6]"), iban, area, security, national,
         ]
         word = F.lit(0)
         for k, flag in enumerate(flags):

@@ -469,6 +469,27 @@ def test_redaction(spark, docs):
     assert pii.redact(rows).columns == rows.columns
 
 
+CLEAR = {
+    "email": ["write to jo.doe@mail.org today"], "ip": ["from 10.20.30.40 to"], "card": ["paid with 4111 1111 1111 1111 here"], "phone": ["ring +49 30 1234567 please"],
+    "tel": ["phone: 555-123-4567 today", "reach me at (212) 555-0142 today"], "secret": ["token = ab12cd34ef56gh78ij90kl12 end"], "ssn": ["SSN: 123-45-6789 on file", "my social security number is 123-45-6789."],
+    "iban": ["to DE89 3704 0044 0532 0130 00 by", "to DE89370400440532013000 by", "to ES91 2100 0418 4502 0005 1332 EUR by", "to GB82 WEST 1234 5698 7654 32 OK"],
+}
+OTHERWISE = ["part 123-45-6789 is", "SSN: 000-45-6789 is", "SSN: 123-00-6789 is", "SSN: 123-45-0000 is", "tel 123-45-6789 is", "row 155-123-4567 is", "to DE88 3704 0044 0532 0130 00 by", "nothing"]
+
+
+def test_clear_cases_of_each_kind(spark):
+    """Enough of each case, so that thresholds rest on more than single ones."""
+    rows = [(kind, text) for kind, own in CLEAR.items() for text in own] + [("", text) for text in OTHERWISE]
+    table = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows * 30)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(table).collect()}
+    for i, (kind, text) in enumerate(rows):
+        assert {s.split(":")[0] for s in got[i].split(",")} == {kind}, (text, got[i])
+    found = got[[text for _, text in rows].index(CLEAR["iban"][2])]
+    assert found == "iban:3:32"
+    redacted = {r.doc_id: r.text for r in pii.redact(table).collect()}
+    assert redacted[[text for _, text in rows].index(CLEAR["ssn"][0])] == "SSN: [SSN] on file"
+
+
 def test_native_plan(spark, sf):
     plan = pii.find(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
