@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm._spark import cut
+
 
 def hash_draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
     """A number from 0 to n - 1: the first 8 hexadecimal digits of md5('seed:replicate:slot') modulo n."""
@@ -16,19 +18,28 @@ def hash_draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), n)
 
 
-def multiplicities(entities: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(replicate, entity_key, times) of every entity that a replicate draws. Ranks come from the order of the keys."""
-    ranked = entities.select("entity_key").distinct().withColumn("rank", F.row_number().over(Window.orderBy("entity_key")) - 1)
+def ranks(entities: DataFrame) -> DataFrame:
+    """(entity_key, rank) in the order of the keys, from 0: ranges of keys are ranked on their own, after the rows of those before."""
+    placed = cut(entities.select("entity_key").distinct().sort("entity_key").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    own = placed.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("entity_key")))
+    return own.join(F.broadcast(sizes), "part").select("entity_key", (F.col("offset") + F.col("place") - 1).alias("rank"))
+
+
+def multiplicities(entities: DataFrame, replicates: int, seed: int, first: int = 0) -> DataFrame:
+    """(replicate, entity_key, times) of every entity that a replicate draws, replicates numbered from `first`."""
+    ranked = ranks(entities)
     n = ranked.agg(F.count("*").alias("n"))
     slots = ranked.select(F.col("rank").alias("slot")).join(F.broadcast(n))
-    drawn = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("replicate", hash_draw(seed, F.col("replicate"), F.col("slot"), F.col("n")).alias("rank"))
+    drawn = slots.withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(first + replicates - 1)))).select("replicate", hash_draw(seed, F.col("replicate"), F.col("slot"), F.col("n")).alias("rank"))
     return drawn.groupBy("replicate", "rank").agg(F.count("*").alias("times")).join(ranked, "rank").select("replicate", "entity_key", "times")
 
 
-def replicate_means(differences: DataFrame, replicates: int, seed: int, value: str = "difference") -> DataFrame:
+def replicate_means(differences: DataFrame, replicates: int, seed: int, value: str = "difference", first: int = 0) -> DataFrame:
     """(replicate, balanced, periods): the mean over periods of the drawn rows' means; periods says how many it holds."""
     cells = differences.groupBy("entity_key", "target_period").agg(F.sum(value).alias("total"), F.count(value).alias("rows"))
-    times = multiplicities(differences, replicates, seed)
+    times = multiplicities(differences, replicates, seed, first)
     by_period = times.join(cells, "entity_key").groupBy("replicate", "target_period").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("rows"))).alias("mean"))
     return by_period.groupBy("replicate").agg(F.avg("mean").alias("balanced"), F.count("*").alias("periods"))
 
@@ -52,11 +63,23 @@ def clustered_drop(differences: DataFrame, replicates: int = 200, seed: int = 7)
     return interval(replicate_means(differences, replicates, seed))
 
 
-def clustered_redraw(differences: DataFrame, replicates: int = 200, seed: int = 7, spare: int = 2) -> DataFrame:
-    """Replicates that miss a period are drawn again: the first `replicates` complete ones of spare times as many attempts."""
-    means = replicate_means(differences, spare * replicates, seed)
+def clustered_redraw(differences: DataFrame, replicates: int = 200, seed: int = 7, spare: int = 2, most: int = 100) -> DataFrame:
+    """Replicates that miss a period are drawn again: the first `replicates` complete ones.
+
+    Attempts are drawn in blocks of spare times as many; fewer complete ones in `most` times as many are an error.
+    """
     wanted = differences.agg(F.countDistinct("target_period").alias("wanted"))
-    kept = means.join(F.broadcast(wanted)).where(F.col("periods") == F.col("wanted")).withColumn("place", F.row_number().over(Window.orderBy("replicate"))).where(F.col("place") <= replicates)
+    kept, complete, first = None, 0, 0
+    while first < most * replicates and complete < replicates:
+        size = min(spare * replicates, most * replicates - first)
+        means = replicate_means(differences, size, seed, first=first)
+        block = cut(means.join(F.broadcast(wanted)).where(F.col("periods") == F.col("wanted")).select("replicate", "balanced"))
+        kept, complete, first = block if kept is None else kept.union(block), complete + block.count(), first + size
+        if first == size and not differences.take(1):
+            break  # nothing to draw from
+    if 0 < complete < replicates or (not complete and first >= most * replicates):
+        raise ValueError(f"{complete} of {replicates} replicates hold every period after {first} attempts")
+    kept = kept.withColumn("place", F.row_number().over(Window.orderBy("replicate"))).where(F.col("place") <= replicates)
     return interval(kept, (F.max("replicate") + 1).cast("long").alias("attempts"))
 
 

@@ -189,3 +189,19 @@ def test_streamed_vintages(spark, tmp_path):
     query = vintages.first_vintages(stream, "10 days").writeStream.format("memory").queryName("first_rows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r.entity_key, r.release) for r in spark.sql("select * from first_rows").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_redraw_goes_on_until_complete(spark):
+    """Three entities in periods of their own: about 22 % of the draws are complete."""
+    rows = [(k, 2000 + k, float(k)) for k in range(3)]
+    got = resample.clustered_redraw(spark.createDataFrame(rows, "entity_key long, target_period int, difference double")).collect()[0]
+    assert got.retained == 200 and 400 < got.attempts < 2000 and got.lower == got.upper == 1.0
+    rows = [(k, 2000 + k, float(k)) for k in range(12)]
+    with pytest.raises(ValueError, match="of 20 replicates"):
+        resample.clustered_redraw(spark.createDataFrame(rows, "entity_key long, target_period int, difference double"), 20, most=3)
+
+
+def test_ranks_follow_the_keys(spark):
+    keys = [f"k{i * 7919 % 1000:04d}" for i in range(1000)]
+    got = {r.entity_key: r["rank"] for r in resample.ranks(spark.createDataFrame([(k,) for k in keys * 2], "entity_key string").repartition(5)).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
