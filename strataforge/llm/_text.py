@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+#: A block's arrays of 64-bit numbers take some hundred times as much for each word; a worker keeps them between blocks.
+BLOCK_BYTES = 1 << 20
 #: White space of the word definition [^\x20\x09-\x0D]+.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

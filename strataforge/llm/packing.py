@@ -8,6 +8,8 @@ power of two, so nothing is padded; sequences of one length make up a bucket, an
 Ids come from the public word-level BPE file. Its pre-tokenizer never joins across white space, so each block's
 distinct words are encoded once and the ids of the texts are gathered from them.
 
+The strings of the file's special tokens in a text become these tokens, as the tokenizer's plain call does it.
+
 Defined cases: a null or empty text consists of the end id alone (one piece of length 1); repeated rows
 are packed each on its own.
 """
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import blocks, expand, spans, span_hashes, utf8
+from ._text import LOWER_ASCII, blocks, expand, span_hashes, spans, utf8
 
 SEQUENCE = 2048
 END_ID = 1
 #: Words that are remembered between blocks, at most (each about 40 bytes).
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 WORDS_PER_CALL = 512
 #: White space (\\s) of the pre-tokenizer outside ASCII, and bytes of these in UTF-8.
 WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -45,9 +47,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.bar = self.tokenizer.encode(f" {SEPARATOR} ", add_special_tokens=False).ids
-        self.keys, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,22 +90,23 @@ class WordIds:
     def of(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool of ids with the place and size of each word's ids in it. keys: the words' hashes, ascending."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-        raw = data.tobytes()
-        texts = [raw[a:b].decode(errors="replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-        flat, sizes = self.encode(texts) if texts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        seen = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~seen)
         if len(self.keys) + len(new) > KNOWN_WORDS:  # forget what this block doesn't use
-            used = np.unique(at[self.keys[at] == keys]) if len(self.keys) else np.zeros(0, np.int64)
-            begin = np.cumsum(self.sizes) - self.sizes
-            self.ids = self.ids[expand(begin[used], self.sizes[used])]
+            used = at[seen]
+            self.ids = self.ids[expand(self.begin[used], self.sizes[used])]
             self.keys, self.sizes = self.keys[used], self.sizes[used]
-        every, lengths, pool = np.concatenate([self.keys, keys[new]]), np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, flat])
-        order = np.argsort(every)
-        begin = np.cumsum(lengths) - lengths
-        self.keys, self.sizes = every[order], lengths[order]
-        self.ids = pool[expand(begin[order], self.sizes)]
+            self.begin = np.cumsum(self.sizes) - self.sizes
+        if len(new):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode(errors="replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            flat, sizes = self.encode(texts)
+            place = np.searchsorted(self.keys, keys[new])
+            self.begin = np.insert(self.begin, place, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.keys, self.sizes = np.insert(self.keys, place, keys[new]), np.insert(self.sizes, place, sizes)
+            self.ids = np.concatenate([self.ids, flat])
         at = np.searchsorted(self.keys, keys)
-        return self.ids, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        return self.ids, self.begin[at], self.sizes[at]
 
 
 @lru_cache(maxsize=2)
@@ -151,7 +154,9 @@ def text_ids(known: WordIds, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     """Ids of all texts in a row, each text's closed by the end id, and the number of ids of each."""
     n = len(offsets) - 1
     starts, ends = _peel(data, *spans(data, offsets, ~_white(data)))
-    lowered = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    lowered = LOWER_ASCII[data]
+    for at in np.unique(np.searchsorted(starts, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), side="right") - 1).tolist():
+        lowered[starts[at] : ends[at]] = data[starts[at] : ends[at]]  # words with <|, for special tokens are told by case
     keys, first, number = np.unique(span_hashes(lowered, starts, ends), return_index=True, return_inverse=True)
     pool, place, size = known.of(keys, lowered, starts[first], ends[first])
     document = np.searchsorted(offsets, starts, side="right") - 1

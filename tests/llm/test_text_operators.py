@@ -246,7 +246,7 @@ def test_pieces_hold_the_tokenizers_ids(docs, empty):
 def test_word_ids_with_marks_and_bars():
     from tokenizers import Tokenizer
 
-    odd = ["don't, stop!!", "a|b ||| c", "(x).", "...", "end.Start", "é,", "l'été's 's", "A.B,C;", "no break　wide", "x" * 300 + "."]
+    odd = ["don't, stop!!", "a|b ||| c", "(x).", "...", "end.Start", "é,", "l'été's 's", "A.B,C;", "no break　wide", "x" * 300 + ".", "<|endoftext|> a", "Foo<|endoftext|>Bar <|ENDOFTEXT|>x", "<|startoftext|>. <|<|endoftext|>|>, A|<|endoftext|>'s"]
     known = packing.WordIds(word_file())
     ids, total = packing.text_ids(known, *utf8(pa.array(odd)))
     whole = [Tokenizer.from_file(word_file()).encode(t, add_special_tokens=False).ids + [1] for t in odd]
