@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of `df` in the checkpoint folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session has no such folder, as in local tests, a temporary one is set.
+    Only a local session without such a folder, as in tests, gets a temporary one; on a cluster this is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores as it takes to be none of `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """The name of a column, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

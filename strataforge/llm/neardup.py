@@ -12,11 +12,12 @@ with a probability below 4e-6. Every candidate link counts only after its simila
 Texts of equal words are one text from the start. Within a band's bucket the texts are compared with LEADERS chosen
 members (stars, not all pairs): the one that shares buckets with most texts, which in a group of copies tends to be the
 original, and one by hash. Connected texts share a class. In buckets that still hold several classes, the texts outside
-the largest class are compared with all members of other classes, so no link between classes is lost; where TURNS is
-more than 1, with PROBES members of the largest class at a time before. In these turns a pair counts only if it can be similar at all: two texts of x and y
+the largest class are compared with all members of other classes, so no link between classes is lost. Here a pair
+comes from the first band that both texts share, and counts only if it can be similar at all: two texts of x and y
 shingles at similarity t have at least t / (1 + t) (x + y) in common, and how many they have is bounded by what each
-has in common with the bucket's leader and with any other text. This spares copies that were changed too much the
-comparison with the whole group.
+has in common with the bucket's leader and with any other text (exact); and at least LEAST of their slots must agree in
+the 8 bits that are kept of each, which two texts at 0.8 miss with a probability below 1e-7. This spares copies that were
+changed too much the comparison with the whole group.
 
 Words are [^\\x20\\x09-\\x0D]+ in lower-case ASCII. Defined cases: a text of one to four words has one shingle, all its
 words; null texts and texts without words are never linked; a null id is an id like others; rows with
@@ -30,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, quoted, unused
 from ._text import LOWER_ASCII, blocks, mix, span_hashes, utf8, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-LEADERS, PROBES, TURNS = 2, 4, 1
+LEADERS = 2
+SLOTS = BANDS * ROWS
+#: Of the SLOTS, as many as agree at least in texts that are compared beyond their leaders.
+LEAST = 100
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,13 +107,30 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return mix(key)
 
 
-def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """Probability Jaccard similarity of two sorted shingle arrays with counts."""
-    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(common):
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """8 bits of every slot, 8 slots in a 64-bit number."""
+    return np.ascontiguousarray((mix(signature) & np.uint64(255)).astype(np.uint8)).view(np.int64)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two ascending arrays of the values that are in both."""
+    if len(a) > len(b):
+        j, i = common(b, a)
+        return i, j
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    i = np.flatnonzero(b[at] == a)
+    return i, at[i]
+
+
+def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, both: tuple[np.ndarray, np.ndarray] | None = None) -> float:
+    """Probability Jaccard similarity of two sorted shingle arrays with counts. both: common(a, b), if known."""
+    i, j = both or common(a, b)
+    if not len(i):
         return 0.0
     if len(x) == int(x.sum()) and len(y) == int(y.sum()):
-        return len(common) / (len(a) + len(b) - len(common))
+        return len(i) / (len(a) + len(b) - len(i))
     x, y = weights(x), weights(y)
     u, v = x[i], y[j]
     only_x, only_y = x.sum() - u.sum(), y.sum() - v.sum()
@@ -123,20 +144,20 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 
 
 def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, fingerprint of the words (null: no words) and the band keys of each text."""
+    """Id, fingerprint of the words (null: no words), band keys and sketch of each text."""
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
                 document, value, count, mark = shingles(*utf8(part.column(1)))
                 n = part.num_rows
-                keys = band_keys(signatures(document, value, count, n)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mark.view(np.int64), mask=mark == 0), lists], names=["key", "mark", "bands"])
+                signature = signatures(document, value, count, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mark.view(np.int64), mask=mark == 0), lists(band_keys(signature).view(np.int64)), lists(sketches(signature))], names=["key", "mark", "bands", "sketch"])
 
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"key {kind}, mark long, bands array<long>")
+    return chosen.mapInArrow(run, f"key {kind}, mark long, bands array<long>, sketch array<long>")
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
@@ -156,24 +177,21 @@ def shingle_table(docs: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) with the number of their common shingles (at most), and whether their exact similarity reaches the threshold."""
+    """Pairs (a, b) with the number of their common shingles, and whether their exact similarity reaches the threshold."""
 
     def run(batches):
         for batch in batches:
             a, b, *fields = batch.columns
             left, right, left_times, right_times = (f.to_pylist() for f in fields)
-            keep, common = [], []
+            keep, shared = [], []
             for p, q, s, t in zip(left, right, left_times, right_times, strict=True):
                 x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                if min(len(x), len(y)) < 0.1 * max(len(x), len(y)) and not s and not t:
-                    keep.append(False)
-                    common.append(min(len(x), len(y)))
-                    continue
+                both = common(x, y)
                 u = np.frombuffer(s, np.uint32) if s else np.ones(len(x), np.uint32)
                 v = np.frombuffer(t, np.uint32) if t else np.ones(len(y), np.uint32)
-                keep.append(similarity(x, u, y, v) >= threshold - 1e-12)
-                common.append(len(np.intersect1d(x, y, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(common, pa.int64()), pa.array(keep, pa.bool_())], names=["a", "b", "common", "similar"])
+                keep.append(similarity(x, u, y, v, both) >= threshold - 1e-12)
+                shared.append(len(both[0]))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(shared, pa.int64()), pa.array(keep, pa.bool_())], names=["a", "b", "common", "similar"])
 
     right = sets.select(F.col("mark").alias("b"), F.col("hashes").alias("right"), F.col("times").alias("right_times"))
     left = sets.select(F.col("mark").alias("a"), F.col("hashes").alias("left"), F.col("times").alias("left_times"))
@@ -200,41 +218,67 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(key, mark, bands) of every row; (mark, key, label) of every distinct text, with its smallest id and its class's label."""
+    """(key, mark) of every row; (mark, key, label) of every distinct text, with its smallest id and its class's label."""
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     prints = cut(fingerprint_texts(docs, id_col, text_col))
-    texts = cut(prints.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
-    banded = texts.select("mark", F.explode("bands").alias("band"))
+    texts = prints.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("key").alias("key"))
+    banded = prints.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.first("bands").alias("bands")).select("mark", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     found = banded.join(shared, "band")
     degrees = found.groupBy("mark").agg(F.sum("n").alias("degree"))
     members = cut(found.select("band", "mark").join(degrees, "mark"))
-    chosen_ids = texts.join(degrees, "mark", "left_semi").select(F.col("key").alias("chosen")).distinct()
+    chosen_ids = texts.join(members.select("mark").distinct(), "mark", "left_semi").select(F.col("key").alias("chosen")).distinct()
     matched = chosen.join(chosen_ids, F.col("key").eqNullSafe(F.col("chosen")), "left_semi")
     sets = cut(shingle_table(matched).dropDuplicates(["mark"]))
     measured = cut(verify(_ordered(_with_leaders(members, LEADERS), "mark", "leader"), sets, threshold))
-    tested, links = measured.select("a", "b"), measured.where("similar").select("a", "b")
+    labels = components(measured.where("similar").select("a", "b"))
+    open_ = cut(_unresolved(members, labels))
+    if open_.take(1):
+        links = cut(verify(_open_pairs(open_, members, prints, sets, measured, threshold), sets, threshold).where("similar").select("a", "b"))
+        if links.take(1):
+            labels = _joined_up(labels, links)
+    named = texts.join(labels.withColumnRenamed("node", "mark"), "mark", "left")
+    return prints.select("key", "mark"), named.select("mark", "key", F.coalesce("label", "mark").alias("label"))
+
+
+def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after more links: only the labels that they join are solved anew."""
+    of = labels.select(F.col("node"), F.col("label"))
+    ends = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left")
+    ends = cut(ends.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+    root = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("label")), F.struct(F.col("b").alias("node"), F.col("y").alias("label")))).alias("e")).select("e.*")
+    every = of.unionByName(new.join(of.select("node"), "node", "left_anti").distinct())
+    return cut(every.join(root, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
+def _open_pairs(open_: DataFrame, members: DataFrame, prints: DataFrame, sets: DataFrame, measured: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) between different classes of the buckets in open_ that can be similar and haven't been measured."""
+    marks = open_.select("mark").distinct()
+    sized = cut(support(sets.join(marks, "mark", "left_semi")))
     tops = members.groupBy("band").agg(F.max(F.struct("degree", "mark")).getField("mark").alias("leader"))
-    labels = components(links)
-    for turn in range(1, TURNS + 1):
-        open_ = cut(_unresolved(members, labels))
-        if not open_.take(1):
-            break
-        sized = cut(support(sets.join(open_.select("mark").distinct(), "mark", "left_semi")))
-        known = cut(_with_common(open_.join(sized, "mark").join(tops, "band"), measured))
-        outside = known.where(F.col("label") != F.col("top"))
-        inside = known if turn == TURNS else _drawn(known.where(F.col("label") == F.col("top")), PROBES, turn)
-        mine = outside.select("band", *[F.col(c).alias(f"x_{c}") for c in ("mark", "label", *SUPPORT)])
-        other = inside.select("band", *[F.col(c).alias(f"y_{c}") for c in ("mark", "label", *SUPPORT)])
-        pairs = _ordered(mine.join(other, (mine.band == other.band) & (F.col("x_label") != F.col("y_label")) & _possible(threshold)), "x_mark", "y_mark")
-        more = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(more)
-        fresh = cut(verify(more, sets, threshold).where("similar").select("a", "b"))
-        if fresh.take(1):
-            links = links.unionByName(fresh)
-            labels = components(links)
-    named = texts.select("mark", "key").join(labels.withColumnRenamed("node", "mark"), "mark", "left")
-    return prints, named.select("mark", "key", F.coalesce("label", "mark").alias("label"))
+    known = _with_common(open_.join(sized, "mark").join(tops, "band"), measured)
+    signed = prints.join(marks, "mark", "left_semi").groupBy("mark").agg(F.first(F.struct("bands", "sketch")).alias("s")).select("mark", "s.*")
+    known = cut(known.join(signed, "mark"))
+    side = lambda rows, x: rows.select("band", *[F.col(c).alias(f"{x}_{c}") for c in ("mark", "label", "bands", "sketch", *SUPPORT)])
+    mine, other = side(known.where(F.col("label") != F.col("top")), "x"), side(known, "y")
+    first = F.get(F.filter(F.arrays_zip("x_bands", "y_bands"), lambda z: z["x_bands"] == z["y_bands"]), F.lit(0))["x_bands"]
+    once = (F.col("y_label") == F.col("top")) | (F.col("x_mark") < F.col("y_mark"))
+    mine = mine.join(open_.select("band", "top").distinct(), "band")
+    passing = (mine.band == other.band) & (F.col("x_label") != F.col("y_label")) & once & _possible(threshold) & (_agreeing() >= LEAST) & (first == mine.band)
+    pairs = mine.join(other, passing).select(F.least("x_mark", "y_mark").alias("a"), F.greatest("x_mark", "y_mark").alias("b"))
+    return pairs.distinct().join(measured.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _agreeing():
+    """How many slots of x_sketch and y_sketch agree: bytes of the exclusive or that are 0."""
+    differing = F.lit(0)
+    for k in range(SLOTS // 8):
+        t = F.get("x_sketch", F.lit(k)).bitwiseXOR(F.get("y_sketch", F.lit(k)))
+        for step in (4, 2, 1):
+            t = t.bitwiseOR(F.shiftrightunsigned(t, step))
+        differing = differing + F.bit_count(t.bitwiseAND(F.lit(0x0101010101010101)))
+    return SLOTS - differing
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -295,13 +339,6 @@ def _with_leaders(members: DataFrame, n: int) -> DataFrame:
     return members.select("band", "mark").join(leaders, "band").select("mark", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(n)]))).alias("leader")).distinct()
 
 
-def _drawn(rows: DataFrame, n: int, turn: int) -> DataFrame:
-    """n rows of each bucket, by hash (fewer where a row is drawn twice)."""
-    whole = F.struct(*rows.columns)
-    found = rows.groupBy("band").agg(*[F.max_by(whole, F.xxhash64("mark", F.lit(1000 * turn + k))).alias(f"l{k}") for k in range(n)])
-    return found.select(F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(n)]))).alias("l_")).select("l_.*")
-
-
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
     """Distinct pairs a < b."""
     return df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -315,7 +352,7 @@ def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(largest.select("band", "top"), "band")
 
 
-def with_marks(docs: DataFrame, text_col: str = "text", out: str = "mark_") -> DataFrame:
+def with_marks(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     """`docs` with the fingerprint of each text's words in a last column (null: no words)."""
     names = docs.columns
     position = names.index(text_col)
@@ -334,9 +371,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     Rows without words all stay.
     """
+    mark = unused(docs.columns, "mark")
     _, named = _solve(docs, id_col, text_col, threshold)
-    stay = named.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))).getField("mark").alias("mark_")).select("mark_")
-    marked = with_marks(docs, text_col)
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    one = marked.join(stay, "mark_", "left_semi").groupBy("mark_").agg(F.min_by(whole, F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row_"))
-    return one.select("row_.*").unionByName(marked.where(F.col("mark_").isNull()).select(*docs.columns))
+    stay = named.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))).getField("mark").alias(mark)).select(mark)
+    marked = with_marks(docs, text_col, mark)
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    one = marked.join(stay, mark, "left_semi").groupBy(mark).agg(F.min_by(whole, F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row"))
+    return one.select("row.*").unionByName(marked.where(F.col(mark).isNull()).drop(mark))
