@@ -1,10 +1,15 @@
 """TIFF in binary columns: walk image directories and decode them to one row per page.
 
 Decoder: classic TIFF of either byte order; strips and tiles; no compression, PackBits, LZW and
-deflate; predictors 2 (horizontal differences) and 3 (floating point); chunky and planar samples.
+deflate; predictors 2 (horizontal differences) and 3 (floating point); chunky and planar samples of whole bytes, or of
+1, 2 or 4 bits, which come out as a byte each.
 
-Defined cases: a null or empty blob has no pages; a damaged one gives the pages before the damage and
-a last row with `error` set and null pixels; a directory that was visited before ends the walk.
+Bound: a page of more than MAX_PAGE_BYTES decoded bytes, or of more than its stored bytes can expand to (EXPANSION), is
+refused before anything is allocated; a strip or tile is decoded no further than its page needs.
+
+Defined cases: a null or empty blob has no pages; a page that can't be decoded gives a row with `error` set and null
+pixels, and the walk goes on with the next directory; an unreadable directory gives such a row and ends the walk; a
+directory that was visited before ends it without one. Repeated rows give repeated pages.
 """
 
 from __future__ import annotations
@@ -28,13 +33,18 @@ TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_COMPRESSION, TAG_PHOTOMETRIC = 256, 257, 25
 TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_BYTES, TAG_PLANAR, TAG_PREDICTOR = 273, 277, 278, 279, 284, 317
 TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILE_OFFSETS, TAG_TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+TAG_FILL_ORDER = 266
+#: Decoded bytes of a page, at most.
+MAX_PAGE_BYTES = 1 << 28
+#: Decoded bytes for each stored one, at most: a PackBits run has 128 bytes in 2, LZW 4,096 in 9 bits, deflate 258 in 2 bits.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, feature string, error string"
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, need: int | None = None) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (need is None or len(out) < need):
         head = data[i]
         i += 1
         if head < 128:
@@ -46,11 +56,11 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, need: int | None = None) -> bytes:
     """Codes of 9 to 12 bits, high bit first; 256 clears, 257 ends; widths change one code early."""
     out: list[bytes] = []
     table = [bytes([i]) for i in range(256)] + [b"", b""]
-    width, bits, have, last = 9, 0, 0, None
+    width, bits, have, last, size = 9, 0, 0, None, 0
     for byte in data:
         bits, have = (bits << 8) | byte, have + 8
         if have < width:
@@ -58,7 +68,7 @@ def unpack_lzw(data: bytes) -> bytes:
         have -= width
         code = bits >> have
         bits &= (1 << have) - 1
-        if code == 257:
+        if code == 257 or (need is not None and size >= need):
             break
         if code == 256:
             del table[258:]
@@ -75,21 +85,21 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code beyond the table")
         out.append(entry)
+        size += len(entry)
         last = entry
         width = min(12, max(9, (len(table) + 1).bit_length()))
     return b"".join(out)
 
 
-def _inflate(data: bytes, compression: int) -> bytes:
+def _inflate(data: bytes, compression: int, need: int) -> bytes:
+    """At least `need` bytes, if there are as many; no more than one run, code or block beyond."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if compression == LZW:
-        return unpack_lzw(data)
-    if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
-    raise ValueError(f"compression {compression} is not supported")
+        return unpack_lzw(data, need)
+    return zlib.decompressobj().decompress(data, need)
 
 
 def _undo(raw: np.ndarray, predictor: int, order: str, bits: int) -> np.ndarray:
@@ -109,6 +119,12 @@ def _undo(raw: np.ndarray, predictor: int, order: str, bits: int) -> np.ndarray:
     raise ValueError(f"predictor {predictor} with {bits} bits is not supported")
 
 
+def _split(rows: np.ndarray, bits: int, fill_order: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits as bytes; each row begins with a new byte. fill_order 2: the lowest bit comes first."""
+    single = np.unpackbits(rows, axis=1, bitorder="little" if fill_order == 2 else "big").reshape(len(rows), -1, bits)
+    return (single << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
 def _directory(blob: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     (n,) = struct.unpack_from(f"{order}H", blob, at)
     fields = {}
@@ -131,28 +147,40 @@ def _page(blob: bytes, tags: dict[int, tuple], order: str) -> dict:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples = one(TAG_WIDTH, 0), one(TAG_HEIGHT, 0), one(TAG_SAMPLES, 1)
     bits, compression, predictor, planar = one(TAG_BITS, 1), one(TAG_COMPRESSION, NONE), one(TAG_PREDICTOR, 1), one(TAG_PLANAR, 1)
-    if bits % 8 or len(set(tags.get(TAG_BITS, (bits,)))) > 1:
+    if bits not in (1, 2, 4, 8, 16, 24, 32, 64) or len(set(tags.get(TAG_BITS, (bits,)))) > 1:
         raise ValueError(f"samples of {bits} bits are not supported")
-    size, tiled = bits // 8, TAG_TILE_OFFSETS in tags
+    if compression not in EXPANSION:
+        raise ValueError(f"compression {compression} is not supported")
+    if predictor != 1 and bits < 8:
+        raise ValueError(f"predictor {predictor} with {bits} bits is not supported")
+    size, tiled = max(1, bits // 8), TAG_TILE_OFFSETS in tags
     block_w = one(TAG_TILE_WIDTH, 0) if tiled else width
     block_h = one(TAG_TILE_HEIGHT, 0) if tiled else min(one(TAG_ROWS_PER_STRIP, height), height)
     at, lengths = tags[TAG_TILE_OFFSETS if tiled else TAG_STRIP_OFFSETS], tags[TAG_TILE_BYTES if tiled else TAG_STRIP_BYTES]
-    if not (width and height and block_w and block_h):
+    if not (width and height and block_w and block_h and samples):
         raise ValueError("an empty image")
     across, down = -(-width // block_w), -(-height // block_h)
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     if len(at) < across * down * planes or len(lengths) < across * down * planes:
         raise ValueError("too few strips or tiles")
+    line = -(-block_w * deep * bits // 8)
+    stored = sum(min(n, max(0, len(blob) - a)) for a, n in zip(at, lengths, strict=False))
+    if height * width * samples * size > MAX_PAGE_BYTES or line * block_h > MAX_PAGE_BYTES:
+        raise ValueError(f"a page of more than {MAX_PAGE_BYTES} bytes")
+    if height * -(-width * deep * bits // 8) * planes > EXPANSION[compression] * stored:
+        raise ValueError("fewer stored bytes than the page needs")
     image = np.zeros((height, width, samples, size), np.uint8)
     for k in range(across * down * planes):
         plane, where = divmod(k, across * down)
         y, x = where // across * block_h, where % across * block_w
         tall = block_h if tiled else min(block_h, height - y)
-        raw = _inflate(blob[at[k] : at[k] + lengths[k]], compression)
-        need = tall * block_w * deep * size
+        need = tall * line
+        raw = np.frombuffer(_inflate(blob[at[k] : at[k] + lengths[k]], compression, need), np.uint8)[:need]
         if len(raw) < need:
             raise ValueError("a strip or tile is too short")
-        block = _undo(np.frombuffer(raw, np.uint8, need).reshape(tall, block_w, deep, size), predictor, order, bits)
+        if bits < 8:
+            raw = _split(raw.reshape(tall, line), bits, one(TAG_FILL_ORDER, 1))[:, : block_w * deep]
+        block = _undo(np.ascontiguousarray(raw).reshape(tall, block_w, deep, size), predictor, order, bits)
         part = block[: height - y, : width - x]
         if planar == 2:
             image[y : y + part.shape[0], x : x + part.shape[1], plane] = part[:, :, 0]
@@ -176,7 +204,8 @@ def read_pages(blob: bytes | None) -> Iterator[dict]:
     """The pages of one file, in the order of its directories."""
     if not blob:
         return
-    number, seen = 0, set()
+    number, seen, damage = 0, set(), (KeyError, ValueError, IndexError, MemoryError, struct.error, zlib.error)
+    failed = lambda problem: {"page": number, "error": f"{type(problem).__name__}: {problem}"[:200]}
     try:
         order = {b"II": "<", b"MM": ">"}[blob[:2]]
         magic, at = struct.unpack_from(f"{order}HI", blob, 2)
@@ -185,10 +214,14 @@ def read_pages(blob: bytes | None) -> Iterator[dict]:
         while at and at not in seen:
             seen.add(at)
             tags, at = _directory(blob, at, order)
-            yield {"page": number, **_page(blob, tags, order), "error": None}
+            try:
+                page = {"page": number, **_page(blob, tags, order), "error": None}
+            except damage as problem:
+                page = failed(problem)
+            yield page
             number += 1
-    except (KeyError, ValueError, IndexError, struct.error, zlib.error) as problem:
-        yield {"page": number, "error": f"{type(problem).__name__}: {problem}"[:200]}
+    except damage as problem:
+        yield failed(problem)
 
 
 def write_page(payload: bytes, width: int = WIDTH, rows: int = ROWS_PER_STRIP) -> bytes:
