@@ -286,12 +286,23 @@ def decode_bytes(model: Pieces, ids: np.ndarray) -> bytes:
     return joined[1:] if joined[:1] == b" " else joined
 
 
+def least(values: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n least finite values, ascending; of equal values the first ones."""
+    if len(values) <= n:
+        return np.flatnonzero(np.isfinite(values))
+    limit = np.partition(values, n - 1)[n - 1]
+    below = np.flatnonzero(values < limit)
+    equal = np.flatnonzero(values == limit)[: n - len(below)] if np.isfinite(limit) else below[:0]
+    return np.sort(np.concatenate([below, equal]))
+
+
 def encode_n_best(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """The n best segmentations of each text, one row per rank: score, n_tokens, ids_crc32 and ids.
 
     Segments are independent, so a text's n best paths differ from its best one only in the n - 1 segments
-    whose second-best path loses least; A-star runs on those, and their combinations are ranked. Fewer rows
-    come out if a text has fewer segmentations. `round_trip` says whether the ids decode to the text.
+    whose second-best path loses least (of equal losses the first); A-star runs on those, and their combinations are
+    ranked, of equal totals those first that were found first, from the text's start on. Fewer rows come out if a text
+    has fewer segmentations. `round_trip` says whether this rank's ids decode to the text as it was given.
     """
 
     def run(batches):
@@ -315,18 +326,15 @@ def encode_n_best(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "do
         segment_from = np.searchsorted(document, np.arange(docs_in + 1))
         losses = loss[number]
         known: dict[int, list] = {}
-        raw = out.tobytes()
+        raw, given = out.tobytes(), data.tobytes()
         rows: list[tuple] = []
-        surface = model.surface
         for d in range(docs_in):
             lo, hi = int(segment_from[d]), int(segment_from[d + 1])
             best = flat[begin[lo] : begin[hi]]
-            text = b"".join([surface[i] for i in best.tolist()])
-            same = text == raw[starts[lo] : ends[hi - 1]] if hi > lo else text == b""
+            same = decode_bytes(model, best) == given[offsets[d] : offsets[d + 1]]
             own = losses[lo:hi]
             if n > 1 and hi > lo:
-                pick = np.argpartition(own, n - 2)[: n - 1] if len(own) > n - 1 else np.arange(len(own))
-                pick = np.sort(pick[np.isfinite(own[pick])]) + lo
+                pick = least(own, n - 1) + lo
             else:
                 pick = np.zeros(0, np.int64)
             ranked = [(float(total[d]), ())]
@@ -337,14 +345,15 @@ def encode_n_best(docs: DataFrame, path: str, n: int = N_BEST, id_col: str = "do
                 options = known[k]
                 ranked = sorted(((t - options[0][0] + o[0], (*c, (s, r))) for t, c in ranked for r, o in enumerate(options)), key=lambda x: -x[0])[:n]
             for rank, (value, choice) in enumerate(ranked):
-                pieces, at = [], int(begin[lo])
+                pieces, at, back = [], int(begin[lo]), same
                 for s, r in choice:
                     if r:
                         pieces += [flat[at : begin[s]], np.array(known[int(number[s])][r][1], np.int32)]
                         at = int(begin[s + 1])
+                        back &= b"".join([model.surface[i] for i in known[int(number[s])][r][1]]) == raw[starts[s] : ends[s]]
                 pieces.append(flat[at : begin[hi]])
                 whole = np.concatenate(pieces) if len(pieces) > 1 else pieces[0]
-                rows.append((d, rank, value, len(whole), zlib.crc32(whole.astype("<u4").tobytes()), whole if with_ids else None, bool(same)))
+                rows.append((d, rank, value, len(whole), zlib.crc32(whole.astype("<u4").tobytes()), whole if with_ids else None, bool(back)))
         cols = list(zip(*rows, strict=True))
         taken = part.column(0).take(pa.array(cols[0], pa.int64()))
         arrays = [taken, pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[6], pa.bool_())]

@@ -160,6 +160,72 @@ def test_pages_of_all_compressions(spark, order):
     assert {x.id for x in rows if x.error} == {4, 5} and not any(x.id in (2, 3) for x in rows)
 
 
+def one_page(order: str, tags: dict[int, tuple[int, ...]], strips: list[bytes]) -> bytes:
+    """A file of one page; tags: values of 32 bits."""
+    body, places = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0)), []
+    for strip in strips:
+        places.append(len(body))
+        body += strip
+    entries = {**tags, 273: tuple(places), 279: tuple(map(len, strips))}
+    at = {}
+    for tag, values in entries.items():
+        at[tag] = len(body)
+        body += struct.pack(f"{order}{len(values)}I", *values)
+    struct.pack_into(f"{order}I", body, 4, len(body))
+    body += struct.pack(f"{order}H", len(entries))
+    for tag, values in sorted(entries.items()):
+        body += struct.pack(f"{order}HHII", tag, 4, len(values), values[0] if len(values) == 1 else at[tag])
+    return bytes(body) + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_pages_of_other_samples(order):
+    r = np.random.default_rng(7)
+    page = lambda tags, strips: next(tiff.read_pages(one_page(order, tags, strips)))
+    # floating point: bytes of each row from most to least significant, then differences
+    real = r.normal(size=(5, 7)).astype(f"{order}f4")
+    planes = real.astype(">f4").view(np.uint8).reshape(5, 7, 4).transpose(0, 2, 1).reshape(5, 28)
+    delta = planes.copy()
+    delta[:, 1:] -= planes[:, :-1]
+    got = page({256: (7,), 257: (5,), 258: (32,), 259: (8,), 277: (1,), 278: (5,), 317: (3,)}, [zlib.compress(delta.tobytes())])
+    assert got["pixels"] == real.tobytes() and got["error"] is None
+    # three samples of 16 bits, chunky with differences and in planes
+    colour = r.integers(0, 1 << 16, (4, 6, 3)).astype(f"{order}u2")
+    steps = colour.astype(np.uint16)
+    steps[:, 1:] -= colour[:, :-1].astype(np.uint16)
+    tags = {256: (6,), 257: (4,), 258: (16, 16, 16), 259: (1,), 277: (3,), 278: (4,)}
+    assert page({**tags, 317: (2,)}, [steps.astype(f"{order}u2").tobytes()])["pixels"] == colour.tobytes()
+    assert page({**tags, 284: (2,)}, [colour[:, :, k].tobytes() for k in range(3)])["pixels"] == colour.tobytes()
+    # samples of less than a byte, with PackBits
+    for bits in (1, 2, 4):
+        small = r.integers(0, 1 << bits, (9, 13), dtype=np.uint8)
+        rows = ["".join(format(v, f"0{bits}b") for v in row) for row in small]
+        raw = b"".join(int(row.ljust(-(-len(row) // 8) * 8, "0"), 2).to_bytes(-(-len(row) // 8), "big") for row in rows)
+        tags = {256: (13,), 257: (9,), 258: (bits,), 259: (32773,), 278: (9,)}
+        assert page(tags, [pack_bits(raw)])["pixels"] == small.tobytes()
+        turned = bytes(int(format(b, "08b")[::-1], 2) for b in raw) if bits == 1 else None
+        assert turned is None or page({**tags, 266: (2,)}, [pack_bits(turned)])["pixels"] == small.tobytes()
+
+
+def test_damaged_pages_give_error_rows():
+    grey = {258: (8,), 259: (1,), 278: (4,)}
+    huge = one_page("<", {**grey, 256: (1 << 20,), 257: (1 << 20,)}, [b"abcd"])
+    bomb = one_page("<", {**grey, 256: (1 << 14,), 257: (1 << 13,), 259: (8,), 278: (1 << 13,)}, [zlib.compress(b"\0" * 100)])
+    short = one_page("<", {**grey, 256: (4,), 257: (4,)}, [b"0123456789"])
+    strange = one_page("<", {**grey, 256: (4,), 257: (1,), 259: (7,)}, [b"0123"])
+    for blob in (huge, bomb, short, strange):
+        (row,) = tiff.read_pages(blob)
+        assert row["error"] and row.get("pixels") is None
+    deep = bytes(range(256)) * 40
+    assert tiff._inflate(zlib.compress(b"\0" * 10**7), 8, 1000) == b"\0" * 1000 and tiff.unpack_lzw(lzw(deep), 500)[:500] == deep[:500]
+    # a page that can't be decoded doesn't end the file
+    good = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    blob = bytearray(tiff_file("<", [(good, 1, 1, 0), (good, 8, 1, 0), (good, 5, 2, 0)]))
+    first = blob.index(struct.pack("<HHIHH", 259, 3, 1, 1, 0))
+    blob[first + 8 : first + 10] = struct.pack("<H", 99)
+    assert [(x["page"], x["error"] is None, x.get("pixels")) for x in tiff.read_pages(bytes(blob))] == [(0, False, None), (1, True, good.tobytes()), (2, True, good.tobytes())]
+
+
 def test_pack_bits_runs():
     assert tiff.unpack_bits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x80])) == bytes([0xAA] * 3 + [0x80, 0x00, 0x2A] + [0xAA] * 4)
 
@@ -210,6 +276,64 @@ def test_counts_and_n_best_agree_with_a_plain_search(docs, empty):
     assert unigram.count_tokens(empty, piece_file()).count() == 0 and unigram.encode_n_best(empty, piece_file()).count() == 0
 
 
+def test_round_trip_is_told_by_rank(spark):
+    rows = [(1, "a\u2581b"), (2, "a b c"), (3, "Ünï 😀 x"), (4, "")]
+    encoded = unigram.encode_n_best(spark.createDataFrame(rows, "doc_id long, text string"), piece_file())
+    got = unigram.decode(encoded, piece_file()).collect()
+    assert len(got) >= 12 and all(r.round_trip == (r.decoded == dict(rows)[r.doc_id]) for r in got)
+    assert {r.round_trip for r in got if r.doc_id == 1} == {False} and all(r.round_trip for r in got if r.doc_id > 1)
+
+
+def test_least_values_have_a_tie_rule():
+    inf = np.inf
+    for values, n, places in ([3, 1, 2, 1, 1], 2, [1, 3]), ([inf, 5, inf], 2, [1]), ([2, 2], 3, [0, 1]), ([], 2, []), ([1, 0, 1, 0, 1], 3, [0, 1, 3]), ([inf] * 4, 2, []):
+        assert unigram.least(np.array(values, float), n).tolist() == places
+
+
+def viterbi(model, text):
+    """Count and score by a plain dynamic program over all pieces: between equal scores the earliest start."""
+    raw = (" " + text.replace("\u2581", " ")).encode() if text else b""
+    score = {model.surface[i]: model.score[i] for i in model.piece[model.piece >= 0].tolist()}
+    longest = max(map(len, score))
+    best = [(0.0, 0)] + [None] * len(raw)
+    for end in range(1, len(raw) + 1):
+        whole = raw[max(0, end - 4) : end].decode(errors="ignore")[-1:].encode() if end == len(raw) or raw[end] & 0xC0 != 0x80 else b""
+        for start in range(max(0, end - longest), end):
+            if best[start] is None:
+                continue
+            piece = raw[start:end]
+            if piece in score:
+                offer = (best[start][0] + score[piece], best[start][1] + 1)
+            elif piece == whole:
+                offer = (best[start][0] + model.unknown, best[start][1] + len(piece))
+            else:
+                continue
+            if best[end] is None or offer[0] > best[end][0]:
+                best[end] = offer
+    return best[-1][1], best[-1][0]
+
+
+def test_counts_equal_a_plain_viterbi_on_whole_texts(spark, sf, docs):
+    model = unigram.load(piece_file())
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").select("doc_id", "text").limit(60)
+    for own in (table, docs.select("doc_id", F.left("text", F.lit(900)).alias("text")).where("doc_id IS NOT NULL AND doc_id <> 3")):
+        given = {r.doc_id: r.text or "" for r in own.collect()}
+        for r in unigram.count_tokens(own, piece_file()).collect():
+            assert (r.n_tokens, pytest.approx(r.score, rel=1e-12)) == viterbi(model, given[r.doc_id]), r.doc_id
+
+
+def test_counts_equal_the_librarys_lattice(spark, sf, library):
+    """Whole texts against the first of the library's N-best; texts with unknown characters lose digits there."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").select("doc_id", "text")
+    given, compared = {r.doc_id: r.text for r in table.collect()}, 0
+    for r in unigram.count_tokens(table, piece_file()).collect():
+        if given[r.doc_id] and "\u2581" not in given[r.doc_id] and r.score > -1e8:
+            ids = library.nbest_encode_as_ids(given[r.doc_id], 2)[0]
+            compared += 1
+            assert (len(ids), sum(library.get_score(i) for i in ids)) == (r.n_tokens, r.score), r.doc_id
+    assert compared > 15
+
+
 def test_decoding_gives_texts_back(docs):
     encoded = unigram.encode_n_best(docs.where("doc_id IS NOT NULL AND doc_id <> 3"), piece_file(), n=1)
     got = {r.doc_id: r.decoded for r in unigram.decode(encoded, piece_file()).collect()}
