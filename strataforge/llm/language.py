@@ -6,9 +6,10 @@ normalised as phrases * log2(sample size) / symbols (the cross-entropy estimate
 for the language that wins. Texts are parsed in blocks of BLOCK symbols, all blocks at once, so a phrase ends
 at the latest where its block ends; every block of every text is parsed.
 
-Bounds of what is broadcast: SAMPLE_SYMBOLS symbols a language make at most twice as many states of ALPHABET
-transitions. At most SAMPLE_ROWS rows a language are read for them; these are the rows with the smallest hashed ids
-(of each at most twice SAMPLE_SYMBOLS characters, until the sample is full).
+Bounds: a language's sample is SAMPLE_SYMBOLS symbols, drawn from the whole texts of at most SAMPLE_ROWS rows (those
+with the smallest hashed ids): every text gives a stretch of the same length, or all it has, from a hashed place. Samples are
+collected and broadcast. Each makes at most twice as many states of ALPHABET transitions; a worker holds those of GROUP
+languages at a time, and goes through further groups for each batch of texts where there are more languages.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; without any labelled row every
 text is `und`; a language whose sample has no letters can't win; ties go to the first language by name.
@@ -27,6 +28,7 @@ from ._text import blocks, code_points, utf8
 
 SAMPLE_SYMBOLS = 1 << 14
 SAMPLE_ROWS = 64
+GROUP = 16
 ALPHABET = 48
 BLOCK = 1024
 UNKNOWN = "und"
@@ -129,30 +131,66 @@ def phrase_counts(codes: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -
     return out
 
 
+def _stretches(batches):
+    """Of each text its number of symbols, and a stretch of at most SAMPLE_SYMBOLS of them from a hashed place."""
+    for batch in batches:
+        for part in blocks(batch):
+            codes, at = symbols(*utf8(part.column(part.schema.get_field_index("text"))))
+            rows = zip(at[:-1].tolist(), np.diff(at).tolist(), part.column(part.schema.get_field_index("draw")).to_pylist(), strict=True)
+            found = [codes[a + (place := draw % max(1, n - SAMPLE_SYMBOLS + 1)) : a + min(n, place + SAMPLE_SYMBOLS)].tobytes() for a, n, draw in rows]
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("lang", "draw")), pa.array(found, pa.binary())], names=["lang", "draw", "codes"])
+
+
+def _sample(table: pa.Table) -> pa.Table:
+    """The sample of one language from the stretches of its rows."""
+    rows = sorted(zip(table.column("draw").to_pylist(), table.column("codes").to_pylist(), strict=True))
+    size = sorted(len(c) + 1 for _, c in rows)
+    share, left = SAMPLE_SYMBOLS, SAMPLE_SYMBOLS  # each row's part where the short ones leave theirs to the others
+    for k, n in enumerate(size):
+        share = left // (len(size) - k)
+        if n > share:
+            break
+        left -= n
+    keep = [c if len(c) + 1 <= share else c[(p := draw % (len(c) - share + 2)) : p + share - 1] for draw, c in rows]
+    return pa.table([pa.array([table.column("lang")[0].as_py()], pa.string()), pa.array([b"".join(c + b"\0" for c in keep if c)], pa.binary())], names=["lang", "sample"])
+
+
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Sample of symbols of each language, from rows of `labelled` with a language. See the bounds above."""
-    keys = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"), F.col(id_col).alias("id"))
-    order = Window.partitionBy("lang").orderBy("draw", "id")
-    chosen = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS).select("id", "place").distinct()
-    texts = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    found = texts.join(F.broadcast(chosen), "id").select("lang", "place", "id", F.substring("text", 1, 2 * SAMPLE_SYMBOLS).alias("text")).collect()
-    samples: dict[str, bytes] = {}
-    for row in sorted(found, key=lambda r: (r.lang, r.place, str(r.id), r.text or "")):
-        if row.text and len(samples.get(row.lang, b"")) < SAMPLE_SYMBOLS:
-            codes, _ = symbols(*utf8(pa.array([row.text])))
-            samples[row.lang] = (samples.get(row.lang, b"") + codes.tobytes() + b"\0")[:SAMPLE_SYMBOLS]
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    first = Window.partitionBy("lang").orderBy("draw", "id")
+    chosen = known.select("lang", "draw", "id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "id").distinct()
+    texts = known.join(F.broadcast(chosen), ["lang", "id"]).select("lang", "draw", "text").mapInArrow(_stretches, "lang string, draw long, codes binary")
+    again = Window.partitionBy("lang").orderBy("draw", "codes")  # an id may have many rows
+    few = texts.withColumn("place", F.row_number().over(again)).where(F.col("place") <= SAMPLE_ROWS).select("lang", "draw", "codes")
+    samples = {r.lang: bytes(r.sample) for r in few.groupBy("lang").applyInArrow(_sample, "lang string, sample binary").collect()}
     return {k: v for k, v in sorted(samples.items()) if any(v)}
 
 
-def _predict(column: pa.Array, names: list[str], tables: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, ...]:
+@lru_cache(maxsize=GROUP)
+def _table(sample: bytes) -> np.ndarray:
+    return parse_table(sample)
+
+
+def _costs(codes: np.ndarray, at: np.ndarray, samples: list[bytes]) -> np.ndarray:
+    """Bits a symbol of each text (rows) by each sample (columns)."""
+    found = [np.zeros((len(at) - 1, 0))]
+    for k in range(0, len(samples), GROUP):
+        own = samples[k : k + GROUP]
+        weight = np.array([np.log2(max(2, len(t))) for t in own])
+        found.append(phrase_counts(codes, at, [_table(t) for t in own]) * weight)
+    return np.concatenate(found, axis=1) / np.maximum(1, np.diff(at))[:, None]
+
+
+def _predict(column: pa.Array, samples: dict[str, bytes]) -> tuple[np.ndarray, ...]:
     """Language, score, letters and bits a symbol of each text."""
     codes, at = symbols(*utf8(column))
-    n = len(at) - 1
+    n, names = len(at) - 1, list(samples)
     letters = np.diff(np.concatenate([[0], np.cumsum(codes != 0)])[at])
     pred, score, bits = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
     good = letters > 0
     if names:
-        cost = phrase_counts(codes, at, tables) * weight / np.maximum(1, np.diff(at))[:, None]
+        cost = _costs(codes, at, list(samples.values()))
         rank = np.argsort(cost, axis=1, kind="stable")
         lines = np.arange(n)
         best = cost[lines, rank[:, 0]]
@@ -162,8 +200,10 @@ def _predict(column: pa.Array, names: list[str], tables: list[np.ndarray], weigh
     return pred, score, letters, bits
 
 
-def _shared(docs: DataFrame, samples: dict[str, bytes]):
-    return docs.sparkSession.sparkContext.broadcast(([parse_table(t) for t in samples.values()], np.array([np.log2(max(2, len(t))) for t in samples.values()])))
+def _parts(batches, text: str, samples: dict[str, bytes]):
+    """Blocks of the batches; whole batches where tables of several groups have to be made for each."""
+    for batch in batches:
+        yield from blocks(batch, text, *([16 << 20] if len(samples) > GROUP else []))
 
 
 def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,13 +211,12 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
 
     score: how much lower the winner's bits a symbol are than the second language's (1 with one language).
     """
-    names, shared = list(samples), _shared(docs, samples)
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches):
-        for batch in batches:
-            for part in blocks(batch):
-                pred, score, letters, bits = _predict(part.column(1), names, *shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(letters), pa.array(bits)], names=["key", "lang_pred", "score", "letters", "bits"])
+        for part in _parts(batches, "text", shared.value):
+            pred, score, letters, bits = _predict(part.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(letters), pa.array(bits)], names=["key", "lang_pred", "score", "letters", "bits"])
 
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
@@ -186,15 +225,14 @@ def identify(docs: DataFrame, samples: dict[str, bytes], id_col: str = "doc_id",
 
 def keep_known(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` whose text is in some language, with that language in `lang_col`; the others (`und`) go."""
-    columns, shared, names = docs.columns, _shared(docs, samples), list(samples)
+    columns, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(samples)
     position, target = columns.index(text_col), columns.index(lang_col)
 
     def run(batches):
-        for batch in batches:
-            for part in blocks(batch, text_col):
-                pred = _predict(part.column(position), names, *shared.value)[0]
-                arrays = [pa.array(pred, pa.string()) if k == target else c for k, c in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(pred != UNKNOWN, pa.bool_()))
+        for part in _parts(batches, text_col, shared.value):
+            pred = _predict(part.column(position), shared.value)[0]
+            arrays = [pa.array(pred, pa.string()) if k == target else c for k, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(pred != UNKNOWN, pa.bool_()))
 
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 

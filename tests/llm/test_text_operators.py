@@ -400,6 +400,22 @@ def test_languages_are_told_apart(spark, sf, empty):
     assert language.learn(empty) == {}
 
 
+def test_samples_draw_on_all_rows(spark):
+    long, short = "ab " * 30000, ["cde", "", None, "fgh ij"]
+    rows = [(i, t, "x") for i, t in enumerate([long, *short])] + [(7, "q" * 40, "y")] * 300 + [(None, "zz", "y"), (9, "text", None)]
+    samples = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    code = lambda t: language.symbols(*utf8(pa.array([t])))[0].tobytes()
+    assert set(samples) == {"x", "y"} and language.SAMPLE_SYMBOLS - 4 < len(samples["x"]) <= language.SAMPLE_SYMBOLS and all(code(t) in samples["x"] for t in ("cde", "fgh ij", "ab ab"))
+    assert len(samples["y"]) == language.SAMPLE_ROWS * 41 and set(samples["y"]) == {0, ord("q") - 96}
+
+
+def test_more_languages_than_a_group(spark):
+    own = {f"l{k:02}": " ".join("".join(random.Random(100 * k + j).choices("abcdefghijklmnop", k=5)) for j in range(40)) for k in range(2 * language.GROUP + 3)}
+    table = spark.createDataFrame([(i, t, name) for i, (name, t) in enumerate(own.items())], "doc_id long, text string, lang string")
+    rows = language.identify(table, language.learn(table)).join(table.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == len(own) and all(r.lang_pred == r.lang for r in rows)
+
+
 def test_texts_without_letters_are_undetermined(docs):
     rows = {r.doc_id: r for r in language.identify(docs, {"en": language.symbols(*utf8(pa.array([prose(1, 300)])))[0].tobytes()}).collect()}
     assert rows[1].lang_pred == rows[2].lang_pred == "und" and rows[0].score == 0 and rows[4].lang_pred == "en"
