@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm._spark import cut
+from ..sources.lineage import cut
 
 
 def hash_draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
