@@ -60,6 +60,11 @@ def positive_log(c: Column) -> Column:
     return F.when(c > 0, F.log(c))
 
 
+def lacks_log(c: Column, required: Column) -> Column:
+    """Whether a required logarithm doesn't exist: the value is null or not positive."""
+    return required & F.coalesce(c <= 0, F.lit(True))
+
+
 def log1p_nonneg(c: Column) -> Column:
     return F.when(c >= 0, F.log1p(c))
 
@@ -103,12 +108,8 @@ def suppressed_number(c: Column) -> Column:
 def error_values(target: Column, predicted: Column) -> dict[str, Column]:
     """Signed and absolute errors on three scales; null unless both values are positive."""
     valid = (target > 0) & (predicted > 0)
-    signed = {
-        "ratio": F.when(valid, predicted - target),
-        "percent": F.when(valid, 100.0 * (predicted / target - 1.0)),
-        "log": F.when(valid, F.log(predicted) - F.log(target)),
-    }
-    return {f"signed_{k}": v for k, v in signed.items()} | {f"absolute_{k}": F.abs(v) for k, v in signed.items()}
+    difference, share, log = F.when(valid, predicted - target), F.when(valid, 100.0 * (predicted / target - 1.0)), F.when(valid, F.log(predicted) - F.log(target))
+    return {"signed_ratio": difference, "absolute_ratio": F.abs(difference), "signed_percent": share, "absolute_percent": F.abs(share), "signed_log": log, "absolute_log": F.abs(log)}
 
 
 def ratio_bucket(ratio: Column) -> Column:
@@ -120,8 +121,8 @@ def interval_status(lower: Column, upper: Column) -> Column:
 
 
 def decimal_places(c: Column) -> Column:
-    """Printed decimal places of a number below 10^7 (no exponent)."""
-    return F.length(F.regexp_extract(F.regexp_replace(c.cast("string"), r"\.0$", ""), r"\.(\d+)$", 1))
+    """Printed decimal places of a number, whatever its size (up to 12 places)."""
+    return F.length(F.regexp_replace(F.substring_index(c.cast("decimal(36,12)").cast("string"), ".", -1), "0+$", ""))
 
 
 def display_value(c: Column, digits: int) -> Column:

@@ -41,6 +41,48 @@ def measure_rules() -> dict[str, Column]:
     }
 
 
+def period_rules() -> dict[str, Column]:
+    """For rows with feature_period, target_period, opens and closes."""
+    year = F.col("feature_period")
+    whole = (F.col("opens") == F.make_date(year, F.lit(1), F.lit(1))) & (F.col("closes") == F.make_date(year, F.lit(12), F.lit(31)))
+    return {"target is not the next period": F.col("target_period") != year + 1, "not a full calendar year": ~whole}
+
+
+def release_contract(found: DataFrame, declared: DataFrame, key: str, least_columns: int) -> DataFrame:
+    """Releases whose rows or columns (found: key, rows, columns) differ from the declared ones, or that lack required columns."""
+    both = found.join(F.broadcast(declared), key)
+    rules = {"row count": F.col("rows") != F.col("declared_rows"), "column count": F.col("columns") != F.col("declared_columns"), "required column": F.col("columns") < least_columns}
+    broken = F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("bad")) for k, v in rules.items()]), lambda x: x["bad"])
+    return both.select(key, "rows", "declared_rows", "columns", "declared_columns", F.explode(F.transform(broken, lambda x: x["rule"])).alias("rule"))
+
+
+def metadata_violations(panel: DataFrame, releases: DataFrame) -> DataFrame:
+    """Rows of the panel whose attributes differ from those of their release, or of the target's."""
+    own = releases.select(F.col("period").alias("feature_period"), F.col("published_value").alias("r_value"), F.col("published_precision").alias("r_precision"))
+    truth = releases.select((F.col("period") - 1).alias("feature_period"), F.col("published_value").alias("t_value"))
+    p = panel.join(F.broadcast(own), "feature_period", "left").join(F.broadcast(truth), "feature_period", "left")
+    end = F.make_date(F.col("target_period"), F.lit(12), F.lit(31))
+    fields = {"published value": ("published_value", F.col("r_value")), "precision": ("published_precision", F.col("r_precision")), "target end": ("target_end", end), "truth value": ("truth_published_value", F.col("t_value"))}
+    cells = [F.struct(F.lit(rule).alias("rule"), ~F.col(c).eqNullSafe(known) & known.isNotNull() if c == "truth_published_value" else ~F.col(c).eqNullSafe(known), F.col(c).cast("string").alias("detail")) for rule, (c, known) in fields.items()]
+    broken = F.filter(F.array(*cells), lambda x: x["col2"])
+    return p.select(F.explode(broken).alias("v_"), "entity_key", F.col("feature_period").alias("period")).select("v_.rule", "entity_key", "period", "v_.detail")
+
+
+def panel_rules() -> dict[str, Column]:
+    """For panel rows with ratio, lower, upper, and what is stored beside what follows: stored_width, counted, earlier."""
+    mean, count = F.col("history_mean"), F.col("counted")
+    return {
+        "stored width differs": F.abs(F.col("stored_width") - F.col("log_width")) > 1e-12,
+        "flag differs from its value": F.col("missing_log_low") != F.col("log_low").isNull(),
+        "empty history with a mean": (count == 0) & mean.isNotNull(),
+        "history without a mean": (count > 0) & mean.isNull(),
+        "single value differs from the mean": (F.col("history_count") == 1) & (F.abs(mean - F.col("current_log")) > 1e-12),
+        "first observed with history": F.col("first_observed") & (F.col("earlier") > 1),
+        "interval does not contain the ratio": (F.col("ratio") < F.col("lower")) | (F.col("ratio") > F.col("upper")),
+        "negative measure": (F.col("n") < 0) | (F.col("expected") < 0),
+    }
+
+
 def differences(stored: DataFrame, computed: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Key-by-key comparison of two tables: status and absolute difference."""
     a, b = stored.select(*keys, F.col(value).alias("stored")), computed.select(*keys, F.col(value).alias("computed"))

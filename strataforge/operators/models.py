@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A column whose deviation is at most this is constant but for rounding.
+CONSTANT = 1e-9
+
+
 @dataclass(frozen=True)
 class Fit:
     """One fold's fitted columns: fill values, means, scales, and centred cross moments per training row."""
@@ -39,22 +43,27 @@ class Fit:
 
 
 def fit_folds(train: DataFrame, features: list[str], target: str, fold: str = "eval_period") -> list[Fit]:
-    """Moments of every fold of `train`."""
+    """Moments of every fold of `train`, from sums of differences from the medians (a missing value's difference is 0)."""
     medians = train.groupBy(fold).agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(f"{c}_median") for c in features])
-    filled = train.join(F.broadcast(medians), fold).select(fold, F.col(target).alias("y"), *[F.coalesce(F.col(c), F.col(f"{c}_median")).alias(c) for c in features], *[f"{c}_median" for c in features])
+    joined = train.join(F.broadcast(medians), fold)
+    d = [F.coalesce(F.col(c) - F.col(f"{c}_median"), F.lit(0.0)) for c in features]
+    centred = joined.select(fold, F.col(target).alias("y"), *[x.alias(f"d_{i}") for i, x in enumerate(d)])
     p = len(features)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    found = filled.groupBy(fold).agg(
-        F.count("*").alias("rows"), F.avg("y").alias("mean_y"), *[F.first(f"{c}_median").alias(f"{c}_median") for c in features], *[F.avg(c).alias(f"{c}_mean") for c in features],
-        *[F.covar_pop(features[i], features[j]).alias(f"x_{i}_{j}") for i, j in pairs], *[F.covar_pop(c, "y").alias(f"y_{i}") for i, c in enumerate(features)],
+    sums = centred.groupBy(fold).agg(
+        F.count("*").alias("rows"), F.sum("y").alias("y"), *[F.sum(f"d_{i}").alias(f"s_{i}") for i in range(p)],
+        *[F.sum(F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"x_{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"d_{i}") * F.col("y")).alias(f"y_{i}") for i in range(p)],
     )
     fits = []
-    for row in found.orderBy(fold).collect():
+    for row in sums.join(F.broadcast(medians), fold).orderBy(fold).collect():
+        n, mean_y = row["rows"], row["y"] / row["rows"]
+        shift = np.array([row[f"s_{i}"] for i in range(p)]) / n
         cross = np.zeros((p, p))
         for i, j in pairs:
-            cross[i, j] = cross[j, i] = row[f"x_{i}_{j}"]
+            cross[i, j] = cross[j, i] = row[f"x_{i}_{j}"] / n - shift[i] * shift[j]
+        middle = np.array([row[f"{c}_median"] for c in features])
         deviation = np.sqrt(np.maximum(np.diag(cross), 0))
-        fits.append(Fit(row[fold], row["rows"], np.array([row[f"{c}_median"] for c in features]), np.array([row[f"{c}_mean"] for c in features]), np.where(deviation > 0, deviation, 1.0), cross, np.array([row[f"y_{i}"] for i in range(p)]), row["mean_y"]))
+        fits.append(Fit(row[fold], n, middle, middle + shift, np.where(deviation > CONSTANT, deviation, 1.0), cross, np.array([row[f"y_{i}"] for i in range(p)]) / n - shift * mean_y, mean_y))
     return fits
 
 

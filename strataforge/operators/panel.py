@@ -9,6 +9,9 @@ from ..functions import columns as C
 from ..sources.tables import STRATA
 
 LOG_INPUTS = ("current_log", "previous_log", "change_log", "log1p_expected", "log_width", "log_low", "log_medium", "log_high", "log_hard", "high_share", "hard_share")
+FLAGGED = ("previous_log", "change_log", "log_low", "log_medium", "log_high", "log_hard")
+#: The predictors a model may use, in this order: identity, location, periods and later values are none.
+FEATURES = (*LOG_INPUTS, *(f"missing_{c}" for c in FLAGGED))
 OPTIONAL = ("previous_log", "log_low", "log_medium", "log_high", "log_hard")
 METHODS = ("neutral", "persistence", "historical_mean", "adjusted_persistence")
 
@@ -50,14 +53,32 @@ def build_panel(signals: DataFrame, releases: DataFrame) -> DataFrame:
         "previous_log": adjacent(F.col("current_log"), -1), "target_ratio": adjacent(F.col("ratio"), 1), "target_log": adjacent(F.col("current_log"), 1),
         "first_observed": F.col("period") == F.min("period").over(Window.partitionBy("entity_key")), "history_mean": F.avg("current_log").over(through), "history_count": F.count("current_log").over(through),
     }).join(F.broadcast(releases), "period")
+    truth = releases.select((F.col("period") - 1).alias("period"), F.col("published_value").alias("truth_published_value"), F.col("published_precision").alias("truth_published_precision"))
+    rows = rows.join(F.broadcast(truth), "period", "left")
+    change = F.col("current_log") - F.col("previous_log")
+    optional = {c: F.col(c) for c in FLAGGED} | {"change_log": change}
     return rows.select(
         "entity_key", F.col("period").alias("feature_period"), (F.col("period") + 1).alias("target_period"), "n", "expected", "published_value", "published_precision", "current_log", "previous_log",
-        (F.col("current_log") - F.col("previous_log")).alias("change_log"), C.log1p_nonneg(F.col("expected")).alias("log1p_expected"), C.interval_log_width(F.col("lower"), F.col("upper")).alias("log_width"),
+        F.make_date(F.col("period") + 1, F.lit(12), F.lit(31)).alias("target_end"), "truth_published_value", "truth_published_precision", C.elapsed_fraction(F.col("published_value"), F.col("published_precision"), F.col("period") + 1).alias("elapsed_fraction"),
+        change.alias("change_log"), C.log1p_nonneg(F.col("expected")).alias("log1p_expected"), C.interval_log_width(F.col("lower"), F.col("upper")).alias("log_width"),
         "log_low", "log_medium", "log_high", "log_hard", C.share(F.col("n_high"), F.col("n")).alias("high_share"), C.share(F.col("n_hard"), F.col("n")).alias("hard_share"), "target_ratio", "target_log",
-        F.col("target_ratio").isNotNull().alias("analytic_eligible"), ((F.col("history_count") >= 2) & ~F.col("first_observed")).alias("public_forecast_eligible"), "first_observed", "history_mean", "history_count",
+        F.col("target_ratio").isNotNull().alias("analytic_eligible"), (F.col("current_log").isNotNull() & (F.col("history_count") >= 2) & ~F.col("first_observed")).alias("public_forecast_eligible"), "first_observed", "history_mean", "history_count",
+        *[v.isNull().alias(f"missing_{c}") for c, v in optional.items()],
     )
 
 
+def feature_matrix(df: DataFrame, *kept: str, names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """`kept` columns and the predictors as numbers, nulls preserved. names must be FEATURES in their order."""
+    repeated = sorted({c for c in names if names.count(c) > 1})
+    unknown, absent = sorted(set(names) - set(FEATURES)), [c for c in FEATURES if c not in names]
+    if repeated or unknown or absent or tuple(names) != FEATURES:
+        raise ValueError(f"predictors must be the declared ones in their order; repeated: {repeated}, not approved: {unknown}, missing: {absent}")
+    lacking = [c for c in names if c not in df.columns]
+    if lacking:
+        raise ValueError(f"the table lacks the predictors {lacking}")
+    return df.select(*kept, *[F.col(c).cast("double").alias(c) for c in names])
+
+
 def volume_quartile(volume: str, *group: str, key: str = "entity_key") -> Column:
     """1 + floor(4 rank / n) by (volume, key): ties are broken by key, and the last group is the short one."""
     order = Window.partitionBy(*group).orderBy(volume, key)
@@ -92,7 +113,7 @@ def predict(panel: DataFrame, periods: DataFrame, alpha: float = 10.0) -> DataFr
     value = {"neutral": F.lit(0.0), "persistence": F.col("current_log"), "historical_mean": F.col("history_mean"), "adjusted_persistence": F.col("my") + F.col("slope") * (F.col("current_log") - F.col("mx"))}
     missing = F.exists(F.array(*OPTIONAL), lambda c: c.isNull())
     long = rows.withColumn("any_missing", missing).withColumn("m_", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("predicted_log")) for k, v in value.items()])))
-    return long.select("entity_key", "feature_period", "target_period", "m_.model", "n", "quartile", "target_ratio", "target_log", "m_.predicted_log", F.exp("m_.predicted_log").alias("predicted_ratio"), "current_log", "first_observed", "any_missing")
+    return long.select("entity_key", "feature_period", "target_period", "m_.model", "n", "quartile", "target_ratio", "target_log", "m_.predicted_log", F.exp("m_.predicted_log").alias("predicted_ratio"), "current_log", "first_observed", "any_missing", "public_forecast_eligible")
 
 
 def with_errors(predictions: DataFrame) -> DataFrame:
@@ -110,3 +131,18 @@ def match_audit(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     a, b = left.select(*keys).distinct().withColumn("l_", F.lit(1)), right.select(*keys).distinct().withColumn("r_", F.lit(1))
     status = F.when(F.col("r_").isNull(), "left only").when(F.col("l_").isNull(), "right only").otherwise("matched")
     return a.join(b, list(keys), "full").select(*keys, status.alias("status"))
+
+
+def rounding_diagnostics(signals: DataFrame, *by: str) -> DataFrame:
+    """How many published ratios the rounding of ratio and expected count can explain.
+
+    Half a unit of the last printed place, the most places seen in the group, is the reach of each number; the range of
+    (observed + 2) / (expected + 2) has to meet the published one.
+    """
+    over = Window.partitionBy(*by)
+    shown = signals.where(F.col("ratio").isNotNull() & F.col("expected").isNotNull())
+    placed = shown.withColumns({"e_": F.max(C.decimal_places(F.col("expected"))).over(over), "r_": F.max(C.decimal_places(F.col("ratio"))).over(over)})
+    half = lambda c: 0.5 * F.pow(F.lit(10.0), -F.col(c))
+    top, e, r = F.col("observed") + 2.0, F.col("expected"), F.col("ratio")
+    meets = (top / (e + half("e_") + 2.0) <= r + half("r_")) & (F.greatest(F.lit(0.0), r - half("r_")) <= top / (F.greatest(F.lit(0.0), e - half("e_")) + 2.0))
+    return placed.where(F.col("observed").isNotNull()).groupBy(*by).agg(F.count("*").alias("checked"), F.count_if(meets).alias("within"), F.count_if(~meets).alias("discrepancies"), F.max("e_").alias("expected_places"), F.max("r_").alias("ratio_places"))

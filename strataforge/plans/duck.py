@@ -23,7 +23,7 @@ def query(final: str, *reads: str) -> str:
 
     for name in reads:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + final
 
 
 _STRATA = {"overall": "true", "low": "l_quantity <= 16", "medium": "l_quantity > 16 AND l_quantity <= 33", "high": "l_quantity > 33", "hard-to-place": "l_discount >= 0.0799::DOUBLE"}
@@ -55,8 +55,11 @@ view(
     ln(b.ratio) AS current_log, ln(p.ratio) AS previous_log, ln(b.ratio) - ln(p.ratio) AS change_log, ln(1 + b.expected) AS log1p_expected, ln(b.upper) - ln(b.lower) AS log_width,
     b.log_low, b.log_medium, b.log_high, b.log_hard, b.n_high::DOUBLE / b.n AS high_share, b.n_hard::DOUBLE / b.n AS hard_share, t.ratio AS target_ratio, ln(t.ratio) AS target_log,
     t.ratio IS NOT NULL AS analytic_eligible, count(*) OVER (PARTITION BY b.entity_key ORDER BY b.period) >= 2 AS public_forecast_eligible, b.period = min(b.period) OVER (PARTITION BY b.entity_key) AS first_observed,
+    p.ratio IS NULL AS missing_previous_log, p.ratio IS NULL AS missing_change_log, b.log_low IS NULL AS missing_log_low, b.log_medium IS NULL AS missing_log_medium, b.log_high IS NULL AS missing_log_high, b.log_hard IS NULL AS missing_log_hard,
+    make_date(b.period + 1, 12, 31) AS target_end, u.published_value AS truth_published_value, u.published_precision AS truth_published_precision,
+    CASE r.published_precision WHEN 'day' THEN dayofyear(r.published_value::DATE)::DOUBLE / dayofyear(make_date(b.period + 1, 12, 31)) ELSE (month((r.published_value || '-01')::DATE) - 1) / 12::DOUBLE END AS elapsed_fraction,
     avg(ln(b.ratio)) OVER (PARTITION BY b.entity_key ORDER BY b.period ROWS UNBOUNDED PRECEDING) AS history_mean, CAST(count(*) OVER (PARTITION BY b.entity_key ORDER BY b.period) AS BIGINT) AS history_count
-    FROM panel_base b LEFT JOIN panel_base p ON p.entity_key = b.entity_key AND p.period = b.period - 1 LEFT JOIN panel_base t ON t.entity_key = b.entity_key AND t.period = b.period + 1 JOIN releases r ON r.period = b.period""",
+    FROM panel_base b LEFT JOIN panel_base p ON p.entity_key = b.entity_key AND p.period = b.period - 1 LEFT JOIN panel_base t ON t.entity_key = b.entity_key AND t.period = b.period + 1 JOIN releases r ON r.period = b.period LEFT JOIN releases u ON u.period = b.period + 1""",
 )
 view(
     "ranked",
@@ -73,7 +76,7 @@ view(
 view(
     "predictions",
     ("ranked", "adjusted"),
-    """SELECT entity_key, feature_period, target_period, model, n, quartile, target_ratio, target_log, predicted_log, exp(predicted_log) AS predicted_ratio, current_log, first_observed, any_missing FROM (
+    """SELECT entity_key, feature_period, target_period, model, n, quartile, target_ratio, target_log, predicted_log, exp(predicted_log) AS predicted_ratio, current_log, first_observed, any_missing, public_forecast_eligible FROM (
     SELECT r.*, log_low IS NULL OR log_medium IS NULL OR log_high IS NULL OR log_hard IS NULL OR previous_log IS NULL AS any_missing, m.model,
     CASE m.model WHEN 'neutral' THEN 0::DOUBLE WHEN 'persistence' THEN current_log WHEN 'historical_mean' THEN history_mean ELSE my + slope * (current_log - mx) END AS predicted_log
     FROM ranked r JOIN adjusted USING (target_period), (VALUES ('neutral'), ('persistence'), ('historical_mean'), ('adjusted_persistence')) m(model))""",
@@ -117,4 +120,4 @@ view(
     + ", ".join(f"count(*) FILTER (l_returnflag || l_linestatus = '{s}') AS c{i}" for i, s in enumerate(("NF", "NO", "AF", "AO", "RF", "RO")))
     + """ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) WHERE release BETWEEN 1997 AND 2002""",
 )
-view("pairs", (), "SELECT *, make_date(feature_release - 2, 7, 1) AS feature_start, make_date(feature_release - 1, 6, 30) AS feature_end, make_date(target_release - 2, 7, 1) AS target_start, make_date(target_release - 1, 6, 30) AS target_end FROM (VALUES (1997, 1999), (1998, 2000), (1999, 2001), (2000, 2002)) v(feature_release, target_release)")
+view("pairs", ("outcomes",), "SELECT *, make_date(feature_release - 2, 7, 1) AS feature_start, make_date(feature_release - 1, 6, 30) AS feature_end, make_date(target_release - 2, 7, 1) AS target_start, make_date(target_release - 1, 6, 30) AS target_end FROM (SELECT f.release AS feature_release, t.release AS target_release FROM (SELECT DISTINCT release FROM outcomes) f JOIN (SELECT DISTINCT release FROM outcomes) t ON t.release = f.release + 2)")

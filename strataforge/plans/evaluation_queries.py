@@ -8,9 +8,10 @@ from ..functions import columns as C
 from ..operators import checks, evaluate, models, panel, resample
 from ..sources import tables as T
 from .panel_queries import eval_periods, predictions, r6, the_panel
+from .duck import view
 from .register import register
 
-FEATURES = list(panel.LOG_INPUTS)
+FEATURES = list(panel.FEATURES)
 ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 
 
@@ -231,90 +232,180 @@ def bootstrap_paired(spark, sf):
     return six(resample.paired_mean(differences(spark, sf)))
 
 
-@register(None)
+_COVERED = f"SELECT target_period, model, count(*) AS rows, count(band_lower) AS available, count(*) - count(band_lower) AS unavailable, count(*) FILTER (covered) AS covered, round(count(*) FILTER (covered)::DOUBLE / nullif(count(band_lower), 0), 6) AS coverage, round(avg(2 * radius), 6) AS mean_width FROM ({_BANDED}) GROUP BY ALL HAVING count(band_lower) > 0"
+view("covered_bands", ("errors",), _COVERED)
+view("binomial_sides", ("covered_bands",), "SELECT *, available AS n, unnest(['lower', 'upper']) AS side, unnest([covered, covered + 1]) AS k, unnest([0.025::DOUBLE, 0.975::DOUBLE]) AS wanted FROM covered_bands")
+view("bisections", ("binomial_sides",), f"""SELECT 0 AS step, target_period, model, n, side, k, wanted, 0::DOUBLE AS lo, 1::DOUBLE AS hi FROM binomial_sides WHERE k BETWEEN 1 AND n UNION ALL
+SELECT step + 1, target_period, model, n, side, k, wanted, CASE WHEN tail < wanted THEN mid ELSE lo END, CASE WHEN tail < wanted THEN hi ELSE mid END FROM (
+SELECT b.step, b.target_period, b.model, b.n, b.side, b.k, b.wanted, b.lo, b.hi, (b.lo + b.hi) / 2 AS mid, sum(exp(lgamma(b.n + 1) - lgamma(i + 1) - lgamma(b.n - i + 1) + i * ln((b.lo + b.hi) / 2) + (b.n - i) * ln(1 - (b.lo + b.hi) / 2))) AS tail
+FROM bisections b, LATERAL (SELECT unnest(range(b.k, b.n + 1)) AS i) WHERE b.step < 40 GROUP BY ALL)""")
+
+
+@register("SELECT c.*, round(coalesce(a.lo, 0), 6) AS lower, round(coalesce(b.lo, 1), 6) AS upper FROM covered_bands c LEFT JOIN bisections a ON a.step = 40 AND a.side = 'lower' AND a.target_period = c.target_period AND a.model = c.model LEFT JOIN bisections b ON b.step = 40 AND b.side = 'upper' AND b.target_period = c.target_period AND b.model = c.model", "covered_bands", "bisections")
 def coverage_intervals(spark, sf):
-    return models.clopper_pearson(band_coverage(spark, sf).where("available > 0"), "covered", "available")
+    return six(models.clopper_pearson(band_coverage(spark, sf).where("available > 0"), "covered", "available"))
 
 
 # ridge
+KEPT = ("entity_key", "eval_period", "role", "feature_period", "target_period", "target_log", "first_observed", "quartile")
+#: Nested groups of features, and revised ones that leave one feature out.
+GROUPS = {"current": ["current_log"], "history": ["current_log", "previous_log", "change_log", "missing_previous_log", "missing_change_log"], "volume": [*panel.LOG_INPUTS[:5], "missing_previous_log", "missing_change_log"], "strata": [*panel.LOG_INPUTS[:9], *panel.FEATURES[11:]], "all": FEATURES}
+GROUPS |= {f"{name} less change": [c for c in GROUPS[name] if c not in ("change_log", "missing_change_log")] for name in ("volume", "all")}
+#: Training targets of the replay of the last period: its sensitivities leave one year out each.
+REPLAYS = {"primary": 0, "without 1997": 1997, "without 1998": 1998}
+
+
 def folds(spark, sf, window=None):
-    return panel.rolling_folds(the_panel(spark, sf), eval_periods(spark, sf), window)
+    rows = panel.rolling_folds(the_panel(spark, sf), eval_periods(spark, sf), window).withColumn("quartile", panel.volume_quartile("log1p_expected", "eval_period", "target_period"))
+    return panel.feature_matrix(rows, *KEPT)
 
 
-def ridge(spark, sf, alphas, window=None, groups=None):
-    rows = folds(spark, sf, window).persist()
-    fits = models.fit_folds(rows.where("role = 'train'"), FEATURES, "target_log")
-    fitted = models.parameters(spark, fits, FEATURES, alphas, groups)
+def replay_folds(spark, sf):
+    """One fold for each replay, told by its number."""
+    rows = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000").withColumn("quartile", panel.volume_quartile("log1p_expected", "target_period"))
+    runs = F.explode(F.array(*[F.struct(F.lit(k).alias("eval_period"), F.lit(out).alias("left_out")) for k, out in enumerate(REPLAYS.values())]))
+    every = rows.withColumn("r_", runs).select(*rows.columns, "r_.*").where(F.col("target_period") != F.col("left_out"))
+    return panel.feature_matrix(every.withColumn("role", F.when(F.col("target_period") == 2000, "evaluate").otherwise("train")), *KEPT)
+
+
+def ridge(spark, sf, alphas, rows=None, groups=None):
+    rows = folds(spark, sf) if rows is None else rows
+    fitted = models.parameters(spark, models.fit_folds(rows.where("role = 'train'"), FEATURES, "target_log"), FEATURES, alphas, groups)
     return rows, fitted, models.predictions(rows.where("role = 'evaluate'"), fitted, FEATURES)
 
 
-@register(None)
+_FOLDS = f"""SELECT e.eval_period, CASE WHEN p.target_period = e.eval_period THEN 'evaluate' ELSE 'train' END AS role, p.entity_key, p.target_period, p.target_log, p.first_observed, CAST(1 + (4 * (row_number() OVER (PARTITION BY e.eval_period, p.target_period ORDER BY log1p_expected, entity_key) - 1)) // count(*) OVER (PARTITION BY e.eval_period, p.target_period) AS INTEGER) AS quartile, {", ".join(f"p.{c}::DOUBLE AS {c}" for c in FEATURES)}
+FROM (SELECT DISTINCT target_period AS eval_period FROM panel WHERE target_period BETWEEN 1998 AND 2000) e JOIN panel p ON p.analytic_eligible AND p.target_period <= e.eval_period"""
+_RECENT = _FOLDS + " AND p.target_period >= e.eval_period - 3"
+_REPLAY = f"""SELECT r.eval_period, CASE WHEN p.target_period = 2000 THEN 'evaluate' ELSE 'train' END AS role, p.entity_key, p.target_period, p.target_log, p.first_observed, CAST(1 + (4 * (row_number() OVER (PARTITION BY r.eval_period, p.target_period ORDER BY log1p_expected, entity_key) - 1)) // count(*) OVER (PARTITION BY r.eval_period, p.target_period) AS INTEGER) AS quartile, {", ".join(f"p.{c}::DOUBLE AS {c}" for c in FEATURES)}
+FROM (VALUES {", ".join(f"({k}, {out})" for k, out in enumerate(REPLAYS.values()))}) r(eval_period, left_out) JOIN panel p ON p.analytic_eligible AND p.target_period <= 2000 AND p.target_period <> r.left_out"""
+
+
+def ridge_views(name: str, folds_sql: str, alphas, groups=None) -> None:
+    """Views <name>_folds, _long, _stats, _z, _weights and _predicted: medians, moments and Gauss-Jordan elimination in SQL."""
+    members = [(g, FEATURES.index(c)) for g, own in (groups or {"all": FEATURES}).items() for c in own]
+    names = ", ".join(f"'{c}'" for c in FEATURES)
+    view(f"{name}_folds", ("panel",), folds_sql)
+    view(f"{name}_long", (f"{name}_folds",), f"SELECT eval_period, role, entity_key, target_period, target_log, unnest(range({len(FEATURES)})) AS i, unnest([{names}]) AS feature, unnest([{', '.join(FEATURES)}]) AS value FROM {name}_folds")
+    view(f"{name}_medians", (f"{name}_long",), f"SELECT eval_period, i, coalesce(quantile_cont(value, 0.5), 0) AS median FROM {name}_long WHERE role = 'train' GROUP BY ALL")
+    view(f"{name}_stats", (f"{name}_long", f"{name}_medians"), f"SELECT eval_period, i, feature, median, mean, CASE WHEN deviation > 1e-9 THEN deviation ELSE 1 END AS scale, n FROM (SELECT l.eval_period, l.i, l.feature, any_value(m.median) AS median, avg(coalesce(l.value, m.median)) AS mean, stddev_pop(coalesce(l.value, m.median)) AS deviation, count(*) AS n FROM {name}_long l JOIN {name}_medians m USING (eval_period, i) WHERE role = 'train' GROUP BY ALL)")
+    view(f"{name}_z", (f"{name}_long", f"{name}_stats"), f"SELECT l.eval_period, l.role, l.entity_key, l.target_period, l.target_log, l.i, (coalesce(l.value, s.median) - s.mean) / s.scale AS z FROM {name}_long l JOIN {name}_stats s USING (eval_period, i)")
+    view(f"{name}_means", (f"{name}_folds",), f"SELECT eval_period, avg(target_log) AS intercept FROM {name}_folds WHERE role = 'train' GROUP BY ALL")
+    view(f"{name}_gram", (f"{name}_z", f"{name}_means"), f"""SELECT a.eval_period, a.i, b.i AS j, sum(a.z * b.z) AS v FROM {name}_z a JOIN {name}_z b USING (eval_period, role, entity_key, target_period) WHERE role = 'train' GROUP BY ALL
+    UNION ALL SELECT z.eval_period, z.i, 99, sum(z.z * (z.target_log - m.intercept)) FROM {name}_z z JOIN {name}_means m USING (eval_period) WHERE role = 'train' GROUP BY ALL""")
+    view(f"{name}_system", (f"{name}_gram",), f"""SELECT g.eval_period, a.alpha, m.grp, g.i, g.j, g.v + CASE WHEN g.i = g.j THEN a.alpha ELSE 0 END AS v FROM {name}_gram g, (VALUES {", ".join(f"({a}::DOUBLE)" for a in alphas)}) a(alpha), (VALUES {", ".join(f"('{g}', {i})" for g, i in members)}) m(grp, i)
+    WHERE g.i = m.i AND (g.j = 99 OR (m.grp, g.j) IN (VALUES {", ".join(f"('{g}', {i})" for g, i in members)}))""")
+    view(f"{name}_steps", (f"{name}_system",), f"""SELECT 0 AS k, eval_period, alpha, grp, i, j, v FROM {name}_system UNION ALL SELECT k + 1, eval_period, alpha, grp, i, j, CASE WHEN akk IS NULL THEN v WHEN i = k THEN v / akk ELSE v - aik * akj / akk END FROM (
+    SELECT *, max(v) FILTER (j = k) OVER (PARTITION BY eval_period, alpha, grp, i) AS aik, max(v) FILTER (i = k) OVER (PARTITION BY eval_period, alpha, grp, j) AS akj, max(v) FILTER (i = k AND j = k) OVER (PARTITION BY eval_period, alpha, grp) AS akk FROM {name}_steps WHERE k < {len(FEATURES)})""")
+    view(f"{name}_weights", (f"{name}_steps", f"{name}_stats", f"{name}_means"), f"SELECT w.eval_period, w.alpha, w.grp, w.i, s.feature, w.v AS weight, s.median, s.mean, s.scale, m.intercept, s.n FROM {name}_steps w JOIN {name}_stats s USING (eval_period, i) JOIN {name}_means m USING (eval_period) WHERE w.k = {len(FEATURES)} AND w.j = 99")
+    view(f"{name}_predicted", (f"{name}_weights", f"{name}_z", f"{name}_folds"), f"""SELECT f.eval_period, f.entity_key, f.target_period, f.target_log, f.first_observed, f.quartile, q.alpha, q.grp, q.predicted_log FROM {name}_folds f JOIN (SELECT z.eval_period, z.entity_key, z.target_period, w.alpha, w.grp, any_value(w.intercept) + sum(w.weight * z.z) AS predicted_log FROM {name}_z z JOIN {name}_weights w USING (eval_period, i) WHERE role = 'evaluate' GROUP BY ALL) q USING (eval_period, entity_key, target_period) WHERE f.role = 'evaluate'""")
+
+
+ridge_views("ridge", _FOLDS, [10.0])
+ridge_views("grid", _FOLDS, ALPHAS)
+ridge_views("recent", _RECENT, [10.0])
+ridge_views("ablation", _FOLDS, [1.0], GROUPS)
+ridge_views("replay", _REPLAY, [10.0])
+
+
+@register('SELECT eval_period AS fold, alpha, grp AS "group", feature, round(weight, 6) AS weight, round(median, 6) AS median, round(mean, 6) AS mean, round(scale, 6) AS scale, round(intercept, 6) AS intercept, n AS train_rows FROM ridge_weights', "ridge_weights")
 def ridge_parameters(spark, sf):
-    return ridge(spark, sf, [10.0])[1]
+    return six(ridge(spark, sf, [10.0])[1], "alpha")
+
 
+_RIDGE = "SELECT entity_key, target_period, round(target_log, 6) AS target_log, round(predicted_log, 6) AS predicted_log FROM "
 
-@register(None)
+
+@register(_RIDGE + "ridge_predicted", "ridge_predicted")
 def ridge_predictions(spark, sf):
-    return ridge(spark, sf, [10.0])[2].select("entity_key", "target_period", "target_log", "predicted_log")
+    return six(ridge(spark, sf, [10.0])[2].select("entity_key", "target_period", "target_log", "predicted_log"))
+
 
+_SCORES = "SELECT {by} AS {name}, avg(mean) AS balanced, sum(total) / sum(rows) AS pooled, sum(rows)::BIGINT AS rows, count(*) AS periods FROM (SELECT {by}, target_period, avg(abs(predicted_log - target_log)) AS mean, sum(abs(predicted_log - target_log)) AS total, count(*) AS rows FROM {table} GROUP BY ALL) GROUP BY ALL"
 
-@register(None)
+
+@register("SELECT alpha, 'ridge' AS model, round(balanced, 6) AS balanced, round(pooled, 6) AS pooled, rows, periods FROM (" + _SCORES.format(by="alpha", name="alpha", table="grid_predicted") + ")", "grid_predicted")
 def alpha_scores(spark, sf):
+    return six(scores(spark, sf), "alpha")
+
+
+def scores(spark, sf):
     errors = ridge(spark, sf, ALPHAS)[2].withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log"))).withColumn("model", F.lit("ridge"))
     return evaluate.balanced_mean(errors, "alpha")
 
 
-@register(None)
+@register("SELECT max(alpha) AS alpha, round(arg_max(balanced, alpha), 6) AS balanced FROM (SELECT *, min(balanced) OVER () AS best FROM (" + _SCORES.format(by="alpha", name="alpha", table="grid_predicted") + ")) WHERE balanced <= best * 1.01::DOUBLE", "grid_predicted")
 def selected_alpha(spark, sf):
-    return models.select_alpha(alpha_scores(spark, sf))
+    return six(models.select_alpha(scores(spark, sf)), "alpha")
 
 
-@register(None)
+@register(_RIDGE + "recent_predicted", "recent_predicted")
 def recent_window_ridge(spark, sf):
-    return ridge(spark, sf, [10.0], window=3)[2].select("entity_key", "target_period", "target_log", "predicted_log")
-
-
-GROUPS = {"current": ["current_log"], "history": ["current_log", "previous_log", "change_log"], "volume": ["current_log", "previous_log", "change_log", "log1p_expected", "log_width"], "strata": [*FEATURES[:9]], "all": FEATURES}
+    return six(ridge(spark, sf, [10.0], folds(spark, sf, 3))[2].select("entity_key", "target_period", "target_log", "predicted_log"))
 
 
-@register(None)
+@register("SELECT model, round(balanced, 6) AS balanced, round(pooled, 6) AS pooled, rows, periods FROM (" + _SCORES.format(by="grp", name="model", table="ablation_predicted") + ")", "ablation_predicted")
 def group_ablation(spark, sf):
-    """Nested groups of features on identical rows, from one matrix of moments."""
+    """Groups of features on identical rows, from one matrix of moments."""
     errors = ridge(spark, sf, [1.0], groups=GROUPS)[2].withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log"))).withColumn("model", F.col("group"))
-    return evaluate.balanced_mean(errors)
+    return six(evaluate.balanced_mean(errors))
 
 
-@register(None)
+@register("SELECT w.eval_period AS fold, w.feature, round(t.z, 6) AS z_train, round(e.z, 6) AS z_evaluate, round(w.weight * (e.z - t.z), 6) AS contribution FROM ridge_weights w JOIN (SELECT eval_period, i, avg(z) AS z FROM ridge_z WHERE role = 'train' GROUP BY ALL) t USING (eval_period, i) JOIN (SELECT eval_period, i, avg(z) AS z FROM ridge_z WHERE role = 'evaluate' GROUP BY ALL) e USING (eval_period, i)", "ridge_weights", "ridge_z")
 def mean_shift_contributions(spark, sf):
     rows, fitted, _ = ridge(spark, sf, [10.0])
-    return models.contributions(rows.where("role = 'train'"), rows.where("role = 'evaluate'"), fitted, FEATURES)
+    return six(models.contributions(rows.where("role = 'train'"), rows.where("role = 'evaluate'"), fitted, FEATURES))
 
 
-@register(None)
-def comparison_predictions(spark, sf):
+_COMPARED = """SELECT entity_key, target_period, model, target_log, predicted_log FROM predictions UNION ALL SELECT entity_key, target_period, 'ridge', target_log, predicted_log FROM ridge_predicted UNION ALL SELECT entity_key, target_period, 'ridge_recent', target_log, predicted_log FROM recent_predicted"""
+view("compared_models", ("predictions", "ridge_predicted", "recent_predicted"), _COMPARED)
+
+
+@T.saved
+def compared_models(spark, sf):
     """The methods without a matrix and two ridge models, long."""
     base = predictions(spark, sf).select("entity_key", "target_period", "model", "target_log", "predicted_log")
-    ridges = [ridge(spark, sf, [10.0], window)[2].select("entity_key", "target_period", F.lit(name).alias("model"), "target_log", "predicted_log") for name, window in (("ridge", None), ("ridge_recent", 3))]
+    ridges = [ridge(spark, sf, [10.0], folds(spark, sf, window))[2].select("entity_key", "target_period", F.lit(name).alias("model"), "target_log", "predicted_log") for name, window in (("ridge", None), ("ridge_recent", 3))]
     return base.unionByName(ridges[0]).unionByName(ridges[1])
 
 
-@register(None)
+_MODEL_RADIUS = "SELECT target_period, model, CASE WHEN rows >= 30 THEN ae END AS radius FROM (SELECT *, row_number() OVER (PARTITION BY target_period, model ORDER BY ae) AS place, count(*) OVER (PARTITION BY target_period, model) AS rows FROM (SELECT *, abs(predicted_log - target_log) AS ae FROM compared_models)) WHERE place = least(rows, ((rows + 1) * 80 + 99) // 100)"
+_MODEL_BANDS = f"SELECT c.*, r.radius FROM compared_models c LEFT JOIN ({_MODEL_RADIUS}) r ON r.model = c.model AND r.target_period = c.target_period - 1 WHERE c.target_period > 1998"
+
+
+@register(f"SELECT entity_key, target_period, model, round(target_log, 6) AS target_log, round(predicted_log, 6) AS predicted_log, round(predicted_log - radius, 6) AS log_lower, round(predicted_log + radius, 6) AS log_upper, target_log BETWEEN predicted_log - radius AND predicted_log + radius AS covered FROM ({_MODEL_BANDS})", "compared_models")
+def comparison_predictions(spark, sf):
+    """All methods with bands from their errors one year before; the first year only warms them up."""
+    rows = compared_models(spark, sf).withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log")))
+    banded_rows = evaluate.with_bands(rows, evaluate.band_radius(rows, "target_period", "model")).where("target_period > 1998")
+    r, p = F.col("radius"), F.col("predicted_log")
+    return banded_rows.select("entity_key", "target_period", "model", r6("target_log"), r6("predicted_log"), r6(p - r, "log_lower"), r6(p + r, "log_upper"), "covered")
+
+
+_RUN = "CASE eval_period " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(REPLAYS)) + " END"
+
+
+def replays(spark, sf):
+    name = F.element_at(F.array(*[F.lit(n) for n in REPLAYS]), F.col("eval_period") + 1)
+    return ridge(spark, sf, [10.0], replay_folds(spark, sf))[2].withColumn("sensitivity", name)
+
+
+@register(f"SELECT entity_key, target_period, {_RUN} AS sensitivity, round(target_log, 6) AS target_log, round(predicted_log, 6) AS predicted_log FROM replay_predicted", "replay_predicted")
 def replay_predictions(spark, sf):
     """Fit once on targets before the last period, evaluate that period; and again without each of two training years."""
-    rows = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000").persist()
-    tables = []
-    for left_out in (None, 1997, 1998):
-        train = rows.where((F.col("target_period") < 2000) & (F.col("target_period") != F.lit(left_out or 0))).withColumn("eval_period", F.lit(2000))
-        fitted = models.parameters(spark, models.fit_folds(train, FEATURES, "target_log"), FEATURES, [10.0])
-        found = models.predictions(rows.where("target_period = 2000").withColumn("eval_period", F.lit(2000)), fitted, FEATURES)
-        tables.append(found.select("entity_key", "target_period", F.lit(f"without {left_out}" if left_out else "primary").alias("sensitivity"), "target_log", "predicted_log"))
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return six(replays(spark, sf).select("entity_key", "target_period", "sensitivity", "target_log", "predicted_log"))
+
+
+_STRATA = "SELECT *, unnest(['all', 'quartile ' || quartile, CASE WHEN first_observed THEN 'first observed' ELSE 'established' END, CASE WHEN missing THEN 'any predictor missing' ELSE 'no predictor missing' END]) AS stratum FROM (SELECT p.*, f." + " IS NULL OR f.".join(panel.LOG_INPUTS) + " IS NULL AS missing FROM replay_predicted p JOIN replay_folds f USING (eval_period, entity_key, target_period))"
 
 
-@register(None)
+@register(f"SELECT {_RUN} AS sensitivity, stratum, count(*) AS rows, round(avg(abs(predicted_log - target_log)), 6) AS mae, round(avg(predicted_log - target_log), 6) AS bias, round(CASE WHEN count(*) > 1 AND min(predicted_log) < max(predicted_log) THEN regr_slope(target_log, predicted_log) END, 6) AS slope FROM ({_STRATA}) GROUP BY ALL", "replay_predicted", "replay_folds")
 def replay_diagnostics(spark, sf):
-    errors = replay_predictions(spark, sf).withColumn("error", F.col("predicted_log") - F.col("target_log"))
-    return errors.groupBy("sensitivity").agg(F.count("*").alias("rows"), F.avg(F.abs("error")).alias("mae"), F.avg("error").alias("bias"), F.regr_slope("target_log", "predicted_log").alias("slope"))
+    """The replays' errors by volume quartile, by entry and by missing predictors."""
+    missing = F.exists(F.array(*panel.LOG_INPUTS), lambda c: c.isNull())
+    strata = F.array(F.lit("all"), F.concat(F.lit("quartile "), "quartile"), F.when(F.col("first_observed"), "first observed").otherwise("established"), F.when(missing, "any predictor missing").otherwise("no predictor missing"))
+    errors = replays(spark, sf).withColumns({"error": F.col("predicted_log") - F.col("target_log"), "stratum": F.explode(strata)})
+    return six(errors.groupBy("sensitivity", "stratum").agg(F.count("*").alias("rows"), F.avg(F.abs("error")).alias("mae"), F.avg("error").alias("bias"), F.regr_slope("target_log", "predicted_log").alias("slope")))
 
 
 # gates

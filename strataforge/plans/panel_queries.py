@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import checks, panel
+from ..sources import lineage, storage
 from ..sources import tables as T
 from .register import register
 
@@ -29,14 +30,16 @@ def predictions(spark, sf) -> DataFrame:
     return panel.with_errors(panel.predict(the_panel(spark, sf), eval_periods(spark, sf)))
 
 
-PANEL_SQL = """SELECT entity_key, feature_period, target_period, n, published_value, published_precision, round(current_log, 6) AS current_log, round(previous_log, 6) AS previous_log, round(change_log, 6) AS change_log,
-round(log1p_expected, 6) AS log1p_expected, round(log_width, 6) AS log_width, round(log_low, 6) AS log_low, round(log_medium, 6) AS log_medium, round(log_high, 6) AS log_high, round(log_hard, 6) AS log_hard,
-round(high_share, 6) AS high_share, round(hard_share, 6) AS hard_share, round(target_log, 6) AS target_log, analytic_eligible, public_forecast_eligible, first_observed, round(history_mean, 6) AS history_mean, history_count FROM panel"""
-PANEL_LOGS = ("current_log", "previous_log", "change_log", "log1p_expected", "log_width", "log_low", "log_medium", "log_high", "log_hard", "high_share", "hard_share", "target_log", "history_mean")
+PANEL_LOGS = ("current_log", "previous_log", "change_log", "log1p_expected", "log_width", "log_low", "log_medium", "log_high", "log_hard", "high_share", "hard_share", "target_log", "history_mean", "elapsed_fraction")
+PANEL_PLAIN = (
+    "entity_key", "feature_period", "target_period", "n", "published_value", "published_precision", "target_end", "truth_published_value", "truth_published_precision", *(f"missing_{c}" for c in panel.FLAGGED),
+    "analytic_eligible", "public_forecast_eligible", "first_observed", "history_count",
+)
+PANEL_SQL = "SELECT " + ", ".join((*PANEL_PLAIN, *(f"round({c}, 6) AS {c}" for c in PANEL_LOGS))) + " FROM panel"
 
 
 def rounded_panel(df: DataFrame) -> DataFrame:
-    return df.select("entity_key", "feature_period", "target_period", "n", "published_value", "published_precision", *[r6(c) for c in PANEL_LOGS], "analytic_eligible", "public_forecast_eligible", "first_observed", "history_count")
+    return df.select(*PANEL_PLAIN, *[r6(c) for c in PANEL_LOGS])
 
 
 @register(PANEL_SQL, "panel")
@@ -46,7 +49,18 @@ def model_panel(spark, sf):
 
 @register(PANEL_SQL + " WHERE target_period <= 1999", "panel")
 def scan_panel_pushdown(spark, sf):
-    return rounded_panel(the_panel(spark, sf).where(F.col("target_period") <= 1999))
+    """The panel as stored files, one folder a target period; the scan opens those up to 1999 only."""
+    path, whole = lineage.new_path(spark, "panel"), the_panel(spark, sf)
+    storage.write_table(whole, path, ["entity_key"], "target_period")
+    return rounded_panel(storage.scan_panel(spark, path, whole.schema, 1999))
+
+
+@register("SELECT entity_key, target_period, model, round(predicted_log, 6) AS predicted_log FROM predictions ORDER BY target_period, entity_key, model", "predictions")
+def stored_predictions(spark, sf):
+    """Predictions written in their stable schema and order, and read back."""
+    path = lineage.new_path(spark, "predictions")
+    storage.write_predictions(predictions(spark, sf), path)
+    return storage.read_exact(spark, path, storage.PREDICTIONS).select("entity_key", "target_period", "model", r6("predicted_log")).orderBy("target_period", "entity_key", "model")
 
 
 SIGNALS_SQL = "SELECT entity_key, period, stratum, n, observed, expected, ratio, lower, upper FROM signals"
@@ -67,16 +81,36 @@ def ordered_signals(spark, sf):
     return s.orderBy("period", "entity_key", "stratum_order")
 
 
-@register("SELECT s.entity_key, s.period, s.stratum, s.n, r.release, r.published_value, r.published_precision FROM signals s JOIN releases r ON r.period = s.period", "signals", "releases")
+@register("SELECT s.entity_key, s.period, s.stratum, s.n, r.release, r.published_value, r.published_precision, 'release=' || r.release AS source_file FROM signals s JOIN releases r ON r.period = s.period", "signals", "releases")
 def ingest_releases(spark, sf):
-    return T.signals(spark, sf).join(F.broadcast(T.releases(spark, sf)), "period").select("entity_key", "period", "stratum", "n", "release", "published_value", "published_precision")
+    """One folder of wide text for each release, read together; each row is tagged with its file's release and that one's metadata."""
+    path = lineage.new_path(spark, "releases")
+    T.wide_releases(spark, sf).withColumn("release", F.col("period")).write.partitionBy("release").parquet(path)
+    long = panel.unpivot_strata(storage.read_releases(spark, path, T.releases(spark, sf)), ("n",))
+    return long.select(C.entity_key(F.col("code"), F.col("kind")).alias("entity_key"), "period", "stratum", C.clean_count(F.col("n")).alias("n"), "release", "published_value", "published_precision", "source_file")
+
 
+_MARRED = "l_suppkey % 17 = 3"
 
-@register("SELECT entity_key, period, sum(n)::BIGINT AS n, round(sum(expected), 6) AS expected, count(ratio) AS ratios, 0::BIGINT AS bad FROM signals GROUP BY ALL", "signals")
+
+@register(
+    "SELECT entity_key, period, " + ", ".join(f"round(sum({c})::DOUBLE, 6) AS {c}, count({c}) AS {c}_numbers" for c in ("n", "observed", "expected", "upper")) + f""", round(sum(ratio) FILTER (NOT {_MARRED}), 6) AS ratio, count(ratio) FILTER (NOT {_MARRED}) AS ratio_numbers,
+    round(sum(lower) FILTER (NOT {_MARRED}), 6) AS lower, count(lower) FILTER (NOT {_MARRED}) AS lower_numbers, count(*) FILTER ({_MARRED} AND ratio IS NOT NULL) + count(*) FILTER ({_MARRED} AND lower IS NOT NULL) AS bad FROM signals GROUP BY ALL""",
+    "signals",
+)
 def clean_numbers(spark, sf):
-    long = panel.unpivot_strata(T.wide_releases(spark, sf), ("n", "expected", "ratio"))
-    rows = long.select(C.entity_key(F.col("code"), F.col("kind")).alias("entity_key"), "period", C.clean_number(F.col("n")).alias("n"), C.clean_number(F.col("expected")).alias("expected"), C.clean_number(F.col("ratio")).alias("ratio"), C.bad_number(F.col("ratio")).alias("bad"))
-    return rows.groupBy("entity_key", "period").agg(F.sum("n").cast("long").alias("n"), r6(F.sum("expected"), "expected"), F.count("ratio").alias("ratios"), F.count_if("bad").alias("bad"))
+    """All measures as numbers; some suppliers' ratios and bounds are no numbers (letters, infinity) and are counted."""
+    wide = T.wide_releases(spark, sf)
+    marred = F.substring("code", 2, 6).cast("int") % 17 == 3
+    number = r"^[0-9.,]*[0-9][0-9.,]*$"
+    for stratum in T.STRATA:
+        ratio, lower = (f"{stratum.replace('-', '_')}_{m}" for m in ("ratio", "lower"))
+        wide = wide.withColumns({ratio: F.when(marred & F.col(ratio).rlike(number), F.concat(ratio, F.lit("x"))).otherwise(F.col(ratio)), lower: F.when(marred & F.col(lower).rlike(number), "Infinity").otherwise(F.col(lower))})
+    measures = ("n", "observed", "expected", "ratio", "lower", "upper")
+    long = panel.unpivot_strata(wide, measures)
+    bad = sum((C.bad_number(F.col(m)).cast("int") for m in measures), F.lit(0))
+    rows = long.select(C.entity_key(F.col("code"), F.col("kind")).alias("entity_key"), "period", bad.alias("bad"), *[C.clean_number(F.col(m)).alias(m) for m in measures])
+    return rows.groupBy("entity_key", "period").agg(*[r6(F.sum(m), m) for m in measures], *[F.count(m).alias(f"{m}_numbers") for m in measures], F.sum("bad").alias("bad"))
 
 
 @register("SELECT period, stratum, sum(n)::BIGINT AS n, sum(observed)::BIGINT AS observed, count(*) AS counts FROM signals GROUP BY ALL", "signals")
@@ -98,9 +132,19 @@ def feature_transforms(spark, sf):
     return s.select("entity_key", "period", r6(C.log1p_nonneg(F.col("expected")), "log1p_expected"), r6(C.interval_log_width(F.col("lower"), F.col("upper")), "log_width"))
 
 
-@register("SELECT entity_key, feature_period, " + ", ".join(f"round({c}, 6) AS {c}" for c in panel.LOG_INPUTS) + " FROM panel WHERE analytic_eligible", "panel")
+@register("SELECT entity_key, feature_period, " + ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in panel.FEATURES) + " FROM panel WHERE analytic_eligible", "panel")
 def feature_matrix(spark, sf):
-    return the_panel(spark, sf).where("analytic_eligible").select("entity_key", "feature_period", *[r6(c) for c in panel.LOG_INPUTS])
+    matrix = panel.feature_matrix(the_panel(spark, sf).where("analytic_eligible"), "entity_key", "feature_period")
+    return matrix.select("entity_key", "feature_period", *[r6(c) for c in panel.FEATURES])
+
+
+@register("SELECT entity_key, period, stratum, round(ln(CASE WHEN ratio > 0 THEN ratio END), 6) AS log_ratio, stratum = 'overall' AND coalesce(ratio <= 0, true) AS violation FROM (SELECT entity_key, period, stratum, CASE WHEN l_suppkey % 27 = 4 THEN 0 WHEN l_suppkey % 27 = 5 THEN NULL ELSE ratio END AS ratio FROM signals)", "signals")
+def positive_logs(spark, sf):
+    """Logarithms of positive ratios; where one is required (overall), its absence is a violation."""
+    k = F.col("l_suppkey") % 27
+    ratio = F.when(k == 4, 0.0).when(k == 5, None).otherwise(F.col("ratio"))
+    required = F.col("stratum") == "overall"
+    return T.signals(spark, sf).select("entity_key", "period", "stratum", r6(C.positive_log(ratio), "log_ratio"), C.lacks_log(ratio, required).alias("violation"))
 
 
 @register("SELECT s.entity_key, s.period, s.stratum, coalesce(nullif(trim(d.name), ''), 'Program ' || split_part(s.entity_key, ':', 1)) AS name, d.nation, d.region FROM signals s LEFT JOIN directory d ON d.code = split_part(s.entity_key, ':', 1)", "signals", "directory")
@@ -173,7 +217,7 @@ def publication_checks(spark, sf):
 @register("SELECT a.feature_release AS a_release, b.feature_release AS b_release FROM pairs a JOIN pairs b ON a.feature_start <= b.target_end AND b.target_start <= a.feature_end", "pairs")
 def window_overlaps(spark, sf):
     """Pairs whose feature window overlaps another pair's target window."""
-    p = T.pairs(spark)
+    p = T.pairs(spark, sf)
     a = p.select(F.col("feature_release").alias("a_release"), "feature_start", "feature_end")
     b = p.select(F.col("feature_release").alias("b_release"), "target_start", "target_end")
     return a.join(F.broadcast(b), (F.col("feature_start") <= F.col("target_end")) & (F.col("target_start") <= F.col("feature_end"))).select("a_release", "b_release")
@@ -181,10 +225,11 @@ def window_overlaps(spark, sf):
 
 @register("SELECT feature_release, target_release, CAST((year(target_start) - feature_release) * 12 + month(target_start) - 7 AS INTEGER) AS month_offset FROM pairs", "pairs")
 def origin_offsets(spark, sf):
-    return T.pairs(spark).select("feature_release", "target_release", C.month_offset(F.make_date(F.col("feature_release"), F.lit(7), F.lit(1)), F.col("target_start")).cast("int").alias("month_offset"))
+    published = F.make_date(F.col("feature_release"), F.lit(7), F.lit(1))
+    return T.pairs(spark, sf).select("feature_release", "target_release", C.month_offset(published, F.col("target_start")).cast("int").alias("month_offset"))
 
 
-@register(None)
+@register("SELECT entity_key, string_agg(period || '-01-01 to ' || period || '-12-31', '; ' ORDER BY period) AS segments FROM signals WHERE stratum = 'overall' GROUP BY ALL", "signals")
 def segments_text(spark, sf):
     """The windows of each entity's reported periods as text."""
     s = T.signals(spark, sf).where("stratum = 'overall'")
@@ -212,11 +257,21 @@ def violations_measures(spark, sf):
     return checks.violations(faulty, checks.measure_rules(), detail=F.col("stratum"))
 
 
-@register("SELECT 'target is not the next period' AS rule, entity_key, feature_period AS period, NULL::VARCHAR AS detail FROM panel WHERE CAST(substr(entity_key, 2, 6) AS INTEGER) % 29 = 5", "panel")
+@register(
+    """SELECT rule, entity_key, feature_period AS period, detail FROM (SELECT *, unnest(['target is not the next period', 'not a full calendar year']) AS rule, unnest([given <> feature_period + 1, opens <> make_date(feature_period, 1, 1) OR closes <> make_date(feature_period, 12, 31)]) AS bad, opens || ' to ' || closes AS detail FROM (
+    SELECT *, target_period + CASE WHEN k % 29 = 5 THEN 1 ELSE 0 END AS given, CASE WHEN k % 33 = 6 THEN make_date(feature_period, 1, 2) ELSE make_date(feature_period, 1, 1) END AS opens, CASE WHEN k % 37 = 8 THEN make_date(feature_period + 1, 1, 1) ELSE make_date(feature_period, 12, 31) END AS closes
+    FROM (SELECT *, CAST(substr(entity_key, 2, 6) AS INTEGER) AS k FROM panel))) WHERE bad""",
+    "panel",
+)
 def violations_periods(spark, sf):
-    bad = F.substring("entity_key", 2, 6).cast("int") % 29 == 5
-    p = the_panel(spark, sf).withColumn("target_period", F.when(bad, F.col("target_period") + 1).otherwise(F.col("target_period")))
-    return checks.violations(p, {"target is not the next period": F.col("target_period") != F.col("feature_period") + 1}, "feature_period")
+    """Periods that aren't a whole calendar year, and targets that aren't the next one; some of each are made wrong here."""
+    k, year = F.substring("entity_key", 2, 6).cast("int"), F.col("feature_period")
+    day = lambda y, m, d: F.make_date(y, F.lit(m), F.lit(d))
+    p = the_panel(spark, sf).withColumns({
+        "target_period": F.col("target_period") + F.when(k % 29 == 5, 1).otherwise(0),
+        "opens": F.when(k % 33 == 6, day(year, 1, 2)).otherwise(day(year, 1, 1)), "closes": F.when(k % 37 == 8, day(year + 1, 1, 1)).otherwise(day(year, 12, 31)),
+    })
+    return checks.violations(p, checks.period_rules(), "feature_period", F.concat_ws(" to ", "opens", "closes"))
 
 
 @register("SELECT entity_key, period, count(DISTINCT stratum) AS strata FROM signals WHERE NOT (stratum = 'high' AND l_suppkey % 21 = 4) GROUP BY ALL HAVING count(DISTINCT stratum) < 5", "signals")
@@ -230,25 +285,61 @@ def violations_orphans(spark, sf):
     return checks.orphans(T.signals(spark, sf).select(C.key_code(F.col("entity_key")).alias("code")), T.directory(spark, sf), "code")
 
 
-@register("SELECT period, count(*) AS rows, CAST(5 * count(DISTINCT entity_key) AS BIGINT) AS declared FROM signals WHERE NOT (period = 1997 AND l_suppkey % 4 = 0 AND stratum = 'low') GROUP BY ALL HAVING count(*) <> 5 * count(DISTINCT entity_key)", "signals")
+@register(
+    """SELECT period, rows, declared_rows, columns, declared_columns, rule FROM (SELECT *, unnest(['row count', 'column count', 'required column']) AS rule, unnest([rows <> declared_rows, columns <> declared_columns, columns < 32]) AS bad FROM (
+    SELECT c.period, c.rows, d.declared AS declared_rows, CASE WHEN c.period = 1999 THEN 32 ELSE 33 END AS columns, 33 AS declared_columns
+    FROM (SELECT period, count(*) AS rows FROM panel_base WHERE NOT (period = 1997 AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 4 = 0) GROUP BY ALL) c
+    JOIN (SELECT CAST(year(l_shipdate) AS INTEGER) AS period, count(DISTINCT (l_suppkey, l_linestatus)) FILTER (NOT (year(l_shipdate) > 1995 AND (l_suppkey * 7 + year(l_shipdate)) % 23 = 0)) AS declared FROM lineitem GROUP BY ALL) d USING (period))) WHERE bad""",
+    "panel_base",
+)
 def violations_row_counts(spark, sf):
-    s = T.signals(spark, sf).where(~((F.col("period") == 1997) & (F.col("l_suppkey") % 4 == 0) & (F.col("stratum") == "low")))
-    return s.groupBy("period").agg(F.count("*").alias("rows"), (5 * F.countDistinct("entity_key")).alias("declared")).where(F.col("rows") != F.col("declared"))
+    """Rows and columns of each wide release against the numbers that its source declares; one release lost rows, one a column."""
+    wide = T.wide_releases(spark, sf)
+    shipped = T.read(spark, sf, "lineitem").select("l_suppkey", "l_linestatus", F.year("l_shipdate").alias("period")).where(~((F.col("period") > 1995) & ((F.col("l_suppkey") * 7 + F.col("period")) % 23 == 0)))
+    declared = shipped.groupBy("period").agg(F.countDistinct("l_suppkey", "l_linestatus").alias("declared_rows")).withColumn("declared_columns", F.lit(len(wide.columns)))
+    kept = wide.where(~((F.col("period") == 1997) & (F.substring("code", 2, 6).cast("int") % 4 == 0)))
+    columns = F.when(F.col("period") == 1999, len(wide.columns) - 1).otherwise(len(wide.columns))
+    return checks.release_contract(kept.groupBy("period").agg(F.count("*").alias("rows")).withColumn("columns", columns), declared, "period", len(wide.columns) - 1)
 
 
-@register("SELECT p.entity_key, p.feature_period AS period, p.published_value, p.published_precision FROM panel p JOIN releases r ON r.period = p.feature_period + 1 WHERE p.feature_period = 1996 AND p.published_precision <> r.published_precision", "panel", "releases")
+@register(
+    """SELECT rule, entity_key, feature_period AS period, detail FROM (SELECT *, unnest(['published value', 'precision', 'target end', 'truth value']) AS rule, unnest([k % 15 = 2 AND nxt IS NOT NULL, k % 15 = 2 AND nxt IS NOT NULL, k % 19 = 3, k % 21 = 5 AND truth_published_value IS NOT NULL]) AS bad,
+    unnest([nxt, nxt_precision, CAST(make_date(target_period, 12, 30) AS VARCHAR), published_value]) AS detail FROM (
+    SELECT p.*, CAST(substr(p.entity_key, 2, 6) AS INTEGER) AS k, r.published_value AS nxt, r.published_precision AS nxt_precision FROM panel p LEFT JOIN releases r ON r.period = p.feature_period + 1)) WHERE bad""",
+    "panel", "releases",
+)
 def violations_metadata(spark, sf):
-    """Rows of 1996 that were given the next release's metadata."""
-    wrong = T.releases(spark, sf).select((F.col("period") - 1).alias("feature_period"), F.col("published_precision").alias("found"))
-    p = the_panel(spark, sf).where("feature_period = 1996").join(F.broadcast(wrong), "feature_period")
-    return p.where(F.col("found") != F.col("published_precision")).select("entity_key", F.col("feature_period").alias("period"), "published_value", "published_precision")
+    """Attributes of the panel's rows against the metadata of their release; some rows of every period were given others."""
+    k = F.substring("entity_key", 2, 6).cast("int")
+    releases = T.releases(spark, sf)
+    later = releases.select((F.col("period") - 1).alias("feature_period"), F.col("published_value").alias("v_"), F.col("published_precision").alias("p_"))
+    p = the_panel(spark, sf).join(F.broadcast(later), "feature_period", "left")
+    wrong = (k % 15 == 2) & F.col("v_").isNotNull()
+    p = p.withColumns({
+        "truth_published_value": F.when((k % 21 == 5) & F.col("truth_published_value").isNotNull(), F.col("published_value")).otherwise(F.col("truth_published_value")), "target_end": F.when(k % 19 == 3, F.date_sub("target_end", 1)).otherwise(F.col("target_end")),
+    }).withColumns({"published_value": F.when(wrong, F.col("v_")).otherwise(F.col("published_value")), "published_precision": F.when(wrong, F.col("p_")).otherwise(F.col("published_precision"))})
+    return checks.metadata_violations(p.drop("v_", "p_"), releases)
+
+
+_MARKED = "CASE WHEN k % 31 = 7 THEN log_width + 0.5 ELSE log_width END"
 
 
-@register("SELECT 'stored width differs' AS rule, entity_key, feature_period AS period, NULL::VARCHAR AS detail FROM panel WHERE CAST(substr(entity_key, 2, 6) AS INTEGER) % 31 = 7", "panel")
+@register(
+    f"""SELECT rule, entity_key, feature_period AS period, NULL::VARCHAR AS detail FROM (SELECT *, unnest(['stored width differs', 'flag differs from its value', 'empty history with a mean', 'history without a mean', 'single value differs from the mean', 'first observed with history', 'interval does not contain the ratio', 'negative measure']) AS rule,
+    unnest([k % 31 = 7, k % 35 = 9, k % 39 = 11, k % 41 = 13, history_count = 1 AND k % 43 = 14 AND k % 41 <> 13, first_observed AND k % 47 = 15, k % 49 = 16, k % 51 = 17]) AS bad FROM (SELECT *, CAST(substr(entity_key, 2, 6) AS INTEGER) AS k FROM panel)) WHERE bad""",
+    "panel",
+)
 def violations_panel_features(spark, sf):
-    p = the_panel(spark, sf).withColumn("stored", F.col("log_width") + F.when(F.substring("entity_key", 2, 6).cast("int") % 31 == 7, 0.5).otherwise(0.0))
-    rules = {"stored width differs": F.abs(F.col("stored") - F.col("log_width")) > 1e-12, "previous without history": F.col("previous_log").isNotNull() & (F.col("history_count") < 2), "change without previous": F.col("change_log").isNotNull() != F.col("previous_log").isNotNull()}
-    return checks.violations(p, rules, "feature_period")
+    """The panel's fields against each other; some of each kind are made wrong here."""
+    k = F.substring("entity_key", 2, 6).cast("int")
+    put = lambda bad, value, c: F.when(bad, value).otherwise(F.col(c))
+    s = T.signals(spark, sf).where("stratum = 'overall'").select("entity_key", F.col("period").alias("feature_period"), "ratio", "lower", "upper")
+    p = the_panel(spark, sf).join(s, ["entity_key", "feature_period"]).withColumns({
+        "stored_width": put(k % 31 == 7, F.col("log_width") + 0.5, "log_width"), "missing_log_low": put(k % 35 == 9, ~F.col("missing_log_low"), "missing_log_low"),
+        "counted": put(k % 39 == 11, F.lit(0), "history_count"), "history_mean": put(k % 41 == 13, F.lit(None), "history_mean"), "n": put(k % 51 == 17, F.lit(-1), "n"), "ratio": put(k % 49 == 16, F.col("upper") + 1, "ratio"),
+    })
+    p = p.withColumn("history_mean", put((F.col("history_count") == 1) & (k % 43 == 14), F.col("history_mean") + 1, "history_mean")).withColumn("earlier", put(F.col("first_observed") & (k % 47 == 15), F.lit(2), "history_count"))
+    return checks.violations(p, checks.panel_rules(), "feature_period")
 
 
 # quality assurance
@@ -280,23 +371,26 @@ def qa_transitions(spark, sf):
     return audit.groupBy("period").agg(*[F.count_if(F.col("status") == s).alias(name) for s, name in (("matched", "matched"), ("right only", "added"), ("left only", "closed"))])
 
 
-@register("SELECT entity_key, status FROM (SELECT coalesce(a.entity_key, b.entity_key) AS entity_key, CASE WHEN b.entity_key IS NULL THEN 'left only' WHEN a.entity_key IS NULL THEN 'right only' ELSE 'matched' END AS status FROM (SELECT entity_key FROM panel_base WHERE period = 1996) a FULL JOIN (SELECT entity_key FROM panel_base WHERE period = 1999) b USING (entity_key))", "panel_base")
+@register("SELECT entity_key, period, status FROM (SELECT coalesce(a.entity_key, b.entity_key) AS entity_key, coalesce(a.period, b.period) AS period, CASE WHEN b.entity_key IS NULL THEN 'left only' WHEN a.entity_key IS NULL THEN 'right only' ELSE 'matched' END AS status FROM (SELECT entity_key, period FROM panel_base) a FULL JOIN (SELECT entity_key, period + 3 AS period FROM panel_base) b USING (entity_key, period))", "panel_base")
 def match_audit(spark, sf):
-    keys = T.signals(spark, sf).where("stratum = 'overall'")
-    return panel.match_audit(keys.where("period = 1996"), keys.where("period = 1999"), "entity_key")
+    """Keys of every period against those of three periods before."""
+    keys = T.signals(spark, sf).where("stratum = 'overall'").select("entity_key", "period")
+    return panel.match_audit(keys, keys.withColumn("period", F.col("period") + 3), "entity_key", "period")
+
+
+_PLACES = "greatest(0, length(rtrim(split_part(printf('%.9f', {c}), '.', 2), '0')))"
 
 
 @register(
-    """SELECT period, stratum, count(*) AS rows, count(*) FILTER (abs((observed + 2::DOUBLE) / (expected + 2) - ratio) <= 0.0000500001::DOUBLE + 0.005::DOUBLE * (observed + 2) / ((expected + 2) * (expected + 2))) AS consistent FROM signals WHERE ratio IS NOT NULL GROUP BY ALL""",
+    f"""SELECT period, stratum, count(*) AS checked, count(*) FILTER (formula_low <= published_high AND published_low <= formula_high) AS within, count(*) FILTER (NOT (formula_low <= published_high AND published_low <= formula_high)) AS discrepancies, max(ep)::INTEGER AS expected_places, max(rp)::INTEGER AS ratio_places FROM (
+    SELECT *, (observed + 2) / (expected + 0.5 * pow(10::DOUBLE, -ep) + 2) AS formula_low, (observed + 2) / (greatest(0, expected - 0.5 * pow(10::DOUBLE, -ep)) + 2) AS formula_high, greatest(0, shown - 0.5 * pow(10::DOUBLE, -rp)) AS published_low, shown + 0.5 * pow(10::DOUBLE, -rp) AS published_high FROM (
+    SELECT *, max({_PLACES.format(c="expected")}) OVER (PARTITION BY period, stratum) AS ep, max({_PLACES.format(c="shown")}) OVER (PARTITION BY period, stratum) AS rp FROM (SELECT *, CASE WHEN l_suppkey % 14 = 6 THEN ratio + 0.25 ELSE ratio END AS shown FROM signals WHERE ratio IS NOT NULL))) GROUP BY ALL""",
     "signals",
 )
 def rounding_diagnostics(spark, sf):
-    """Published ratios that the displayed precision of both numbers can explain."""
-    places = F.max(C.decimal_places(F.col("ratio"))).over(Window.partitionBy("period", "stratum"))
-    s = T.signals(spark, sf).where(F.col("ratio").isNotNull()).withColumn("places", places)
-    raw = (F.col("observed") + 2.0) / (F.col("expected") + 2.0)
-    reach = 0.5 * F.pow(F.lit(10.0), -F.col("places")) + 1e-10 + 0.005 * (F.col("observed") + 2) / ((F.col("expected") + 2) * (F.col("expected") + 2))
-    return s.groupBy("period", "stratum").agg(F.count("*").alias("rows"), F.count_if(F.abs(raw - F.col("ratio")) <= reach).alias("consistent"))
+    """Published ratios whose range of rounding meets that of the formula, at the displayed precision of both numbers; some ratios are moved."""
+    s = T.signals(spark, sf).withColumn("ratio", F.when(F.col("l_suppkey") % 14 == 6, F.col("ratio") + 0.25).otherwise(F.col("ratio")))
+    return panel.rounding_diagnostics(s, "period", "stratum")
 
 
 # views for one entity, over all entities

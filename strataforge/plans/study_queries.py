@@ -244,7 +244,7 @@ _HIST = """SELECT p.feature_release, p.target_release, o.entity_key, arg_max(o.p
 
 @register(f"SELECT feature_release, target_release, entity_key, prior, prior_release, round(history_mean, 6) AS history_mean, history_count, history_releases FROM ({_HIST.format(where='')})", "pairs", "outcomes")
 def history_asof(spark, sf):
-    h = pairs.history_asof(facts(spark, sf), T.pairs(spark))
+    h = pairs.history_asof(facts(spark, sf), T.pairs(spark, sf))
     return h.select("feature_release", "target_release", "entity_key", "prior", "prior_release", r6("history_mean"), "history_count", "history_releases")
 
 
@@ -257,7 +257,7 @@ LEFT JOIN ({_HIST.format(where='AND o.n >= 10')}) h ON h.feature_release = p.fea
 
 @T.saved
 def pair_rows(spark, sf):
-    return pairs.build_pairs(facts(spark, sf), T.pairs(spark))
+    return pairs.build_pairs(facts(spark, sf), T.pairs(spark, sf))
 
 
 @register(f"SELECT feature_release, target_release, entity_key, feature_n, target_n, target_percent, prior, round(history_mean, 6) AS history_mean, history_count FROM ({_PAIR})", "pairs", "outcomes")
@@ -283,7 +283,7 @@ def pair_qa(spark, sf):
 
 @register("SELECT p.feature_release, p.target_release, t.feature_release AS train_feature, t.target_release AS train_target FROM pairs p LEFT JOIN pairs t ON t.target_release <= p.feature_release AND t.target_end < p.target_start", "pairs")
 def strict_vintage_folds(spark, sf):
-    return pairs.strict_vintage_folds(T.pairs(spark))
+    return pairs.strict_vintage_folds(T.pairs(spark, sf))
 
 
 _ELIGIBLE = f"SELECT x.*, CAST(1 + (4 * (row_number() OVER (PARTITION BY target_release ORDER BY target_n, entity_key) - 1)) // count(*) OVER (PARTITION BY target_release) AS INTEGER) AS quartile FROM ({_PAIR}) x WHERE status = 'eligible'"
@@ -329,7 +329,7 @@ def evaluation_cuts(spark, sf):
 def violations_rederived(spark, sf):
     """Stored history means against means from the rows; every twelfth entity's was changed."""
     stored = pair_rows(spark, sf).withColumn("stored", F.col("history_mean") + F.when(F.substring("entity_key", 2, 6).cast("int") % 12 == 5, 1.0).otherwise(0.0)).select("feature_release", "target_release", "entity_key", "stored")
-    again = pairs.history_asof(facts(spark, sf).where("n >= 10"), T.pairs(spark))
+    again = pairs.history_asof(facts(spark, sf).where("n >= 10"), T.pairs(spark, sf))
     both = stored.join(again, ["feature_release", "target_release", "entity_key"])
     return both.where(F.abs(F.col("stored") - F.col("history_mean")) > 1e-9).select("feature_release", "target_release", "entity_key", F.lit("rederived mean differs").alias("rule"))
 
@@ -348,7 +348,7 @@ def violations_outcomes(spark, sf):
 @register("SELECT a.feature_release, a.target_release, CASE WHEN a.feature_end >= a.target_start THEN 'predictors reach into the target' ELSE 'target is public at the origin' END AS rule FROM (SELECT * FROM pairs UNION ALL SELECT feature_release, feature_release + 1, feature_start, feature_end, make_date(feature_release - 1, 1, 1), make_date(feature_release, 6, 30) FROM pairs WHERE feature_release % 2 = 0) a WHERE a.feature_end >= a.target_start OR a.target_release <= a.feature_release", "pairs")
 def violations_leakage(spark, sf):
     """Pairs, with some faulty ones added, whose predictor window doesn't end before the target's begins."""
-    p = T.pairs(spark)
+    p = T.pairs(spark, sf)
     f = F.col("feature_release")
     faulty = p.where(f % 2 == 0).select("feature_release", (f + 1).alias("target_release"), "feature_start", "feature_end", F.make_date(f - 1, F.lit(1), F.lit(1)).alias("target_start"), F.make_date(f, F.lit(6), F.lit(30)).alias("target_end"))
     every = p.unionByName(faulty)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+PREDICTIONS = StructType.fromDDL("entity_key string, feature_period int, target_period int, model string, n long, quartile int, target_ratio double, target_log double, predicted_log double, predicted_ratio double")
+
 
 def write_table(df: DataFrame, path: str, order: list[str], partition: str) -> None:
     """Parquet with zstd, one folder per value of `partition`, rows of each file in `order`.
@@ -32,3 +34,15 @@ def read_exact(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def scan_panel(spark: SparkSession, path: str, schema: StructType, last_target: int) -> DataFrame:
     """Rows with target periods up to `last_target`; the condition prunes partitions or reaches the scan."""
     return read_exact(spark, path, schema).where(F.col("target_period") <= last_target)
+
+
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """The stable columns of a table of predictions, a folder for each target period."""
+    stable = predictions.select(*[F.col(f.name).cast(f.dataType) for f in PREDICTIONS])
+    write_table(stable, path, ["entity_key", "model"], "target_period")
+
+
+def read_releases(spark: SparkSession, path: str, releases: DataFrame) -> DataFrame:
+    """All releases below `path` (folders release=...), each row with its release's metadata and the folder it came from."""
+    found = spark.read.parquet(path).withColumn("source_file", F.regexp_extract(F.col("_metadata.file_path"), "(release=[^/]+)/[^/]+$", 1))
+    return found.join(F.broadcast(releases.select("release", "published_value", "published_precision")), "release")

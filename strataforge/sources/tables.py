@@ -120,7 +120,6 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STATUSES = ("NF", "NO", "AF", "AO", "RF", "RO")
-PAIRS = ((1997, 1999), (1998, 2000), (1999, 2001), (2000, 2002))
 RELEASES = tuple(range(1997, 2003))
 
 
@@ -138,9 +137,10 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pairs(spark: SparkSession) -> DataFrame:
-    """Feature and target releases with cohort windows and publication months."""
-    rows = spark.createDataFrame([(f, t) for f, t in PAIRS], "feature_release int, target_release int")
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature and target releases, two years apart, of the outcomes that there are, with their cohort windows."""
+    releases = outcomes(spark, sf_dir).select("release").distinct()
+    rows = releases.select(F.col("release").alias("feature_release")).join(F.broadcast(releases.select(F.col("release").alias("target_release"))), F.col("target_release") == F.col("feature_release") + 2)
     return rows.select(
         "*", F.make_date(F.col("feature_release") - 2, F.lit(7), F.lit(1)).alias("feature_start"), F.make_date(F.col("feature_release") - 1, F.lit(6), F.lit(30)).alias("feature_end"),
         F.make_date(F.col("target_release") - 2, F.lit(7), F.lit(1)).alias("target_start"), F.make_date(F.col("target_release") - 1, F.lit(6), F.lit(30)).alias("target_end"),
