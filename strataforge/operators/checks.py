@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,42 @@ def differences(stored: DataFrame, computed: DataFrame, keys: list[str], value:
     a, b = stored.select(*keys, F.col(value).alias("stored")), computed.select(*keys, F.col(value).alias("computed"))
     status = F.when(F.col("computed").isNull(), "stored only").when(F.col("stored").isNull(), "computed only").otherwise("both")
     return a.join(b, keys, "full").select(*keys, status.alias("status"), F.abs(F.col("stored") - F.col("computed")).alias("difference"))
+
+
+def bindings(actual: DataFrame, bound: DataFrame, *keys: str) -> DataFrame:
+    """Keys whose declared value isn't the actual one: 'not bound', 'not there' or 'differs'. Both: keys and value."""
+    a, b = actual.select(*keys, F.col("value").alias("actual"), F.lit(True).alias("in_actual")), bound.select(*keys, F.col("value").alias("bound"), F.lit(True).alias("in_bound"))
+    problem = F.when(F.col("in_bound").isNull(), "not bound").when(F.col("in_actual").isNull(), "not there").when(~F.col("actual").eqNullSafe(F.col("bound")), "differs")
+    return a.join(b, list(keys), "full").select(*keys, problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def rederived(stored: DataFrame, computed: DataFrame, *keys: str, tolerance: float = 1e-9) -> DataFrame:
+    """Stored summaries (keys, value) that differ from the computed ones by more than the tolerance, or that only one side has."""
+    both = stored.select(*keys, F.col("value").alias("stored")).join(computed.select(*keys, F.col("value").alias("computed")), list(keys), "full")
+    return both.where(F.col("stored").isNull() | F.col("computed").isNull() | (F.abs(F.col("stored") - F.col("computed")) > tolerance))
+
+
+def _broken(rows: DataFrame, rules: dict[str, Column], *kept: str) -> DataFrame:
+    bad = F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("bad")) for k, v in rules.items()]), lambda x: x["bad"])
+    return rows.select(*kept, F.explode(F.transform(bad, lambda x: x["rule"])).alias("rule"))
+
+
+def pairing(predictions: DataFrame, models: tuple[str, ...], target: str, flags: tuple[str, ...], groups: tuple[str, ...]) -> DataFrame:
+    """(entity_key, target_period, rule): models that are missing, targets, flags or groups that differ between models."""
+    kinds = lambda columns: F.countDistinct(F.struct(*columns))
+    found = predictions.groupBy("entity_key", "target_period").agg(F.countDistinct("model").alias("models"), kinds([target]).alias("targets"), kinds(flags).alias("flags"), kinds(groups).alias("groups"))
+    return _broken(found, {"models missing": F.col("models") != len(models), "targets differ": F.col("targets") > 1, "flags differ": F.col("flags") > 1, "groups differ": F.col("groups") > 1}, "entity_key", "target_period")
+
+
+def roles(rows: DataFrame, rule: str = "several roles") -> DataFrame:
+    """(rule, item, detail) of the items (item, value) with more than one value."""
+    found = rows.groupBy("item").agg(F.array_sort(F.collect_set("value")).alias("values")).where(F.size("values") > 1)
+    return found.select(F.lit(rule).alias("rule"), F.col("item").cast("string").alias("item"), F.array_join("values", ", ").alias("detail"))
+
+
+def release_dates(rows: DataFrame) -> DataFrame:
+    """Releases (release, published) with several dates, and those whose date isn't later than that of the release before."""
+    own = rows.groupBy("release").agg(F.min("published").alias("published"))
+    late = own.withColumn("before", F.lag("published").over(Window.orderBy("release"))).where(F.col("published") <= F.col("before"))  # one row a release
+    order = late.select(F.lit("order of dates").alias("rule"), F.col("release").cast("string").alias("item"), F.col("published").alias("detail"))
+    return roles(rows.select(F.col("release").alias("item"), F.col("published").alias("value")), "several dates").unionByName(order)

@@ -64,9 +64,34 @@ def paired(errors: DataFrame, challenger: str, comparator: str, value: str = "ab
     return both.where(F.col("challenger").isNotNull() & F.col("comparator").isNotNull()).withColumn("difference", F.col("challenger") - F.col("comparator"))
 
 
+def group_balanced(summaries: DataFrame) -> DataFrame:
+    """From group_summaries: the mean over periods of each group's means."""
+    return summaries.groupBy("group_field", "group_value", "model").agg(F.sum("rows").alias("rows"), F.count("*").alias("periods"), F.avg("mean").alias("balanced"))
+
+
 def wins(differences: DataFrame, *by: str) -> DataFrame:
     d = F.col("difference")
-    return differences.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(d < 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d > 0).alias("losses"), *distribution("difference"))
+    return differences.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("entity_key").alias("entities"), F.count_if(d < 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d > 0).alias("losses"), F.avg((d < 0).cast("int")).alias("win_share"), *distribution("difference"))
+
+
+def paired_comparison(errors: DataFrame, challenger: str, comparator: str) -> DataFrame:
+    """Differences of absolute errors on every scale: level 'period', 'pooled', and 'balanced' (means over periods)."""
+    of = lambda m, s: F.max(F.when(F.col("model") == m, F.col(f"absolute_{s}")))
+    both = errors.where(F.col("model").isin(challenger, comparator)).groupBy("entity_key", "target_period").agg(*[(of(challenger, s) - of(comparator, s)).alias(s) for s in SCALES])
+    long = both.unpivot(["entity_key", "target_period"], list(SCALES), "scale", "difference").where(F.col("difference").isNotNull())
+    by_period = wins(long, "target_period", "scale")
+    pooled = wins(long, "scale")
+    balanced = by_period.groupBy("scale").agg(F.sum("rows").alias("rows"), F.avg("win_share").alias("win_share"), F.avg("mean").alias("mean"))
+    named = lambda df, level: df.withColumn("level", F.lit(level))
+    return named(by_period, "period").unionByName(named(pooled, "pooled"), allowMissingColumns=True).unionByName(named(balanced, "balanced"), allowMissingColumns=True)
+
+
+def count_shift(train: DataFrame, evaluation: DataFrame, value: str) -> DataFrame:
+    """Mean, population deviation, extremes and rows of both sides, and the shift of the mean in training deviations (null where these are 0)."""
+    side = lambda df, n: df.agg(F.count("*").alias(f"{n}_rows"), F.avg(value).alias(f"{n}_mean"), F.stddev_pop(value).alias(f"{n}_deviation"), F.min(value).alias(f"{n}_least"), F.max(value).alias(f"{n}_most"))
+    both = side(train, "train").join(F.broadcast(side(evaluation, "evaluate")))
+    deviation = F.nullif(F.col("train_deviation"), F.lit(0.0))
+    return both.withColumns({"shift": (F.col("evaluate_mean") - F.col("train_mean")) / deviation, "reason": F.when(F.col("train_deviation") == 0, "training counts do not vary")})
 
 
 def band_radius(errors: DataFrame, *by: str, percent: int = 80, least: int = 30, value: str = "absolute_log") -> DataFrame:

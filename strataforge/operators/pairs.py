@@ -8,18 +8,47 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def history_asof(facts: DataFrame, pairs: DataFrame, value: str = "percent") -> DataFrame:
-    """For each pair and entity, all outcomes that were available at the feature release: the last one, their mean and number.
+def available(publications: DataFrame) -> DataFrame:
+    """(origin, release): releases that were public at each origin release: itself, and those that were published by its earliest possible date at the latest."""
+    v, p = F.col("published_value"), F.col("published_precision")
+    origin = publications.select(F.col("release").alias("origin"), C.earliest_publication(v, p).alias("at"))
+    source = publications.select("release", C.latest_publication(v, p).alias("known"))
+    return origin.join(F.broadcast(source), (F.col("release") == F.col("origin")) | (F.col("known") <= F.col("at"))).select("origin", "release")
 
-    pairs is a short list; it is broadcast, so the range condition needs no shuffle of facts.
+
+def history_asof(facts: DataFrame, pairs: DataFrame, publications: DataFrame, value: str = "percent") -> DataFrame:
+    """For each pair and entity, all outcomes that were public at the feature release: the last one, their mean and number.
+
+    pairs and publications are short lists; what is public when is broadcast, so the condition needs no shuffle of facts.
     """
-    known = facts.join(F.broadcast(pairs.select("feature_release", "target_release")), F.col("release") <= F.col("feature_release"))
+    public = available(publications).select(F.col("origin").alias("feature_release"), "release")
+    known = facts.where(F.col(value).isNotNull()).join(F.broadcast(pairs.select("feature_release", "target_release").join(F.broadcast(public), "feature_release")), "release")
     return known.groupBy("feature_release", "target_release", "entity_key").agg(
         F.max_by(value, "release").alias("prior"), F.max("release").alias("prior_release"), F.avg(value).alias("history_mean"), F.count(value).alias("history_count"), F.array_join(F.sort_array(F.collect_list(F.col("release").cast("string"))), ",").alias("history_releases")
     )
 
 
-def build_pairs(facts: DataFrame, pairs: DataFrame, least: int = 10) -> DataFrame:
+ACCESS = ("person_years", "rate_ratio", "wait", "safety_ratio", "safety_log_width", "acceptance_overall", "acceptance_low", "acceptance_medium", "acceptance_high", "acceptance_hard", "acceptance_expected", "acceptance_log_width")
+
+
+def acceptance_strata(signals: DataFrame, kind: str) -> DataFrame:
+    """(code, release): ratios of all strata of the period before the release, for entities of one kind."""
+    at = lambda s, c: F.max(F.when(F.col("stratum") == s, F.col(c)))
+    own = signals.where(C.key_kind(F.col("entity_key")) == kind).select("*", C.key_code(F.col("entity_key")).alias("code"), (F.col("period") + 1).alias("release"))
+    named = {"overall": "overall", "low": "low", "medium": "medium", "high": "high", "hard-to-place": "hard"}
+    return own.groupBy("code", "release").agg(*[at(s, "ratio").alias(f"acceptance_{c}") for s, c in named.items()], *[at("overall", m).alias(f"acceptance_{m}") for m in ("expected", "lower", "upper")])
+
+
+def with_access(rows: DataFrame, access: DataFrame, strata: DataFrame) -> DataFrame:
+    """Rates, waits, safety and acceptance of the feature release, where they are reported, with a flag for each that is missing."""
+    a = access.withColumnRenamed("release", "feature_release")
+    s = strata.withColumnRenamed("release", "feature_release")
+    joined = rows.withColumn("code", C.key_code(F.col("entity_key"))).join(a, ["feature_release", "entity_key"], "left").join(s, ["feature_release", "code"], "left").drop("code")
+    measured = joined.withColumns({"wait": C.suppressed_number(F.col("wait_text")), "safety_log_width": C.interval_log_width(F.col("safety_lower"), F.col("safety_upper")), "acceptance_log_width": C.interval_log_width(F.col("acceptance_lower"), F.col("acceptance_upper"))})
+    return measured.withColumns({f"missing_{c}": F.col(c).isNull() for c in ACCESS})
+
+
+def build_pairs(facts: DataFrame, pairs: DataFrame, publications: DataFrame, least: int = 10) -> DataFrame:
     """The feature release's entities with history, target outcome and eligibility; missing targets stay.
 
     Eligibility is the first reason that holds; `reasons` lists all.
@@ -27,7 +56,7 @@ def build_pairs(facts: DataFrame, pairs: DataFrame, least: int = 10) -> DataFram
     p = F.broadcast(pairs.select("feature_release", "target_release"))
     universe = facts.join(p, F.col("release") == F.col("feature_release")).select("feature_release", "target_release", "entity_key", F.col("n").alias("feature_n"))
     target = facts.select(F.col("release").alias("target_release"), "entity_key", F.col("n").alias("target_n"), F.col("percent").alias("target_percent"))
-    joined = universe.join(history_asof(facts.where(F.col("n") >= least), pairs), ["feature_release", "target_release", "entity_key"], "left").join(target, ["target_release", "entity_key"], "left")
+    joined = universe.join(history_asof(facts.where(F.col("n") >= least), pairs, publications), ["feature_release", "target_release", "entity_key"], "left").join(target, ["target_release", "entity_key"], "left")
     first = facts.groupBy("entity_key").agg(F.min("release").alias("first_release"))
     rules = reasons(least)
     status = F.coalesce(*[F.when(bad, name) for name, bad in rules.items()], F.lit("eligible"))
@@ -52,14 +81,21 @@ def pooled_reference(facts: DataFrame) -> DataFrame:
 
 
 def outcome_summary(predictions: DataFrame, *by: str) -> DataFrame:
-    """Volume-weighted and median errors, and calibration with equal weight for each release (null where predictions don't vary)."""
+    """Release-balanced, pooled, volume-weighted and median errors, and calibration with equal weight for each release.
+
+    Where predictions don't vary, slope and intercept are null and calibration_reason says so.
+    """
     over = Window.partitionBy(*by, "model", "target_release")
     w, x, y = 1.0 / F.count("*").over(over), F.col("predicted"), F.col("target_percent")
-    rows = predictions.withColumns({"w_": w, "ae_": F.abs(x - y)})
+    rows = predictions.withColumns({"w_": w, "ae_": F.abs(x - y), "flat_": F.min(x).over(Window.partitionBy(*by, "model")) == F.max(x).over(Window.partitionBy(*by, "model"))})
     W, sx, sy, sxx, sxy = F.sum("w_"), F.sum(F.col("w_") * x), F.sum(F.col("w_") * y), F.sum(F.col("w_") * x * x), F.sum(F.col("w_") * x * y)
-    found = rows.groupBy(*by, "model").agg(F.count("*").alias("rows"), F.avg("ae_").alias("mae"), (F.sum(F.col("target_n") * F.col("ae_")) / F.sum("target_n")).alias("weighted_mae"), F.percentile("ae_", F.lit(0.5)).alias("median_ae"), (sx / W).alias("mx_"), (sy / W).alias("my_"), (sxx / W - (sx / W) * (sx / W)).alias("vx_"), (sxy / W - (sx / W) * (sy / W)).alias("cxy_"))
-    slope = F.when(F.col("vx_") > 1e-9, F.col("cxy_") / F.col("vx_"))
-    return found.select(*by, "model", "rows", "mae", "weighted_mae", "median_ae", slope.alias("slope"), (F.col("my_") - slope * F.col("mx_")).alias("intercept"))
+    found = rows.groupBy(*by, "model").agg(
+        F.count("*").alias("rows"), F.countDistinct("target_release").alias("releases"), (F.sum(F.col("w_") * F.col("ae_")) / W).alias("balanced_mae"), F.avg("ae_").alias("mae"), (F.sum(F.col("target_n") * F.col("ae_")) / F.sum("target_n")).alias("weighted_mae"),
+        F.percentile("ae_", F.lit(0.5)).alias("median_ae"), F.avg(x - y).alias("signed"), (sx / W).alias("mx_"), (sy / W).alias("my_"), (sxx / W - (sx / W) * (sx / W)).alias("vx_"), (sxy / W - (sx / W) * (sy / W)).alias("cxy_"), F.first("flat_").alias("flat_"),
+    )
+    flat = F.col("flat_") | (F.col("vx_") <= 1e-9)
+    slope = F.when(~flat, F.try_divide(F.col("cxy_"), F.col("vx_")))
+    return found.select(*by, "model", "rows", "releases", "balanced_mae", "mae", "weighted_mae", "median_ae", "signed", slope.alias("slope"), (F.col("my_") - slope * F.col("mx_")).alias("intercept"), F.when(flat, "predictions do not vary").alias("calibration_reason"))
 
 
 def cuts(rows: DataFrame) -> DataFrame:
@@ -67,7 +103,41 @@ def cuts(rows: DataFrame) -> DataFrame:
     every = F.lit("all")
     members = {
         "primary": (every, F.lit(True)), "release": (F.col("target_release").cast("string"), F.lit(True)), "quartile": (F.col("quartile").cast("string"), F.lit(True)),
-        "n>=20": (every, F.col("target_n") >= 20), "n>=30": (every, F.col("target_n") >= 30), "first": (F.col("first_observed").cast("string"), F.lit(True)),
+        "n>=20": (every, F.col("target_n") >= 20), "n>=30": (every, F.col("target_n") >= 30), "first": (F.col("first_observed").cast("string"), F.lit(True)), "features": (F.when(F.col("any_missing"), "missing").otherwise("complete"), F.lit(True)),
     }
     cells = [F.struct(F.lit(name).alias("cut"), value.alias("cut_value"), inside.alias("in")) for name, (value, inside) in members.items()]
     return rows.withColumn("c_", F.explode(F.filter(F.array(*cells), lambda c: c["in"]))).select(*rows.columns, "c_.cut", "c_.cut_value")
+
+
+def pair_counts(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per pair: the universe, targets matched, missing and only in the target release, eligible rows at three sizes, rows by status, and the number of different timings."""
+    good = F.col("status") == "eligible"
+    own = rows.groupBy("feature_release", "target_release").agg(
+        F.count("*").alias("universe"), F.count("target_n").alias("matched"), F.count_if(F.col("target_n").isNull()).alias("missing"), *[F.count_if(good & (F.col("target_n") >= n)).alias(f"eligible{n}") for n in (10, 20, 30)], F.count_if("first_observed").alias("first_seen"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ("missing_target", "small_target", "missing_prior")], F.countDistinct("feature_start", "feature_end", "target_start", "target_end").alias("timings"),
+    )
+    keys = rows.select("feature_release", "target_release", "entity_key")
+    there = targets.select(F.col("release").alias("target_release"), "entity_key").join(F.broadcast(keys.select("feature_release", "target_release").distinct()), "target_release")
+    only = there.join(keys, ["feature_release", "target_release", "entity_key"], "left_anti").groupBy("feature_release", "target_release").agg(F.count("*").alias("target_only"))
+    table = there.groupBy("feature_release", "target_release").agg(F.count("*").alias("target_rows"))
+    return own.join(table, ["feature_release", "target_release"], "left").join(only, ["feature_release", "target_release"], "left").withColumn("target_only", F.coalesce("target_only", F.lit(0)))
+
+
+def leakage(pairs: DataFrame, publications: DataFrame, most_offset: int = 0) -> DataFrame:
+    """(feature_release, target_release, rule) of the pairs (with windows and ends of follow-up) that break a rule of time."""
+    v, p = F.col("published_value"), F.col("published_precision")
+    dated = publications.select("release", C.earliest_publication(v, p).alias("earliest"), C.latest_publication(v, p).alias("latest"))
+    f = dated.select(F.col("release").alias("feature_release"), F.col("earliest").alias("origin"))
+    t = dated.select(F.col("release").alias("target_release"), F.col("latest").alias("known"))
+    rows = pairs.join(F.broadcast(f), "feature_release", "left").join(F.broadcast(t), "target_release", "left")
+    offset, start = C.month_offset(F.col("target_start"), F.col("origin")), F.col("target_start")
+    rules = {
+        "unknown release": F.col("origin").isNull() | F.col("known").isNull(), "target release does not follow": F.col("target_release") <= F.col("feature_release"), "origin outside the allowed months": ~offset.between(0, most_offset),
+        "target is public at the origin": F.col("known") <= F.col("origin"), "predictors reach into the target": F.col("feature_end") >= start, "follow-up reaches into the target": F.col("follow_up_end") >= start,
+    }
+    broken = F.filter(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(bad, F.lit(False)).alias("bad")) for k, bad in rules.items()]), lambda x: x["bad"])
+    own = rows.select("feature_release", "target_release", F.explode(F.transform(broken, lambda x: x["rule"])).alias("rule"))
+    other = F.broadcast(pairs.select(F.col("feature_release").alias("o_feature"), F.col("target_release").alias("o_target"), F.col("target_start").alias("o_start"), F.col("target_end").alias("o_end")))
+    different = (F.col("o_feature") != F.col("feature_release")) | (F.col("o_target") != F.col("target_release"))
+    overlap = pairs.join(other, different & (F.col("target_start") <= F.col("o_end")) & (F.col("o_start") <= F.col("target_end"))).select("feature_release", "target_release", F.lit("target cohorts overlap").alias("rule")).distinct()
+    return own.unionByName(overlap)

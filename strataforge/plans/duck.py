@@ -121,3 +121,14 @@ view(
     + """ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) WHERE release BETWEEN 1997 AND 2002""",
 )
 view("pairs", ("outcomes",), "SELECT *, make_date(feature_release - 2, 7, 1) AS feature_start, make_date(feature_release - 1, 6, 30) AS feature_end, make_date(target_release - 2, 7, 1) AS target_start, make_date(target_release - 1, 6, 30) AS target_end FROM (SELECT f.release AS feature_release, t.release AS target_release FROM (SELECT DISTINCT release FROM outcomes) f JOIN (SELECT DISTINCT release FROM outcomes) t ON t.release = f.release + 2)")
+view("publications", ("outcomes",), "SELECT *, CASE published_precision WHEN 'day' THEN published_value::DATE ELSE (published_value || '-01')::DATE END AS earliest, CASE published_precision WHEN 'day' THEN published_value::DATE ELSE last_day((published_value || '-01')::DATE) END AS latest FROM (SELECT DISTINCT release, release::VARCHAR || CASE WHEN release % 2 = 1 THEN '-07-07' ELSE '-07' END AS published_value, CASE WHEN release % 2 = 1 THEN 'day' ELSE 'month' END AS published_precision FROM outcomes)")
+_THERE = "(l_suppkey + 2 * release) % 13 <> 0"
+view(
+    "access",
+    ("outcomes",),
+    f"""SELECT release, entity_key, round(quantity / 10, 3) AS person_years, CASE WHEN (l_suppkey + release) % 10 <> 1 THEN round((successes + 2) / (round(n * rate, 2) + 2), 4) END AS rate_ratio,
+    CASE WHEN (l_suppkey + release) % 9 = 0 THEN '>28' ELSE (1 + (l_suppkey * 3 + release) % 28)::VARCHAR END AS wait_text, CASE WHEN {_THERE} THEN round(ratio, 4) END AS safety_ratio, CASE WHEN {_THERE} THEN round(ratio / exp(1.96::DOUBLE / sqrt(events + 2)), 4) END AS safety_lower,
+    CASE WHEN {_THERE} THEN round(ratio * exp(1.96::DOUBLE / sqrt(events + 2)), 4) END AS safety_upper FROM (SELECT *, (events + 2) / (round(n * event_rate, 2) + 2) AS ratio FROM (
+    SELECT *, sum(successes) OVER (PARTITION BY release)::DOUBLE / sum(n) OVER (PARTITION BY release) AS rate, sum(events) OVER (PARTITION BY release)::DOUBLE / sum(n) OVER (PARTITION BY release) AS event_rate FROM (SELECT *, CAST(round(("RF" + "RO") * n / 100) AS BIGINT) AS events FROM outcomes))) WHERE (3 * l_suppkey + release) % 31 <> 0""",
+)
+view("acceptance", ("signals",), "SELECT substr(entity_key, 1, 7) AS code, period + 1 AS release, " + ", ".join(f"max(ratio) FILTER (stratum = '{t}') AS acceptance_{c}" for t, c in (("overall", "overall"), ("low", "low"), ("medium", "medium"), ("high", "high"), ("hard-to-place", "hard"))) + ", max(expected) FILTER (stratum = 'overall') AS acceptance_expected, max(lower) FILTER (stratum = 'overall') AS acceptance_lower, max(upper) FILTER (stratum = 'overall') AS acceptance_upper FROM signals WHERE entity_key LIKE '%:F' GROUP BY ALL")

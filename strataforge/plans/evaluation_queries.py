@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import checks, evaluate, models, panel, resample
+from ..operators import checks, evaluate, gates, models, panel, resample
 from ..sources import tables as T
 from .panel_queries import eval_periods, predictions, r6, the_panel
 from .duck import view
@@ -96,7 +96,7 @@ _BUCKET = "CASE WHEN exp(current_log) < 0.5 THEN '<0.5' WHEN exp(current_log) <
 
 
 def groups():
-    return {"quartile": F.col("quartile"), "earlier": C.ratio_bucket(F.exp("current_log")), "missing": F.col("any_missing"), "first": F.col("first_observed")}
+    return {"quartile": F.col("quartile"), "earlier": C.ratio_bucket(F.exp("current_log")), "missing": F.col("any_missing"), "first": F.col("first_observed"), "public": F.col("public_forecast_eligible")}
 
 
 @register(f"SELECT DISTINCT entity_key, target_period, {_BUCKET} AS earlier, any_missing FROM predictions", "predictions")
@@ -104,11 +104,20 @@ def earlier_groups(spark, sf):
     return predictions(spark, sf).select("entity_key", "target_period", C.ratio_bucket(F.exp("current_log")).alias("earlier"), "any_missing").distinct()
 
 
-@register(f"SELECT group_field, coalesce(group_value, 'Unknown') AS group_value, target_period, model, count(*) AS rows, round(avg(absolute_log), 6) AS mean FROM (SELECT *, unnest(['quartile', 'earlier', 'missing', 'first']) AS group_field, unnest([quartile::VARCHAR, {_BUCKET}, any_missing::VARCHAR, first_observed::VARCHAR]) AS group_value FROM errors) GROUP BY ALL", "errors")
+_GROUPED = f"SELECT *, unnest(['quartile', 'earlier', 'missing', 'first', 'public']) AS group_field, unnest([quartile::VARCHAR, {_BUCKET}, any_missing::VARCHAR, first_observed::VARCHAR, public_forecast_eligible::VARCHAR]) AS group_value FROM errors"
+
+
+@register(f"SELECT group_field, coalesce(group_value, 'Unknown') AS group_value, target_period, model, count(*) AS rows, round(avg(absolute_log), 6) AS mean FROM ({_GROUPED}) GROUP BY ALL", "errors")
 def group_summaries(spark, sf):
     return six(evaluate.group_summaries(predictions(spark, sf), groups()))
 
 
+@register(f"SELECT group_field, group_value, model, sum(rows)::BIGINT AS rows, count(*) AS periods, round(avg(mean), 6) AS balanced FROM (SELECT group_field, coalesce(group_value, 'Unknown') AS group_value, target_period, model, count(*) AS rows, avg(absolute_log) AS mean FROM ({_GROUPED}) GROUP BY ALL) GROUP BY ALL", "errors")
+def group_balanced(spark, sf):
+    """The mean over periods of each group's means."""
+    return six(evaluate.group_balanced(evaluate.group_summaries(predictions(spark, sf), groups())))
+
+
 _PAIRED = "SELECT entity_key, target_period, max(absolute_log) FILTER (model = 'historical_mean') AS challenger, max(absolute_log) FILTER (model = 'persistence') AS comparator FROM errors GROUP BY ALL"
 
 
@@ -121,9 +130,19 @@ def paired_differences(spark, sf):
     return six(differences(spark, sf))
 
 
-@register(f"SELECT target_period, count(*) AS rows, count(*) FILTER (d < 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d > 0) AS losses, {_DIST.format(v='d')} FROM (SELECT target_period, challenger - comparator AS d FROM ({_PAIRED})) GROUP BY ALL", "errors")
+_OF = "max(absolute_{s}) FILTER (model = 'historical_mean') - max(absolute_{s}) FILTER (model = 'persistence')"
+_BY_SCALE = "SELECT entity_key, target_period, unnest(['ratio', 'percent', 'log']) AS scale, unnest([ratio, percent, log]) AS d FROM (SELECT entity_key, target_period, " + ", ".join(f"{_OF.format(s=x)} AS {x}" for x in evaluate.SCALES) + " FROM errors GROUP BY ALL)"
+_WINS = f"scale, count(*) AS rows, count(DISTINCT entity_key) AS entities, count(*) FILTER (d < 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d > 0) AS losses, avg((d < 0)::INTEGER) AS win_share, {_DIST.format(v='d').replace('round(avg(d), 6)', 'avg(d)')}"
+
+
+@register(
+    f"""SELECT level, target_period, scale, rows, entities, wins, ties, losses, round(win_share, 6) AS win_share, round(mean, 6) AS mean, p10, median, p90, p95, least, most FROM (SELECT 'period' AS level, target_period, {_WINS} FROM ({_BY_SCALE}) GROUP BY ALL UNION ALL SELECT 'pooled', NULL, {_WINS} FROM ({_BY_SCALE}) GROUP BY ALL
+    UNION ALL SELECT 'balanced', NULL, scale, sum(rows)::BIGINT, NULL, NULL, NULL, NULL, avg(win_share), avg(mean), NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT target_period, {_WINS} FROM ({_BY_SCALE}) GROUP BY ALL) GROUP BY scale)""",
+    "errors",
+)
 def paired_wins(spark, sf):
-    return six(evaluate.wins(differences(spark, sf), "target_period"))
+    """Wins, ties, losses and differences on each scale: by period, pooled, and balanced over periods."""
+    return six(evaluate.paired_comparison(predictions(spark, sf), "historical_mean", "persistence"))
 
 
 _RADIUS = "SELECT target_period, model, rows, CASE WHEN rows >= 30 THEN absolute_log END AS radius FROM (SELECT *, row_number() OVER (PARTITION BY target_period, model ORDER BY absolute_log) AS place, count(*) OVER (PARTITION BY target_period, model) AS rows FROM errors) WHERE place = least(rows, ((rows + 1) * 80 + 99) // 100)"
@@ -179,10 +198,29 @@ def collect_predictions(spark, sf):
     return six(long.unionByName(fitted))
 
 
-@register("SELECT entity_key, target_period, count(*) AS models FROM predictions WHERE NOT (model = 'neutral' AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 13 = 6) GROUP BY ALL HAVING count(*) <> 4", "predictions")
+@register(
+    """SELECT entity_key, target_period, rule FROM (SELECT *, unnest(['models missing', 'targets differ', 'flags differ', 'groups differ']) AS rule, unnest([k % 13 = 6, k % 14 = 3, k % 15 = 4, k % 16 = 5 AND k % 13 <> 6]) AS bad FROM (SELECT *, CAST(substr(entity_key, 2, 6) AS INTEGER) AS k FROM predictions WHERE model = 'persistence')) WHERE bad""",
+    "predictions",
+)
 def violations_pairing(spark, sf):
-    p = predictions(spark, sf).where(~((F.col("model") == "neutral") & (F.substring("entity_key", 2, 6).cast("int") % 13 == 6)))
-    return p.groupBy("entity_key", "target_period").agg(F.countDistinct("model").alias("models")).where(F.col("models") != len(panel.METHODS))
+    """Every entity and period has every model, with one target, one set of flags and one group; some rows are made wrong here."""
+    k, model = F.substring("entity_key", 2, 6).cast("int"), F.col("model")
+    put = lambda bad, value, c: F.when(bad, value).otherwise(F.col(c))
+    p = predictions(spark, sf).where(~((model == "neutral") & (k % 13 == 6))).withColumns({
+        "target_ratio": put((model == "persistence") & (k % 14 == 3), F.col("target_ratio") + 1, "target_ratio"), "first_observed": put((model == "historical_mean") & (k % 15 == 4), ~F.col("first_observed"), "first_observed"),
+        "quartile": put((model == "neutral") & (k % 16 == 5), F.col("quartile") + 1, "quartile"),
+    })
+    return checks.pairing(p, panel.METHODS, "target_ratio", ("first_observed", "any_missing", "public_forecast_eligible"), ("quartile",))
+
+
+@register("SELECT entity_key, target_period, model, CASE WHEN extra THEN 'right only' ELSE 'left only' END AS status FROM (SELECT entity_key, target_period, model, false AS extra FROM predictions WHERE model = 'neutral' AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 13 = 6 UNION ALL SELECT entity_key, target_period - 10, model, true FROM predictions WHERE CAST(substr(entity_key, 2, 6) AS INTEGER) % 17 = 2)", "predictions")
+def violations_coverage(spark, sf):
+    """Predictions that the panel's keys and the models ask for and that are missing ('left only'), and those that nobody asked for."""
+    k = F.substring("entity_key", 2, 6).cast("int")
+    wanted = the_panel(spark, sf).where("analytic_eligible AND target_period BETWEEN 1998 AND 2000").select("entity_key", "target_period", F.explode(F.array(*[F.lit(m) for m in panel.METHODS])).alias("model"))
+    p = predictions(spark, sf).select("entity_key", "target_period", "model")
+    found = p.where(~((F.col("model") == "neutral") & (k % 13 == 6))).unionByName(p.where(k % 17 == 2).withColumn("target_period", F.col("target_period") - 10))
+    return panel.match_audit(wanted, found, "entity_key", "target_period", "model").where("status <> 'matched'")
 
 
 @register("SELECT entity_key, target_period, CASE WHEN CAST(substr(entity_key, 2, 6) AS INTEGER) % 9 = 1 THEN 'computed only' ELSE 'both' END AS status, CASE WHEN CAST(substr(entity_key, 2, 6) AS INTEGER) % 9 = 1 THEN NULL WHEN CAST(substr(entity_key, 2, 6) AS INTEGER) % 9 = 2 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS difference FROM predictions WHERE model = 'persistence'", "predictions")
@@ -193,11 +231,19 @@ def reconstruction_diff(spark, sf):
     return six(checks.differences(stored, computed, ["entity_key", "target_period"], "predicted_log"))
 
 
-@register("SELECT target_period, CASE WHEN target_period = 2000 THEN 'replay' ELSE 'development' END AS role, count(DISTINCT entity_key) AS entities FROM predictions GROUP BY ALL", "predictions")
+@register(
+    """SELECT 'several roles' AS rule, target_period::VARCHAR AS item, 'development, replay' AS detail FROM predictions WHERE target_period = 1999 AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 12 = 1 GROUP BY ALL
+    UNION ALL SELECT 'several dates', release::VARCHAR, release || '-07-07, ' || release || '-08-01' FROM annual WHERE release % 4 = 2 AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 9 = 2 GROUP BY ALL
+    UNION ALL SELECT 'order of dates', '2000', '1998-07-07' FROM (SELECT DISTINCT release FROM annual WHERE release = 2000)""",
+    "predictions", "annual",
+)
 def violations_roles(spark, sf):
-    """Each period has one evidence role, and these are the entities behind it."""
-    role = F.when(F.col("target_period") == T.LAST_PERIOD, "replay").otherwise("development")
-    return predictions(spark, sf).groupBy("target_period").agg(F.max(role).alias("role"), F.countDistinct("entity_key").alias("entities"))
+    """Periods with several evidence roles, releases with several dates of publication, releases whose dates don't follow their order."""
+    k, period, release = F.substring("entity_key", 2, 6).cast("int"), F.col("target_period"), F.col("release")
+    role = F.when((period == T.LAST_PERIOD) | ((period == 1999) & (k % 12 == 1)), "replay").otherwise("development")
+    dated = F.concat(F.when(release == 2000, 1998).otherwise(release).cast("string"), F.when((release % 4 == 2) & (k % 9 == 2), "-08-01").otherwise("-07-07"))
+    annual = T.annual(spark, sf).select(release, dated.alias("published"))
+    return checks.roles(predictions(spark, sf).select(period.alias("item"), role.alias("value"))).unionByName(checks.release_dates(annual))
 
 
 # bootstraps
@@ -409,68 +455,177 @@ def replay_diagnostics(spark, sf):
 
 
 # gates
-_YEARLY = "SELECT target_period, model, avg(absolute_log) AS mae, count(*) AS rows FROM errors GROUP BY ALL"
-_GATE = f"""SELECT model, round(1 - avg(mae) / avg(ref), 6) AS skill, count(*) FILTER (mae < ref) AS improved, round(max(mae - ref), 6) AS worst, min(rows) AS least_rows FROM (SELECT y.*, r.mae AS ref FROM ({_YEARLY}) y JOIN ({_YEARLY}) r ON r.target_period = y.target_period AND r.model = 'persistence') WHERE model <> 'persistence' GROUP BY ALL"""
+_C, _P, _M = gates.CANDIDATE, gates.POLICY, gates.PROMOTION
+_YEARLY = "SELECT target_period, model, avg(absolute_log) AS mae, avg(absolute_ratio) AS ratio, avg(signed_log) AS signed, quantile_cont(absolute_log, 0.9) AS p90, count(*) AS rows FROM errors {where} GROUP BY ALL"
+_VERSUS = "SELECT y.*, r.mae AS ref FROM ({t}) y JOIN ({t}) r ON r.target_period = y.target_period AND r.model = 'persistence' WHERE y.model <> 'persistence'"
+_WORSE = "CASE WHEN {r} = 0 THEN CASE WHEN {c} = 0 THEN 0 ELSE 'inf'::DOUBLE END ELSE {c} / {r} - 1 END"
 
 
-def gate_table(spark, sf):
-    table = evaluate.metrics(predictions(spark, sf), "target_period")
-    ref = table.where("model = 'persistence'").select("target_period", F.col("mae_log").alias("ref"))
-    both = table.where("model <> 'persistence'").join(F.broadcast(ref), "target_period")
-    d = F.col("mae_log") - F.col("ref")
-    return both.groupBy("model").agg((1 - F.avg("mae_log") / F.avg("ref")).alias("skill"), F.count_if(d < 0).alias("improved"), F.max(d).alias("worst"), F.min("rows").alias("least_rows"))
+def failed_sql(rules: dict[str, str]) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({v}, false) THEN '{k}' END" for k, v in rules.items()) + "], lambda x: x IS NOT NULL), ',')"
 
 
-_FAILED = "array_to_string(list_filter([CASE WHEN skill < 0.01 THEN 'skill' END, CASE WHEN improved < 2 THEN 'improved' END, CASE WHEN worst > 0.02 THEN 'worst' END, CASE WHEN least_rows < 10 THEN 'rows' END], lambda x: x IS NOT NULL), ',')"
+_RULES = {"skill": f"skill >= {_C['skill']}", "improved": f"improved >= {_C['improved']}", "worst": f"worst <= {_C['worst']}", "low_rows": f"low_rows >= {_C['low_rows']}", "low_worsening": f"low_worsening <= {_C['low_worsening']}"}
 
 
-def criteria(rules):
-    return F.array_join(F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()])), ",")
+@register(
+    f"""SELECT model, round(skill, 6) AS skill, improved, round(worst, 6) AS worst, round(low_worsening, 6) AS low_worsening, low_rows, {failed_sql(_RULES)} AS failed, {failed_sql(_RULES)} = '' AS passed FROM (
+    SELECT model, coalesce(1 - avg(mae) / nullif(avg(ref), 0), 0) AS skill, count(*) FILTER (mae < ref) AS improved, max({_WORSE.format(c='mae', r='ref')}) AS worst FROM ({_VERSUS.format(t=_YEARLY.format(where=''))}) GROUP BY model) JOIN (
+    SELECT model, {_WORSE.format(c='avg(mae)', r='avg(ref)')} AS low_worsening, min(rows) AS low_rows FROM ({_VERSUS.format(t=_YEARLY.format(where='WHERE quartile = 1'))}) GROUP BY model) USING (model)""",
+    "errors",
+)
+def gate_candidate(spark, sf):
+    return six(gates.candidate(predictions(spark, sf)))
+
+
+def interval_views(name: str, table: str, *keys: str) -> None:
+    """View <name>: exact 95 % bounds of covered / available of each row of the view `table` with these keys, by bisection."""
+    k = ", ".join(keys)
+    view(f"{name}_sides", (table,), f"SELECT {k}, available AS n, unnest(['lower', 'upper']) AS side, unnest([covered, covered + 1]) AS k, unnest([0.025::DOUBLE, 0.975::DOUBLE]) AS wanted FROM {table} WHERE available > 0")
+    view(f"{name}_halves", (f"{name}_sides",), f"""SELECT 0 AS step, {k}, n, side, k, wanted, 0::DOUBLE AS lo, 1::DOUBLE AS hi FROM {name}_sides WHERE k BETWEEN 1 AND n UNION ALL
+    SELECT step + 1, {k}, n, side, k, wanted, CASE WHEN tail < wanted THEN mid ELSE lo END, CASE WHEN tail < wanted THEN hi ELSE mid END FROM (
+    SELECT b.step, {", ".join(f"b.{x}" for x in keys)}, b.n, b.side, b.k, b.wanted, b.lo, b.hi, (b.lo + b.hi) / 2 AS mid, sum(exp(lgamma(b.n + 1) - lgamma(i + 1) - lgamma(b.n - i + 1) + i * ln((b.lo + b.hi) / 2) + (b.n - i) * ln(1 - (b.lo + b.hi) / 2))) AS tail
+    FROM {name}_halves b, LATERAL (SELECT unnest(range(b.k, b.n + 1)) AS i) WHERE b.step < 40 GROUP BY ALL)""")
+    view(name, (f"{name}_sides", f"{name}_halves"), f"SELECT {k}, coalesce(max(h.lo) FILTER (side = 'lower'), 0) AS lower, coalesce(max(h.lo) FILTER (side = 'upper'), 1) AS upper FROM {name}_sides s LEFT JOIN (SELECT * FROM {name}_halves WHERE step = 40) h USING ({k}, side) GROUP BY ALL")
+
+
+def policy_bands(spark, sf):
+    return banded(spark, sf).where("target_period > 1998")
+
+
+view("banded", ("errors",), _BANDED)
+view("promotion_band", ("banded",), "SELECT 1 AS one, count(band_lower) FILTER (model = 'historical_mean') AS available, count(*) FILTER (covered AND model = 'historical_mean') AS covered, avg(band_upper - band_lower) FILTER (model = 'historical_mean') AS width, avg(band_upper - band_lower) FILTER (model = 'persistence') AS ref_width FROM banded WHERE target_period = 2000")
+interval_views("promotion_exact", "promotion_band", "one")
+_AVG = "avg({v}) FILTER (model = '{m}'{w})"
+_ONE = ", ".join(f"{_AVG.format(v=v, m=m, w=w)} AS {n}" for n, v, m, w in (("mae", "absolute_log", "historical_mean", ""), ("ref", "absolute_log", "persistence", ""), ("s", "signed_log", "historical_mean", ""), ("ref_s", "signed_log", "persistence", ""), ("low", "absolute_log", "historical_mean", " AND quartile = 1"), ("ref_low", "absolute_log", "persistence", " AND quartile = 1")))
+_POINT = {"skill": f"skill >= {_M['skill']}", "interval": "interval_upper < 0", "bias": f"abs(s) <= {_M['bias']}", "bias_to_baseline": "abs(s) <= abs(ref_s)", "low_rows": f"low_rows >= {_M['low_rows']}", "low_worsening": _WORSE.format(c="low", r="ref_low") + f" <= {_M['low_worsening']}"}
+_BAND = {"availability": "available > 0", "coverage": f"{_M['nominal']}::DOUBLE BETWEEN exact_lower AND exact_upper", "width": _WORSE.format(c="width", r="ref_width") + f" + 1 <= {_M['width']}"}
+_REPLAYED = f"""(SELECT quantile_cont(balanced, 0.975) AS interval_upper FROM (SELECT replicate, sum(times * difference) / sum(times) AS balanced FROM pt JOIN pe USING (rank) JOIN pd USING (entity_key) GROUP BY ALL))"""
+view("pd", ("errors",), f"SELECT entity_key, challenger - comparator AS difference FROM ({_PAIRED}) WHERE target_period = 2000")
+view("pe", ("pd",), "SELECT entity_key, row_number() OVER (ORDER BY entity_key) - 1 AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT entity_key FROM pd)")
+view("pt", ("pe",), "SELECT replicate, (('0x' || substr(md5('7:' || replicate || ':' || rank), 1, 8))::BIGINT % n) AS rank, count(*) AS times FROM pe, (SELECT unnest(range(0, 200)) AS replicate) GROUP BY ALL")
+
+
+@register(
+    f"""SELECT round(skill, 6) AS skill, round(interval_upper, 6) AS interval_upper, round(exact_lower, 6) AS exact_lower, round(exact_upper, 6) AS exact_upper, point_failed, band_failed, point_failed = '' AS point_promoted, band_failed = '' AS band_promoted, CASE WHEN point_failed = '' THEN 'historical_mean' ELSE 'persistence' END AS displayed, point_failed = '' AND band_failed = '' AS released FROM (
+    SELECT *, {failed_sql(_POINT)} AS point_failed, {failed_sql(_BAND)} AS band_failed FROM (SELECT *, coalesce(1 - mae / nullif(ref, 0), 0) AS skill FROM (SELECT {_ONE}, count(*) FILTER (model = 'historical_mean' AND quartile = 1) AS low_rows FROM errors WHERE target_period = 2000), {_REPLAYED}, promotion_band LEFT JOIN (SELECT one, lower AS exact_lower, upper AS exact_upper FROM promotion_exact) USING (one)))""",
+    "errors", "pd", "pe", "pt", "promotion_band", "promotion_exact",
+)
+def gate_promotion(spark, sf):
+    """Whether the historical mean's points and bands of the last period may be shown."""
+    return six(gates.promotion(predictions(spark, sf), banded(spark, sf), T.LAST_PERIOD, "historical_mean"))
 
 
-@register(f"SELECT *, {_FAILED} AS failed, {_FAILED} = '' AS passed FROM ({_GATE})", "errors")
-def gate_candidate(spark, sf):
-    g = six(gate_table(spark, sf))
-    failed = criteria({"skill": F.col("skill") < 0.01, "improved": F.col("improved") < 2, "worst": F.col("worst") > 0.02, "rows": F.col("least_rows") < 10})
-    return g.withColumn("failed", failed).withColumn("passed", F.col("failed") == "")
+CANDIDATES = ("adjusted_persistence", "neutral")
+view("policy_errors", ("errors",), "SELECT * FROM errors WHERE target_period > 1998")
+_HIDDEN = "(group_field = 'public' AND group_value <> 'true')"
+_APPLIED = f"(rows >= {_P['group_rows']} AND NOT {_HIDDEN})"
+_GROUPS_OF = _GROUPED.replace("FROM errors", "FROM policy_errors")
+_MEANS = f"SELECT target_period, group_field, coalesce(group_value, 'Unknown') AS group_value, model, count(*) AS rows, avg(absolute_log) AS mean FROM ({_GROUPS_OF}) GROUP BY ALL"
+view("group_cells", ("policy_errors",), f"SELECT *, {_APPLIED} AS applied, CASE WHEN {_APPLIED} THEN mean <= ref * (1 + {_P['group_worsening']}) END AS passed, CASE WHEN {_HIDDEN} THEN 'not eligible' WHEN {_APPLIED} THEN 'enough rows' ELSE 'too few rows' END AS reason FROM (SELECT c.*, r.mean AS ref FROM ({_MEANS}) c JOIN ({_MEANS}) r ON r.model = 'persistence' AND r.target_period = c.target_period AND r.group_field = c.group_field AND r.group_value = c.group_value WHERE c.model <> 'persistence')")
 
 
-@register(bootstrap_sql("SELECT upper < 0 AS point_promoted, retained >= 100 AS enough, upper < 0 AND retained >= 100 AS released FROM (SELECT count(*) AS retained, round(quantile_cont(balanced, 0.975), 6) AS upper FROM m WHERE periods = (SELECT count(DISTINCT target_period) FROM d))", 200), "errors")
-def gate_promotion(spark, sf):
-    b = bootstrap_clustered_skip(spark, sf)
-    point, enough = F.col("upper") < 0, F.col("retained") >= 100
-    return b.select(point.alias("point_promoted"), enough.alias("enough"), (point & enough).alias("released"))
+@register("SELECT model, target_period, group_field, group_value, rows, round(mean, 6) AS mean, round(ref, 6) AS ref, applied, passed, reason FROM group_cells", "group_cells")
+def gate_groups(spark, sf):
+    """Every group of the policy's periods against the baseline."""
+    return six(policy_groups(spark, sf))
+
+
+def policy_groups(spark, sf):
+    return gates.group_cells(evaluate.group_summaries(predictions(spark, sf).where("target_period > 1998"), groups()))
+
+
+_BAND_GROUPS = f"SELECT *, unnest(['all', 'quartile', 'earlier', 'missing', 'first', 'public']) AS group_field, unnest(['all', quartile::VARCHAR, {_BUCKET}, any_missing::VARCHAR, first_observed::VARCHAR, public_forecast_eligible::VARCHAR]) AS group_value FROM banded WHERE target_period > 1998"
+view("band_groups", ("banded",), f"SELECT target_period, model, group_field, coalesce(group_value, 'Unknown') AS group_value, count(*) AS rows, count(band_lower) AS available, count(*) FILTER (covered) AS covered, avg(band_upper - band_lower) AS width FROM ({_BAND_GROUPS}) GROUP BY ALL")
+interval_views("band_exact", "band_groups", "target_period", "model", "group_field", "group_value")
+view("band_cells", ("band_groups", "band_exact"), f"SELECT *, {_APPLIED} AS applied, CASE WHEN {_APPLIED} THEN coalesce({_P['nominal']}::DOUBLE BETWEEN lower AND upper, false) END AS passed FROM band_groups LEFT JOIN band_exact USING (target_period, model, group_field, group_value)")
+
+
+@register("SELECT target_period, model, group_field, group_value, rows, available, covered, round(width, 6) AS width, round(lower, 6) AS lower, round(upper, 6) AS upper, applied, passed FROM band_cells", "band_cells")
+def gate_bands(spark, sf):
+    """Coverage of every period and group of the policy with exact intervals."""
+    return six(gates.band_cells(policy_bands(spark, sf), groups()))
+
+
+_BAND_MODELS = "SELECT model, bool_and(NOT (group_field = 'all' AND (available < rows OR NOT applied))) AS availability, coalesce(bool_and(passed) FILTER (applied), true) AS coverage, avg(width) FILTER (group_field = 'all') AS width, bool_and(group_field <> 'all' OR width IS NOT NULL) AS complete FROM band_cells GROUP BY model"
+view("band_checks", ("band_cells",), f"SELECT model, unnest(['band_availability', 'band_coverage', 'band_width']) AS criterion, unnest([availability, coverage, coalesce(complete AND ref_complete AND width <= ref * {_P['width']}, false)]) AS passed FROM ({_BAND_MODELS}), (SELECT width AS ref, complete AS ref_complete FROM ({_BAND_MODELS}) WHERE model = 'persistence')")
 
 
-@register(f"SELECT model, unnest(['skill', 'improved', 'worst', 'rows']) AS criterion, unnest([skill >= 0.01, improved >= 2, worst <= 0.02, least_rows >= 10]) AS passed FROM ({_GATE})", "errors")
+def _uppers() -> str:
+    """Upper bounds of the bootstrap and shares of large worsening of each candidate against the baseline."""
+    parts = []
+    for m in CANDIDATES:
+        own = f"SELECT entity_key, target_period, max(absolute_log) FILTER (model = '{m}') AS challenger, max(absolute_log) FILTER (model = 'persistence') AS comparator FROM policy_errors GROUP BY ALL"
+        final = f"SELECT '{m}' AS model, (SELECT quantile_cont(balanced, 0.975) FROM m WHERE periods = (SELECT count(DISTINCT target_period) FROM d)) AS upper, (SELECT avg(s) FROM (SELECT target_period, avg((difference > {_P['large']})::INTEGER) AS s FROM d GROUP BY ALL)) AS large"
+        parts.append(bootstrap_sql(final, 200).replace(_PAIRED, own))
+    return " UNION ALL ".join(parts)
+
+
+_BY_MODEL = f"SELECT model, avg(mae) AS log, avg(ratio) AS ratio, abs(avg(signed)) AS bias, max(abs(signed)) AS year_bias, avg(p90) AS tail, count(*) FILTER (mae < ref) AS improved, bool_and(mae <= ref * (1 + {_P['year_worsening']})) AS every FROM (SELECT y.*, r.mae AS ref FROM ({{t}}) y JOIN ({{t}}) r ON r.target_period = y.target_period AND r.model = 'persistence') GROUP BY model".format(t=_YEARLY.format(where="").replace("FROM errors", "FROM policy_errors"))
+_CHECKS = {
+    "primary_accuracy": f"log <= b_log * (1 - {_P['improvement']})", "history_accuracy": "log <= h_log", "ratio_accuracy": "ratio <= b_ratio", "paired_uncertainty": "upper < 0", "improved_periods": f"improved >= {_P['improved']}", "worst_period": "every", "bias": f"bias <= {_P['bias']}",
+    "period_bias": f"year_bias <= {_P['year_bias']}", "large_errors": f"tail <= b_tail * {_P['tail']}", "group_accuracy": "coalesce(groups_, true)", "large_worsening": f"large <= {_P['large_share']}",
+}
+view("point_checks", ("policy_errors", "group_cells"), f"""SELECT model, log AS mae, unnest([{", ".join(f"'{k}'" for k in _CHECKS)}]) AS criterion, unnest([{", ".join(f"coalesce({v}, false)" for v in _CHECKS.values())}]) AS passed FROM ({_BY_MODEL}) JOIN ({_uppers()}) USING (model)
+LEFT JOIN (SELECT model, coalesce(bool_and(passed) FILTER (applied), true) AS groups_ FROM group_cells GROUP BY model) USING (model), (SELECT log AS b_log, ratio AS b_ratio, tail AS b_tail FROM ({_BY_MODEL}) WHERE model = 'persistence'), (SELECT log AS h_log FROM ({_BY_MODEL}) WHERE model = 'historical_mean')""")
+
+
+@T.saved
+def policy_points(spark, sf):
+    return gates.point_checks(predictions(spark, sf).where("target_period > 1998"), policy_groups(spark, sf), CANDIDATES)
+
+
+def policy_band_checks(spark, sf):
+    return gates.band_checks(gates.band_cells(policy_bands(spark, sf), groups()))
+
+
+@register("SELECT model, criterion, passed FROM point_checks UNION ALL SELECT model, criterion, passed FROM band_checks", "point_checks", "band_checks")
 def gate_policy(spark, sf):
-    rules = {"skill": F.col("skill") >= 0.01, "improved": F.col("improved") >= 2, "worst": F.col("worst") <= 0.02, "rows": F.col("least_rows") >= 10}
-    g = six(gate_table(spark, sf))
-    return g.select("model", F.explode(F.array(*[F.struct(F.lit(k).alias("criterion"), v.alias("passed")) for k, v in rules.items()])).alias("c")).select("model", "c.*")
+    """The eleven point checks of each candidate and the three band checks of each model."""
+    return policy_points(spark, sf).select("model", "criterion", "passed").unionByName(policy_band_checks(spark, sf))
 
 
-@register(f"SELECT model, round(gain, 6) AS gain, gain >= 0.005 AND gain >= 0.05 * ref AND improved = years AS continued FROM (SELECT model, avg(ref) - avg(mae) AS gain, avg(ref) AS ref, count(*) FILTER (mae < ref) AS improved, count(*) AS years FROM (SELECT y.*, r.mae AS ref FROM ({_YEARLY}) y JOIN ({_YEARLY}) r ON r.target_period = y.target_period AND r.model = 'persistence') WHERE model <> 'persistence' GROUP BY ALL)", "errors")
-def gate_continuation(spark, sf):
-    """An absolute and a relative gain over persistence, and a gain at every origin."""
-    table = evaluate.metrics(predictions(spark, sf), "target_period")
-    ref = table.where("model = 'persistence'").select("target_period", F.col("mae_log").alias("ref"))
-    g = table.where("model <> 'persistence'").join(F.broadcast(ref), "target_period").groupBy("model").agg((F.avg("ref") - F.avg("mae_log")).alias("gain"), F.avg("ref").alias("ref"), F.count_if(F.col("mae_log") < F.col("ref")).alias("improved"), F.count("*").alias("years"))
-    return g.select("model", r6("gain"), ((F.col("gain") >= 0.005) & (F.col("gain") >= 0.05 * F.col("ref")) & (F.col("improved") == F.col("years"))).alias("continued"))
+@register(
+    f"""SELECT selected, point_selected, point_selected AND coalesce((SELECT bool_and(passed) FROM band_checks WHERE model = selected), false) AS band_selected FROM (SELECT coalesce(max(model) FILTER (place = 1), 'persistence') AS selected, count(*) > 0 AS point_selected FROM (
+    SELECT model, row_number() OVER (ORDER BY mae, list_position([{", ".join(f"'{m}'" for m in CANDIDATES)}], model)) AS place FROM (SELECT model, any_value(mae) AS mae, bool_and(passed) AS passed FROM point_checks GROUP BY model) WHERE passed))""",
+    "point_checks", "band_checks",
+)
+def policy_selection(spark, sf):
+    """The candidate with the lowest error that passes all point checks, else the baseline; and whether its bands pass."""
+    return gates.selection(policy_points(spark, sf), policy_band_checks(spark, sf), CANDIDATES)
+
+
+_COLUMNS = [*panel.LOG_INPUTS, "any"]
+_NULL = {c: f"{c} IS NULL" for c in panel.LOG_INPUTS} | {"any": " OR ".join(f"{c} IS NULL" for c in panel.LOG_INPUTS)}
 
 
-@register("SELECT feature, train::BIGINT AS train, evaluate::BIGINT AS evaluate FROM (SELECT " + ", ".join(f"count(*) FILTER (target_period < 2000 AND {c} IS NULL) AS a_{c}, count(*) FILTER (target_period = 2000 AND {c} IS NULL) AS b_{c}" for c in FEATURES) + " FROM panel WHERE analytic_eligible AND target_period <= 2000), LATERAL (VALUES " + ", ".join(f"('{c}', a_{c}, b_{c})" for c in FEATURES) + ") v(feature, train, evaluate)", "panel")
+@register("SELECT feature, train::BIGINT AS train, evaluate::BIGINT AS evaluate FROM (SELECT " + ", ".join(f'count(*) FILTER (target_period < 2000 AND ({v})) AS "a_{c}", count(*) FILTER (target_period = 2000 AND ({v})) AS "b_{c}"' for c, v in _NULL.items()) + " FROM panel WHERE analytic_eligible AND target_period <= 2000), LATERAL (VALUES " + ", ".join(f"""('{c}', "a_{c}", "b_{c}")""" for c in _NULL) + ") v(feature, train, evaluate)", "panel")
 def feature_missingness(spark, sf):
-    p = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000")
+    """Missing values of each feature in training and evaluation rows, and rows with any ('any')."""
+    p = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000").withColumn("any", F.when(~F.exists(F.array(*panel.LOG_INPUTS), lambda c: c.isNull()), 1.0))
     early, late = F.col("target_period") < 2000, F.col("target_period") == 2000
-    one = p.agg(*[F.struct(F.lit(c).alias("feature"), F.count_if(early & F.col(c).isNull()).alias("train"), F.count_if(late & F.col(c).isNull()).alias("evaluate")).alias(c) for c in FEATURES])
-    return one.select(F.explode(F.array(*FEATURES)).alias("f")).select("f.*")
+    one = p.agg(*[F.struct(F.lit(c).alias("feature"), F.count_if(early & F.col(c).isNull()).alias("train"), F.count_if(late & F.col(c).isNull()).alias("evaluate")).alias(c) for c in _COLUMNS])
+    return one.select(F.explode(F.array(*_COLUMNS)).alias("f")).select("f.*")
+
 
+_SIDE = "avg(history_count) FILTER ({w}) AS {n}_mean, stddev_pop(history_count) FILTER ({w}) AS {n}_deviation, min(history_count) FILTER ({w}) AS {n}_least, max(history_count) FILTER ({w}) AS {n}_most, count(*) FILTER ({w}) AS {n}_rows"
 
-@register("SELECT CASE WHEN target_period < 2000 THEN 'train' ELSE 'evaluate' END AS role, count(*) AS rows, round(avg(history_count), 6) AS mean, round(stddev_pop(history_count), 6) AS deviation, min(history_count) AS least, max(history_count) AS most FROM panel WHERE analytic_eligible AND target_period <= 2000 GROUP BY ALL", "panel")
+
+@register(
+    "SELECT train_rows, evaluate_rows, train_least, evaluate_least, train_most, evaluate_most, round(train_mean, 6) AS train_mean, round(evaluate_mean, 6) AS evaluate_mean, round(train_deviation, 6) AS train_deviation, round(evaluate_deviation, 6) AS evaluate_deviation, round((evaluate_mean - train_mean) / nullif(train_deviation, 0), 6) AS shift, CASE WHEN train_deviation = 0 THEN 'training counts do not vary' END AS reason FROM (SELECT "
+    + _SIDE.format(w="target_period < 2000", n="train") + ", " + _SIDE.format(w="target_period = 2000", n="evaluate") + " FROM panel WHERE analytic_eligible AND target_period <= 2000)",
+    "panel",
+)
 def history_count_shift(spark, sf):
+    """How far the mean number of earlier reports moves from training to evaluation, in training deviations."""
+    p = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000")
+    return six(evaluate.count_shift(p.where("target_period < 2000"), p.where("target_period = 2000"), "history_count"))
+
+
+@register("SELECT CASE WHEN target_period < 2000 THEN 'train' ELSE 'evaluate' END AS role, history_count, count(*) AS rows FROM panel WHERE analytic_eligible AND target_period <= 2000 GROUP BY ALL", "panel")
+def history_count_frequencies(spark, sf):
     p = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000")
-    role = F.when(F.col("target_period") < 2000, "train").otherwise("evaluate")
-    return six(p.groupBy(role.alias("role")).agg(F.count("*").alias("rows"), F.avg("history_count").alias("mean"), F.stddev_pop("history_count").alias("deviation"), F.min("history_count").alias("least"), F.max("history_count").alias("most")))
+    return p.groupBy(F.when(F.col("target_period") < 2000, "train").otherwise("evaluate").alias("role"), "history_count").agg(F.count("*").alias("rows"))
 
 
 @register("SELECT entity_key, feature_period, CASE WHEN target_period > 2000 THEN 'excluded: incomplete period' WHEN NOT analytic_eligible THEN 'excluded: missing target' WHEN target_period = 2000 THEN 'evaluation' ELSE 'train' END AS role FROM panel", "panel")

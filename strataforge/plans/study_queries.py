@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import accounting as A
-from ..operators import evaluate, pairs, panel
+from ..operators import checks, evaluate, gates, pairs, panel
+from ..sources import lineage
 from ..sources import tables as T
-from .evaluation_queries import criteria, six
+from .evaluation_queries import six
 from .panel_queries import r6
+from .duck import view
 from .register import register
 
 REMOVED = " + ".join(T.REMOVALS)
@@ -72,21 +74,17 @@ def growing_observations(spark, sf):
 
 
 @register(
-    """SELECT year, count(*) AS entities, count(*) FILTER (residual = 0) AS clean, count(*) FILTER (removal_total IS NULL) AS missing, count(*) FILTER (residual <> 0) AS residuals, count(*) FILTER (start = 0) AS zero_start, count(*) FILTER (year = first_year) AS newly_seen, count(*) FILTER (next_year IS DISTINCT FROM year + 1) AS exits
-    FROM (SELECT *, min(year) OVER (PARTITION BY entity_key) AS first_year, lead(year) OVER (PARTITION BY entity_key ORDER BY year) AS next_year FROM accounts) GROUP BY ALL""",
+    """SELECT year, count(*) AS entities, count(*) FILTER (residual = 0) AS clean, count(*) FILTER (removal_total IS NULL) AS missing, count(*) FILTER (residual <> 0) AS residuals, count(*) FILTER (start = 0) AS zero_start, count(*) FILTER (year = first_year) AS newly_seen, count(*) FILTER (next_year IS DISTINCT FROM year + 1) AS exits, count(*) FILTER (last_year = year - 1) AS matched
+    FROM (SELECT *, min(year) OVER (PARTITION BY entity_key) AS first_year, lead(year) OVER (PARTITION BY entity_key ORDER BY year) AS next_year, lag(year) OVER (PARTITION BY entity_key ORDER BY year) AS last_year FROM accounts) GROUP BY ALL""",
     "accounts",
 )
 def stock_flow_coverage(spark, sf):
-    order = Window.partitionBy("entity_key").orderBy("year")
-    rows = accounts(spark, sf).withColumns({"first_year": F.min("year").over(Window.partitionBy("entity_key")), "next_year": F.lead("year").over(order)})
-    return rows.groupBy("year").agg(
-        F.count("*").alias("entities"), F.count_if(F.col("residual") == 0).alias("clean"), F.count_if(F.col("removal_total").isNull()).alias("missing"), F.count_if(F.col("residual") != 0).alias("residuals"),
-        F.count_if(F.col("start") == 0).alias("zero_start"), F.count_if(F.col("year") == F.col("first_year")).alias("newly_seen"), F.count_if(~F.col("next_year").eqNullSafe(F.col("year") + 1)).alias("exits"),
-    )
+    return A.coverage(accounts(spark, sf))
 
 
-_METRICS = "[" + ", ".join(f"'{c}'" for c in A.COUNTS) + ", " + ", ".join(f"'{c}_per100'" for c in A.COUNTS) + "]"
-_VALUES = "[" + ", ".join(f'"{c}"::DOUBLE' for c in A.COUNTS) + ", " + ", ".join(f'100::DOUBLE * "{c}" / nullif(start, 0)' for c in A.COUNTS) + "]"
+_FOCUS = {"growth": "growth", "change_growth": "growth_change", "additions": "additions", "change_additions": "additions_change", "focus": "r0 + r1", "change_focus": "-(contrib_r0 + contrib_r1)"} | {k: v for r in T.REMOVALS for k, v in ((r, r), (f"change_{r}", f"-contrib_{r}"))}
+_METRICS = "[" + ", ".join(f"'{c}'" for c in _FOCUS) + ", " + ", ".join(f"'{c}_per100'" for c in _FOCUS) + "]"
+_VALUES = "[" + ", ".join(f"({c})::DOUBLE" for c in _FOCUS.values()) + ", " + ", ".join(f"100::DOUBLE * ({c}) / nullif(start, 0)" for c in _FOCUS.values()) + "]"
 
 
 @register(f"SELECT metric, count(own) AS entities, round(quantile_cont(own, 0.5), 6) AS median FROM (SELECT entity_key, metric, quantile_cont(value, 0.5) AS own FROM (SELECT entity_key, unnest({_METRICS}) AS metric, unnest({_VALUES}) AS value FROM compared WHERE reason IS NULL) GROUP BY ALL) GROUP BY ALL", "compared")
@@ -115,14 +113,14 @@ def common_entities(spark, sf):
     return A.in_all_years(usable(spark, sf))
 
 
-@register(f"SELECT growing, entity_key, start FROM (SELECT growth > 0 AS growing, entity_key, start, row_number() OVER (PARTITION BY growth > 0 ORDER BY start, entity_key) AS place, count(*) OVER (PARTITION BY growth > 0) AS rows FROM compared WHERE reason IS NULL AND year = 2000 AND entity_key IN (SELECT entity_key FROM ({_COMMON}))) WHERE place = (rows - 1) // 2 + 1", "compared")
+@register(f"SELECT year, growing, entity_key, start FROM (SELECT year, growth > 0 AS growing, entity_key, start, row_number() OVER (PARTITION BY year, growth > 0 ORDER BY start, entity_key) AS place, count(*) OVER (PARTITION BY year, growth > 0) AS rows FROM compared WHERE reason IS NULL AND entity_key IN (SELECT entity_key FROM ({_COMMON}))) WHERE place = (rows - 1) // 2 + 1", "compared")
 def select_examples(spark, sf):
-    """The lower-middle entity by start of each group, among those usable in every year."""
+    """The lower-middle entity by start of each year and group, among those usable in every year."""
     u = usable(spark, sf)
-    rows = u.where("year = 2000").join(A.in_all_years(u).select("entity_key"), "entity_key", "left_semi").withColumn("growing", F.col("growth") > 0)
-    over = Window.partitionBy("growing")
+    rows = u.join(A.in_all_years(u).select("entity_key"), "entity_key", "left_semi").withColumn("growing", F.col("growth") > 0)
+    over = Window.partitionBy("year", "growing")
     ranked = rows.withColumns({"place": F.row_number().over(over.orderBy("start", "entity_key")), "rows": F.count("*").over(over)})
-    return ranked.where(F.col("place") == F.floor((F.col("rows") - 1) / 2) + 1).select("growing", "entity_key", "start")
+    return ranked.where(F.col("place") == F.floor((F.col("rows") - 1) / 2) + 1).select("year", "growing", "entity_key", "start")
 
 
 @register("SELECT entity_key, first_year, last_year, years FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY years DESC, last_year DESC) AS place FROM (SELECT entity_key, min(year) AS first_year, max(year) AS last_year, count(*) AS years FROM (SELECT entity_key, year, year - row_number() OVER (PARTITION BY entity_key ORDER BY year) AS island FROM compared WHERE reason IS NULL) GROUP BY entity_key, island)) WHERE place = 1", "compared")
@@ -132,47 +130,91 @@ def usable_run(spark, sf):
 
 @register(
     """SELECT a.entity_key, a.year, a.start, a."end", a.growth, p.growth AS previous_growth, c.growth_change, CASE WHEN p.entity_key IS NULL THEN 'no previous year' ELSE coalesce(c.reason, 'available') END AS availability
-    FROM accounts a LEFT JOIN accounts p ON p.entity_key = a.entity_key AND p.year = a.year - 1 LEFT JOIN compared c ON c.entity_key = a.entity_key AND c.year = a.year WHERE a.year = 2000""",
+    FROM accounts a LEFT JOIN accounts p ON p.entity_key = a.entity_key AND p.year = a.year - 1 LEFT JOIN compared c ON c.entity_key = a.entity_key AND c.year = a.year""",
     "accounts", "compared",
 )
 def entity_briefs(spark, sf):
+    """Each entity and year with the year before, and why they can't be compared."""
     a = accounts(spark, sf)
-    now = a.where("year = 2000").select("entity_key", "year", "start", "end", "growth")
-    previous = a.where("year = 1999").select("entity_key", F.col("growth").alias("previous_growth"), F.lit(True).alias("there"))
-    found = A.compared(a).where("year = 2000").select("entity_key", "growth_change", "reason")
+    previous = a.select("entity_key", (F.col("year") + 1).alias("year"), F.col("growth").alias("previous_growth"), F.lit(True).alias("there"))
+    found = A.compared(a).select("entity_key", "year", "growth_change", "reason")
     availability = F.when(F.col("there").isNull(), "no previous year").otherwise(F.coalesce("reason", F.lit("available")))
-    return now.join(previous, "entity_key", "left").join(found, "entity_key", "left").select("entity_key", "year", "start", "end", "growth", "previous_growth", "growth_change", availability.alias("availability"))
+    joined = a.join(previous, ["entity_key", "year"], "left").join(found, ["entity_key", "year"], "left")
+    return joined.select("entity_key", "year", "start", "end", "growth", "previous_growth", "growth_change", availability.alias("availability"))
 
 
 @register("SELECT rule, entity_key, year AS period, NULL::VARCHAR AS detail FROM (SELECT entity_key, year, unnest(['growth does not reconcile', 'change does not reconcile', 'negative previous count']) AS rule, unnest([growth <> additions - removal_total, growth_change <> additions_change + (p_removal_total - removal_total), p_removal_total < 0]) AS bad FROM compared) WHERE bad", "compared")
 def violations_stock_flow(spark, sf):
-    from ..operators import checks
-
     change = F.col("additions_change") + A.plus(*[F.col(f"contrib_{r}") for r in T.REMOVALS])
     rules = {"growth does not reconcile": F.col("growth") != F.col("additions") - F.col("removal_total"), "change does not reconcile": F.col("growth_change") != change, "negative previous count": F.col("p_removal_total") < 0}
     return checks.violations(compared(spark, sf), rules, "year")
 
 
-@register("SELECT coalesce(x.entity_key, y.entity_key) AS entity_key, coalesce(x.year, y.year) AS year, CASE WHEN y.value IS NULL THEN 'not bound' WHEN x.value IS NULL THEN 'not there' WHEN x.value <> y.value THEN 'differs' END AS problem FROM (SELECT entity_key, year, growth AS value FROM accounts WHERE year = 1999) x FULL JOIN (SELECT entity_key, year, growth + CASE WHEN CAST(substr(entity_key, 2, 6) AS INTEGER) % 8 = 1 THEN 1 ELSE 0 END AS value FROM accounts WHERE year = 1999 AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 8 <> 3) y USING (entity_key, year) WHERE y.value IS NULL OR x.value IS NULL OR x.value <> y.value", "accounts")
+_FIELDS = "SELECT entity_key, year, unnest(['growth', 'additions', 'removal_total']) AS field, unnest([growth, additions, removal_total]) AS value, CAST(substr(entity_key, 2, 6) AS INTEGER) % 8 AS k FROM accounts"
+
+
+@register(
+    f"""SELECT entity_key, year, field, CASE WHEN k = 3 THEN 'not bound' WHEN k = 4 AND field = 'additions' THEN 'not there' ELSE 'differs' END AS problem FROM ({_FIELDS}) WHERE value IS NOT NULL AND (k = 3 OR (k = 4 AND field = 'additions') OR (k = 1 AND field = 'growth'))""",
+    "accounts",
+)
 def violations_bindings(spark, sf):
-    """Declared evidence against the actual values: missing, extra or different."""
+    """A table of declared values against the accounts' fields of all years: not bound, not there, or different."""
     k = F.substring("entity_key", 2, 6).cast("int") % 8
-    actual = accounts(spark, sf).where("year = 1999").select("entity_key", "year", F.col("growth").alias("actual"))
-    bound = actual.where(k != 3).select("entity_key", "year", (F.col("actual") + F.when(k == 1, 1).otherwise(0)).alias("bound"))
-    problem = F.when(F.col("bound").isNull(), "not bound").when(F.col("actual").isNull(), "not there").when(F.col("actual") != F.col("bound"), "differs")
-    return actual.join(bound, ["entity_key", "year"], "full").select("entity_key", "year", problem.alias("problem")).where(F.col("problem").isNotNull())
+    long = accounts(spark, sf).unpivot(["entity_key", "year"], ["growth", "additions", "removal_total"], "field", "value").where(F.col("value").isNotNull())
+    bound = long.where(k != 3).withColumn("value", F.col("value") + F.when((k == 1) & (F.col("field") == "growth"), 1).otherwise(0))
+    return checks.bindings(long.where(~((k == 4) & (F.col("field") == "additions"))), bound, "entity_key", "year", "field")
+
+
+_L = A.SCREEN
+_MATCHED = "SELECT a.year, count(*) AS matched FROM accounts a JOIN accounts p ON p.entity_key = a.entity_key AND p.year = a.year - 1 GROUP BY ALL"
+view("screened", ("compared",), 'SELECT *, -(contrib_r0 + contrib_r1) AS change_focus FROM compared WHERE reason IS NULL')
+
+
+def _summary(by: str, rows: str) -> str:
+    return f"""SELECT c.{by}, c.observations, c.entities, coalesce(s.growing, 0) AS growing, s.prevalence, z.growth, z.growth_per100 FROM (SELECT {by}, count(*) AS observations, count(DISTINCT entity_key) AS entities FROM {rows} GROUP BY ALL) c
+    LEFT JOIN (SELECT {by}, count(*) AS growing, avg(own) AS prevalence FROM (SELECT {by}, entity_key, avg((change_focus > 0)::INTEGER) AS own FROM {rows} WHERE growth > 0 GROUP BY ALL) GROUP BY ALL) s USING ({by})
+    LEFT JOIN (SELECT {by}, quantile_cont(g, 0.5) AS growth, quantile_cont(h, 0.5) AS growth_per100 FROM (SELECT {by}, entity_key, quantile_cont(growth::DOUBLE, 0.5) AS g, quantile_cont(100::DOUBLE * growth / start, 0.5) AS h FROM {rows} WHERE growth > 0 AND change_focus > 0 GROUP BY ALL) GROUP BY ALL) z USING ({by})"""
+
+
+view("annual_screen", ("screened", "accounts"), f"SELECT *, coalesce(observations >= {_L['pairs']} AND matched >= observations AND observations / matched::DOUBLE >= {_L['coverage']} AND growing >= {_L['growing']}, false) AS usable FROM ({_summary('year', 'screened')}) LEFT JOIN ({_MATCHED}) USING (year)")
+view("recurrence", ("annual_screen",), f"SELECT max(year) AS last FROM (SELECT year, count(*) OVER (ORDER BY year RANGE BETWEEN {_L['years'] - 1} PRECEDING AND CURRENT ROW) AS run FROM annual_screen WHERE usable) WHERE run = {_L['years']}")
+view("recent_rows", ("screened", "recurrence"), f"SELECT s.*, CASE WHEN start < 100 THEN 'under 100' WHEN start < 500 THEN '100 to 499' ELSE '500 or more' END AS cut FROM screened s, recurrence WHERE year BETWEEN last - {_L['years'] - 1} AND last")
+view("common_rows", ("recent_rows",), "SELECT * FROM recent_rows WHERE entity_key IN (SELECT entity_key FROM recent_rows GROUP BY entity_key HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM recent_rows))")
+_MATERIAL = f"coalesce(prevalence >= {_L['prevalence']} AND coalesce(growth, 0) >= {_L['growth']} AND coalesce(growth_per100, 0) >= {_L['growth_per100']}, false)"
+_SHAPE = "SELECT '{kind}' AS kind, {cut}::VARCHAR AS cut, observations, entities, growing, prevalence, growth, growth_per100, {enough} AS enough, {rule} AS material FROM ({rows})"
+view(
+    "screen", ("annual_screen", "recurrence", "recent_rows", "common_rows"),
+    " UNION ALL ".join((
+        _SHAPE.format(kind="recurrence", cut="year", enough="usable", rule=_MATERIAL, rows=f"SELECT a.* FROM annual_screen a, recurrence WHERE year BETWEEN last - {_L['years'] - 1} AND last"),
+        _SHAPE.format(kind="other year", cut="year", enough="usable", rule=_MATERIAL, rows=f"SELECT a.* FROM annual_screen a, recurrence WHERE last IS NULL OR year NOT BETWEEN last - {_L['years'] - 1} AND last"),
+        _SHAPE.format(kind="common", cut="year", enough=f"growing >= {_L['common_growing']} AND entities >= {_L['common']}", rule=_MATERIAL, rows=_summary("year", "common_rows")),
+        _SHAPE.format(kind="size", cut="cut", enough=f"growing >= {_L['size_growing']}", rule=f"coalesce(prevalence >= {_L['size_prevalence']} AND coalesce(growth_per100, 0) >= {_L['growth_per100']}, false)", rows=f"SELECT v.cut, coalesce(observations, 0) AS observations, coalesce(entities, 0) AS entities, coalesce(growing, 0) AS growing, prevalence, growth, growth_per100 FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)})' for n in A.SIZES)}) v(cut) LEFT JOIN ({_summary('cut', 'recent_rows')}) USING (cut)"),
+    )),
+)
+
+
+@T.saved
+def screened(spark, sf):
+    pairs_of_years = lineage.cut(compared(spark, sf))
+    return A.screen_table(pairs_of_years.where(F.col("reason").isNull()), pairs_of_years.groupBy("year").agg(F.count("*").alias("matched")))
+
+
+@register("SELECT kind, cut, observations, entities, growing, round(prevalence, 6) AS prevalence, round(growth, 6) AS growth, round(growth_per100, 6) AS growth_per100, enough, material FROM screen", "screen")
+def screen_groups(spark, sf):
+    """Annual, common-entity and size groups with what the screen finds in them."""
+    return six(screened(spark, sf))
+
+
+_ASKED = "SELECT count(*) FILTER (kind = 'recurrence') AS recurrence_years, count(*) FILTER (kind = 'common') AS common_years, coalesce(bool_and(enough) FILTER (kind <> 'other year'), false) AS enough, coalesce(bool_and(material) FILTER (kind <> 'other year'), false) AS material FROM screen"
 
 
 @register(
-    """SELECT years AS usable_years, round(share, 6) AS share, CASE WHEN years < 3 THEN 'inconclusive' WHEN recurring >= 3 AND share >= 0.5 THEN 'continue' ELSE 'stop' END AS verdict FROM (
-    SELECT count(*) AS years, count(*) FILTER (s >= 0.5) AS recurring, avg(s) AS share FROM (SELECT year, avg((removal_total > p_removal_total)::INTEGER) AS s FROM compared WHERE reason IS NULL AND growth > 0 GROUP BY ALL))""",
-    "compared",
+    f"""SELECT recurrence_years, CASE WHEN recurrence_years < 3 OR NOT (enough AND common_years >= 3) THEN 'inconclusive' WHEN material THEN 'continue' ELSE 'stop' END AS verdict,
+    CASE WHEN recurrence_years < 3 THEN 'fewer consecutive usable years than asked' WHEN NOT (enough AND common_years >= 3) THEN 'too few common entities or sizes' WHEN material THEN 'all criteria pass' ELSE 'a magnitude or recurrence criterion fails' END AS reason FROM ({_ASKED})""",
+    "screen",
 )
 def screen_verdict(spark, sf):
-    by_year = usable(spark, sf).where("growth > 0").groupBy("year").agg(F.avg((F.col("removal_total") > F.col("p_removal_total")).cast("int")).alias("s"))
-    found = by_year.agg(F.count("*").alias("usable_years"), F.count_if(F.col("s") >= 0.5).alias("recurring"), F.avg("s").alias("share"))
-    verdict = F.when(F.col("usable_years") < 3, "inconclusive").when((F.col("recurring") >= 3) & (F.col("share") >= 0.5), "continue").otherwise("stop")
-    return found.select("usable_years", r6("share"), verdict.alias("verdict"))
+    return A.screen_verdict(screened(spark, sf))
 
 
 # outcomes and components
@@ -190,16 +232,27 @@ def component_sum(spark, sf):
     return o.select("release", "entity_key", r6(whole, "whole"), r6(F.col("NF") + F.col("NO"), "success"), (F.abs(whole - 100) <= 1e-9).alias("complete"))
 
 
-@register("""SELECT release, entity_key, round(greatest(0, round("NF", 1) - 0.05) + greatest(0, round("NO", 1) - 0.05), 6) AS parts_low, round(least(100, round("NF", 1) + 0.05) + least(100, round("NO", 1) + 0.05), 6) AS parts_high,
-greatest(0, round("NF", 1) - 0.05) + greatest(0, round("NO", 1) - 0.05) <= least(100, published_total + 0.05) + 1e-10 AND greatest(0, published_total - 0.05) <= least(100, round("NF", 1) + 0.05) + least(100, round("NO", 1) + 0.05) + 1e-10 AS reconciles FROM outcomes""".replace("0.05)", "0.05::DOUBLE)"), "outcomes")
+_LOWS, _HIGHS = (" + ".join(f'{bound}(round("{c}", 1) {side} 0.05::DOUBLE, {end})' for c in T.STATUSES) for bound, side, end in (("greatest", "-", 0), ("least", "+", 100)))
+
+
+@register(f"""SELECT release, entity_key, round(greatest(0, round("NF", 1) - 0.05::DOUBLE) + greatest(0, round("NO", 1) - 0.05::DOUBLE), 6) AS parts_low, round(least(100, round("NF", 1) + 0.05::DOUBLE) + least(100, round("NO", 1) + 0.05::DOUBLE), 6) AS parts_high,
+greatest(0, round("NF", 1) - 0.05::DOUBLE) + greatest(0, round("NO", 1) - 0.05::DOUBLE) <= least(100, published_total + 0.05::DOUBLE) + 1e-10 AND greatest(0, published_total - 0.05::DOUBLE) <= least(100, round("NF", 1) + 0.05::DOUBLE) + least(100, round("NO", 1) + 0.05::DOUBLE) + 1e-10 AS reconciles,
+round(w_low, 6) AS whole_low, round(w_high, 6) AS whole_high, w_low <= 100 + 1e-10 AND 100 - 1e-10 <= w_high AS whole_reconciles FROM (SELECT *, {_LOWS} AS w_low, {_HIGHS} AS w_high FROM (SELECT * REPLACE (CASE WHEN l_suppkey % 22 = 7 THEN "RF" + 3 ELSE "RF" END AS "RF") FROM outcomes))""", "outcomes")
 def component_reconcile(spark, sf):
-    parts = A.reconcile([F.round("NF", 1), F.round("NO", 1)], F.col("published_total"), 0.1)
-    return T.outcomes(spark, sf).select("release", "entity_key", r6(parts["parts_low"], "parts_low"), r6(parts["parts_high"], "parts_high"), parts["reconciles"].alias("reconciles"))
+    """Published totals against their two parts, and all six parts against 100; some of these don't add up here."""
+    o = T.outcomes(spark, sf).withColumn("RF", F.col("RF") + F.when(F.col("l_suppkey") % 22 == 7, 3.0).otherwise(0.0))
+    found = A.reconcile([F.round("NF", 1), F.round("NO", 1)], F.col("published_total"), 0.1, [F.round(s, 1) for s in T.STATUSES])
+    return o.select("release", "entity_key", *[r6(found[c], c) for c in ("parts_low", "parts_high", "whole_low", "whole_high")], *[found[c].alias(c) for c in ("reconciles", "whole_reconciles")])
+
+
+_GAP = "CASE WHEN l_suppkey % 20 = {k} THEN NULL ELSE \"{s}\" END"
 
 
-@register("SELECT release, " + ", ".join(f'round(quantile_cont("{s}", 0.5), 6) AS "{s}"' for s in T.STATUSES) + " FROM outcomes GROUP BY ALL", "outcomes")
+@register("SELECT release, count(*) AS rows, " + ", ".join(f'round(quantile_cont({_GAP.format(k=k, s=s)}, 0.5), 6) AS "{s}", count(*) FILTER (l_suppkey % 20 = {k}) AS "{s}_missing"' for k, s in enumerate(T.STATUSES)) + " FROM outcomes GROUP BY ALL", "outcomes")
 def component_medians(spark, sf):
-    return six(T.outcomes(spark, sf).groupBy("release").agg(*[F.percentile(s, F.lit(0.5)).alias(s) for s in T.STATUSES]))
+    """Medians of the components by release, and how many of each are missing."""
+    given = {s: F.when(F.col("l_suppkey") % 20 != k, F.col(s)) for k, s in enumerate(T.STATUSES)}
+    return six(T.outcomes(spark, sf).withColumns(given).groupBy("release").agg(F.count("*").alias("rows"), *[F.percentile(s, F.lit(0.5)).alias(s) for s in T.STATUSES], *[F.count_if(F.col(s).isNull()).alias(f"{s}_missing") for s in T.STATUSES]))
 
 
 @register("SELECT release, entity_key, n, " + ", ".join(f'round("{s}", 6) AS "{s}"' for s in T.STATUSES) + " FROM outcomes", "outcomes")
@@ -239,12 +292,12 @@ def pooled_reference(spark, sf):
 
 
 # release pairs
-_HIST = """SELECT p.feature_release, p.target_release, o.entity_key, arg_max(o.published_total, o.release) AS prior, max(o.release) AS prior_release, avg(o.published_total) AS history_mean, count(*) AS history_count, string_agg(o.release::VARCHAR, ',' ORDER BY o.release) AS history_releases FROM pairs p JOIN outcomes o ON o.release <= p.feature_release {where} GROUP BY ALL"""
+_HIST = """SELECT p.feature_release, p.target_release, o.entity_key, arg_max(o.published_total, o.release) AS prior, max(o.release) AS prior_release, avg(o.published_total) AS history_mean, count(*) AS history_count, string_agg(o.release::VARCHAR, ',' ORDER BY o.release) AS history_releases FROM pairs p JOIN publications f ON f.release = p.feature_release JOIN publications b ON b.release = f.release OR b.latest <= f.earliest JOIN outcomes o ON o.release = b.release {where} GROUP BY ALL"""
 
 
-@register(f"SELECT feature_release, target_release, entity_key, prior, prior_release, round(history_mean, 6) AS history_mean, history_count, history_releases FROM ({_HIST.format(where='')})", "pairs", "outcomes")
+@register(f"SELECT feature_release, target_release, entity_key, prior, prior_release, round(history_mean, 6) AS history_mean, history_count, history_releases FROM ({_HIST.format(where='')})", "pairs", "outcomes", "publications")
 def history_asof(spark, sf):
-    h = pairs.history_asof(facts(spark, sf), T.pairs(spark, sf))
+    h = pairs.history_asof(facts(spark, sf), T.pairs(spark, sf), T.publications(spark, sf))
     return h.select("feature_release", "target_release", "entity_key", "prior", "prior_release", r6("history_mean"), "history_count", "history_releases")
 
 
@@ -255,30 +308,57 @@ FROM pairs p JOIN outcomes u ON u.release = p.feature_release LEFT JOIN outcomes
 LEFT JOIN ({_HIST.format(where='AND o.n >= 10')}) h ON h.feature_release = p.feature_release AND h.target_release = p.target_release AND h.entity_key = u.entity_key JOIN (SELECT entity_key, min(release) AS first_release FROM outcomes GROUP BY ALL) f ON f.entity_key = u.entity_key"""
 
 
+_ACCESS = "a.person_years, a.rate_ratio, a.wait_text, TRY_CAST(a.wait_text AS DOUBLE) AS wait, a.safety_ratio, a.safety_lower, a.safety_upper, ln(a.safety_upper) - ln(a.safety_lower) AS safety_log_width, s.acceptance_overall, s.acceptance_low, s.acceptance_medium, s.acceptance_high, s.acceptance_hard, s.acceptance_expected, s.acceptance_lower, s.acceptance_upper, CASE WHEN s.acceptance_upper >= s.acceptance_lower THEN ln(s.acceptance_upper) - ln(s.acceptance_lower) END AS acceptance_log_width"
+_PANEL = f"SELECT x.*, {_ACCESS} FROM ({_PAIR}) x LEFT JOIN access a ON a.release = x.feature_release AND a.entity_key = x.entity_key LEFT JOIN acceptance s ON s.release = x.feature_release AND s.code = substr(x.entity_key, 1, 7)"
+_READS = ("pairs", "outcomes", "publications", "access", "acceptance")
+view("pair_table", _READS, f"SELECT *, {' OR '.join(f'{c} IS NULL' for c in pairs.ACCESS)} AS any_missing FROM ({_PANEL})")
+
+
 @T.saved
 def pair_rows(spark, sf):
-    return pairs.build_pairs(facts(spark, sf), T.pairs(spark, sf))
+    rows = pairs.build_pairs(facts(spark, sf), T.pairs(spark, sf), T.publications(spark, sf))
+    full = pairs.with_access(rows, T.access(spark, sf), pairs.acceptance_strata(T.signals(spark, sf), "F"))
+    return full.join(F.broadcast(T.pairs(spark, sf)), ["feature_release", "target_release"]).withColumn("any_missing", F.exists(F.array(*[f"missing_{c}" for c in pairs.ACCESS]), lambda c: c))
+
 
+_TAKEN = ("safety_lower", "safety_upper", "acceptance_lower", "acceptance_upper")
 
-@register(f"SELECT feature_release, target_release, entity_key, feature_n, target_n, target_percent, prior, round(history_mean, 6) AS history_mean, history_count FROM ({_PAIR})", "pairs", "outcomes")
+
+@register(f"SELECT feature_release, target_release, entity_key, feature_n, target_n, target_percent, prior, round(history_mean, 6) AS history_mean, history_count, wait_text, {', '.join(f'round({c}, 6) AS {c}' for c in (*pairs.ACCESS, *_TAKEN))} FROM pair_table", "pair_table")
 def pair_panel(spark, sf):
-    return pair_rows(spark, sf).select("feature_release", "target_release", "entity_key", "feature_n", "target_n", "target_percent", "prior", r6("history_mean"), "history_count")
+    """The feature release's entities with target, history, rates, waits, safety and acceptance."""
+    return pair_rows(spark, sf).select("feature_release", "target_release", "entity_key", "feature_n", "target_n", "target_percent", "prior", r6("history_mean"), "history_count", "wait_text", *[r6(c) for c in (*pairs.ACCESS, *_TAKEN)])
+
 
+@register(f"SELECT feature_release, target_release, entity_key, {', '.join(f'{c} IS NULL AS missing_{c}' for c in pairs.ACCESS)}, any_missing FROM pair_table", "pair_table")
+def access_features(spark, sf):
+    """Which access and acceptance inputs are missing."""
+    return pair_rows(spark, sf).select("feature_release", "target_release", "entity_key", *[f"missing_{c}" for c in pairs.ACCESS], "any_missing")
 
-@register(f"SELECT feature_release, target_release, entity_key, status, first_observed, target_n >= 20 AS n20, target_n >= 30 AS n30 FROM ({_PAIR})", "pairs", "outcomes")
+
+@register(f"SELECT feature_release, target_release, entity_key, status, first_observed, target_n >= 20 AS n20, target_n >= 30 AS n30 FROM ({_PAIR})", "pairs", "outcomes", "publications")
 def pair_panel_eligibility(spark, sf):
     return pair_rows(spark, sf).select("feature_release", "target_release", "entity_key", "status", "first_observed", (F.col("target_n") >= 20).alias("n20"), (F.col("target_n") >= 30).alias("n30"))
 
 
-@register(f"SELECT feature_release, target_release, entity_key, reasons, reasons = '' AS eligible FROM ({_PAIR})", "pairs", "outcomes")
+@register(f"SELECT t.feature_release, t.target_release, entity_key, reasons, reasons = '' AS eligible, f.published_value AS origin_value, f.published_precision AS origin_precision, g.published_value AS target_published_value, prior, round(history_mean, 6) AS history_mean, {', '.join(f'round({c}, 6) AS {c}, {c} IS NULL AS missing_{c}' for c in pairs.ACCESS)} FROM pair_table t JOIN publications f ON f.release = t.feature_release JOIN publications g ON g.release = t.target_release", "pair_table", "publications")
 def receipt_panel(spark, sf):
-    return pair_rows(spark, sf).select("feature_release", "target_release", "entity_key", "reasons", (F.col("reasons") == "").alias("eligible"))
+    """The pair panel with all reasons against a row, its dates of publication, and access inputs with their flags."""
+    dates = T.publications(spark, sf)
+    origin = dates.select(F.col("release").alias("feature_release"), F.col("published_value").alias("origin_value"), F.col("published_precision").alias("origin_precision"))
+    target = dates.select(F.col("release").alias("target_release"), F.col("published_value").alias("target_published_value"))
+    rows = pair_rows(spark, sf).join(F.broadcast(origin), "feature_release").join(F.broadcast(target), "target_release")
+    return rows.select("feature_release", "target_release", "entity_key", "reasons", (F.col("reasons") == "").alias("eligible"), "origin_value", "origin_precision", "target_published_value", "prior", r6("history_mean"), *[r6(c) for c in pairs.ACCESS], *[f"missing_{c}" for c in pairs.ACCESS])
 
 
-@register(f"SELECT feature_release, target_release, count(*) AS universe, count(target_n) AS matched, count(*) FILTER (status = 'eligible') AS eligible, count(*) FILTER (status = 'eligible' AND target_n >= 20) AS eligible20, count(*) FILTER (first_observed) AS first_seen FROM ({_PAIR}) GROUP BY ALL", "pairs", "outcomes")
+@register(
+    """SELECT feature_release, target_release, count(*) AS universe, count(target_n) AS matched, count(*) - count(target_n) AS missing, count(*) FILTER (status = 'eligible') AS eligible10, count(*) FILTER (status = 'eligible' AND target_n >= 20) AS eligible20, count(*) FILTER (status = 'eligible' AND target_n >= 30) AS eligible30, count(*) FILTER (first_observed) AS first_seen,
+    count(*) FILTER (status = 'missing_target') AS missing_target, count(*) FILTER (status = 'small_target') AS small_target, count(*) FILTER (status = 'missing_prior') AS missing_prior, 1::BIGINT AS timings,
+    (SELECT count(*) FROM outcomes o WHERE o.release = t.target_release) AS target_rows, (SELECT count(*) FROM outcomes o WHERE o.release = t.target_release AND o.entity_key NOT IN (SELECT u.entity_key FROM outcomes u WHERE u.release = t.feature_release)) AS target_only FROM pair_table t GROUP BY ALL""",
+    "pair_table", "outcomes",
+)
 def pair_qa(spark, sf):
-    good = F.col("status") == "eligible"
-    return pair_rows(spark, sf).groupBy("feature_release", "target_release").agg(F.count("*").alias("universe"), F.count("target_n").alias("matched"), F.count_if(good).alias("eligible"), F.count_if(good & (F.col("target_n") >= 20)).alias("eligible20"), F.count_if("first_observed").alias("first_seen"))
+    return pairs.pair_counts(pair_rows(spark, sf), facts(spark, sf))
 
 
 @register("SELECT p.feature_release, p.target_release, t.feature_release AS train_feature, t.target_release AS train_target FROM pairs p LEFT JOIN pairs t ON t.target_release <= p.feature_release AND t.target_end < p.target_start", "pairs")
@@ -286,7 +366,7 @@ def strict_vintage_folds(spark, sf):
     return pairs.strict_vintage_folds(T.pairs(spark, sf))
 
 
-_ELIGIBLE = f"SELECT x.*, CAST(1 + (4 * (row_number() OVER (PARTITION BY target_release ORDER BY target_n, entity_key) - 1)) // count(*) OVER (PARTITION BY target_release) AS INTEGER) AS quartile FROM ({_PAIR}) x WHERE status = 'eligible'"
+_ELIGIBLE = f"SELECT x.*, CAST(1 + (4 * (row_number() OVER (PARTITION BY target_release ORDER BY target_n, entity_key) - 1)) // count(*) OVER (PARTITION BY target_release) AS INTEGER) AS quartile FROM pair_table x WHERE status = 'eligible'"
 _PREDICTED = f"SELECT e.*, m.model, CASE m.model WHEN 'persistence' THEN prior WHEN 'historical_mean' THEN history_mean ELSE 100::DOUBLE * r.s / r.m END AS predicted FROM ({_ELIGIBLE}) e JOIN (SELECT release, sum(successes) AS s, sum(n) AS m FROM outcomes GROUP BY ALL) r ON r.release = e.feature_release, (VALUES ('persistence'), ('historical_mean'), ('pooled_reference')) m(model)"
 
 
@@ -299,45 +379,61 @@ def pair_predictions(spark, sf):
     return joined.withColumn("m_", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("predicted")) for k, v in value.items()]))).select(*rows.columns, "m_.*")
 
 
-@register(f"SELECT feature_release, target_release, entity_key, model, round(predicted, 6) AS predicted, target_percent, quartile FROM ({_PREDICTED})", "pairs", "outcomes")
+@register(f"SELECT feature_release, target_release, entity_key, model, round(predicted, 6) AS predicted, target_percent, quartile FROM ({_PREDICTED})", "pair_table", "outcomes")
 def pair_baselines(spark, sf):
     return pair_predictions(spark, sf).select("feature_release", "target_release", "entity_key", "model", r6("predicted"), "target_percent", "quartile")
 
 
-_SUMMARY = """SELECT {by} model, count(*) AS rows, round(avg(ae), 6) AS mae, round(sum(target_n * ae) / sum(target_n), 6) AS weighted_mae, round(quantile_cont(ae, 0.5), 6) AS median_ae,
-round(CASE WHEN vx > 1e-9 THEN cxy / vx END, 5) AS slope, round(CASE WHEN vx > 1e-9 THEN my - cxy / vx * mx END, 3) AS intercept FROM (SELECT *, sum(w * predicted) OVER g / sum(w) OVER g AS mx, sum(w * target_percent) OVER g / sum(w) OVER g AS my,
+_SUMMARY = """SELECT {by} model, count(*) AS rows, count(DISTINCT target_release) AS releases, round(sum(w * ae) / sum(w), 6) AS balanced_mae, round(avg(ae), 6) AS mae, round(sum(target_n * ae) / sum(target_n), 6) AS weighted_mae, round(quantile_cont(ae, 0.5), 6) AS median_ae, round(avg(predicted - target_percent), 6) AS signed,
+round(CASE WHEN NOT flat THEN cxy / vx END, 5) AS slope, round(CASE WHEN NOT flat THEN my - cxy / vx * mx END, 3) AS intercept, CASE WHEN flat THEN 'predictions do not vary' END AS calibration_reason FROM (SELECT *, min(predicted) OVER g = max(predicted) OVER g OR vx <= 1e-9 AS flat FROM (SELECT *, sum(w * predicted) OVER g / sum(w) OVER g AS mx, sum(w * target_percent) OVER g / sum(w) OVER g AS my,
 sum(w * predicted * predicted) OVER g / sum(w) OVER g - (sum(w * predicted) OVER g / sum(w) OVER g) ** 2 AS vx, sum(w * predicted * target_percent) OVER g / sum(w) OVER g - (sum(w * predicted) OVER g / sum(w) OVER g) * (sum(w * target_percent) OVER g / sum(w) OVER g) AS cxy
-FROM (SELECT *, abs(predicted - target_percent) AS ae, 1::DOUBLE / count(*) OVER (PARTITION BY {by} model, target_release) AS w FROM ({rows})) WINDOW g AS (PARTITION BY {by} model)) GROUP BY {by} model, vx, cxy, mx, my"""
+FROM (SELECT *, abs(predicted - target_percent) AS ae, 1::DOUBLE / count(*) OVER (PARTITION BY {by} model, target_release) AS w FROM ({rows})) WINDOW g AS (PARTITION BY {by} model)) WINDOW g AS (PARTITION BY {by} model)) GROUP BY {by} model, vx, cxy, mx, my, flat"""
 
 
 def summary_rounded(df):
     return df.select(*[F.round(c, 5).alias(c) if c == "slope" else F.round(c, 3).alias(c) if c == "intercept" else r6(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@register("SELECT model, rows, mae, weighted_mae, median_ae FROM (" + _SUMMARY.format(by="", rows=_PREDICTED) + ")", "pairs", "outcomes")
+@register("SELECT * FROM (" + _SUMMARY.format(by="", rows=_PREDICTED) + ")", "pair_table", "outcomes")
 def outcome_summary(spark, sf):
-    return summary_rounded(pairs.outcome_summary(pair_predictions(spark, sf))).select("model", "rows", "mae", "weighted_mae", "median_ae")
+    return summary_rounded(pairs.outcome_summary(pair_predictions(spark, sf)))
 
 
-@register(f"SELECT cut, cut_value, model, count(*) AS rows, round(avg(abs(predicted - target_percent)), 6) AS mae FROM (SELECT *, unnest(['primary', 'release', 'quartile', 'n>=20', 'n>=30', 'first']) AS cut, unnest(['all', target_release::VARCHAR, quartile::VARCHAR, 'all', 'all', first_observed::VARCHAR]) AS cut_value, unnest([true, true, true, target_n >= 20, target_n >= 30, true]) AS inside FROM ({_PREDICTED})) WHERE inside GROUP BY ALL", "pairs", "outcomes")
+_CUTS = f"SELECT * FROM (SELECT *, unnest(['primary', 'release', 'quartile', 'n>=20', 'n>=30', 'first', 'features']) AS cut, unnest(['all', target_release::VARCHAR, quartile::VARCHAR, 'all', 'all', first_observed::VARCHAR, CASE WHEN any_missing THEN 'missing' ELSE 'complete' END]) AS cut_value, unnest([true, true, true, target_n >= 20, target_n >= 30, true, true]) AS inside FROM ({_PREDICTED})) WHERE inside"
+
+
+@register("SELECT * FROM (" + _SUMMARY.format(by="cut, cut_value,", rows=_CUTS) + ")", "pair_table", "outcomes")
 def evaluation_cuts(spark, sf):
-    rows = pairs.cuts(pair_predictions(spark, sf))
-    return six(rows.groupBy("cut", "cut_value", "model").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("predicted") - F.col("target_percent"))).alias("mae")))
+    return summary_rounded(pairs.outcome_summary(pairs.cuts(pair_predictions(spark, sf)), "cut", "cut_value"))
+
 
+_STORED = """SELECT 'history mean' AS summary, feature_release || '-' || target_release || ' ' || entity_key AS item, history_mean AS value, CAST(substr(entity_key, 2, 6) AS INTEGER) % 12 = 5 AS changed FROM pair_table WHERE history_count > 0
+UNION ALL SELECT 'pooled reference', release::VARCHAR, sum(successes)::DOUBLE / sum(n), release = 1999 FROM outcomes GROUP BY release UNION ALL SELECT 'roster', release::VARCHAR, count(DISTINCT entity_key)::DOUBLE, release = 2001 FROM outcomes GROUP BY release
+UNION ALL SELECT 'median ' || field, release::VARCHAR, quantile_cont(value, 0.5), release = 1998 AND field = 'AO' FROM (SELECT release, unnest(['NF', 'AO']) AS field, unnest(["NF", "AO"]) AS value FROM outcomes) GROUP BY release, field
+UNION ALL SELECT 'prevalence', release::VARCHAR, avg((published_total >= 50)::INTEGER), release = 2000 FROM outcomes GROUP BY release"""
 
-@register("SELECT feature_release, target_release, entity_key, 'rederived mean differs' AS rule FROM (" + _PAIR + ") WHERE history_count > 0 AND CAST(substr(entity_key, 2, 6) AS INTEGER) % 12 = 5", "pairs", "outcomes")
+
+@register(f"SELECT summary, item, round(value, 6) AS computed, round(value + 1, 6) AS stored FROM ({_STORED}) WHERE changed", "pair_table", "outcomes")
 def violations_rederived(spark, sf):
-    """Stored history means against means from the rows; every twelfth entity's was changed."""
-    stored = pair_rows(spark, sf).withColumn("stored", F.col("history_mean") + F.when(F.substring("entity_key", 2, 6).cast("int") % 12 == 5, 1.0).otherwise(0.0)).select("feature_release", "target_release", "entity_key", "stored")
-    again = pairs.history_asof(facts(spark, sf).where("n >= 10"), T.pairs(spark, sf))
-    both = stored.join(again, ["feature_release", "target_release", "entity_key"])
-    return both.where(F.abs(F.col("stored") - F.col("history_mean")) > 1e-9).select("feature_release", "target_release", "entity_key", F.lit("rederived mean differs").alias("rule"))
+    """Stored summaries (means, references, rosters, medians, prevalence) against those from the rows; some were changed."""
+    o, text = T.outcomes(spark, sf), F.col("release").cast("string").alias("item")
+    rows = pair_rows(spark, sf).where("history_count > 0")
+    again = pairs.history_asof(facts(spark, sf).where("n >= 10"), T.pairs(spark, sf), T.publications(spark, sf))
+    item = F.concat("feature_release", F.lit("-"), "target_release", F.lit(" "), "entity_key").alias("item")
+    named = lambda df, name, value, changed: df.select(F.lit(name).alias("summary"), text, value.cast("double").alias("value"), changed.alias("changed"))
+    by = o.groupBy("release").agg((F.sum("successes") / F.sum("n")).alias("pooled"), F.countDistinct("entity_key").alias("roster"), F.percentile("NF", F.lit(0.5)).alias("NF"), F.percentile("AO", F.lit(0.5)).alias("AO"), F.avg((F.col("published_total") >= 50).cast("int")).alias("share"))
+    at, never = lambda y: F.col("release") == y, F.lit(False)
+    tables = [named(by, "pooled reference", F.col("pooled"), at(1999)), named(by, "roster", F.col("roster"), at(2001)), named(by, "median NF", F.col("NF"), never), named(by, "median AO", F.col("AO"), at(1998)), named(by, "prevalence", F.col("share"), at(2000))]
+    computed = again.select(F.lit("history mean").alias("summary"), item, F.col("history_mean").alias("value"))
+    stored = rows.select(F.lit("history mean").alias("summary"), item, F.col("history_mean").alias("value"), (F.substring("entity_key", 2, 6).cast("int") % 12 == 5).alias("changed"))
+    for t in tables:
+        computed, stored = computed.unionByName(t.drop("changed")), stored.unionByName(t)
+    stored = stored.select("summary", "item", (F.col("value") + F.when(F.col("changed"), 1.0).otherwise(0.0)).alias("value"))
+    return six(checks.rederived(stored, computed, "summary", "item"))
 
 
 @register("SELECT release, entity_key, rule FROM (SELECT release, entity_key, unnest(['percent outside 0 to 100', 'percent and n not both present', 'total does not give whole successes']) AS rule, unnest([p < 0 OR p > 100, (p IS NULL) <> (n IS NULL), coalesce(abs(100::DOUBLE * floor(n * p / 100 + 0.5) / n - p) > 0.051, false)]) AS bad FROM (SELECT release, entity_key, n, CASE WHEN l_suppkey % 25 = 1 THEN NULL WHEN l_suppkey % 25 = 2 THEN 101::DOUBLE ELSE published_total END AS p FROM outcomes)) WHERE bad", "outcomes")
 def violations_outcomes(spark, sf):
-    from ..operators import checks
-
     k = F.col("l_suppkey") % 25
     o = T.outcomes(spark, sf).withColumn("p", F.when(k == 1, None).when(k == 2, 101.0).otherwise(F.col("published_total")))
     p, n = F.col("p"), F.col("n")
@@ -345,17 +441,58 @@ def violations_outcomes(spark, sf):
     return checks.violations(o, rules, "release").select(F.col("period").alias("release"), "entity_key", "rule")
 
 
-@register("SELECT a.feature_release, a.target_release, CASE WHEN a.feature_end >= a.target_start THEN 'predictors reach into the target' ELSE 'target is public at the origin' END AS rule FROM (SELECT * FROM pairs UNION ALL SELECT feature_release, feature_release + 1, feature_start, feature_end, make_date(feature_release - 1, 1, 1), make_date(feature_release, 6, 30) FROM pairs WHERE feature_release % 2 = 0) a WHERE a.feature_end >= a.target_start OR a.target_release <= a.feature_release", "pairs")
+view("timed_pairs", ("pairs",), """SELECT *, make_date(feature_release - 1, 12, 31) AS follow_up_end FROM pairs UNION ALL SELECT feature_release, feature_release + 1, feature_start, feature_end, make_date(feature_release - 1, 1, 1), make_date(feature_release, 6, 30), make_date(feature_release - 1, 12, 31) FROM pairs WHERE feature_release % 2 = 0
+UNION ALL SELECT target_release, feature_release, target_start, target_end, feature_start, feature_end, make_date(target_release - 1, 12, 31) FROM pairs WHERE feature_release % 3 = 0 UNION ALL SELECT feature_release, target_release + 40, feature_start, feature_end, make_date(target_release + 38, 7, 1), make_date(target_release + 39, 6, 30), make_date(target_release + 39, 1, 1) FROM pairs WHERE feature_release % 4 = 1""")
+
+
+@register(
+    """SELECT feature_release, target_release, rule FROM (SELECT t.feature_release, t.target_release, unnest(['unknown release', 'target release does not follow', 'origin outside the allowed months', 'target is public at the origin', 'predictors reach into the target', 'follow-up reaches into the target']) AS rule,
+    unnest([f.release IS NULL OR g.release IS NULL, t.target_release <= t.feature_release, (year(f.earliest) - year(target_start)) * 12 + month(f.earliest) - month(target_start) <> 0, g.latest <= f.earliest, feature_end >= target_start, follow_up_end >= target_start]) AS bad
+    FROM timed_pairs t LEFT JOIN publications f ON f.release = t.feature_release LEFT JOIN publications g ON g.release = t.target_release) WHERE bad
+    UNION ALL SELECT DISTINCT a.feature_release, a.target_release, 'target cohorts overlap' FROM timed_pairs a JOIN timed_pairs b ON (a.feature_release <> b.feature_release OR a.target_release <> b.target_release) AND a.target_start <= b.target_end AND b.target_start <= a.target_end""",
+    "timed_pairs", "publications",
+)
 def violations_leakage(spark, sf):
-    """Pairs, with some faulty ones added, whose predictor window doesn't end before the target's begins."""
-    p = T.pairs(spark, sf)
-    f = F.col("feature_release")
-    faulty = p.where(f % 2 == 0).select("feature_release", (f + 1).alias("target_release"), "feature_start", "feature_end", F.make_date(f - 1, F.lit(1), F.lit(1)).alias("target_start"), F.make_date(f, F.lit(6), F.lit(30)).alias("target_end"))
-    every = p.unionByName(faulty)
-    rule = F.when(F.col("feature_end") >= F.col("target_start"), "predictors reach into the target").when(F.col("target_release") <= F.col("feature_release"), "target is public at the origin")
-    return every.select("feature_release", "target_release", rule.alias("rule")).where(F.col("rule").isNotNull())
+    """Pairs, with some faulty ones added, that break a rule of time."""
+    day = lambda year, m, d: F.make_date(year, F.lit(m), F.lit(d))
+    p, f, t = T.pairs(spark, sf), F.col("feature_release"), F.col("target_release")
+    names = ["feature_release", "target_release", "feature_start", "feature_end", "target_start", "target_end", "follow_up_end"]
+    every = p.select(*names[:6], day(f - 1, 12, 31).alias("follow_up_end"))
+    faulty = [
+        p.where(f % 2 == 0).select(f, f + 1, "feature_start", "feature_end", day(f - 1, 1, 1), day(f, 6, 30), day(f - 1, 12, 31)),
+        p.where(f % 3 == 0).select(t, f, "target_start", "target_end", "feature_start", "feature_end", day(t - 1, 12, 31)),
+        p.where(f % 4 == 1).select(f, t + 40, "feature_start", "feature_end", day(t + 38, 7, 1), day(t + 39, 6, 30), day(t + 39, 1, 1)),
+    ]
+    for rows in faulty:
+        every = every.unionByName(rows.toDF(*names))
+    return pairs.leakage(every, T.publications(spark, sf))
 
 
 @register("SELECT entity_key, release, n, round(quantity / 10, 6) AS person_years, published_total FROM outcomes ORDER BY entity_key, release", "outcomes")
 def entity_safety(spark, sf):
     return T.outcomes(spark, sf).select("entity_key", "release", "n", r6(F.col("quantity") / 10.0, "person_years"), "published_total").orderBy("entity_key", "release")
+
+
+@register("SELECT entity_key, feature_release, target_release, feature_n, target_n, target_percent, status FROM pair_table ORDER BY entity_key, feature_release", "pair_table")
+def entity_pairs(spark, sf):
+    return pair_rows(spark, sf).select("entity_key", "feature_release", "target_release", "feature_n", "target_n", "target_percent", "status").orderBy("entity_key", "feature_release")
+
+
+@register(f"SELECT entity_key, feature_release, target_release, model, round(predicted, 6) AS predicted, target_percent FROM ({_PREDICTED}) ORDER BY entity_key, feature_release, model", "pair_table", "outcomes")
+def entity_predictions(spark, sf):
+    return pair_predictions(spark, sf).select("entity_key", "feature_release", "target_release", "model", r6("predicted"), "target_percent").orderBy("entity_key", "feature_release", "model")
+
+
+_G = gates.CONTINUATION
+_ORIGINS = f"SELECT model, feature_release AS origin, avg(abs(predicted - target_percent)) AS mae, avg(predicted - target_percent) AS signed, NULL::BIGINT AS origins FROM ({_PREDICTED}) GROUP BY ALL"
+_EVERY = f"SELECT * FROM ({_ORIGINS}) UNION ALL SELECT model, NULL, avg(mae), avg(signed), count(*) FROM ({_ORIGINS}) GROUP BY model"
+
+
+@register(
+    f"""SELECT comparator, origin, unnest(CASE WHEN origin IS NULL THEN ['gain', 'relative gain', 'bias', 'origins'] ELSE ['improvement', 'bias', 'own bias'] END) AS criterion, unnest(CASE WHEN origin IS NULL THEN [mae - f_mae + 1e-12 >= {_G['gain']}, mae - f_mae + 1e-12 >= {_G['relative_gain']} * mae, abs(f_signed) - abs(signed) <= {_G['bias_worsening']} + 1e-12, f_origins >= {_G['origins']}]
+    ELSE [f_mae < mae, abs(f_signed) - abs(signed) <= {_G['bias_worsening']} + 1e-12, abs(f_signed) <= {_G['bias']}] END) AS passed FROM (SELECT c.model AS comparator, c.origin, c.mae, c.signed, f.mae AS f_mae, f.signed AS f_signed, f.origins AS f_origins FROM ({_EVERY}) c JOIN ({_EVERY}) f ON f.model = 'historical_mean' AND f.origin IS NOT DISTINCT FROM c.origin WHERE c.model <> 'historical_mean')""",
+    "pair_table", "outcomes",
+)
+def gate_continuation(spark, sf):
+    """Whether the model with history goes on against the last value and the pooled reference: each criterion, overall and by origin."""
+    return gates.continuation(pair_predictions(spark, sf), "historical_mean", ("persistence", "pooled_reference"))

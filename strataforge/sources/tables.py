@@ -145,3 +145,30 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", F.make_date(F.col("feature_release") - 2, F.lit(7), F.lit(1)).alias("feature_start"), F.make_date(F.col("feature_release") - 1, F.lit(6), F.lit(30)).alias("feature_end"),
         F.make_date(F.col("target_release") - 2, F.lit(7), F.lit(1)).alias("target_start"), F.make_date(F.col("target_release") - 1, F.lit(6), F.lit(30)).alias("target_end"),
     )
+
+
+def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per release of the outcomes: what its date of publication says, by day or by month."""
+    day = F.col("release") % 2 == 1
+    return outcomes(spark, sf_dir).select("release").distinct().select("release", F.concat(F.col("release").cast("string"), F.when(day, "-07-07").otherwise("-07")).alias("published_value"), F.when(day, "day").otherwise("month").alias("published_precision"))
+
+
+@saved
+def access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates, waits and safety of each release and entity; some rows and some measures aren't reported."""
+    o = outcomes(spark, sf_dir).withColumn("events", F.round((F.col("RF") + F.col("RO")) * F.col("n") / 100.0).cast("long"))
+    totals = o.groupBy("release").agg((F.sum("successes") / F.sum("n")).alias("rate"), (F.sum("events") / F.sum("n")).alias("event_rate"))
+    k, r = F.col("l_suppkey"), F.col("release")
+    expected, harm = F.round(F.col("n") * F.col("rate"), 2), F.round(F.col("n") * F.col("event_rate"), 2)
+    ratio, reach = (F.col("events") + 2.0) / (harm + 2.0), F.exp(1.96 / F.sqrt(F.col("events") + 2.0))
+    there = (k + 2 * r) % 13 != 0
+    return o.join(F.broadcast(totals), "release").where((3 * k + r) % 31 != 0).select(
+        "release", "entity_key", F.round(F.col("quantity") / 10.0, 3).alias("person_years"), F.when((k + r) % 10 != 1, F.round((F.col("successes") + 2.0) / (expected + 2.0), 4)).alias("rate_ratio"),
+        F.when((k + r) % 9 == 0, ">28").otherwise((1 + (k * 3 + r) % 28).cast("string")).alias("wait_text"), F.when(there, F.round(ratio, 4)).alias("safety_ratio"), F.when(there, F.round(ratio / reach, 4)).alias("safety_lower"), F.when(there, F.round(ratio * reach, 4)).alias("safety_upper"),
+    )
+
+
+def forget() -> None:
+    """Releases all tables that were kept by `saved`."""
+    while _SAVED:
+        _SAVED.popitem()[1].unpersist()
