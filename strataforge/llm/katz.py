@@ -16,7 +16,8 @@ Heavy contexts: a first pass finds every word with at least 1 / (HEAVY * buckets
 words that reach half of that among its own). Their pairs are dealt out by word over as many buckets as their share
 calls for, and the sums over a context that its probabilities need are added up across those buckets, as counts of counts.
 
-Words are 48-bit hashes. Defined cases: a null text is empty and has the end token only; a null id falls in
+Words are 62-bit hashes: among a hundred million different words two are alike with a probability of 0.1 %. Buckets are as many as
+shuffle partitions, and more where a bucket would have over BUCKET_BYTES of text. Defined cases: a null text is empty and has the end token only; a null id falls in
 fold 0; repeated rows count each; without training rows every token is unknown with probability 1.
 """
 
@@ -36,7 +37,9 @@ from ._text import LOWER_ASCII, blocks, crc_of_ids, mix, span_hashes, utf8, word
 K = 5
 RESERVE = 0.5
 GROUP_BYTES = 12 << 20
-WORD_BITS = 48
+WORD_BITS = 62
+#: Bytes of text for each bucket, where the session's shuffle partitions are fewer.
+BUCKET_BYTES = 32 << 20
 START, END = np.uint64(1), np.uint64(2)
 ADD = 0.1
 HEAVY = 2
@@ -50,11 +53,11 @@ PAIRS, HEADER, COUNTS, CONSTANTS, SPLIT = 0, 1, 2, 3, 4
 
 
 def dump(*arrays: np.ndarray) -> bytes:
-    """Arrays in one binary value, each compressed; 64-bit words are split so that 48 bits take 6 bytes."""
+    """Arrays in one binary value, each compressed; 64-bit words byte by byte, so that equal high bytes lie together."""
     out = []
     for x in arrays:
         x = np.ascontiguousarray(x)
-        raw = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() if x.dtype == np.uint64 else x.tobytes()
+        raw = x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() if x.dtype == np.uint64 else x.tobytes()
         packed = pa.compress(raw, codec="zstd", asbytes=True)
         out.append(x.dtype.str.encode().ljust(4) + len(raw).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed)
     return b"".join(out)
@@ -67,9 +70,7 @@ def undump(value: bytes) -> list[np.ndarray]:
         size, packed = int.from_bytes(value[at + 4 : at + 12], "little"), int.from_bytes(value[at + 12 : at + 20], "little")
         raw = pa.decompress(value[at + 20 : at + 20 + packed], decompressed_size=size, codec="zstd", asbytes=True)
         if kind == "<u8":
-            wide = np.zeros((size // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
-            out.append(wide.view("<u8").ravel())
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel())
         else:
             out.append(np.frombuffer(raw, np.dtype(kind)))
         at += 20 + packed
@@ -444,7 +445,9 @@ def _collect_sums(table: pa.Table) -> pa.Table:
 
 def _bucketed(docs: DataFrame, modulus: int, id_col: str, text_col: str, buckets: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Occurrences by bucket, and the answers (with the model's constants) for each bucket."""
-    buckets = buckets or parts(docs.sparkSession)
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        buckets = max(parts(docs.sparkSession), -(-size // BUCKET_BYTES))
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     heavy = find_heavy(chosen, buckets)
     occurrences = chosen.mapInArrow(lambda it: _occurrences(it, heavy, modulus), OCCURRENCES)
@@ -469,7 +472,7 @@ def _bucketed(docs: DataFrame, modulus: int, id_col: str, text_col: str, buckets
 def score_texts(docs: DataFrame, modulus: int = 10, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Scores of all texts by the model of those whose crc32(id as text) modulo `modulus` isn't 0.
 
-    buckets: parts of the model, as many as shuffle partitions unless given.
+    buckets: parts of the model, by the size of the texts unless given.
     """
     occurrences, answers, buckets = _bucketed(docs, modulus, id_col, text_col, buckets)
     sums = occurrences.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda a, b: _evaluate(a, b, buckets), SUMS)
