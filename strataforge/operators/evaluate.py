@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 SCALES = ("ratio", "percent", "log")
 BASELINE = "persistence"
 
@@ -42,7 +44,12 @@ def long_errors(errors: DataFrame, *kept: str, directions: tuple[str, ...] = ("s
 
 
 def describe(errors: DataFrame, *by: str) -> DataFrame:
-    return long_errors(errors, *by, "model").groupBy(*by, "model", "scale", "direction").agg(F.count("value").alias("rows"), *distribution("value"))
+    """Distribution of every scale and direction; a group may be as large as the table."""
+    keys = [*by, "model", "scale", "direction"]
+    long = long_errors(errors, *by, "model")
+    places = ranks.percentiles(long, keys, "value", [0.1, 0.5, 0.9, 0.95]).select(*keys, *[F.col("p")[k].alias(name) for k, name in enumerate(("p10", "median", "p90", "p95"))])
+    whole = long.groupBy(*keys).agg(F.count("value").alias("rows"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return whole.join(places, keys, "left")
 
 
 def tolerance_hits(errors: DataFrame, tolerances: tuple[float, ...], *by: str, value: str = "absolute_percent") -> DataFrame:
@@ -96,10 +103,9 @@ def count_shift(train: DataFrame, evaluation: DataFrame, value: str) -> DataFram
 
 def band_radius(errors: DataFrame, *by: str, percent: int = 80, least: int = 30, value: str = "absolute_log") -> DataFrame:
     """The value at rank min(n, ceil((n + 1) percent / 100)), an order statistic; null with fewer than `least` rows."""
-    over = Window.partitionBy(*by)
-    ranked = errors.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(over.orderBy(value)).alias("place"), F.count("*").over(over).alias("rows"))
-    wanted = F.least(F.col("rows"), F.ceil((F.col("rows") + 1) * percent / F.lit(100.0)))
-    return ranked.where(F.col("place") == wanted).select(*by, F.col("rows"), F.when(F.col("rows") >= least, F.col(value)).alias("radius"))
+    wanted = lambda n: [F.least(n, F.ceil((n + 1) * percent / F.lit(100.0)))]
+    found = ranks.order_values(errors, list(by), value, [percent / 100], wanted)
+    return found.select(*by, F.col("n").alias("rows"), F.when(F.col("n") >= least, F.col("values")[0]).alias("radius"))
 
 
 def with_bands(errors: DataFrame, radii: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
+from . import ranks
+
 
 #: A column whose deviation is at most this is constant but for rounding.
 CONSTANT = 1e-9
@@ -44,7 +47,10 @@ class Fit:
 
 def fit_folds(train: DataFrame, features: list[str], target: str, fold: str = "eval_period") -> list[Fit]:
     """Moments of every fold of `train`, from sums of differences from the medians (a missing value's difference is 0)."""
-    medians = train.groupBy(fold).agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(f"{c}_median") for c in features])
+    long = train.select(fold, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("value")) for i, c in enumerate(features)])).alias("v_")).select(fold, "v_.*")
+    middle = F.map_from_entries(F.collect_list(F.struct("i", F.col("p")[0].alias("m"))))
+    found = train.select(fold).distinct().join(ranks.percentiles(long, [fold, "i"], "value", [0.5]).groupBy(fold).agg(middle.alias("m_")), fold, "left")
+    medians = cut(found.select(fold, *[F.coalesce(F.col("m_")[i], F.lit(0.0)).alias(f"{c}_median") for i, c in enumerate(features)]))
     joined = train.join(F.broadcast(medians), fold)
     d = [F.coalesce(F.col(c) - F.col(f"{c}_median"), F.lit(0.0)) for c in features]
     centred = joined.select(fold, F.col(target).alias("y"), *[x.alias(f"d_{i}") for i, x in enumerate(d)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import STRATA
+from . import ranks
 
 LOG_INPUTS = ("current_log", "previous_log", "change_log", "log1p_expected", "log_width", "log_low", "log_medium", "log_high", "log_hard", "high_share", "hard_share")
 FLAGGED = ("previous_log", "change_log", "log_low", "log_medium", "log_high", "log_hard")
@@ -79,10 +80,10 @@ def feature_matrix(df: DataFrame, *kept: str, names: tuple[str, ...] = FEATURES)
     return df.select(*kept, *[F.col(c).cast("double").alias(c) for c in names])
 
 
-def volume_quartile(volume: str, *group: str, key: str = "entity_key") -> Column:
-    """1 + floor(4 rank / n) by (volume, key): ties are broken by key, and the last group is the short one."""
-    order = Window.partitionBy(*group).orderBy(volume, key)
-    return (1 + F.floor(4 * (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy(*group)))).cast("int")
+def with_quartile(df: DataFrame, volume: str, *group: str, key: str = "entity_key") -> DataFrame:
+    """`df` with the volume quartile of each row in its group, which may be as large as the table."""
+    placed = ranks.ranked(df, list(group), [volume, key], "rank_", "size_")
+    return placed.withColumn("quartile", (1 + F.floor(4 * (F.col("rank_") - 1) / F.col("size_"))).cast("int")).drop("rank_", "size_")
 
 
 def rolling_folds(panel: DataFrame, periods: DataFrame, window: int | None = None) -> DataFrame:
@@ -109,7 +110,7 @@ def predict(panel: DataFrame, periods: DataFrame, alpha: float = 10.0) -> DataFr
     """Long table of the four methods that need no matrix: one row per entity, target period and model."""
     folds = rolling_folds(panel, periods)
     fitted = adjusted_persistence(folds, alpha)
-    rows = folds.where(F.col("role") == "evaluate").withColumn("quartile", volume_quartile("log1p_expected", "target_period")).join(F.broadcast(fitted), "eval_period")
+    rows = with_quartile(folds.where(F.col("role") == "evaluate"), "log1p_expected", "target_period").join(F.broadcast(fitted), "eval_period")
     value = {"neutral": F.lit(0.0), "persistence": F.col("current_log"), "historical_mean": F.col("history_mean"), "adjusted_persistence": F.col("my") + F.col("slope") * (F.col("current_log") - F.col("mx"))}
     missing = F.exists(F.array(*OPTIONAL), lambda c: c.isNull())
     long = rows.withColumn("any_missing", missing).withColumn("m_", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("predicted_log")) for k, v in value.items()])))

@@ -293,7 +293,7 @@ def coverage_intervals(spark, sf):
 
 
 # ridge
-KEPT = ("entity_key", "eval_period", "role", "feature_period", "target_period", "target_log", "first_observed", "quartile")
+KEPT = ("entity_key", "eval_period", "role", "feature_period", "target_period", "target_log", "first_observed")
 #: Nested groups of features, and revised ones that leave one feature out.
 GROUPS = {"current": ["current_log"], "history": ["current_log", "previous_log", "change_log", "missing_previous_log", "missing_change_log"], "volume": [*panel.LOG_INPUTS[:5], "missing_previous_log", "missing_change_log"], "strata": [*panel.LOG_INPUTS[:9], *panel.FEATURES[11:]], "all": FEATURES}
 GROUPS |= {f"{name} less change": [c for c in GROUPS[name] if c not in ("change_log", "missing_change_log")] for name in ("volume", "all")}
@@ -302,16 +302,15 @@ REPLAYS = {"primary": 0, "without 1997": 1997, "without 1998": 1998}
 
 
 def folds(spark, sf, window=None):
-    rows = panel.rolling_folds(the_panel(spark, sf), eval_periods(spark, sf), window).withColumn("quartile", panel.volume_quartile("log1p_expected", "eval_period", "target_period"))
-    return panel.feature_matrix(rows, *KEPT)
+    return panel.feature_matrix(panel.rolling_folds(the_panel(spark, sf), eval_periods(spark, sf), window), *KEPT)
 
 
 def replay_folds(spark, sf):
     """One fold for each replay, told by its number."""
-    rows = the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000").withColumn("quartile", panel.volume_quartile("log1p_expected", "target_period"))
+    rows = panel.with_quartile(the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000"), "log1p_expected", "target_period")
     runs = F.explode(F.array(*[F.struct(F.lit(k).alias("eval_period"), F.lit(out).alias("left_out")) for k, out in enumerate(REPLAYS.values())]))
     every = rows.withColumn("r_", runs).select(*rows.columns, "r_.*").where(F.col("target_period") != F.col("left_out"))
-    return panel.feature_matrix(every.withColumn("role", F.when(F.col("target_period") == 2000, "evaluate").otherwise("train")), *KEPT)
+    return panel.feature_matrix(every.withColumn("role", F.when(F.col("target_period") == 2000, "evaluate").otherwise("train")), *KEPT, "quartile")
 
 
 def ridge(spark, sf, alphas, rows=None, groups=None):

@@ -372,7 +372,7 @@ _PREDICTED = f"SELECT e.*, m.model, CASE m.model WHEN 'persistence' THEN prior W
 
 @T.saved
 def pair_predictions(spark, sf):
-    rows = pair_rows(spark, sf).where("status = 'eligible'").withColumn("quartile", panel.volume_quartile("target_n", "target_release"))
+    rows = panel.with_quartile(pair_rows(spark, sf).where("status = 'eligible'"), "target_n", "target_release")
     reference = pairs.pooled_reference(T.outcomes(spark, sf)).select(F.col("release").alias("feature_release"), (100.0 * F.col("pooled")).alias("pooled_"))
     joined = rows.join(F.broadcast(reference), "feature_release")
     value = {"persistence": F.col("prior"), "historical_mean": F.col("history_mean"), "pooled_reference": F.col("pooled_")}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.functions import columns as C
-from strataforge.operators import accounting, checks, evaluate, models, pairs, panel, resample
+from strataforge.operators import accounting, checks, evaluate, gates, models, pairs, panel, ranks, resample
 
 
 def one(spark, column, **values):
@@ -54,7 +54,7 @@ def test_logits_at_the_ends(spark, n, percent):
 def test_quartiles_of_six_and_of_ties(spark):
     rows = [("e%d" % i, 1.0, 2000) for i in range(6)]
     for data in (rows, rows[::-1]):
-        found = spark.createDataFrame(data, "entity_key string, v double, t int").withColumn("q", panel.volume_quartile("v", "t")).orderBy("entity_key").collect()
+        found = spark.createDataFrame(data, "entity_key string, v double, t int").transform(lambda d: panel.with_quartile(d, "v", "t")).withColumnRenamed("quartile", "q").orderBy("entity_key").collect()
         assert [r.q for r in found] == [1, 1, 2, 3, 3, 4]
 
 
@@ -135,7 +135,8 @@ def test_violations_are_rows(spark):
 def test_history_and_reasons(spark):
     facts = spark.createDataFrame([(1997, "a", 20, 50.0, 10), (1998, "a", 5, 40.0, 2), (1999, "a", 20, 60.0, 12), (1997, "b", 20, 10.0, 2), (1999, "b", 5, 20.0, 1)], "release int, entity_key string, n long, percent double, successes long")
     wanted = spark.createDataFrame([(1997, 1999)], "feature_release int, target_release int")
-    found = {r.entity_key: r for r in pairs.build_pairs(facts, wanted).collect()}
+    dates = spark.createDataFrame([(1997, "1997-07", "month"), (1998, "1998-07-07", "day"), (1999, "1999-07-07", "day")], "release int, published_value string, published_precision string")
+    found = {r.entity_key: r for r in pairs.build_pairs(facts, wanted, dates).collect()}
     assert found["a"].status == "eligible" and found["a"].prior == 50.0 and found["a"].history_count == 1
     assert found["b"].status == "small_target" and found["b"].reasons == "small_target"
 
