@@ -10,7 +10,11 @@ its log odds between toxic and other texts. A longer entry is left out where its
 A text's weight is the sum over its matches outside exception phrases, per 100 words (with PRIOR_WORDS more); a
 logistic curve fitted on the same labelled texts turns it into a score from 0 to 1.
 
-Bounds: at most SAMPLE_ROWS labelled texts (those with the smallest hashed ids), at most MAX_ENTRIES entries.
+Exception phrases are EXCEPTIONS, and two-word phrases round an entry that the labelled texts show to be meant well: seen in at
+least LEAST_TEXTS texts, and in other texts relatively more often than in toxic ones.
+
+Bounds: at most SAMPLE_ROWS labelled texts (those with the smallest hashed ids); of their terms those in most toxic texts,
+CANDIDATES at most, are weighed, MAX_ENTRIES at most are kept, and MAX_PHRASES exceptions.
 
 Defined cases: a null text is empty; texts without matches, empty ones too, share the lowest score; without
 labelled rows of both kinds the lexicon is empty and the score is the share of toxic rows; repeated rows count each.
@@ -29,6 +33,7 @@ from ._text import blocks, code_points, utf8
 
 SAMPLE_ROWS = 40_000
 MAX_ENTRIES = 4_000
+CANDIDATES, MAX_PHRASES = 200_000, 2_000
 MIN_STEM, MAX_STEM = 4, 7
 LEAST_TEXTS, LEAST_WEIGHT = 3, 2.5
 PRIOR_WORDS = 20
@@ -146,7 +151,7 @@ def lexicon(sample: DataFrame) -> dict[str, float]:
 
     toxic_only = sample.where(F.col("toxic") > 0).select("text", "toxic")
     counted = toxic_only.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-    candidates = {r.term: r.toxic for r in counted.where((F.col("toxic") >= LEAST_TEXTS)).orderBy(F.desc("toxic"), "term").limit(50 * MAX_ENTRIES).collect()}
+    candidates = {r.term: r.toxic for r in counted.where((F.col("toxic") >= LEAST_TEXTS)).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()}
     n_toxic = candidates.pop("", 0)
     if not candidates:
         return {}
@@ -210,6 +215,34 @@ def match_weight(found, folded: str) -> tuple[float, int]:
     return sum(best.values()), len(best)
 
 
+def meant_well(sample: DataFrame, entries: dict[str, float]) -> tuple[str, ...]:
+    """Two-word phrases round an entry that occur relatively more often in other texts than in toxic ones."""
+    if not entries:
+        return ()
+    shared = sample.sparkSession.sparkContext.broadcast(tuple(sorted(entries.items())))
+
+    def run(batches):
+        found = _automaton(shared.value, ())
+        for batch in batches:
+            for part in blocks(batch):
+                seen: dict[str, list[int]] = {"": [0, 0]}
+                for text, toxic in zip(fold(*utf8(part.column(0))), part.column(1).to_pylist(), strict=True):
+                    words, own = text.split(), set()
+                    for k, word in enumerate(words):
+                        if next(found.iter(f" {word} "), None):
+                            own.update(" ".join(words[j : j + 2]) for j in (k - 1, k) if 0 <= j < len(words) - 1)
+                    seen[""][toxic > 0] += 1
+                    for phrase in own:
+                        seen.setdefault(phrase, [0, 0])[toxic > 0] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["phrase", "clean", "toxic"])
+
+    counted = sample.select("text", "toxic").mapInArrow(run, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    total = counted.where("phrase = ''").select(F.col("clean").alias("n_clean"), F.col("toxic").alias("n_toxic"))
+    share = lambda c: (F.col(c) + 0.5) / (F.col(f"n_{c}") + 1)
+    good = counted.where(f"phrase <> '' AND clean >= {LEAST_TEXTS}").join(F.broadcast(total)).where(share("clean") > share("toxic"))
+    return tuple(sorted(r.phrase for r in good.orderBy(F.desc("clean"), "phrase").limit(MAX_PHRASES).collect()))
+
+
 def measure(docs: DataFrame, entries: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, id_col: str = "key", text_col: str = "text") -> DataFrame:
     """(key, words, matches, weight, density) of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(entries.items())))
@@ -231,9 +264,13 @@ def measure(docs: DataFrame, entries: dict[str, float], exceptions: tuple[str, .
 
 
 def fit_curve(density: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and intercept of the logistic curve, with a small ridge; Newton steps."""
-    if not len(toxic):
-        return 0.0, 0.0
+    """Slope (not negative) and intercept of the logistic curve, with a small ridge; Newton steps.
+
+    Without rows of both kinds the curve is flat, at the share of toxic rows (0 without rows).
+    """
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    if share in (0.0, 1.0):
+        return 0.0, 40.0 if share else -40.0
     x = np.stack([density, np.ones(len(density))], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
@@ -250,6 +287,7 @@ def score(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     """(doc_id, score, predicted, ...) of all texts, learned from `labels` (doc_id, toxic) and their texts in `docs`."""
     sample = _sample(docs, labels)
     entries = lexicon(sample)
+    exceptions = tuple(sorted({*exceptions, *meant_well(sample, entries)}))
     seen = measure(sample, entries, exceptions).select("key", "density").join(sample.select("key", "toxic").distinct(), "key").select("density", "toxic").toPandas()
     slope, base = fit_curve(seen.density.to_numpy(), (seen.toxic > 0).to_numpy().astype(float))
     value = 1 / (1 + F.exp(-(F.lit(slope) * F.col("density") + F.lit(base))))
