@@ -4,9 +4,9 @@ Everything runs as DataFrame functions. Generators with high recall propose span
 candidate has a word of flags: its kind, format and neighbours. Labels come from strict checks (Luhn, mod 97, octets
 up to 255, lengths, area, group and serial numbers, a word of the kind in front): candidates of all documents are counted by flags and label, so the
 training table has at most one row for each flag word, and boosted trees of two levels are fitted on those
-counts. For each kind the lowest threshold whose selected candidates were right to PRECISION selects
-the spans that are added; those of the four base kinds that pass their checks always stay, and an added span never
-overlaps one of them.
+counts. One document in HELD_OUT is left out of the fit: for each kind the lowest threshold whose selected candidates were
+right to PRECISION in these documents selects the spans that are added (kinds that they lack take all documents); those of
+the four base kinds that pass their checks always stay, and an added span never overlaps one of them.
 
 Patterns that repeat a group would recurse on long runs, so the text is first rewritten without changing lengths:
 single marks between digits become one private character, dots inside names another; then runs of one class do.
@@ -23,11 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, quoted
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "tel", "secret", "ssn", "iban")
 PRECISION = 0.99
+HELD_OUT = 5
 TREES, RATE, RIDGE = 24, 0.4, 1.0
 MAX_CELLS = 1 << 16
 CHUNK = 256
@@ -176,7 +177,14 @@ class Trees:
                     value[leaf] += step
                     leaves.append((below, step))
             self.trees.append((root, leaves))
-        self.value = 1 / (1 + np.exp(-value))
+
+    def value_of(self, flags: np.ndarray) -> np.ndarray:
+        """The probability of each flag word."""
+        on = lambda k: (flags >> k & 1).astype(bool)
+        total = np.full(len(flags), self.base)
+        for root, ((left, a), (_, b), (right, c), (_, d)) in self.trees:
+            total += np.where(on(root), np.where(on(right), d, c), np.where(on(left), b, a))
+        return 1 / (1 + np.exp(-total))
 
     @staticmethod
     def _best(bits: np.ndarray, slope: np.ndarray, curve: np.ndarray, at: np.ndarray) -> int:
@@ -194,20 +202,28 @@ class Trees:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(found: DataFrame, column: str = "found") -> tuple[Trees, list[float]]:
-    """Trees, and each kind's threshold, from the candidates in `column`. Counts of all documents, at most MAX_CELLS rows."""
-    cells = found.select(F.explode(column).alias("c")).groupBy("c.kind", "c.flags").agg(F.sum(F.col("c.strict").cast("long")).alias("right"), F.count("*").alias("total"))
-    rows = cells.orderBy(F.desc("total"), "kind", "flags").limit(MAX_CELLS).collect()
-    kind, flags, right, total = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-    trees = Trees(flags, right.astype(float), total.astype(float))
-    thresholds = []
+def fit(found: DataFrame, column: str, held_out: Column) -> tuple[Trees, list[float]]:
+    """Trees, and each kind's threshold, from the candidates in `column`. Counts of all documents, at most MAX_CELLS rows.
+
+    held_out: whether a row's document serves for the thresholds alone.
+    """
+    exploded = found.select(held_out.alias("held"), F.explode(column).alias("c"))
+    right, every = F.col("c.strict").cast("long"), F.lit(1)
+    of = lambda v, held: F.sum(F.when(F.col("held") == held, v).otherwise(0))
+    cells = exploded.groupBy("c.kind", "c.flags").agg(of(right, False).alias("right"), of(every, False).alias("total"), of(right, True).alias("right_held"), of(every, True).alias("total_held"))
+    rows = cells.orderBy(F.desc(F.col("total") + F.col("total_held")), "kind", "flags").limit(MAX_CELLS).collect()
+    kind, flags, good, seen, good_held, seen_held = (np.array([r[k] for r in rows], np.int64) for k in range(6))
+    fitted = seen > 0
+    trees = Trees(flags[fitted], good[fitted].astype(float), seen[fitted].astype(float))
+    value, thresholds = trees.value_of(flags), []
     for k in range(len(KINDS)):
         own = kind == k
-        order = np.argsort(-trees.value[own], kind="stable")
-        value, good, every = trees.value[own][order], np.cumsum(right[own][order]), np.cumsum(total[own][order])
-        last = np.append(value[1:] != value[:-1], True) if len(value) else np.zeros(0, bool)
-        fine = np.flatnonzero(last & (good >= PRECISION * every) & (good > 0))
-        thresholds.append(float(value[fine[-1]]) - 1e-9 if len(fine) else 2.0)
+        g, n = (good_held[own], seen_held[own]) if seen_held[own].sum() and good_held[own].sum() else (good[own] + good_held[own], seen[own] + seen_held[own])
+        order = np.argsort(-value[own], kind="stable")
+        ranked, hits, count = value[own][order], np.cumsum(g[order]), np.cumsum(n[order])
+        last = np.append(ranked[1:] != ranked[:-1], True) if len(ranked) else np.zeros(0, bool)
+        fine = np.flatnonzero(last & (hits >= PRECISION * count) & (hits > 0))
+        thresholds.append(float(ranked[fine[-1]]) - 1e-9 if len(fine) else 2.0)
     return trees, thresholds
 
 
@@ -232,29 +248,36 @@ def _is_kind(k: int, s: Column) -> Column:
     return s["kind"] == k
 
 
+def _held(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(HELD_OUT)) == 0
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of the contract for each row of `docs`."""
+    """The columns of the contract for each row of `docs`, and the number of all spans."""
     found = cut(candidates(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))).select("key", "found"))
-    trees, thresholds = fit(found)
+    trees, thresholds = fit(found, "found", _held(F.col("key")))
     spans = with_spans(found, "found", trees, thresholds)
     counts = [F.size(F.filter("base_", partial(_is_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
-    return spans.select(F.col("key").alias(id_col), *counts, F.sha2(written(F.col("base_")), 256).alias("base_sha256"), written(F.col("every_")).alias("spans"))
+    return spans.select(F.col("key").alias(id_col), *counts, F.sha2(written(F.col("base_")), 256).alias("base_sha256"), written(F.col("every_")).alias("spans"), F.size("every_").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with each span of its text replaced by [KIND]; spans that overlap are replaced together, by the first one's kind."""
-    columns = docs.columns
-    found = cut(candidates(docs, text_col, "found_"))
-    trees, thresholds = fit(found, "found_")
-    spans = with_spans(found, "found_", trees, thresholds).select(*columns, F.col("every_").alias("spans_"))
+    """`docs` with each span of its text replaced by [KIND]; spans that overlap are replaced together, by the first one's kind.
+
+    The columns of `docs` travel in one struct, so that none of their names can clash with those used here.
+    """
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
+    found = cut(candidates(whole))
+    trees, thresholds = fit(found, "found", _held(F.col("text")))
+    spans = with_spans(found, "found", trees, thresholds).select("row", "text", F.col("every_").alias("spans"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(F.col(text_col), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.element_at(names, s["kind"] + 1))
+        piece = F.concat(F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.element_at(names, s["kind"] + 1))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(piece))).alias("out"))
 
-    spans = spans.select(*columns, F.when(F.size("spans_") > 0, F.aggregate("spans_", start, step)).alias("cut_"))
-    cut_up = F.col("cut_")
-    whole = F.concat(F.array_join(cut_up["out"], ""), F.substring(F.col(text_col), cut_up["at"] + 1, F.length(text_col)))
-    return spans.select(*[F.when(F.col("cut_").isNull(), F.col(c)).otherwise(whole).alias(c) if c == text_col else F.col(c) for c in columns])
+    spans = spans.select("row", "text", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)).alias("cut"))
+    new = F.concat(F.array_join(F.col("cut")["out"], ""), F.substring(F.col("text"), F.col("cut")["at"] + 1, F.length("text")))
+    of = lambda c: F.col("row").getField(c)
+    return spans.select(*[F.when(F.col("cut").isNull(), of(c)).otherwise(new).alias(c) if c == text_col else of(c).alias(c) for c in docs.columns])
