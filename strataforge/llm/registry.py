@@ -16,6 +16,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a one-page TIFF, read back: checksums of payload and file, and a feature of the page. A row per document."""
     return tiff.text_media_digest(read(spark, sf_dir, "documents"))
 
 
@@ -30,14 +31,17 @@ def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, perplexity and verdict of every document, by models of all documents."""
     return quality.verdicts(read(spark, sf_dir, "documents"))
 
 
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, each a sequence of its own."""
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document, learned from those outside the held-out fifth."""
     docs = read(spark, sf_dir, "documents")
     samples = language.learn(docs.where(language.fold("doc_id", 5) != 0))
     held_out = (language.fold("doc_id", 5) == 0).alias("held_out")
@@ -45,20 +49,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and all spans of every document."""
     return pii.find(read(spark, sf_dir, "documents"))
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every document, learned from those outside the held-out tenth."""
     return katz.score_texts(read(spark, sf_dir, "documents"))
 
 
 def op9_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out quarter."""
     labels = read(spark, sf_dir, "labels").where(language.fold("doc_id", 4) != 2).select("doc_id", "toxic")
     found = toxicity.score(read(spark, sf_dir, "documents"), labels)
     return found.withColumn("held_out", language.fold("doc_id", 4) == 2)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and score of the best segmentation of every document."""
     return unigram.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 

@@ -1,5 +1,7 @@
 """The pipeline's stages, and the registered queries over the smallest tables."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from strataforge.llm import registry
@@ -20,3 +22,27 @@ def test_stages_keep_the_columns(spark, sf):
 def test_queries_return_a_row_for_each_document(spark, sf, name):
     rows = registry.QUERIES[name](spark, sf)
     assert rows.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, mark string, row string, found string, bands string"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, *["x"] * 5)] * 3, [(1, "", "", "", 0, *["x"] * 5), (2, "one two", None, "s", 7, *["x"] * 5)]])
+def test_stages_on_odd_tables(spark, rows):
+    """Empty tables, null rows, repeated ones, and columns named like those inside the operators."""
+    docs = spark.createDataFrame(rows, ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and kept.count() <= len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
+
+
+def test_clean_text_goes_through(spark):
+    words = "stone river walks under green light and slowly finds the old mill beside a field of barley".split()
+    text = lambda seed: " ".join(random.Random(seed).choices(words, k=60))
+    rows = [(i, text(i), "en", "s", 0, *["x"] * 5) for i in range(60)] + [(100, text(1), "en", "s", 0, *["x"] * 5), (101, "mail to jo@mill.org " + text(101), "en", "s", 0, *["x"] * 5)]
+    docs = spark.createDataFrame(rows, ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), ODD)
+    got = {r.doc_id: r for r in docs.collect()}
+    assert set(got) == {*range(60), 101} and "[EMAIL]" in got[101].text and got[101].n_chars == len(got[101].text) and all(r.mark == "x" for r in got.values())

@@ -550,9 +550,9 @@ def test_classes_equal_brute_force(spark):
                     x, y = root(i), root(j)
                     parent[max(x, y)] = min(x, y)
     assert got == {i: root(i) for i in sets}
-    kept = neardup.keep_one(docs.withColumn("mark", F.lit(1)))
+    kept = neardup.keep_one(docs.withColumns({"mark": F.lit(1), "mark_": F.lit(2), "row": F.lit(3)}))
     assert sorted(x.doc_id for x in kept.collect()) == sorted({root(i) for i in sets})
-    assert kept.columns == ["doc_id", "text", "mark"]
+    assert kept.columns == ["doc_id", "text", "mark", "mark_", "row"] and {(x.mark, x.mark_, x.row) for x in kept.collect()} == {(1, 2, 3)}
 
 
 def test_near_duplicates_of_odd_tables(docs, empty):
@@ -603,10 +603,11 @@ def test_base_spans_equal_the_patterns(spark, docs, empty):
 
 
 def test_redaction(spark, docs):
-    rows = spark.createDataFrame([(1, "mail é.x@y.org now, +1 (017) 555-7713!", "k"), (2, None, "k"), (3, "nothing", "k")], "doc_id long, text string, found string")
-    got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
-    assert got == {1: "mail é[EMAIL] now, [PHONE]!", 2: None, 3: "nothing"}
-    assert pii.redact(rows).columns == rows.columns
+    clash = ["found", "row", "base_", "every_", "plain_", "email_", "spans", "cut", "key", "kind"]
+    rows = spark.createDataFrame([(1, "mail é.x@y.org now, +1 (017) 555-7713!", *clash), (2, None, *clash), (3, "nothing", *clash)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    got = {r.doc_id: r for r in pii.redact(rows).collect()}
+    assert {i: r.text for i, r in got.items()} == {1: "mail é[EMAIL] now, [PHONE]!", 2: None, 3: "nothing"}
+    assert pii.redact(rows).columns == rows.columns and all(r[c] == c for r in got.values() for c in clash)
 
 
 CLEAR = {
@@ -728,6 +729,26 @@ def test_folding_of_runs_and_borders():
     assert toxicity.fold(*utf8(pa.array(["idiot", "1", "", "0x"]))) == [" idiot ", "  ", "  ", " ox "]
 
 
+def test_phrases_that_are_meant_well(spark):
+    """An entry is toxic, but not in a phrase that other texts have too."""
+    clean = [(i, "stone river zorg lamp walks under light") for i in range(30)] + [(100 + i, "stone river walks under light") for i in range(60)]
+    toxic = [(200 + i, f"stone river you {'zorg' if i % 2 else 'zorg blat'} walks under light") for i in range(60)]
+    d = spark.createDataFrame([*clean, *toxic, (300, "a zorg lamp walks"), (301, "you zorg walks")], "doc_id long, text string")
+    y = spark.createDataFrame([*[(i, 0) for i, _ in clean], *[(i, 1) for i, _ in toxic]], "doc_id long, toxic int")
+    sample = d.join(y, "doc_id").select("text", "toxic")
+    assert "zorg lamp" in toxicity.meant_well(sample, {" zorg ": 3.0}) and "you zorg" not in toxicity.meant_well(sample, {" zorg ": 3.0})
+    assert toxicity.meant_well(sample, {}) == ()
+    score = lambda **k: {r.doc_id: r.score for r in toxicity.score(d, y, **k).collect()}
+    assert score()[300] < score()[301]
+
+
+def test_flat_curves():
+    none = np.zeros(0)
+    for toxic, share in ((none, 0), (np.zeros(3), 0), (np.ones(3), 1)):
+        slope, base = toxicity.fit_curve(np.ones(len(toxic)), toxic)
+        assert slope == 0 and 1 / (1 + math.exp(-base)) == pytest.approx(share, abs=1e-9)
+
+
 def test_disguised_words_are_found(spark):
     rows = [(i, " ".join(["stone river walks under light"] * 9) + (" idiot" if i % 4 == 0 else "")) for i in range(80)]
     rows += [(100 + k, f"stone river {w} walks") for k, w in enumerate(["1diot", "id1ot", "1d10t", "idi07", "!diot", "river"])]
