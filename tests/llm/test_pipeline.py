@@ -40,9 +40,11 @@ def test_stages_on_odd_tables(spark, rows):
 def test_clean_text_goes_through(spark):
     words = "stone river walks under green light and slowly finds the old mill beside a field of barley".split()
     text = lambda seed: " ".join(random.Random(seed).choices(words, k=60))
-    rows = [(i, text(i), "en", "s", 0, *["x"] * 5) for i in range(60)] + [(100, text(1), "en", "s", 0, *["x"] * 5), (101, "mail to jo@mill.org " + text(101), "en", "s", 0, *["x"] * 5)]
+    with_mail = lambda i: f"mail to jo@mill{i}.org {text(i)}" if i % 3 == 0 else text(i)
+    rows = [(i, with_mail(i), "en", "s", 0, *["x"] * 5) for i in range(60)] + [(100, text(1), "en", "s", 0, *["x"] * 5)]
     docs = spark.createDataFrame(rows, ODD)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, "").collect(), ODD)
     got = {r.doc_id: r for r in docs.collect()}
-    assert set(got) == {*range(60), 101} and "[EMAIL]" in got[101].text and got[101].n_chars == len(got[101].text) and all(r.mark == "x" for r in got.values())
+    assert set(got) == set(range(60)) and all(r.mark == "x" and r.n_chars == len(r.text) for r in got.values())
+    assert all(("[EMAIL]" in r.text) == (i % 3 == 0) and "@" not in r.text for i, r in got.items())
