@@ -505,6 +505,17 @@ def test_all_languages_have_models(spark):
     check(["x0", "x1", None])
 
 
+def test_other_scripts_have_models(spark):
+    """Texts of scrambled letters lie outside the bands of a Cyrillic and of a Greek language."""
+    rows, words = [], {"ru": "река камень медленно под зелёный свет старая мельница поле ячмень идёт находит".split(), "el": "ποτάμι πέτρα αργά κάτω πράσινο φως παλιός μύλος χωράφι κριθάρι βρίσκει".split()}
+    for lang, own in words.items():
+        r = random.Random(lang)
+        rows += [(len(rows) + i, " ".join(r.choices(own, k=50 + r.randrange(30))), lang) for i in range(80)]
+        rows += [(len(rows) + i, " ".join("".join(r.choices("".join(own), k=6)) for _ in range(60)), lang) for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, kept in got.items() if not kept and i % 83 < 80] == [] and not any(kept for i, kept in got.items() if i % 83 >= 80)
+
+
 def test_trigrams_of_several_texts():
     code, document = quality.trigrams(*utf8(pa.array(["ab", "", None, "c"])))
     at = lambda *s: (s[0] * 64 + s[1]) * 64 + s[2]
