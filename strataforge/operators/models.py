@@ -47,6 +47,7 @@ class Fit:
 
 def fit_folds(train: DataFrame, features: list[str], target: str, fold: str = "eval_period") -> list[Fit]:
     """Moments of every fold of `train`, from sums of differences from the medians (a missing value's difference is 0)."""
+    train = train.select(fold, target, *features).persist()  # read four times until the sums are collected
     long = train.select(fold, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("value")) for i, c in enumerate(features)])).alias("v_")).select(fold, "v_.*")
     middle = F.map_from_entries(F.collect_list(F.struct("i", F.col("p")[0].alias("m"))))
     found = train.select(fold).distinct().join(ranks.percentiles(long, [fold, "i"], "value", [0.5]).groupBy(fold).agg(middle.alias("m_")), fold, "left")
@@ -70,6 +71,7 @@ def fit_folds(train: DataFrame, features: list[str], target: str, fold: str = "e
         middle = np.array([row[f"{c}_median"] for c in features])
         deviation = np.sqrt(np.maximum(np.diag(cross), 0))
         fits.append(Fit(row[fold], n, middle, middle + shift, np.where(deviation > CONSTANT, deviation, 1.0), cross, np.array([row[f"y_{i}"] for i in range(p)]) / n - shift * mean_y, mean_y))
+    train.unpersist()
     return fits
 
 

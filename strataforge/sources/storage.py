@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-PREDICTIONS = StructType.fromDDL("entity_key string, feature_period int, target_period int, model string, n long, quartile int, target_ratio double, target_log double, predicted_log double, predicted_ratio double")
+PREDICTIONS = (
+    StructType().add("entity_key", "string").add("feature_period", "int").add("target_period", "int").add("model", "string").add("n", "long").add("quartile", "int").add("target_ratio", "double")
+    .add("target_log", "double").add("predicted_log", "double").add("predicted_ratio", "double")
+)
 
 
 def write_table(df: DataFrame, path: str, order: list[str], partition: str) -> None:
