@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-PREDICTIONS = (
-    StructType().add("entity_key", "string").add("feature_period", "int").add("target_period", "int").add("model", "string").add("n", "long").add("quartile", "int").add("target_ratio", "double")
-    .add("target_log", "double").add("predicted_log", "double").add("predicted_ratio", "double")
-)
+PREDICTIONS = StructType([
+    StructField("entity_key", StringType()), StructField("feature_period", IntegerType()), StructField("target_period", IntegerType()), StructField("model", StringType()), StructField("n", LongType()), StructField("quartile", IntegerType()),
+    *[StructField(c, DoubleType()) for c in ("target_ratio", "target_log", "predicted_log", "predicted_ratio")],
+])
 
 
 def write_table(df: DataFrame, path: str, order: list[str], partition: str) -> None:
