@@ -76,6 +76,30 @@ def strict_vintage_folds(pairs: DataFrame) -> DataFrame:
     return pairs.join(t, (F.col("train_target") <= F.col("feature_release")) & (F.col("train_end") < F.col("target_start")), "left").select("feature_release", "target_release", "train_feature", "train_target")
 
 
+#: Predictors of the pair models, from what is public at the feature release.
+PAIR_FEATURES = ("prior_logit", "history_logit", "log_n", "log_person_years", "log_rate", "wait", "safety_log_width", "log_acceptance", "missing_rate", "missing_waiting")
+
+
+def percent_logit(percent: Column) -> Column:
+    return F.log((percent + 0.5) / (100.5 - percent))
+
+
+def pair_folds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of strict-vintage folds: eval_period names the evaluation pair's target release; role, predictors, and the target as a logit.
+
+    Evaluation pairs without any training pair have no fold.
+    """
+    measured = rows.withColumns({
+        "prior_logit": percent_logit(F.col("prior")), "history_logit": percent_logit(F.col("history_mean")), "log_n": F.log1p("feature_n"), "log_person_years": F.log1p("person_years"), "log_rate": C.positive_log(F.col("rate_ratio")),
+        "log_acceptance": C.positive_log(F.col("acceptance_overall")), "missing_rate": F.col("missing_rate_ratio").cast("double"), "missing_waiting": F.col("missing_wait").cast("double"), "target_log": percent_logit(F.col("target_percent")), "target_period": F.col("target_release"),
+    })
+    folds = strict_vintage_folds(pairs).where(F.col("train_feature").isNotNull())
+    train = folds.select(F.col("target_release").alias("eval_period"), F.col("train_feature").alias("feature_release"), F.col("train_target").alias("target_release"), F.lit("train").alias("role"))
+    own = folds.select(F.col("target_release").alias("eval_period"), "feature_release", "target_release", F.lit("evaluate").alias("role")).distinct()
+    kept = ("entity_key", "eval_period", "role", "target_period", "target_log", "target_percent")
+    return measured.join(F.broadcast(train.unionByName(own)), ["feature_release", "target_release"]).select(*kept, *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES])
+
+
 def pooled_reference(facts: DataFrame) -> DataFrame:
     return facts.groupBy("release").agg(F.sum("successes").alias("successes"), F.sum("n").alias("n"), (F.sum("successes") / F.sum("n")).alias("pooled"))
 

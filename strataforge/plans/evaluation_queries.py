@@ -326,12 +326,12 @@ _REPLAY = f"""SELECT r.eval_period, CASE WHEN p.target_period = 2000 THEN 'evalu
 FROM (VALUES {", ".join(f"({k}, {out})" for k, out in enumerate(REPLAYS.values()))}) r(eval_period, left_out) JOIN panel p ON p.analytic_eligible AND p.target_period <= 2000 AND p.target_period <> r.left_out"""
 
 
-def ridge_views(name: str, folds_sql: str, alphas, groups=None) -> None:
+def ridge_views(name: str, folds_sql: str, alphas, groups=None, features=tuple(FEATURES), reads=("panel",)) -> None:
     """Views <name>_folds, _long, _stats, _z, _weights and _predicted: medians, moments and Gauss-Jordan elimination in SQL."""
-    members = [(g, FEATURES.index(c)) for g, own in (groups or {"all": FEATURES}).items() for c in own]
-    names = ", ".join(f"'{c}'" for c in FEATURES)
-    view(f"{name}_folds", ("panel",), folds_sql)
-    view(f"{name}_long", (f"{name}_folds",), f"SELECT eval_period, role, entity_key, target_period, target_log, unnest(range({len(FEATURES)})) AS i, unnest([{names}]) AS feature, unnest([{', '.join(FEATURES)}]) AS value FROM {name}_folds")
+    members = [(g, features.index(c)) for g, own in (groups or {"all": features}).items() for c in own]
+    names = ", ".join(f"'{c}'" for c in features)
+    view(f"{name}_folds", reads, folds_sql)
+    view(f"{name}_long", (f"{name}_folds",), f"SELECT eval_period, role, entity_key, target_period, target_log, unnest(range({len(features)})) AS i, unnest([{names}]) AS feature, unnest([{', '.join(features)}]) AS value FROM {name}_folds")
     view(f"{name}_medians", (f"{name}_long",), f"SELECT eval_period, i, coalesce(quantile_cont(value, 0.5), 0) AS median FROM {name}_long WHERE role = 'train' GROUP BY ALL")
     view(f"{name}_stats", (f"{name}_long", f"{name}_medians"), f"SELECT eval_period, i, feature, median, mean, CASE WHEN deviation > 1e-9 THEN deviation ELSE 1 END AS scale, n FROM (SELECT l.eval_period, l.i, l.feature, any_value(m.median) AS median, avg(coalesce(l.value, m.median)) AS mean, stddev_pop(coalesce(l.value, m.median)) AS deviation, count(*) AS n FROM {name}_long l JOIN {name}_medians m USING (eval_period, i) WHERE role = 'train' GROUP BY ALL)")
     view(f"{name}_z", (f"{name}_long", f"{name}_stats"), f"SELECT l.eval_period, l.role, l.entity_key, l.target_period, l.target_log, l.i, (coalesce(l.value, s.median) - s.mean) / s.scale AS z FROM {name}_long l JOIN {name}_stats s USING (eval_period, i)")
@@ -341,8 +341,8 @@ def ridge_views(name: str, folds_sql: str, alphas, groups=None) -> None:
     view(f"{name}_system", (f"{name}_gram",), f"""SELECT g.eval_period, a.alpha, m.grp, g.i, g.j, g.v + CASE WHEN g.i = g.j THEN a.alpha ELSE 0 END AS v FROM {name}_gram g, (VALUES {", ".join(f"({a}::DOUBLE)" for a in alphas)}) a(alpha), (VALUES {", ".join(f"('{g}', {i})" for g, i in members)}) m(grp, i)
     WHERE g.i = m.i AND (g.j = 99 OR (m.grp, g.j) IN (VALUES {", ".join(f"('{g}', {i})" for g, i in members)}))""")
     view(f"{name}_steps", (f"{name}_system",), f"""SELECT 0 AS k, eval_period, alpha, grp, i, j, v FROM {name}_system UNION ALL SELECT k + 1, eval_period, alpha, grp, i, j, CASE WHEN akk IS NULL THEN v WHEN i = k THEN v / akk ELSE v - aik * akj / akk END FROM (
-    SELECT *, max(v) FILTER (j = k) OVER (PARTITION BY eval_period, alpha, grp, i) AS aik, max(v) FILTER (i = k) OVER (PARTITION BY eval_period, alpha, grp, j) AS akj, max(v) FILTER (i = k AND j = k) OVER (PARTITION BY eval_period, alpha, grp) AS akk FROM {name}_steps WHERE k < {len(FEATURES)})""")
-    view(f"{name}_weights", (f"{name}_steps", f"{name}_stats", f"{name}_means"), f"SELECT w.eval_period, w.alpha, w.grp, w.i, s.feature, w.v AS weight, s.median, s.mean, s.scale, m.intercept, s.n FROM {name}_steps w JOIN {name}_stats s USING (eval_period, i) JOIN {name}_means m USING (eval_period) WHERE w.k = {len(FEATURES)} AND w.j = 99")
+    SELECT *, max(v) FILTER (j = k) OVER (PARTITION BY eval_period, alpha, grp, i) AS aik, max(v) FILTER (i = k) OVER (PARTITION BY eval_period, alpha, grp, j) AS akj, max(v) FILTER (i = k AND j = k) OVER (PARTITION BY eval_period, alpha, grp) AS akk FROM {name}_steps WHERE k < {len(features)})""")
+    view(f"{name}_weights", (f"{name}_steps", f"{name}_stats", f"{name}_means"), f"SELECT w.eval_period, w.alpha, w.grp, w.i, s.feature, w.v AS weight, s.median, s.mean, s.scale, m.intercept, s.n FROM {name}_steps w JOIN {name}_stats s USING (eval_period, i) JOIN {name}_means m USING (eval_period) WHERE w.k = {len(features)} AND w.j = 99")
     view(f"{name}_predicted", (f"{name}_weights", f"{name}_z", f"{name}_folds"), f"""SELECT f.eval_period, f.entity_key, f.target_period, f.target_log, f.first_observed, f.quartile, q.alpha, q.grp, q.predicted_log FROM {name}_folds f JOIN (SELECT z.eval_period, z.entity_key, z.target_period, w.alpha, w.grp, any_value(w.intercept) + sum(w.weight * z.z) AS predicted_log FROM {name}_z z JOIN {name}_weights w USING (eval_period, i) WHERE role = 'evaluate' GROUP BY ALL) q USING (eval_period, entity_key, target_period) WHERE f.role = 'evaluate'""")
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import accounting as A
-from ..operators import checks, evaluate, gates, pairs, panel
+from ..operators import checks, evaluate, gates, models, pairs, panel
 from ..sources import lineage
 from ..sources import tables as T
-from .evaluation_queries import six
+from .evaluation_queries import ridge_views, six
 from .panel_queries import r6
 from .duck import view
 from .register import register
@@ -496,3 +496,29 @@ _EVERY = f"SELECT * FROM ({_ORIGINS}) UNION ALL SELECT model, NULL, avg(mae), av
 def gate_continuation(spark, sf):
     """Whether the model with history goes on against the last value and the pooled reference: each criterion, overall and by origin."""
     return gates.continuation(pair_predictions(spark, sf), "historical_mean", ("persistence", "pooled_reference"))
+
+
+# ridge models of the pairs: strict vintage, logit target
+PAIR_GROUPS = {"history": ["prior_logit", "history_logit", "log_n"], "access": [*pairs.PAIR_FEATURES[:7], *pairs.PAIR_FEATURES[8:]], "all": list(pairs.PAIR_FEATURES)}
+_LOGIT = "ln(({c} + 0.5::DOUBLE) / (100.5::DOUBLE - {c}))"
+_PAIR_INPUTS = {
+    "prior_logit": _LOGIT.format(c="prior"), "history_logit": _LOGIT.format(c="history_mean"), "log_n": "ln(1 + feature_n)", "log_person_years": "ln(1 + person_years)", "log_rate": "ln(rate_ratio)", "wait": "wait", "safety_log_width": "safety_log_width",
+    "log_acceptance": "ln(acceptance_overall)", "missing_rate": "(rate_ratio IS NULL)::DOUBLE", "missing_waiting": "(wait IS NULL)::DOUBLE",
+}
+ridge_views(
+    "pair_ridge",
+    f"""SELECT f.eval_period, f.role, t.entity_key, t.target_release AS target_period, {_LOGIT.format(c="target_percent")} AS target_log, t.first_observed, 0 AS quartile, {", ".join(f"{v} AS {k}" for k, v in _PAIR_INPUTS.items())} FROM pair_table t JOIN (
+    SELECT p.target_release AS eval_period, 'train' AS role, q.feature_release, q.target_release FROM pairs p JOIN pairs q ON q.target_release <= p.feature_release AND q.target_end < p.target_start
+    UNION SELECT p.target_release, 'evaluate', p.feature_release, p.target_release FROM pairs p JOIN pairs q ON q.target_release <= p.feature_release AND q.target_end < p.target_start) f USING (feature_release, target_release) WHERE t.status = 'eligible'""",
+    [10.0], PAIR_GROUPS, pairs.PAIR_FEATURES, ("pair_table", "pairs"),
+)
+
+
+@register('SELECT entity_key, target_period AS target_release, grp AS "group", round(predicted_log, 6) AS predicted_logit, round(100 / (1 + exp(-predicted_log)), 6) AS predicted_percent FROM pair_ridge_predicted', "pair_ridge_predicted")
+def pair_ridge(spark, sf):
+    """Groups of predictors on identical pairs, fitted on logits of what was public, as percentages."""
+    rows = pairs.pair_folds(pair_rows(spark, sf).where("status = 'eligible'"), T.pairs(spark, sf))
+    features = list(pairs.PAIR_FEATURES)
+    fitted = models.parameters(spark, models.fit_folds(rows.where("role = 'train'"), features, "target_log"), features, [10.0], PAIR_GROUPS)
+    found = models.predictions(rows.where("role = 'evaluate'"), fitted, features)
+    return found.select("entity_key", F.col("target_period").alias("target_release"), "group", r6("predicted_log", "predicted_logit"), r6(100.0 * C.expit(F.col("predicted_log")), "predicted_percent"))
