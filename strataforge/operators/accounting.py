@@ -20,7 +20,8 @@ def plus(*columns: Column) -> Column:
 
 def earliest_vintage(annual: DataFrame) -> DataFrame:
     """Rows of each year's first release, chosen for all entities together: an entity that it lacks stays missing."""
-    return annual.withColumn("first_release", F.min("release").over(Window.partitionBy("year"))).where(F.col("release") == F.col("first_release"))
+    first = annual.groupBy("year").agg(F.min("release").alias("first_release"))  # one row a year
+    return annual.join(F.broadcast(first), "year").where(F.col("release") == F.col("first_release"))
 
 
 def with_accounts(rows: DataFrame) -> DataFrame:

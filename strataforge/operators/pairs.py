@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import ranks
 
 
 def available(publications: DataFrame) -> DataFrame:
@@ -109,17 +110,20 @@ def outcome_summary(predictions: DataFrame, *by: str) -> DataFrame:
 
     Where predictions don't vary, slope and intercept are null and calibration_reason says so.
     """
-    over = Window.partitionBy(*by, "model", "target_release")
-    w, x, y = 1.0 / F.count("*").over(over), F.col("predicted"), F.col("target_percent")
-    rows = predictions.withColumns({"w_": w, "ae_": F.abs(x - y), "flat_": F.min(x).over(Window.partitionBy(*by, "model")) == F.max(x).over(Window.partitionBy(*by, "model"))})
-    W, sx, sy, sxx, sxy = F.sum("w_"), F.sum(F.col("w_") * x), F.sum(F.col("w_") * y), F.sum(F.col("w_") * x * x), F.sum(F.col("w_") * x * y)
-    found = rows.groupBy(*by, "model").agg(
-        F.count("*").alias("rows"), F.countDistinct("target_release").alias("releases"), (F.sum(F.col("w_") * F.col("ae_")) / W).alias("balanced_mae"), F.avg("ae_").alias("mae"), (F.sum(F.col("target_n") * F.col("ae_")) / F.sum("target_n")).alias("weighted_mae"),
-        F.percentile("ae_", F.lit(0.5)).alias("median_ae"), F.avg(x - y).alias("signed"), (sx / W).alias("mx_"), (sy / W).alias("my_"), (sxx / W - (sx / W) * (sx / W)).alias("vx_"), (sxy / W - (sx / W) * (sy / W)).alias("cxy_"), F.first("flat_").alias("flat_"),
+    x, y, ae = F.col("predicted"), F.col("target_percent"), F.abs(F.col("predicted") - F.col("target_percent"))
+    mean = {"ae": ae, "x": x, "y": y, "xx": x * x, "xy": x * y}
+    releases = predictions.groupBy(*by, "model", "target_release").agg(
+        F.count("*").alias("n"), F.sum(ae).alias("total"), F.sum(x - y).alias("signed"), F.sum(F.col("target_n") * ae).alias("weighted"), F.sum("target_n").alias("volume"), F.min(x).alias("least"), F.max(x).alias("most"), *[F.avg(v).alias(k) for k, v in mean.items()]
+    )  # every release has one weight in what follows
+    keys = [*by, "model"]
+    found = releases.groupBy(*keys).agg(
+        F.sum("n").alias("rows"), F.count("*").alias("releases"), F.avg("ae").alias("balanced_mae"), (F.sum("total") / F.sum("n")).alias("mae"), (F.sum("weighted") / F.sum("volume")).alias("weighted_mae"), (F.sum("signed") / F.sum("n")).alias("signed"),
+        F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.avg("xx") - F.avg("x") * F.avg("x")).alias("vx"), (F.avg("xy") - F.avg("x") * F.avg("y")).alias("cxy"), (F.min("least") == F.max("most")).alias("flat"),
     )
-    flat = F.col("flat_") | (F.col("vx_") <= 1e-9)
-    slope = F.when(~flat, F.try_divide(F.col("cxy_"), F.col("vx_")))
-    return found.select(*by, "model", "rows", "releases", "balanced_mae", "mae", "weighted_mae", "median_ae", "signed", slope.alias("slope"), (F.col("my_") - slope * F.col("mx_")).alias("intercept"), F.when(flat, "predictions do not vary").alias("calibration_reason"))
+    medians = ranks.percentiles(predictions.withColumn("ae", ae), keys, "ae", [0.5]).select(*keys, F.col("p")[0].alias("median_ae"))
+    flat = F.col("flat") | (F.col("vx") <= 1e-9)
+    slope = F.when(~flat, F.try_divide(F.col("cxy"), F.col("vx")))
+    return found.join(medians, keys, "left").select(*keys, "rows", "releases", "balanced_mae", "mae", "weighted_mae", "median_ae", "signed", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.when(flat, "predictions do not vary").alias("calibration_reason"))
 
 
 def cuts(rows: DataFrame) -> DataFrame:

@@ -140,9 +140,9 @@ def rounding_diagnostics(signals: DataFrame, *by: str) -> DataFrame:
     Half a unit of the last printed place, the most places seen in the group, is the reach of each number; the range of
     (observed + 2) / (expected + 2) has to meet the published one.
     """
-    over = Window.partitionBy(*by)
     shown = signals.where(F.col("ratio").isNotNull() & F.col("expected").isNotNull())
-    placed = shown.withColumns({"e_": F.max(C.decimal_places(F.col("expected"))).over(over), "r_": F.max(C.decimal_places(F.col("ratio"))).over(over)})
+    places = shown.groupBy(*by).agg(F.max(C.decimal_places(F.col("expected"))).alias("e_"), F.max(C.decimal_places(F.col("ratio"))).alias("r_"))
+    placed = shown.join(F.broadcast(places), list(by))  # one row a group
     half = lambda c: 0.5 * F.pow(F.lit(10.0), -F.col(c))
     top, e, r = F.col("observed") + 2.0, F.col("expected"), F.col("ratio")
     meets = (top / (e + half("e_") + 2.0) <= r + half("r_")) & (F.greatest(F.lit(0.0), r - half("r_")) <= top / (F.greatest(F.lit(0.0), e - half("e_")) + 2.0))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import accounting as A
-from ..operators import checks, evaluate, gates, models, pairs, panel
+from ..operators import checks, evaluate, gates, models, pairs, panel, ranks
 from ..sources import lineage
 from ..sources import tables as T
 from .evaluation_queries import ridge_views, six
@@ -118,9 +117,8 @@ def select_examples(spark, sf):
     """The lower-middle entity by start of each year and group, among those usable in every year."""
     u = usable(spark, sf)
     rows = u.join(A.in_all_years(u).select("entity_key"), "entity_key", "left_semi").withColumn("growing", F.col("growth") > 0)
-    over = Window.partitionBy("year", "growing")
-    ranked = rows.withColumns({"place": F.row_number().over(over.orderBy("start", "entity_key")), "rows": F.count("*").over(over)})
-    return ranked.where(F.col("place") == F.floor((F.col("rows") - 1) / 2) + 1).select("year", "growing", "entity_key", "start")
+    ranked = ranks.ranked(rows.select("year", "growing", "entity_key", "start"), ["year", "growing"], ["start", "entity_key"])
+    return ranked.where(F.col("rank") == F.floor((F.col("size") - 1) / 2) + 1).select("year", "growing", "entity_key", "start")
 
 
 @register("SELECT entity_key, first_year, last_year, years FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY years DESC, last_year DESC) AS place FROM (SELECT entity_key, min(year) AS first_year, max(year) AS last_year, count(*) AS years FROM (SELECT entity_key, year, year - row_number() OVER (PARTITION BY entity_key ORDER BY year) AS island FROM compared WHERE reason IS NULL) GROUP BY entity_key, island)) WHERE place = 1", "compared")
