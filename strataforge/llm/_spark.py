@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.lineage import cut
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+__all__ = ["cut", "parts", "quoted", "read", "unused"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of `df` in the checkpoint folder that all executors share (spark.checkpoint.dir).
 
-    Only a local session without such a folder, as in tests, gets a temporary one; on a cluster this is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local($|\[)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def unused(columns: list[str], name: str) -> str:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram
 from ._spark import read
