@@ -17,7 +17,8 @@ words that reach half of that among its own). Their pairs are dealt out by word
 calls for, and the sums over a context that its probabilities need are added up across those buckets, as counts of counts.
 
 Words are 62-bit hashes: among a hundred million different words two are alike with a probability of 0.1 %. Buckets are SPREAD times as
-many as shuffle partitions, and more where a bucket would have over BUCKET_BYTES of text. Defined cases: a null text is empty and has the end token only; a null id falls in
+many as shuffle partitions, but each has LEAST_BYTES to BUCKET_BYTES of text: their questions to one another are up to the
+square of their number. Defined cases: a null text is empty and has the end token only; a null id falls in
 fold 0; repeated rows count each; without training rows every token is unknown with probability 1.
 """
 
@@ -38,10 +39,10 @@ K = 5
 RESERVE = 0.5
 GROUP_BYTES = 12 << 20
 WORD_BITS = 62
-#: Bytes of text for each bucket, where the session's shuffle partitions are fewer.
-BUCKET_BYTES = 32 << 20
-#: Buckets for each shuffle partition: several small ones a partition even out what chance deals to one.
-SPREAD = 4
+#: Bytes of text for each bucket, at most and at least.
+BUCKET_BYTES, LEAST_BYTES = 32 << 20, 2 << 20
+#: Buckets for each shuffle partition between these bounds: several small ones a partition even out what chance deals to one.
+SPREAD = 2
 START, END = np.uint64(1), np.uint64(2)
 ADD = 0.1
 HEAVY = 2
@@ -449,7 +450,7 @@ def _bucketed(docs: DataFrame, modulus: int, id_col: str, text_col: str, buckets
     """Occurrences by bucket, and the answers (with the model's constants) for each bucket."""
     if not buckets:
         size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-        buckets = max(SPREAD * parts(docs.sparkSession), -(-size // BUCKET_BYTES))
+        buckets = max(1, min(SPREAD * parts(docs.sparkSession), -(-size // LEAST_BYTES)), -(-size // BUCKET_BYTES))
     chosen = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     heavy = find_heavy(chosen, buckets)
     occurrences = chosen.mapInArrow(lambda it: _occurrences(it, heavy, modulus), OCCURRENCES)
