@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram
+from . import katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram, variants
 from ._spark import read
 
 
@@ -69,5 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op7_pii_candidates, op8_katz_backoff, op9_toxicity_lexicon, op10_token_counts)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the texts, some occurrences damaged, with its form, its root and its number of near words."""
+    return variants.group_variants(variants.vocabulary(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op7_pii_candidates, op8_katz_backoff, op9_toxicity_lexicon, op10_token_counts, op11_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {}
