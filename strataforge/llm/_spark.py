@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.lineage import cut
+from ..sources.lineage import cut, new_path
 
-__all__ = ["cut", "parts", "quoted", "read", "unused"]
+__all__ = ["cut", "new_path", "parts", "quoted", "read", "unused"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram, variants
-from ._spark import read
+from . import conversations, katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram, variants, wavelet
+from ._spark import new_path, read
 
 
 def tokenizer(name: str) -> str:
@@ -74,5 +74,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.vocabulary(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op7_pii_candidates, op8_katz_backoff, op9_toxicity_lexicon, op10_token_counts, op11_spelling_variants)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule: its faults, the cheapest edits that repair it, and the repaired rows' checksum."""
+    return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts' ids written to wavelet matrix files and read back: each document's place, number of ids and their checksum."""
+    docs, path = read(spark, sf_dir, "documents"), new_path(spark, "wavelet")
+    wavelet.write_shards(docs, path, tokenizer("word_bpe_49k.json"))
+    return wavelet.document_digests(wavelet.read_shards(spark, path), docs.schema["doc_id"].dataType).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op7_pii_candidates, op8_katz_backoff, op9_toxicity_lexicon, op10_token_counts, op11_spelling_variants, op12_conversation_repair, op13_wavelet_shards)}
 ORACLE_SQL: dict[str, str] = {}
