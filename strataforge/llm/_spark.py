@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..sources.lineage import cut, new_path
 
-__all__ = ["cut", "new_path", "parts", "quoted", "read", "unused"]
+__all__ = ["cut", "extended", "map_rows", "new_path", "parts", "quoted", "read", "unused"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +30,22 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def extended(schema: StructType, *more) -> StructType:
+    """`schema` with further fields; names may hold any character."""
+    return StructType([*schema.fields, *more])
+
+
+def map_rows(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), whatever characters the names hold."""
+    names = df.columns
+
+    def renamed(batches):
+        return run(pa.RecordBatch.from_arrays(batch.columns, names=names) for batch in batches)
+
+    made = df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, StructType([type(f)(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)]))
+    return made.toDF(*schema.names)
+
+
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import map_rows
 from ._text import blocks, code_points, utf8
 
 SAMPLE_SYMBOLS = 1 << 14
@@ -234,7 +235,7 @@ def keep_known(docs: DataFrame, samples: dict[str, bytes], text_col: str = "text
             arrays = [pa.array(pred, pa.string()) if k == target else c for k, c in enumerate(part.columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(pred != UNKNOWN, pa.bool_()))
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_rows(docs, run, docs.schema)
 
 
 def fold(id_col: str | Column, modulus: int) -> Column:

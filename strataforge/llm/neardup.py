@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from ._spark import cut, quoted, unused
+from ._spark import cut, extended, map_rows, quoted, unused
 from ._text import LOWER_ASCII, blocks, mix, span_hashes, utf8, words
 
 SHINGLE = 5
@@ -363,7 +364,7 @@ def with_marks(docs: DataFrame, text_col: str, out: str) -> DataFrame:
                 mark = shingles(*utf8(part.column(position)))[3]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mark.view(np.int64), mask=mark == 0)], names=[*names, out])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` long")
+    return map_rows(docs, run, extended(docs.schema, StructField(out, LongType())))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -376,5 +377,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("mark"))).getField("mark").alias(mark)).select(mark)
     marked = with_marks(docs, text_col, mark)
     whole = F.struct(*[F.col(quoted(c)) for c in docs.columns])
-    one = marked.join(stay, mark, "left_semi").groupBy(mark).agg(F.min_by(whole, F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("row"))
+    one = marked.join(stay, mark, "left_semi").groupBy(mark).agg(F.min_by(whole, F.struct(F.col(quoted(id_col)).isNull(), F.col(quoted(id_col)))).alias("row"))
     return one.select("row.*").unionByName(marked.where(F.col(mark).isNull()).drop(mark))

@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._text import utf8
+from ._spark import extended, map_rows, quoted
+from ._text import blocks, utf8
 
 WIDTH = 192
 ROWS_PER_STRIP = 128
@@ -35,7 +37,9 @@ TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILE_OFFSETS, TAG_TILE_BYTES = 322, 323, 32
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TAG_FILL_ORDER = 266
 #: Decoded bytes of a page, at most.
-MAX_PAGE_BYTES = 1 << 28
+MAX_PAGE_BYTES = (1 << 31) - 1
+#: Decoded pages are handed on after so many bytes, each page whole.
+BATCH_BYTES = 1 << 24
 #: Decoded bytes for each stored one, at most: a PackBits run has 128 bytes in 2, LZW 4,096 in 9 bits, deflate 258 in 2 bits.
 EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
@@ -108,6 +112,8 @@ def _undo(raw: np.ndarray, predictor: int, order: str, bits: int) -> np.ndarray:
         return raw
     rows, columns, samples, size = raw.shape
     if predictor == 2:
+        if size not in (1, 2, 4, 8):
+            raise ValueError(f"differences of samples of {bits} bits are not supported")
         kind = np.dtype(f"{order}u{size}")
         values = raw.reshape(rows, columns, samples * size).view(kind).reshape(rows, columns, samples)
         return np.cumsum(values, axis=1, dtype=kind.newbyteorder("=")).astype(kind).view(np.uint8).reshape(raw.shape)
@@ -204,7 +210,7 @@ def read_pages(blob: bytes | None) -> Iterator[dict]:
     """The pages of one file, in the order of its directories."""
     if not blob:
         return
-    number, seen, damage = 0, set(), (KeyError, ValueError, IndexError, MemoryError, struct.error, zlib.error)
+    number, seen, damage = 0, set(), (KeyError, ValueError, TypeError, IndexError, OverflowError, MemoryError, struct.error, zlib.error)
     failed = lambda problem: {"page": number, "error": f"{type(problem).__name__}: {problem}"[:200]}
     try:
         order = {b"II": "<", b"MM": ">"}[blob[:2]]
@@ -253,7 +259,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole)):
             data, offsets = utf8(batch.column(1))
             ends, raw = offsets.tolist(), data.tobytes()
             media = []
@@ -272,28 +278,32 @@ def tiff_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     A column of `files` that is named like a result column is replaced by the result.
     """
     names = [f.strip().split(" ")[0] for f in PAGE_SCHEMA.split(",")]
-    kept = files.select(*[c for c in files.columns if c not in names])
+    kept = files.select(*[F.col(quoted(c)) for c in files.columns if c not in names])
     position, carried = kept.columns.index(media_col), kept.columns
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                rows, pages = [], []
-                for k, blob in enumerate(part.column(position).to_pylist()):
-                    found = list(read_pages(blob))
-                    rows += [k] * len(found)
-                    pages += found
-                if not rows:
-                    continue
-                taken = part.take(pa.array(rows, pa.int64()))
+            rows, pages, held = [], [], 0
+
+            def found() -> pa.RecordBatch:
+                taken = batch.take(pa.array(rows, pa.int64()))
                 made = [pa.array([p.get(n) for p in pages], kinds[n]) for n in names]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*carried, *names])
+                return pa.RecordBatch.from_arrays([*taken.columns, *made], names=[*carried, *names])
+
+            for k, blob in enumerate(batch.column(position)):
+                for page in read_pages(blob.as_py()):
+                    rows.append(k)
+                    pages.append(page)
+                    held += len(page.get("pixels") or b"")
+                    if held >= BATCH_BYTES or len(rows) >= 256:
+                        yield found()
+                        rows, pages, held = [], [], 0
+            if rows:
+                yield found()
 
     of = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     kinds = {f.strip().split(" ")[0]: of[f.strip().split(" ")[1]] for f in PAGE_SCHEMA.split(",")}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + PAGE_SCHEMA
-    return kept.mapInArrow(run, schema)
+    return map_rows(kept, run, extended(kept.schema, *StructType.fromDDL(PAGE_SCHEMA).fields))
 
 
 def text_media_digest(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
+from ._spark import extended, map_rows, quoted
 from ._text import blocks, expand, per_document, span_hashes, utf8
 
 BLANK, FEED = 0x20, 0x0A
@@ -381,6 +383,5 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
             texts = [None if x is None else decode_bytes(model, np.array(x, np.int64)).decode(errors="replace") for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*carried, text_col])
 
-    kept = encoded.select(*carried)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{text_col}` string"
-    return kept.mapInArrow(run, schema)
+    kept = encoded.select(*[F.col(quoted(c)) for c in carried])
+    return map_rows(kept, run, extended(kept.schema, StructField(text_col, StringType())))

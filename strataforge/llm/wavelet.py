@@ -186,13 +186,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         for batch in batches:
             for own in blocks(batch):
                 found, total = packing.text_ids(known, *utf8(own.column(1)))
-                keys.append(own.column(0))
-                ids.append(found)
-                totals.append(total)
-                held += len(found)
-                if held >= shard:
-                    yield close()
-                    keys, ids, totals, before, number, held = [], [], [], before + held, number + 1, 0
+                edges, at = np.concatenate([[0], np.cumsum(total)]), 0
+                while at < len(total):  # as many documents as the shard needs to be full
+                    to = min(len(total), int(np.searchsorted(edges, edges[at] + shard - held)))
+                    keys.append(own.column(0).slice(at, to - at))
+                    ids.append(found[edges[at] : edges[to]])
+                    totals.append(total[at:to])
+                    held, at = held + int(edges[to] - edges[at]), to
+                    if held >= shard:
+                        yield close()
+                        keys, ids, totals, before, number, held = [], [], [], before + held, number + 1, 0
         if totals:
             yield close()
 
