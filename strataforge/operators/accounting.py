@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.tables import REMOVALS
+from . import ranks
 
 FIELDS = ("start", "end", "additions", *REMOVALS)
 
@@ -81,7 +82,9 @@ def median_of_medians(usable: DataFrame, *by: str) -> DataFrame:
     counts = count_metrics()
     rows = [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in counts.items()] + [F.struct(F.lit(f"{k}_per100").alias("metric"), C.per100(v, F.col("start")).alias("value")) for k, v in counts.items()]
     own = usable.select(*by, "entity_key", F.explode(F.array(*rows)).alias("m_")).groupBy(*by, "entity_key", "m_.metric").agg(F.percentile("m_.value", F.lit(0.5)).alias("own"))
-    return own.groupBy(*by, "metric").agg(F.count("own").alias("entities"), F.percentile("own", F.lit(0.5)).alias("median"))
+    counted = own.groupBy(*by, "metric").agg(F.count("own").alias("entities"))
+    middle = ranks.percentiles(own, [*by, "metric"], "own", [0.5]).select(*by, "metric", F.col("p")[0].alias("median"))
+    return counted.join(F.broadcast(middle), [*by, "metric"], "left")
 
 
 def prevalence(usable: DataFrame, indicators: dict[str, Column]) -> DataFrame:
@@ -130,7 +133,8 @@ def screen_summaries(rows: DataFrame, *by: str) -> DataFrame:
     counts = base.groupBy(*by).agg(F.count("*").alias("observations"), F.countDistinct("entity_key").alias("entities"))
     share = growing.groupBy(*by, "entity_key").agg(F.avg(more.cast("double")).alias("own")).groupBy(*by).agg(F.count("*").alias("growing"), F.avg("own").alias("prevalence"))
     rose = growing.where(more).groupBy(*by, "entity_key").agg(F.percentile("growth", F.lit(0.5)).alias("g"), F.percentile(C.per100(F.col("growth"), F.col("start")), F.lit(0.5)).alias("h"))
-    size = rose.groupBy(*by).agg(F.percentile("g", F.lit(0.5)).alias("growth"), F.percentile("h", F.lit(0.5)).alias("growth_per100"))
+    both = rose.unpivot([*by, "entity_key"], ["g", "h"], "which", "value")
+    size = ranks.percentiles(both, [*by, "which"], "value", [0.5]).groupBy(*by).agg(*[F.max(F.when(F.col("which") == k, F.col("p")[0])).alias(name) for k, name in (("g", "growth"), ("h", "growth_per100"))])
     join = lambda a, b: a.join(b, list(by), "left")
     return join(join(counts, share), size).withColumn("growing", F.coalesce("growing", F.lit(0)))
 

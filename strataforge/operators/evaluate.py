@@ -31,10 +31,13 @@ def balanced_mean(errors: DataFrame, *by: str, value: str = "absolute_log", peri
     return inner.groupBy(*by, "model").agg(F.avg("mean").alias("balanced"), F.try_divide(F.sum("total"), F.sum("rows")).alias("pooled"), F.sum("rows").alias("rows"), F.count("*").alias("periods"))
 
 
-def distribution(value: str) -> list[Column]:
-    """Mean, median, deciles and extremes; exact percentiles with linear interpolation."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9, 0.95)]))
-    return [F.avg(value).alias("mean"), p[0].alias("p10"), p[1].alias("median"), p[2].alias("p90"), p[3].alias("p95"), F.min(value).alias("least"), F.max(value).alias("most")]
+PLACES = {"p10": 0.1, "median": 0.5, "p90": 0.9, "p95": 0.95}
+
+
+def with_distribution(table: DataFrame, rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """`table`, a row for each group, with exact deciles and percentiles of the groups in `rows`, which may be as large as the table."""
+    places = ranks.percentiles(rows, list(by), value, list(PLACES.values())).select(*by, *[F.col("p")[k].alias(name) for k, name in enumerate(PLACES)])
+    return table.join(F.broadcast(places), list(by), "left") if by else table.join(F.broadcast(places))
 
 
 def long_errors(errors: DataFrame, *kept: str, directions: tuple[str, ...] = ("signed", "absolute")) -> DataFrame:
@@ -47,9 +50,8 @@ def describe(errors: DataFrame, *by: str) -> DataFrame:
     """Distribution of every scale and direction; a group may be as large as the table."""
     keys = [*by, "model", "scale", "direction"]
     long = long_errors(errors, *by, "model")
-    places = ranks.percentiles(long, keys, "value", [0.1, 0.5, 0.9, 0.95]).select(*keys, *[F.col("p")[k].alias(name) for k, name in enumerate(("p10", "median", "p90", "p95"))])
     whole = long.groupBy(*keys).agg(F.count("value").alias("rows"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return whole.join(places, keys, "left")
+    return with_distribution(whole, long, "value", *keys)
 
 
 def tolerance_hits(errors: DataFrame, tolerances: tuple[float, ...], *by: str, value: str = "absolute_percent") -> DataFrame:
@@ -78,7 +80,11 @@ def group_balanced(summaries: DataFrame) -> DataFrame:
 
 def wins(differences: DataFrame, *by: str) -> DataFrame:
     d = F.col("difference")
-    return differences.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct("entity_key").alias("entities"), F.count_if(d < 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d > 0).alias("losses"), F.avg((d < 0).cast("int")).alias("win_share"), *distribution("difference"))
+    counted = differences.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.countDistinct("entity_key").alias("entities"), F.count_if(d < 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d > 0).alias("losses"), F.avg((d < 0).cast("int")).alias("win_share"),
+        F.avg(d).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"),
+    )
+    return with_distribution(counted, differences, "difference", *by)
 
 
 def paired_comparison(errors: DataFrame, challenger: str, comparator: str) -> DataFrame:

@@ -1,22 +1,20 @@
-"""Ridge regression from moments, for all folds and all penalties of a grid in one pass over the data.
+"""Ridge regression from moments, for all folds and all penalties of a grid from sums by cell (operators/folds.py).
 
 Per fold: exact medians fill the training columns (a column that is all null is 0), means and population deviations scale
-them (a constant column by 1), and one aggregation yields the centred cross moments. What is collected is one row per fold with
-p (p + 3) / 2 + 1 numbers; the p x p systems are solved on the driver, and predictions are a column expression over a
+them (a constant column by 1). The p x p systems are solved on the driver, and predictions are a column expression over a
 broadcast table of coefficients.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lineage import cut
-from . import ranks
-
+from . import folds
 
 #: A column whose deviation is at most this is constant but for rounding.
 CONSTANT = 1e-9
@@ -45,34 +43,24 @@ class Fit:
         return weights
 
 
-def fit_folds(train: DataFrame, features: list[str], target: str, fold: str = "eval_period") -> list[Fit]:
-    """Moments of every fold of `train`, from sums of differences from the medians (a missing value's difference is 0)."""
-    train = train.select(fold, target, *features).persist()  # read four times until the sums are collected
-    long = train.select(fold, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("value")) for i, c in enumerate(features)])).alias("v_")).select(fold, "v_.*")
-    middle = F.map_from_entries(F.collect_list(F.struct("i", F.col("p")[0].alias("m"))))
-    found = train.select(fold).distinct().join(ranks.percentiles(long, [fold, "i"], "value", [0.5]).groupBy(fold).agg(middle.alias("m_")), fold, "left")
-    medians = cut(found.select(fold, *[F.coalesce(F.col("m_")[i], F.lit(0.0)).alias(f"{c}_median") for i, c in enumerate(features)]))
-    joined = train.join(F.broadcast(medians), fold)
-    d = [F.coalesce(F.col(c) - F.col(f"{c}_median"), F.lit(0.0)) for c in features]
-    centred = joined.select(fold, F.col(target).alias("y"), *[x.alias(f"d_{i}") for i, x in enumerate(d)])
-    p = len(features)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = centred.groupBy(fold).agg(
-        F.count("*").alias("rows"), F.sum("y").alias("y"), *[F.sum(f"d_{i}").alias(f"s_{i}") for i in range(p)],
-        *[F.sum(F.col(f"d_{i}") * F.col(f"d_{j}")).alias(f"x_{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"d_{i}") * F.col("y")).alias(f"y_{i}") for i in range(p)],
-    )
-    fits = []
-    for row in sums.join(F.broadcast(medians), fold).orderBy(fold).collect():
-        n, mean_y = row["rows"], row["y"] / row["rows"]
-        shift = np.array([row[f"s_{i}"] for i in range(p)]) / n
-        cross = np.zeros((p, p))
-        for i, j in pairs:
-            cross[i, j] = cross[j, i] = row[f"x_{i}_{j}"] / n - shift[i] * shift[j]
-        middle = np.array([row[f"{c}_median"] for c in features])
+def fit_cells(rows: DataFrame, features: list[str], target: str, cell: Column, members: Callable[[list[str]], dict[int, list[str]]]) -> tuple[list[Fit], folds.Statistics]:
+    """The fits of all folds. members: from the names of the cells to the cells that train each fold; folds without any are left out."""
+    rows = rows.select(cell.cast("string").alias("cell_"), target, *features).persist()  # read for sums, then for medians
+    found = folds.cell_statistics(rows, features, target, F.col("cell_"))
+    trained = {fold: own for fold, own in members(sorted(found.sums)).items() if own}
+    middle, fits = folds.medians(rows, found, F.col("cell_"), trained), []
+    for fold, own in sorted(trained.items()):
+        n, means, cross, cross_y, mean_y = found.of(own, middle[fold])
         deviation = np.sqrt(np.maximum(np.diag(cross), 0))
-        fits.append(Fit(row[fold], n, middle, middle + shift, np.where(deviation > CONSTANT, deviation, 1.0), cross, np.array([row[f"y_{i}"] for i in range(p)]) / n - shift * mean_y, mean_y))
-    train.unpersist()
-    return fits
+        size = np.abs(means - found.shift) + deviation
+        fits.append(Fit(fold, n, middle[fold], means, np.where(deviation > np.maximum(CONSTANT, 1e-7 * size), deviation, 1.0), cross, cross_y, mean_y))
+    rows.unpersist()
+    return fits, found
+
+
+def fit_folds(train: DataFrame, features: list[str], target: str, fold: str = "eval_period") -> list[Fit]:
+    """Fits of folds whose rows are given for each fold (eval_period) on their own: each fold is a cell."""
+    return fit_cells(train, features, target, F.col(fold), lambda cells: {int(c): [c] for c in cells})[0]
 
 
 def parameters(spark, fits: list[Fit], features: list[str], alphas: list[float], groups: dict[str, list[str]] | None = None) -> DataFrame:
@@ -106,46 +94,12 @@ def select_alpha(scores: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return scores.join(F.broadcast(best)).where(F.col("balanced") <= F.col("best") * (1 + tolerance)).agg(F.max("alpha").alias("alpha"), F.max_by("balanced", "alpha").alias("balanced"))
 
 
-def contributions(train: DataFrame, evaluate: DataFrame, fitted: DataFrame, features: list[str], fold: str = "eval_period") -> DataFrame:
-    """Per fold and feature: weight * (mean z in evaluation - mean z in training); they add up to the mean prediction's change."""
-    def means(df: DataFrame, name: str) -> DataFrame:
-        long = df.select(fold, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features])).alias("v_")).select(F.col(fold).alias("fold"), "v_.*")
-        z = (F.coalesce(F.col("value"), F.col("median")) - F.col("mean")) / F.col("scale")
-        return long.join(F.broadcast(fitted), ["fold", "feature"]).groupBy("fold", "feature").agg(F.avg(z).alias(name), F.first("weight").alias(f"{name}_weight"))
-
-    both = means(evaluate, "z_evaluate").join(means(train, "z_train"), ["fold", "feature"])
-    return both.select("fold", "feature", "z_train", "z_evaluate", (F.col("z_train_weight") * (F.col("z_evaluate") - F.col("z_train"))).alias("contribution"))
-
-
-def clopper_pearson(table: DataFrame, hits: str, rows: str, confidence: float = 0.95) -> DataFrame:
-    """Exact binomial bounds of hits / rows, on a table that is already aggregated: bisection over the binomial tail."""
-    from math import lgamma
-
-    import pandas as pd
-
-    def tail(k: int, n: int, p: float) -> float:
-        """P(X >= k)."""
-        if k <= 0:
-            return 1.0
-        i = np.arange(k, n + 1)
-        logs = np.array([lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) for x in i]) + i * np.log(p) + (n - i) * np.log1p(-p)
-        return float(np.exp(logs).sum())
-
-    def bound(k: int, n: int, wanted: float) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if tail(k, n, mid) < wanted else (lo, mid)
-        return (lo + hi) / 2
-
-    half = (1 - confidence) / 2
-
-    def bounds(k, n):
-        out = []
-        for a, b in zip(k.tolist(), n.tolist(), strict=True):
-            out.append([0.0 if a == 0 else bound(a, b, half), 1.0 if a == b else bound(a + 1, b, 1 - half)] if b else [None, None])
-        return pd.Series(out)
-
-    bounds.__annotations__ = {"k": pd.Series, "n": pd.Series, "return": pd.Series}
-    found = table.withColumn("b_", F.pandas_udf(bounds, "array<double>")(F.col(hits), F.col(rows)))
-    return found.withColumns({"lower": F.col("b_")[0], "upper": F.col("b_")[1]}).drop("b_")
+def contributions(spark, statistics: folds.Statistics, fits: list[Fit], alpha: float, evaluated: Callable[[int], list[str]]) -> DataFrame:
+    """Per fold and feature: weight * mean z of the evaluated cells (that of training is 0); they add up to the mean prediction's change. Made of the sums alone."""
+    out = []
+    for fit in fits:
+        cells = [c for c in evaluated(fit.fold) if c in statistics.sums]
+        if cells:
+            z = (statistics.of(cells, fit.medians)[1] - fit.means) / fit.scales
+            out += [(fit.fold, c, 0.0, float(z[i]), float(w * z[i])) for i, (c, w) in enumerate(zip(statistics.features, fit.coefficients(alpha), strict=True))]
+    return spark.createDataFrame(out, "fold int, feature string, z_train double, z_evaluate double, contribution double")

@@ -85,20 +85,21 @@ def percent_logit(percent: Column) -> Column:
     return F.log((percent + 0.5) / (100.5 - percent))
 
 
-def pair_folds(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of strict-vintage folds: eval_period names the evaluation pair's target release; role, predictors, and the target as a logit.
-
-    Evaluation pairs without any training pair have no fold.
-    """
+def pair_matrix(rows: DataFrame) -> DataFrame:
+    """Predictors and the target as a logit of each pair row, with its pair as text in `pair`."""
     measured = rows.withColumns({
         "prior_logit": percent_logit(F.col("prior")), "history_logit": percent_logit(F.col("history_mean")), "log_n": F.log1p("feature_n"), "log_person_years": F.log1p("person_years"), "log_rate": C.positive_log(F.col("rate_ratio")),
         "log_acceptance": C.positive_log(F.col("acceptance_overall")), "missing_rate": F.col("missing_rate_ratio").cast("double"), "missing_waiting": F.col("missing_wait").cast("double"), "target_log": percent_logit(F.col("target_percent")), "target_period": F.col("target_release"),
     })
-    folds = strict_vintage_folds(pairs).where(F.col("train_feature").isNotNull())
-    train = folds.select(F.col("target_release").alias("eval_period"), F.col("train_feature").alias("feature_release"), F.col("train_target").alias("target_release"), F.lit("train").alias("role"))
-    own = folds.select(F.col("target_release").alias("eval_period"), "feature_release", "target_release", F.lit("evaluate").alias("role")).distinct()
-    kept = ("entity_key", "eval_period", "role", "target_period", "target_log", "target_percent")
-    return measured.join(F.broadcast(train.unionByName(own)), ["feature_release", "target_release"]).select(*kept, *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES])
+    return measured.select("entity_key", F.concat_ws("-", "feature_release", "target_release").alias("pair"), "feature_release", "target_release", "target_period", "target_log", "target_percent", *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES])
+
+
+def training_pairs(pairs: DataFrame) -> dict[int, list[str]]:
+    """The pairs that train the fold of each evaluation pair's target release (strict vintage); pairs are a short list and are collected."""
+    found: dict[int, list[str]] = {}
+    for r in strict_vintage_folds(pairs).where(F.col("train_feature").isNotNull()).collect():
+        found.setdefault(r.target_release, []).append(f"{r.train_feature}-{r.train_target}")
+    return found
 
 
 def pooled_reference(facts: DataFrame) -> DataFrame:

@@ -99,18 +99,26 @@ def rolling_folds(panel: DataFrame, periods: DataFrame, window: int | None = Non
     return eligible.join(F.broadcast(periods), F.col("target_period") <= F.col("eval_period")).withColumn("role", role).where(F.col("role").isNotNull())
 
 
-def adjusted_persistence(folds: DataFrame, alpha: float) -> DataFrame:
-    """Ridge of the target on the current value, by fold: means and slope = Sxy / (Sxx + alpha var(x)), from one aggregation."""
+def adjusted_persistence(panel: DataFrame, periods: DataFrame, alpha: float) -> DataFrame:
+    """Ridge of the target on the current value, by evaluation period: means and slope = Sxy / (Sxx + alpha var(x)).
+
+    Each row is summed for its own target period; an evaluation period adds up the few sums of the earlier ones.
+    """
     x, y = F.col("current_log"), F.col("target_log")
-    sums = folds.where(F.col("role") == "train").groupBy("eval_period").agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, y).alias("cxy"), F.var_pop(x).alias("vx"), F.count("*").alias("rows"))
+    own = panel.where("analytic_eligible").where(x.isNotNull() & y.isNotNull()).groupBy("target_period").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.covar_pop(x, y).alias("cxy"), F.var_pop(x).alias("vx"))
+    earlier = own.join(F.broadcast(periods), F.col("target_period") < F.col("eval_period"))
+    n, rows = F.col("n"), F.sum("n")
+    mean = lambda c: F.sum(n * F.col(c)) / rows
+    both = lambda c, a, b: F.sum(n * (F.col(c) + F.col(a) * F.col(b))) / rows - mean(a) * mean(b)  # noqa: E731  within periods and between them
+    sums = earlier.groupBy("eval_period").agg(rows.alias("rows"), mean("x").alias("mx"), mean("y").alias("my"), both("cxy", "x", "y").alias("cxy"), both("vx", "x", "x").alias("vx"))
     return sums.select("eval_period", "mx", "my", F.coalesce(F.try_divide(F.col("cxy") * F.col("rows"), F.col("vx") * F.col("rows") + alpha * F.col("vx")), F.lit(0.0)).alias("slope"))
 
 
 def predict(panel: DataFrame, periods: DataFrame, alpha: float = 10.0) -> DataFrame:
     """Long table of the four methods that need no matrix: one row per entity, target period and model."""
-    folds = rolling_folds(panel, periods)
-    fitted = adjusted_persistence(folds, alpha)
-    rows = with_quartile(folds.where(F.col("role") == "evaluate"), "log1p_expected", "target_period").join(F.broadcast(fitted), "eval_period")
+    fitted = adjusted_persistence(panel, periods, alpha)
+    evaluated = panel.where("analytic_eligible").withColumn("eval_period", F.col("target_period")).join(F.broadcast(periods), "eval_period")
+    rows = with_quartile(evaluated, "log1p_expected", "target_period").join(F.broadcast(fitted), "eval_period")
     value = {"neutral": F.lit(0.0), "persistence": F.col("current_log"), "historical_mean": F.col("history_mean"), "adjusted_persistence": F.col("my") + F.col("slope") * (F.col("current_log") - F.col("mx"))}
     missing = F.exists(F.array(*OPTIONAL), lambda c: c.isNull())
     long = rows.withColumn("any_missing", missing).withColumn("m_", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("predicted_log")) for k, v in value.items()])))

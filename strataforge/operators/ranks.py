@@ -29,17 +29,18 @@ def ranked(df: DataFrame, by: list[str], order: list[str], rank: str = "rank", s
     return joined.select(*[F.col(f"p.{c}") for c in df.columns], (F.col("before_") + F.col("place_")).alias(rank), F.col(size))
 
 
-def order_values(df: DataFrame, by: list[str], value: str, near: list[float], ranks: Callable[[Column], list[Column]]) -> DataFrame:
+def order_values(df: DataFrame, by: list[str], value: str, near: list[float], ranks: Callable[[Column], list[Column]], small: bool = True) -> DataFrame:
     """(by, n, values): the values at the wanted ranks of each group, nulls left out.
 
     near: a part p for each wanted rank; the rank (from 1, a function of n) may be at most one beyond p * n, rounded either way.
+    small: the groups are so few that a row for each can be broadcast.
     """
     rows = df.select(*by, F.col(value).alias("v_")).where(F.col("v_").isNotNull())
     k, step = len(near), 2.0 / ACCURACY
     points = [min(1.0, max(0.0, p + d)) for p in near for d in (-step, step)]
     found = rows.groupBy(*by).agg(F.percentile_approx("v_", F.array(*[F.lit(p) for p in points]), ACCURACY).alias("q_"))
     low, high = (lambda i: F.col("q_")[2 * i]), (lambda i: F.col("q_")[2 * i + 1])
-    joined = _with(rows, found, by)
+    joined = _with(rows, found, by, small)
     v = F.col("v_")
     sums = joined.groupBy(*by).agg(
         F.count("*").alias("n"), *[F.count_if(v < low(i)).alias(f"below_{i}") for i in range(k)], *[F.max(F.when(v < low(i), v)).alias(f"left_{i}") for i in range(k)], *[F.min(F.when(v > high(i), v)).alias(f"right_{i}") for i in range(k)]
@@ -47,7 +48,7 @@ def order_values(df: DataFrame, by: list[str], value: str, near: list[float], ra
     inside = F.filter(F.array(*[F.when(v.between(low(i), high(i)), i) for i in range(k)]), lambda i: i.isNotNull())
     counted = joined.select(*by, "v_", F.explode(inside).alias("i_")).groupBy(*by, "i_", "v_").agg(F.count("*").alias("c_"))
     lists = counted.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(F.col("i_") == i, F.struct("v_", "c_")))).alias(f"list_{i}") for i in range(k)])
-    whole = _with(sums, lists, by)
+    whole = _with(sums, lists, by, small)
     wanted = ranks(F.col("n"))
 
     def at(i: int) -> Column:
@@ -60,11 +61,12 @@ def order_values(df: DataFrame, by: list[str], value: str, near: list[float], ra
     return whole.select(*by, "n", F.array(*[at(i) for i in range(k)]).alias("values"))
 
 
-def _with(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def _with(left: DataFrame, right: DataFrame, by: list[str], small: bool = True) -> DataFrame:
+    """Joined by group. small: `right`, a row for each group, is broadcast, so that large groups aren't dealt to a task each."""
     if not by:
         return left.crossJoin(F.broadcast(right))  # one row
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    return left.alias("l").join(right.alias("r"), on).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns if c not in by])
+    return left.alias("l").join((F.broadcast(right) if small else right).alias("r"), on).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in right.columns if c not in by])
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, parts: list[float]) -> DataFrame:

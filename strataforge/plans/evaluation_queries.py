@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import checks, evaluate, gates, models, panel, resample
+from ..operators import checks, evaluate, gates, intervals, models, panel, resample
 from ..sources import tables as T
 from .panel_queries import eval_periods, predictions, r6, the_panel
 from .duck import view
@@ -247,15 +247,24 @@ def violations_roles(spark, sf):
 
 
 # bootstraps
+def draw_sql(seed: int = 7) -> str:
+    """The rank drawn by (replicate, rank as slot) among n, as `resample.draw` draws it in one range."""
+    word = "18446744073709551616::UHUGEINT"
+    z = f"(({seed * resample.FACTORS[0] % 2**64}::UHUGEINT + replicate::UHUGEINT * {resample.FACTORS[1]}::UHUGEINT + rank::UHUGEINT * {resample.FACTORS[3]}::UHUGEINT) % {word})"
+    for shift, factor in resample.MIXERS:
+        z = f"(xor({z}, {z} >> {shift}) * {factor}::UHUGEINT % {word})"
+    return f"(xor({z}, {z} >> 31) % n::UHUGEINT)::BIGINT"
+
+
 _DRAWS = f"""WITH_PREFIX d AS (SELECT entity_key, target_period, challenger - comparator AS difference FROM ({_PAIRED})),
 e AS (SELECT entity_key, row_number() OVER (ORDER BY entity_key) - 1 AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT entity_key FROM d)),
-t AS (SELECT replicate, (('0x' || substr(md5('7:' || replicate || ':' || rank), 1, 8))::BIGINT % n) AS rank, count(*) AS times FROM e, (SELECT unnest(range(0, {{R}})) AS replicate) GROUP BY ALL),
+t AS (SELECT replicate, {{DRAW}} AS rank, count(*) AS times FROM e, (SELECT unnest(range(0, {{R}})) AS replicate) GROUP BY ALL),
 m AS (SELECT replicate, avg(mean) AS balanced, count(*) AS periods FROM (SELECT replicate, target_period, sum(times * difference) / sum(times) AS mean FROM t JOIN e USING (rank) JOIN d USING (entity_key) GROUP BY ALL) GROUP BY ALL)"""
 _INTERVAL = "round(quantile_cont(balanced, 0.025), 6) AS lower, round(quantile_cont(balanced, 0.5), 6) AS median, round(quantile_cont(balanced, 0.975), 6) AS upper"
 
 
 def bootstrap_sql(final: str, replicates: int) -> str:
-    return "SELECT * FROM (" + _DRAWS.replace("WITH_PREFIX", "WITH").format(R=replicates) + "\n" + final + ")"
+    return "SELECT * FROM (" + _DRAWS.replace("WITH_PREFIX", "WITH").format(R=replicates, DRAW=draw_sql()) + "\n" + final + ")"
 
 
 @register(bootstrap_sql(f"SELECT count(*) AS retained, {_INTERVAL}, 200 - count(*) AS skipped FROM m WHERE periods = (SELECT count(DISTINCT target_period) FROM d)", 200), "errors")
@@ -289,11 +298,11 @@ FROM bisections b, LATERAL (SELECT unnest(range(b.k, b.n + 1)) AS i) WHERE b.ste
 
 @register("SELECT c.*, round(coalesce(a.lo, 0), 6) AS lower, round(coalesce(b.lo, 1), 6) AS upper FROM covered_bands c LEFT JOIN bisections a ON a.step = 40 AND a.side = 'lower' AND a.target_period = c.target_period AND a.model = c.model LEFT JOIN bisections b ON b.step = 40 AND b.side = 'upper' AND b.target_period = c.target_period AND b.model = c.model", "covered_bands", "bisections")
 def coverage_intervals(spark, sf):
-    return six(models.clopper_pearson(band_coverage(spark, sf).where("available > 0"), "covered", "available"))
+    return six(intervals.clopper_pearson(band_coverage(spark, sf).where("available > 0"), "covered", "available"))
 
 
 # ridge
-KEPT = ("entity_key", "eval_period", "role", "feature_period", "target_period", "target_log", "first_observed")
+KEPT = ("entity_key", "feature_period", "target_period", "target_log", "first_observed")
 #: Nested groups of features, and revised ones that leave one feature out.
 GROUPS = {"current": ["current_log"], "history": ["current_log", "previous_log", "change_log", "missing_previous_log", "missing_change_log"], "volume": [*panel.LOG_INPUTS[:5], "missing_previous_log", "missing_change_log"], "strata": [*panel.LOG_INPUTS[:9], *panel.FEATURES[11:]], "all": FEATURES}
 GROUPS |= {f"{name} less change": [c for c in GROUPS[name] if c not in ("change_log", "missing_change_log")] for name in ("volume", "all")}
@@ -301,22 +310,23 @@ GROUPS |= {f"{name} less change": [c for c in GROUPS[name] if c not in ("change_
 REPLAYS = {"primary": 0, "without 1997": 1997, "without 1998": 1998}
 
 
-def folds(spark, sf, window=None):
-    return panel.feature_matrix(panel.rolling_folds(the_panel(spark, sf), eval_periods(spark, sf), window), *KEPT)
+def fitting_rows(spark, sf):
+    """Panel rows whose target is known, once each; a fold's training rows are told by their target periods."""
+    return panel.feature_matrix(the_panel(spark, sf).where("analytic_eligible"), *KEPT)
 
 
-def replay_folds(spark, sf):
-    """One fold for each replay, told by its number."""
-    rows = panel.with_quartile(the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000"), "log1p_expected", "target_period")
-    runs = F.explode(F.array(*[F.struct(F.lit(k).alias("eval_period"), F.lit(out).alias("left_out")) for k, out in enumerate(REPLAYS.values())]))
-    every = rows.withColumn("r_", runs).select(*rows.columns, "r_.*").where(F.col("target_period") != F.col("left_out"))
-    return panel.feature_matrix(every.withColumn("role", F.when(F.col("target_period") == 2000, "evaluate").otherwise("train")), *KEPT, "quartile")
+def rolling_fit(spark, sf, window=None):
+    """Predictors, fits by evaluation period from all earlier targets (or the last `window` periods), and their sums."""
+    rows, periods = fitting_rows(spark, sf), sorted(r.eval_period for r in eval_periods(spark, sf).collect())
+    earlier = lambda cells: {e: [c for c in cells if (e - window if window else -1) <= int(c) < e] for e in periods}
+    return (rows, *models.fit_cells(rows, FEATURES, "target_log", F.col("target_period"), earlier))
 
 
-def ridge(spark, sf, alphas, rows=None, groups=None):
-    rows = folds(spark, sf) if rows is None else rows
-    fitted = models.parameters(spark, models.fit_folds(rows.where("role = 'train'"), FEATURES, "target_log"), FEATURES, alphas, groups)
-    return rows, fitted, models.predictions(rows.where("role = 'evaluate'"), fitted, FEATURES)
+def ridge(spark, sf, alphas, window=None, groups=None):
+    """Fitted parameters, and predictions of each fold's own period."""
+    rows, fits, _ = rolling_fit(spark, sf, window)
+    fitted = models.parameters(spark, fits, FEATURES, alphas, groups)
+    return fitted, models.predictions(rows.withColumn("eval_period", F.col("target_period")), fitted, FEATURES)
 
 
 _FOLDS = f"""SELECT e.eval_period, CASE WHEN p.target_period = e.eval_period THEN 'evaluate' ELSE 'train' END AS role, p.entity_key, p.target_period, p.target_log, p.first_observed, CAST(1 + (4 * (row_number() OVER (PARTITION BY e.eval_period, p.target_period ORDER BY log1p_expected, entity_key) - 1)) // count(*) OVER (PARTITION BY e.eval_period, p.target_period) AS INTEGER) AS quartile, {", ".join(f"p.{c}::DOUBLE AS {c}" for c in FEATURES)}
@@ -355,7 +365,7 @@ ridge_views("replay", _REPLAY, [10.0])
 
 @register('SELECT eval_period AS fold, alpha, grp AS "group", feature, round(weight, 6) AS weight, round(median, 6) AS median, round(mean, 6) AS mean, round(scale, 6) AS scale, round(intercept, 6) AS intercept, n AS train_rows FROM ridge_weights', "ridge_weights")
 def ridge_parameters(spark, sf):
-    return six(ridge(spark, sf, [10.0])[1], "alpha")
+    return six(ridge(spark, sf, [10.0])[0], "alpha")
 
 
 _RIDGE = "SELECT entity_key, target_period, round(target_log, 6) AS target_log, round(predicted_log, 6) AS predicted_log FROM "
@@ -363,7 +373,7 @@ _RIDGE = "SELECT entity_key, target_period, round(target_log, 6) AS target_log,
 
 @register(_RIDGE + "ridge_predicted", "ridge_predicted")
 def ridge_predictions(spark, sf):
-    return six(ridge(spark, sf, [10.0])[2].select("entity_key", "target_period", "target_log", "predicted_log"))
+    return six(ridge(spark, sf, [10.0])[1].select("entity_key", "target_period", "target_log", "predicted_log"))
 
 
 _SCORES = "SELECT {by} AS {name}, avg(mean) AS balanced, sum(total) / sum(rows) AS pooled, sum(rows)::BIGINT AS rows, count(*) AS periods FROM (SELECT {by}, target_period, avg(abs(predicted_log - target_log)) AS mean, sum(abs(predicted_log - target_log)) AS total, count(*) AS rows FROM {table} GROUP BY ALL) GROUP BY ALL"
@@ -375,7 +385,7 @@ def alpha_scores(spark, sf):
 
 
 def scores(spark, sf):
-    errors = ridge(spark, sf, ALPHAS)[2].withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log"))).withColumn("model", F.lit("ridge"))
+    errors = ridge(spark, sf, ALPHAS)[1].withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log"))).withColumn("model", F.lit("ridge"))
     return evaluate.balanced_mean(errors, "alpha")
 
 
@@ -386,20 +396,20 @@ def selected_alpha(spark, sf):
 
 @register(_RIDGE + "recent_predicted", "recent_predicted")
 def recent_window_ridge(spark, sf):
-    return six(ridge(spark, sf, [10.0], folds(spark, sf, 3))[2].select("entity_key", "target_period", "target_log", "predicted_log"))
+    return six(ridge(spark, sf, [10.0], 3)[1].select("entity_key", "target_period", "target_log", "predicted_log"))
 
 
 @register("SELECT model, round(balanced, 6) AS balanced, round(pooled, 6) AS pooled, rows, periods FROM (" + _SCORES.format(by="grp", name="model", table="ablation_predicted") + ")", "ablation_predicted")
 def group_ablation(spark, sf):
     """Groups of features on identical rows, from one matrix of moments."""
-    errors = ridge(spark, sf, [1.0], groups=GROUPS)[2].withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log"))).withColumn("model", F.col("group"))
+    errors = ridge(spark, sf, [1.0], groups=GROUPS)[1].withColumn("absolute_log", F.abs(F.col("predicted_log") - F.col("target_log"))).withColumn("model", F.col("group"))
     return six(evaluate.balanced_mean(errors))
 
 
 @register("SELECT w.eval_period AS fold, w.feature, round(t.z, 6) AS z_train, round(e.z, 6) AS z_evaluate, round(w.weight * (e.z - t.z), 6) AS contribution FROM ridge_weights w JOIN (SELECT eval_period, i, avg(z) AS z FROM ridge_z WHERE role = 'train' GROUP BY ALL) t USING (eval_period, i) JOIN (SELECT eval_period, i, avg(z) AS z FROM ridge_z WHERE role = 'evaluate' GROUP BY ALL) e USING (eval_period, i)", "ridge_weights", "ridge_z")
 def mean_shift_contributions(spark, sf):
-    rows, fitted, _ = ridge(spark, sf, [10.0])
-    return six(models.contributions(rows.where("role = 'train'"), rows.where("role = 'evaluate'"), fitted, FEATURES))
+    _, fits, sums = rolling_fit(spark, sf)
+    return six(models.contributions(spark, sums, fits, 10.0, lambda fold: [str(fold)]))
 
 
 _COMPARED = """SELECT entity_key, target_period, model, target_log, predicted_log FROM predictions UNION ALL SELECT entity_key, target_period, 'ridge', target_log, predicted_log FROM ridge_predicted UNION ALL SELECT entity_key, target_period, 'ridge_recent', target_log, predicted_log FROM recent_predicted"""
@@ -410,7 +420,7 @@ view("compared_models", ("predictions", "ridge_predicted", "recent_predicted"),
 def compared_models(spark, sf):
     """The methods without a matrix and two ridge models, long."""
     base = predictions(spark, sf).select("entity_key", "target_period", "model", "target_log", "predicted_log")
-    ridges = [ridge(spark, sf, [10.0], folds(spark, sf, window))[2].select("entity_key", "target_period", F.lit(name).alias("model"), "target_log", "predicted_log") for name, window in (("ridge", None), ("ridge_recent", 3))]
+    ridges = [ridge(spark, sf, [10.0], window)[1].select("entity_key", "target_period", F.lit(name).alias("model"), "target_log", "predicted_log") for name, window in (("ridge", None), ("ridge_recent", 3))]
     return base.unionByName(ridges[0]).unionByName(ridges[1])
 
 
@@ -431,8 +441,14 @@ _RUN = "CASE eval_period " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in e
 
 
 def replays(spark, sf):
+    """Each replay is a fold, told by its number: all targets before the last period but one year, and the last period's rows."""
+    rows = panel.with_quartile(the_panel(spark, sf).where("analytic_eligible AND target_period <= 2000"), "log1p_expected", "target_period")
+    rows = panel.feature_matrix(rows, *KEPT, "quartile")
+    train = lambda cells: {k: [c for c in cells if int(c) < T.LAST_PERIOD and int(c) != out] for k, out in enumerate(REPLAYS.values())}
+    fitted = models.parameters(spark, models.fit_cells(rows, FEATURES, "target_log", F.col("target_period"), train)[0], FEATURES, [10.0])
+    runs = F.explode(F.array(*[F.lit(k) for k in range(len(REPLAYS))]))
     name = F.element_at(F.array(*[F.lit(n) for n in REPLAYS]), F.col("eval_period") + 1)
-    return ridge(spark, sf, [10.0], replay_folds(spark, sf))[2].withColumn("sensitivity", name)
+    return models.predictions(rows.where(F.col("target_period") == T.LAST_PERIOD).withColumn("eval_period", runs), fitted, FEATURES).withColumn("sensitivity", name)
 
 
 @register(f"SELECT entity_key, target_period, {_RUN} AS sensitivity, round(target_log, 6) AS target_log, round(predicted_log, 6) AS predicted_log FROM replay_predicted", "replay_predicted")
@@ -502,7 +518,7 @@ _BAND = {"availability": "available > 0", "coverage": f"{_M['nominal']}::DOUBLE
 _REPLAYED = f"""(SELECT quantile_cont(balanced, 0.975) AS interval_upper FROM (SELECT replicate, sum(times * difference) / sum(times) AS balanced FROM pt JOIN pe USING (rank) JOIN pd USING (entity_key) GROUP BY ALL))"""
 view("pd", ("errors",), f"SELECT entity_key, challenger - comparator AS difference FROM ({_PAIRED}) WHERE target_period = 2000")
 view("pe", ("pd",), "SELECT entity_key, row_number() OVER (ORDER BY entity_key) - 1 AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT entity_key FROM pd)")
-view("pt", ("pe",), "SELECT replicate, (('0x' || substr(md5('7:' || replicate || ':' || rank), 1, 8))::BIGINT % n) AS rank, count(*) AS times FROM pe, (SELECT unnest(range(0, 200)) AS replicate) GROUP BY ALL")
+view("pt", ("pe",), "SELECT replicate, " + draw_sql() + " AS rank, count(*) AS times FROM pe, (SELECT unnest(range(0, 200)) AS replicate) GROUP BY ALL")
 
 
 @register(
@@ -547,7 +563,7 @@ def gate_bands(spark, sf):
 
 
 _BAND_MODELS = "SELECT model, bool_and(NOT (group_field = 'all' AND (available < rows OR NOT applied))) AS availability, coalesce(bool_and(passed) FILTER (applied), true) AS coverage, avg(width) FILTER (group_field = 'all') AS width, bool_and(group_field <> 'all' OR width IS NOT NULL) AS complete FROM band_cells GROUP BY model"
-view("band_checks", ("band_cells",), f"SELECT model, unnest(['band_availability', 'band_coverage', 'band_width']) AS criterion, unnest([availability, coverage, coalesce(complete AND ref_complete AND width <= ref * {_P['width']}, false)]) AS passed FROM ({_BAND_MODELS}), (SELECT width AS ref, complete AS ref_complete FROM ({_BAND_MODELS}) WHERE model = 'persistence')")
+view("band_checks", ("band_cells",), f"SELECT model, unnest(['bands everywhere', 'nominal coverage', 'narrow bands']) AS criterion, unnest([availability, coverage, coalesce(complete AND ref_complete AND width <= ref * {_P['width']}, false)]) AS passed FROM ({_BAND_MODELS}), (SELECT width AS ref, complete AS ref_complete FROM ({_BAND_MODELS}) WHERE model = 'persistence')")
 
 
 def _uppers() -> str:
@@ -562,8 +578,8 @@ def _uppers() -> str:
 
 _BY_MODEL = f"SELECT model, avg(mae) AS log, avg(ratio) AS ratio, abs(avg(signed)) AS bias, max(abs(signed)) AS year_bias, avg(p90) AS tail, count(*) FILTER (mae < ref) AS improved, bool_and(mae <= ref * (1 + {_P['year_worsening']})) AS every FROM (SELECT y.*, r.mae AS ref FROM ({{t}}) y JOIN ({{t}}) r ON r.target_period = y.target_period AND r.model = 'persistence') GROUP BY model".format(t=_YEARLY.format(where="").replace("FROM errors", "FROM policy_errors"))
 _CHECKS = {
-    "primary_accuracy": f"log <= b_log * (1 - {_P['improvement']})", "history_accuracy": "log <= h_log", "ratio_accuracy": "ratio <= b_ratio", "paired_uncertainty": "upper < 0", "improved_periods": f"improved >= {_P['improved']}", "worst_period": "every", "bias": f"bias <= {_P['bias']}",
-    "period_bias": f"year_bias <= {_P['year_bias']}", "large_errors": f"tail <= b_tail * {_P['tail']}", "group_accuracy": "coalesce(groups_, true)", "large_worsening": f"large <= {_P['large_share']}",
+    "mean error": f"log <= b_log * (1 - {_P['improvement']})", "mean error of the history": "log <= h_log", "mean error of ratios": "ratio <= b_ratio", "interval of the difference": "upper < 0", "better years": f"improved >= {_P['improved']}", "no much worse year": "every",
+    "mean bias": f"bias <= {_P['bias']}", "bias of each year": f"year_bias <= {_P['year_bias']}", "ninth decile": f"tail <= b_tail * {_P['tail']}", "share of much worse rows": f"large <= {_P['large_share']}", "every group": "coalesce(groups_, true)",
 }
 view("point_checks", ("policy_errors", "group_cells"), f"""SELECT model, log AS mae, unnest([{", ".join(f"'{k}'" for k in _CHECKS)}]) AS criterion, unnest([{", ".join(f"coalesce({v}, false)" for v in _CHECKS.values())}]) AS passed FROM ({_BY_MODEL}) JOIN ({_uppers()}) USING (model)
 LEFT JOIN (SELECT model, coalesce(bool_and(passed) FILTER (applied), true) AS groups_ FROM group_cells GROUP BY model) USING (model), (SELECT log AS b_log, ratio AS b_ratio, tail AS b_tail FROM ({_BY_MODEL}) WHERE model = 'persistence'), (SELECT log AS h_log FROM ({_BY_MODEL}) WHERE model = 'historical_mean')""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import checks, panel
-from ..sources import lineage, storage
+from ..sources import contracts, lineage, storage
 from ..sources import tables as T
 from .register import register
 
@@ -297,9 +297,27 @@ def violations_row_counts(spark, sf):
     wide = T.wide_releases(spark, sf)
     shipped = T.read(spark, sf, "lineitem").select("l_suppkey", "l_linestatus", F.year("l_shipdate").alias("period")).where(~((F.col("period") > 1995) & ((F.col("l_suppkey") * 7 + F.col("period")) % 23 == 0)))
     declared = shipped.groupBy("period").agg(F.countDistinct("l_suppkey", "l_linestatus").alias("declared_rows")).withColumn("declared_columns", F.lit(len(wide.columns)))
-    kept = wide.where(~((F.col("period") == 1997) & (F.substring("code", 2, 6).cast("int") % 4 == 0)))
-    columns = F.when(F.col("period") == 1999, len(wide.columns) - 1).otherwise(len(wide.columns))
-    return checks.release_contract(kept.groupBy("period").agg(F.count("*").alias("rows")).withColumn("columns", columns), declared, "period", len(wide.columns) - 1)
+    kept = wide.where(~((F.col("period") == 1997) & (F.substring("code", 2, 6).cast("int") % 4 == 0))).withColumn("release", F.col("period"))
+    path, short = lineage.new_path(spark, "releases"), F.col("release") == 1999
+    kept.where(~short).hint("rebalance", F.col("release")).write.partitionBy("release").parquet(path)
+    kept.where(short).drop("release", "overall_upper").hint("rebalance").write.parquet(f"{path}/release=1999")
+    found = contracts.release_sizes(spark, path, "release").select(F.col("release").cast("int").alias("period"), "rows", F.col("columns").cast("int").alias("columns"))
+    return checks.release_contract(found, declared, "period", len(wide.columns) - 1)
+
+
+_DRIFT = "(VALUES (1996, 'log_width', 'missing column'), (1997, 'remark', 'column not declared'), (1998, 'n', 'type differs')) d(target_period, \"column\", rule)"
+
+
+@register(f"SELECT DISTINCT target_period, d.\"column\", d.rule, CASE d.rule WHEN 'type differs' THEN 'double instead of bigint' END AS detail FROM panel JOIN {_DRIFT} USING (target_period)", "panel")
+def violations_stored_schema(spark, sf):
+    """A stored panel in which the files of some periods lack a column, have one more, or have one with another type."""
+    whole, path = the_panel(spark, sf), lineage.new_path(spark, "panel")
+    at = lambda y: whole.where(F.col("target_period") == y).drop("target_period")
+    storage.write_table(whole.where(~F.col("target_period").isin(1996, 1997, 1998)), path, ["entity_key"], "target_period")
+    for year, rows in ((1996, at(1996).drop("log_width")), (1997, at(1997).withColumn("remark", F.lit("x"))), (1998, at(1998).withColumn("n", F.col("n").cast("double")))):
+        rows.write.parquet(f"{path}/target_period={year}")
+    found = contracts.schema_violations(spark, path, whole.schema)
+    return found.select(F.regexp_extract("file", "/target_period=([^/]+)/", 1).cast("int").alias("target_period"), "column", "rule", "detail").distinct()
 
 
 @register(

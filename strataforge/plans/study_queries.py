@@ -100,8 +100,10 @@ def prevalence(spark, sf):
 @register("SELECT year, count(*) AS rows, min(growth_change) AS least, quantile_cont(growth_change::DOUBLE, 0.25) AS q1, quantile_cont(growth_change::DOUBLE, 0.5) AS median, quantile_cont(growth_change::DOUBLE, 0.75) AS q3, max(growth_change) AS most, count(*) FILTER (growth_change > 0) AS up, count(*) FILTER (growth_change = 0) AS same, count(*) FILTER (growth_change < 0) AS down FROM compared WHERE reason IS NULL GROUP BY ALL", "compared")
 def change_distributions(spark, sf):
     d = F.col("growth_change")
-    p = F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return usable(spark, sf).groupBy("year").agg(F.count("*").alias("rows"), F.min(d).alias("least"), p[0].alias("q1"), p[1].alias("median"), p[2].alias("q3"), F.max(d).alias("most"), F.count_if(d > 0).alias("up"), F.count_if(d == 0).alias("same"), F.count_if(d < 0).alias("down"))
+    rows = usable(spark, sf).select("year", d)
+    counted = rows.groupBy("year").agg(F.count("*").alias("rows"), F.min(d).alias("least"), F.max(d).alias("most"), F.count_if(d > 0).alias("up"), F.count_if(d == 0).alias("same"), F.count_if(d < 0).alias("down"))
+    places = ranks.percentiles(rows, ["year"], "growth_change", [0.25, 0.5, 0.75]).select("year", *[F.col("p")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))])
+    return counted.join(F.broadcast(places), "year")
 
 
 _COMMON = "SELECT entity_key, count(DISTINCT year) AS years FROM compared WHERE reason IS NULL GROUP BY ALL HAVING count(DISTINCT year) = (SELECT count(DISTINCT year) FROM compared WHERE reason IS NULL)"
@@ -250,7 +252,11 @@ _GAP = "CASE WHEN l_suppkey % 20 = {k} THEN NULL ELSE \"{s}\" END"
 def component_medians(spark, sf):
     """Medians of the components by release, and how many of each are missing."""
     given = {s: F.when(F.col("l_suppkey") % 20 != k, F.col(s)) for k, s in enumerate(T.STATUSES)}
-    return six(T.outcomes(spark, sf).withColumns(given).groupBy("release").agg(F.count("*").alias("rows"), *[F.percentile(s, F.lit(0.5)).alias(s) for s in T.STATUSES], *[F.count_if(F.col(s).isNull()).alias(f"{s}_missing") for s in T.STATUSES]))
+    rows = T.outcomes(spark, sf).withColumns(given).select("release", *T.STATUSES)
+    counted = rows.groupBy("release").agg(F.count("*").alias("rows"), *[F.count_if(F.col(s).isNull()).alias(f"{s}_missing") for s in T.STATUSES])
+    long = rows.unpivot(["release"], list(T.STATUSES), "field", "value")
+    middle = ranks.percentiles(long, ["release", "field"], "value", [0.5]).groupBy("release").agg(*[F.max(F.when(F.col("field") == s, F.col("p")[0])).alias(s) for s in T.STATUSES])
+    return six(counted.join(F.broadcast(middle), "release", "left"))
 
 
 @register("SELECT release, entity_key, n, " + ", ".join(f'round("{s}", 6) AS "{s}"' for s in T.STATUSES) + " FROM outcomes", "outcomes")
@@ -515,8 +521,9 @@ ridge_views(
 @register('SELECT entity_key, target_period AS target_release, grp AS "group", round(predicted_log, 6) AS predicted_logit, round(100 / (1 + exp(-predicted_log)), 6) AS predicted_percent FROM pair_ridge_predicted', "pair_ridge_predicted")
 def pair_ridge(spark, sf):
     """Groups of predictors on identical pairs, fitted on logits of what was public, as percentages."""
-    rows = pairs.pair_folds(pair_rows(spark, sf).where("status = 'eligible'"), T.pairs(spark, sf))
+    rows, folds = pairs.pair_matrix(pair_rows(spark, sf).where("status = 'eligible'")), pairs.training_pairs(T.pairs(spark, sf))
     features = list(pairs.PAIR_FEATURES)
-    fitted = models.parameters(spark, models.fit_folds(rows.where("role = 'train'"), features, "target_log"), features, [10.0], PAIR_GROUPS)
-    found = models.predictions(rows.where("role = 'evaluate'"), fitted, features)
+    fits, _ = models.fit_cells(rows, features, "target_log", F.col("pair"), lambda cells: {fold: [c for c in own if c in cells] for fold, own in folds.items()})
+    fitted = models.parameters(spark, fits, features, [10.0], PAIR_GROUPS)
+    found = models.predictions(rows.withColumn("eval_period", F.col("target_release")), fitted, features)
     return found.select("entity_key", F.col("target_period").alias("target_release"), "group", r6("predicted_log", "predicted_logit"), r6(100.0 * C.expit(F.col("predicted_log")), "predicted_percent"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from . import contracts
+
 PREDICTIONS = StructType([
     StructField("entity_key", StringType()), StructField("feature_period", IntegerType()), StructField("target_period", IntegerType()), StructField("model", StringType()), StructField("n", LongType()), StructField("quartile", IntegerType()),
     *[StructField(c, DoubleType()) for c in ("target_ratio", "target_log", "predicted_log", "predicted_ratio")],
@@ -15,10 +17,10 @@ PREDICTIONS = StructType([
 def write_table(df: DataFrame, path: str, order: list[str], partition: str) -> None:
     """Parquet with zstd, one folder per value of `partition`, rows of each file in `order`.
 
-    Rows are dealt by the partition column and spread by the order columns, so a large value is written by many tasks.
+    Rows are dealt by the partition column and rebalanced by their measured size (spark.sql.adaptive.advisoryPartitionSizeInBytes): a large value is
+    written by as many tasks as it needs, small ones share a task.
     """
-    spread = df.repartition(F.col(partition), F.pmod(F.xxhash64(*order), F.lit(16)))
-    spread.sortWithinPartitions(partition, *order).write.partitionBy(partition).option("compression", "zstd").mode("overwrite").parquet(path)
+    df.hint("rebalance", F.col(partition)).sortWithinPartitions(partition, *order).write.partitionBy(partition).option("compression", "zstd").mode("overwrite").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
@@ -26,11 +28,10 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def read_exact(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The stored table, if its columns and types are the declared ones (their order and nullability don't count)."""
-    found = {f.name: f.dataType for f in spark.read.parquet(path).schema}
-    wanted = {f.name: f.dataType for f in schema}
-    if found != wanted:
-        raise ValueError(f"schema of {path} differs: {sorted(set(found.items()) ^ set(wanted.items()), key=str)}")
+    """The stored table, if the columns and types of every file are the declared ones (their order and nullability don't count)."""
+    wrong = contracts.schema_violations(spark, path, schema).limit(5).collect()
+    if wrong:
+        raise ValueError(f"schema of {path} differs: " + "; ".join(f"{r.file}: {r.column}: {r.rule} {r.detail or ''}".strip() for r in wrong))
     return spark.read.schema(schema).parquet(path)
 
 

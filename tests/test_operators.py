@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.functions import columns as C
-from strataforge.operators import accounting, checks, evaluate, gates, models, pairs, panel, ranks, resample
+from strataforge.operators import accounting, checks, evaluate, folds, gates, intervals, models, pairs, panel, ranks, resample
 
 
 def one(spark, column, **values):
@@ -162,7 +162,7 @@ def test_ridge_equals_the_closed_form(spark):
 
 def test_clopper_pearson(spark):
     df = spark.createDataFrame([(187, 229), (0, 10), (10, 10)], "k long, n long")
-    found = {r.k: (r.lower, r.upper) for r in models.clopper_pearson(df, "k", "n").collect()}
+    found = {r.k: (r.lower, r.upper) for r in intervals.clopper_pearson(df, "k", "n").collect()}
     assert found[187] == pytest.approx((0.7603, 0.8645), abs=1e-4)
     assert found[0][0] == 0.0 and found[10][1] == 1.0 and found[0][1] == pytest.approx(1 - found[10][0])
 
@@ -198,11 +198,99 @@ def test_redraw_goes_on_until_complete(spark):
     got = resample.clustered_redraw(spark.createDataFrame(rows, "entity_key long, target_period int, difference double")).collect()[0]
     assert got.retained == 200 and 400 < got.attempts < 2000 and got.lower == got.upper == 1.0
     rows = [(k, 2000 + k, float(k)) for k in range(12)]
-    with pytest.raises(ValueError, match="of 20 replicates"):
-        resample.clustered_redraw(spark.createDataFrame(rows, "entity_key long, target_period int, difference double"), 20, most=3)
-
+    got = resample.clustered_redraw(spark.createDataFrame(rows, "entity_key long, target_period int, difference double"), 20, most=3).first()
+    assert got.retained < 20 and got.lower is got.median is got.upper is None
+
+
+@pytest.mark.parametrize("most", [10_000, 60])
+def test_draws_by_ranges(spark, most):
+    """Sums over the drawn entities, in one range and in several: as many draws as entities in each replicate, and the same again in another order."""
+    r = np.random.default_rng(4)
+    rows = [(f"k{k:04d}", p, float(r.normal()), 1) for k in range(500) for p in (1, 2)]
+    cells = spark.createDataFrame(rows, "entity_key string, target_period int, total double, rows long")
+    get = lambda df: {(x.replicate, x.target_period): (x.total, x.n) for x in resample.drawn_sums(df, 300, 11, 5, most).groupBy("replicate", "target_period").agg(F.sum("total").alias("total"), F.sum("rows").alias("n")).collect()}
+    found = get(cells)
+    assert {k[0] for k in found} == set(range(5, 305)) and {n for _, n in found.values()} == {500.0}
+    means = np.array([found[k, 1][0] for k in range(5, 305)]) / 500
+    values = np.array([x[2] for x in rows if x[1] == 1])
+    assert abs(means.mean() - values.mean()) < 4 * values.std() / math.sqrt(500 * 300) and means.std() == pytest.approx(values.std() / math.sqrt(500), rel=0.15)
+    if most > 500:
+        assert found.keys() == get(cells.orderBy(F.rand(3))).keys()
+        times = np.bincount(resample.draw(11, 5, 0, np.arange(500), 500), minlength=500)
+        assert found[5, 1][0] == pytest.approx(times @ values)
+
+
+def test_draws_are_even():
+    counts = np.bincount(resample.draw(1, 2, 3, np.arange(200_000), 100), minlength=100)
+    assert ((counts - 2000) ** 2 / 2000).sum() < 180  # chi-squared with 99 degrees of freedom
+    assert resample.draw(1, 2, 3, np.arange(3), 10**12).max() > 2**32
+
+
+def test_intervals_of_any_size():
+    """Against the binomial tail itself, and closed forms for 10^9 rows."""
+    def tail(k, n, p):
+        return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+
+    for n in (1, 2, 30, 400, 5000):
+        for k in sorted({0, 1, n // 3, n - 1, n}):
+            (low,), (high,) = intervals.binomial_bounds(np.array([k]), np.array([n]), 0.95)
+            assert low == 0 if k == 0 else tail(k, n, low) == pytest.approx(0.025, rel=1e-8)
+            assert high == 1 if k == n else 1 - tail(k + 1, n, high) == pytest.approx(0.025, rel=1e-6)
+    n = 10**9
+    low, high = intervals.binomial_bounds(np.array([0, n, n // 2, 0]), np.array([n, n, n, 0]), 0.95)
+    assert high[0] == pytest.approx(-math.expm1(math.log(0.025) / n), rel=1e-9) and 1 - low[1] == pytest.approx(high[0], rel=1e-6)
+    assert (high[2] - low[2]) / 2 == pytest.approx(1.959964 * math.sqrt(0.25 / n), rel=1e-4) and np.isnan(low[3])
+
+
+def test_folds_of_cells_equal_their_rows(spark):
+    """Medians, moments and deviations of overlapping folds, with missing values, ties, a constant and a large offset."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, 4)) * [1, 1e-3, 5, 1] + [0, 1e6, 0, 0]
+    x[:, 2] = np.round(x[:, 2])
+    x[:, 3] = 7.25
+    gone = r.random(x.shape) < [0.3, 0.1, 0.0, 0.5]
+    cell, y = r.integers(0, 6, 400), r.normal(size=400)
+    rows = spark.createDataFrame([(int(c), float(t), *(None if g else float(v) for v, g in zip(a, b, strict=True))) for c, t, a, b in zip(cell, y, x, gone, strict=True)], "cell int, y double, a double, b double, c double, d double")
+    trained = {k: [str(c) for c in range(k)] for k in (1, 3, 6)} | {9: ["2", "5"], 10: []}
+    fits, _ = models.fit_cells(rows, ["a", "b", "c", "d"], "y", F.col("cell"), lambda cells: trained)
+    assert [f.fold for f in fits] == [1, 3, 6, 9]
+    for fit in fits:
+        own = np.isin(cell.astype(str), trained[fit.fold])
+        data = np.where(gone[own], np.nan, x[own])
+        middle = np.nanmedian(data, axis=0)
+        filled = np.where(np.isnan(data), middle, data)
+        assert fit.rows == own.sum() and fit.medians.tolist() == middle.tolist() and fit.mean_y == pytest.approx(y[own].mean())
+        assert fit.means == pytest.approx(filled.mean(0)) and fit.cross == pytest.approx(np.cov(filled.T, bias=True), abs=1e-9)
+        assert fit.scales[:3] == pytest.approx(filled.std(0)[:3], rel=1e-6) and fit.scales[3] == 1
+        assert fit.cross_y == pytest.approx(((filled - filled.mean(0)) * (y[own] - y[own].mean())[:, None]).mean(0), abs=1e-9)
+
+
+def test_drift_of_a_few_files(spark, tmp_path):
+    """A table in which one file lacks a column and another has one more is refused, and each file is named."""
+    from strataforge.sources import contracts, storage
+
+    path = f"{tmp_path}/table with blanks"
+    whole = spark.range(50).selectExpr("id AS k", "id * 0.5D AS v", "CAST(id % 3 AS INT) AS p")
+    storage.write_table(whole, path, ["k"], "p")
+    assert storage.read_exact(spark, path, whole.schema).count() == 50 and contracts.schema_violations(spark, path, whole.schema).count() == 0
+    spark.range(5).selectExpr("id AS k").write.parquet(f"{path}/p=7")
+    spark.range(5).selectExpr("id AS k", "1.0D AS v", "'x' AS more").write.parquet(f"{path}/p=8")
+    found = {(r.file.split("/")[-2], r.column, r.rule) for r in contracts.schema_violations(spark, path, whole.schema).collect()}
+    assert found == {("p=7", "v", "missing column"), ("p=8", "more", "column not declared")}
+    with pytest.raises(ValueError, match="missing column"):
+        storage.read_exact(spark, path, whole.schema)
+
+
+def test_large_values_are_written_by_several_tasks(spark, tmp_path):
+    from strataforge.sources import storage
 
-def test_ranks_follow_the_keys(spark):
-    keys = [f"k{i * 7919 % 1000:04d}" for i in range(1000)]
-    got = {r.entity_key: r["rank"] for r in resample.ranks(spark.createDataFrame([(k,) for k in keys * 2], "entity_key string").repartition(5)).collect()}
-    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 60_000, 1, 8).selectExpr("id AS k", "CAST(IF(id % 10 = 0, id % 3, 9) AS INT) AS p", "md5(CAST(id AS STRING)) AS v")
+        storage.write_table(rows, f"{tmp_path}/t", ["k"], "p")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = spark.read.parquet(f"{tmp_path}/t").select("p", F.col("_metadata.file_name").alias("f"), "k").groupBy("p").agg(F.countDistinct("f").alias("files"), F.count("*").alias("rows"))
+    found = {r.p: (r.files, r.rows) for r in files.collect()}
+    assert found[9][0] > 3 and found[9][1] == 54_000 and all(found[p][1] == 2000 for p in (0, 1, 2))
