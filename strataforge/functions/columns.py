@@ -129,6 +129,12 @@ def display_value(c: Column, digits: int) -> Column:
     return F.coalesce(F.format_number(c, digits), F.lit("Not reported"))
 
 
+def printed_as_declared(printed: Column, value: Column, precision: Column) -> Column:
+    """Whether a printed date is the declared month, or at most a day from the declared day."""
+    close = F.abs(F.datediff(printed, value.try_cast("date"))) <= 1
+    return F.when(precision == "day", close).otherwise(F.date_format(printed, "yyyy-MM") == value)
+
+
 def normalize_date(c: Column, expected: Column, tolerance: int = 2) -> Column:
     """The expected date if the written one (ISO, m/d/Y or a serial day number) is at most `tolerance` days away, else null."""
     iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))

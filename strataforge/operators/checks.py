@@ -83,6 +83,40 @@ def panel_rules() -> dict[str, Column]:
     }
 
 
+def pair_rules(measures: tuple[str, ...]) -> dict[str, Column]:
+    """For rows of release pairs: measures with their missing_ flags, bounds of safety and acceptance, and what is known of earlier outcomes."""
+    c = F.col
+    any_of = lambda rules: F.exists(F.array(*[F.coalesce(r, F.lit(False)) for r in rules]), lambda x: x)
+    infinite = lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    safety, acceptance = [c(f"safety_{x}") for x in ("ratio", "lower", "upper")], [c(f"acceptance_{x}") for x in ("overall", "lower", "upper")]
+    outside = lambda v: (v[0] < v[1]) | (v[0] > v[2])
+    width, count, mean, prior = c("safety_log_width"), c("history_count"), c("history_mean"), c("prior")
+    parts = F.array_size(F.filter(F.array(*safety), lambda x: x.isNull()))
+    return {
+        "flag differs from its measure": any_of([c(f"missing_{m}") != c(m).isNull() for m in measures]),
+        "measure is not finite": any_of([infinite(c(m)) for m in measures]),
+        "measure below zero": any_of([c(m) < 0 for m in measures]),
+        "share outside 0 to 100": any_of([(v < 0) | (v > 100) for v in (prior, mean)]),
+        "one bound without the other": acceptance[1].isNull() != acceptance[2].isNull(),
+        "bounds in the wrong order": (acceptance[1] > acceptance[2]) | (safety[1] > safety[2]),
+        "ratio outside its bounds": any_of([outside(acceptance), outside(safety)]),
+        "safety reported in part": (parts > 0) & (parts < 3),
+        "safety width differs from its bounds": F.when(parts > 0, width.isNotNull()).otherwise(width.isNull() | (F.abs(width - (F.log(safety[2]) - F.log(safety[1]))) > 1e-12)),
+        "history and its count disagree": F.when(count == 0, prior.isNotNull() | mean.isNotNull()).otherwise(prior.isNull() | mean.isNull()),
+        "only outcome differs from its mean": (count == 1) & (F.abs(mean - prior) > 1e-12),
+        "first seen with earlier outcomes": c("first_observed") & ((count > 1) | (c("prior_release") != c("feature_release"))),
+    }
+
+
+def attribute_violations(rows: DataFrame, declared: DataFrame, keys: list[str], fields: list[str], *kept: str) -> DataFrame:
+    """(kept, keys, rule, detail): fields of `rows` that aren't those declared for their keys, a short list that is broadcast; rows whose keys aren't declared."""
+    known = declared.select(*keys, F.lit(True).alias("known_"), *[F.col(f).alias(f"{f}_declared") for f in fields])
+    cells = [F.struct(F.lit("not declared").alias("rule"), F.col("known_").isNull().alias("bad"), F.lit(None).cast("string").alias("detail"))]
+    cells += [F.struct(F.lit(f).alias("rule"), (F.col("known_") & ~F.col(f).eqNullSafe(F.col(f"{f}_declared"))).alias("bad"), F.col(f).cast("string").alias("detail")) for f in fields]
+    broken = F.filter(F.array(*cells), lambda x: F.coalesce(x["bad"], F.lit(False)))
+    return rows.join(F.broadcast(known), keys, "left").select(*kept, *keys, F.explode(broken).alias("v_")).select(*kept, *keys, "v_.rule", "v_.detail")
+
+
 def differences(stored: DataFrame, computed: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Key-by-key comparison of two tables: status and absolute difference."""
     a, b = stored.select(*keys, F.col(value).alias("stored")), computed.select(*keys, F.col(value).alias("computed"))

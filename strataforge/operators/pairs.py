@@ -20,12 +20,19 @@ def available(publications: DataFrame) -> DataFrame:
 def history_asof(facts: DataFrame, pairs: DataFrame, publications: DataFrame, value: str = "percent") -> DataFrame:
     """For each pair and entity, all outcomes that were public at the feature release: the last one, their mean and number.
 
-    pairs and publications are short lists; what is public when is broadcast, so the condition needs no shuffle of facts.
+    An entity's outcomes are gathered once, in the order of releases (a short list for each entity), and every pair looks up in that list what was public; outcomes
+    aren't copied for each pair. pairs and publications are short lists as well; they come as one row.
     """
-    public = available(publications).select(F.col("origin").alias("feature_release"), "release")
-    known = facts.where(F.col(value).isNotNull()).join(F.broadcast(pairs.select("feature_release", "target_release").join(F.broadcast(public), "feature_release")), "release")
-    return known.groupBy("feature_release", "target_release", "entity_key").agg(
-        F.max_by(value, "release").alias("prior"), F.max("release").alias("prior_release"), F.avg(value).alias("history_mean"), F.count(value).alias("history_count"), F.array_join(F.sort_array(F.collect_list(F.col("release").cast("string"))), ",").alias("history_releases")
+    public = available(publications).groupBy(F.col("origin").alias("feature_release")).agg(F.collect_set("release").alias("public"))
+    listed = pairs.select("feature_release", "target_release").join(public, "feature_release").agg(F.collect_list(F.struct("feature_release", "target_release", "public")).alias("pairs_"))
+    known = facts.where(F.col(value).isNotNull()).groupBy("entity_key").agg(F.array_sort(F.collect_list(F.struct("release", F.col(value).cast("double").alias("v")))).alias("known_"))
+    looked = known.join(F.broadcast(listed)).select("entity_key", "known_", F.explode("pairs_").alias("p_"))
+    own = looked.select("p_.feature_release", "p_.target_release", "entity_key", F.filter("known_", lambda x: F.array_contains("p_.public", x["release"])).alias("h_")).where(F.size("h_") > 0)
+    last, count = F.element_at("h_", -1), F.size("h_")
+    total = F.aggregate("h_", F.lit(0.0), lambda a, x: a + x["v"])
+    return own.select(
+        "feature_release", "target_release", "entity_key", last["v"].alias("prior"), last["release"].alias("prior_release"), (total / count).alias("history_mean"), count.cast("long").alias("history_count"),
+        F.array_join(F.transform("h_", lambda x: x["release"].cast("string")), ",").alias("history_releases"),
     )
 
 
@@ -56,7 +63,7 @@ def build_pairs(facts: DataFrame, pairs: DataFrame, publications: DataFrame, lea
     """
     p = F.broadcast(pairs.select("feature_release", "target_release"))
     universe = facts.join(p, F.col("release") == F.col("feature_release")).select("feature_release", "target_release", "entity_key", F.col("n").alias("feature_n"))
-    target = facts.select(F.col("release").alias("target_release"), "entity_key", F.col("n").alias("target_n"), F.col("percent").alias("target_percent"))
+    target = facts.select(F.col("release").alias("target_release"), "entity_key", F.col("n").alias("target_n"), F.col("percent").alias("target_percent"), F.lit(True).alias("target_there"))
     joined = universe.join(history_asof(facts.where(F.col("n") >= least), pairs, publications), ["feature_release", "target_release", "entity_key"], "left").join(target, ["target_release", "entity_key"], "left")
     first = facts.groupBy("entity_key").agg(F.min("release").alias("first_release"))
     rules = reasons(least)
@@ -64,11 +71,13 @@ def build_pairs(facts: DataFrame, pairs: DataFrame, publications: DataFrame, lea
     return joined.join(first, "entity_key").withColumns({
         "history_count": F.coalesce("history_count", F.lit(0)), "first_observed": F.col("first_release") == F.col("feature_release"), "status": status,
         "reasons": F.array_join(F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()])), ","), "target_logit": C.empirical_logit(F.col("target_n"), F.round("target_percent", 1)),
-    })
+    }).drop("target_there")
 
 
 def reasons(least: int) -> dict[str, Column]:
-    return {"missing_target": F.col("target_n").isNull(), "small_target": F.col("target_n") < least, "missing_prior": F.col("prior").isNull()}
+    """What speaks against a pair's row: no later report, one without its share or its number of cases, too few cases, nothing known before."""
+    n, there = F.col("target_n"), F.col("target_there")
+    return {"missing_target": there.isNull(), "missing_value": there & (n.isNull() | F.col("target_percent").isNull()), "small_target": n < least, "missing_prior": F.col("prior").isNull()}
 
 
 def strict_vintage_folds(pairs: DataFrame) -> DataFrame:

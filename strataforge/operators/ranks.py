@@ -18,15 +18,19 @@ ACCURACY = 100_000
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], rank: str = "rank", size: str = "size") -> DataFrame:
-    """`df` with each row's rank in its group (from 1, in the columns of `order`) and the group's size."""
-    placed = cut(df.sort(*by, *order).withColumn("part_", F.spark_partition_id()))
-    sizes = placed.groupBy(*by, "part_").agg(F.count("*").alias("rows_"))
+    """`df` with each row's rank in its group (from 1, in the columns of `order`) and the group's size.
+
+    Rows are shuffled once, by the sort: a row's place among its group's rows of one sorted range is its number in the range less that of the
+    group's first there, and the group's rows in earlier ranges are a row for each range that the group lies in, which is broadcast.
+    """
+    placed = cut(df.sort(*by, *order).withColumn("number_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("number_", 33)))
+    sizes = placed.groupBy(*by, "part_").agg(F.count("*").alias("rows_"), F.min("number_").alias("first_"))
     of = Window.partitionBy(*by)  # one row a range that the group lies in
     offsets = sizes.withColumns({"before_": F.coalesce(F.sum("rows_").over(of.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), size: F.sum("rows_").over(of)})
-    own = placed.withColumn("place_", F.row_number().over(Window.partitionBy(*by, "part_").orderBy(*order)))
+    own = placed.withColumnRenamed("number_", "place_")
     keys = [F.col(f"p.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "part_"]]
     joined = own.alias("p").join(F.broadcast(offsets.alias("o")), keys)
-    return joined.select(*[F.col(f"p.{c}") for c in df.columns], (F.col("before_") + F.col("place_")).alias(rank), F.col(size))
+    return joined.select(*[F.col(f"p.{c}") for c in df.columns], (F.col("before_") + F.col("place_") - F.col("first_") + 1).alias(rank), F.col(size))
 
 
 def order_values(df: DataFrame, by: list[str], value: str, near: list[float], ranks: Callable[[Column], list[Column]], small: bool = True) -> DataFrame:

@@ -205,13 +205,18 @@ def normalize_dates(spark, sf):
     return T.signals(spark, sf).where("stratum = 'overall'").select("period", "entity_key", C.normalize_date(written, end).alias("normalized"))
 
 
-@register("SELECT r.period, abs(date_diff('day', CASE published_precision WHEN 'day' THEN published_value::DATE ELSE (published_value || '-01')::DATE END, make_date(period + 1, 7, 6 + period % 3))) <= CASE published_precision WHEN 'day' THEN 1 ELSE 30 END AS matches FROM releases r", "releases")
+@register(
+    """SELECT entity_key, period, printed, CASE published_precision WHEN 'day' THEN abs(date_diff('day', published_value::DATE, printed)) <= 1 ELSE year(printed) = substr(published_value, 1, 4)::INTEGER AND month(printed) = substr(published_value, 6, 2)::INTEGER END AS matches
+    FROM (SELECT entity_key, period, make_date(period + 1, 7, 7) + CAST((l_suppkey + period) % 5 - 2 + CASE WHEN l_suppkey % 11 = 4 THEN -7 WHEN l_suppkey % 11 = 5 THEN 25 WHEN l_suppkey % 11 = 6 THEN 365 ELSE 0 END AS INTEGER) AS printed FROM signals WHERE stratum = 'overall') JOIN releases USING (period)""",
+    "signals", "releases",
+)
 def publication_checks(spark, sf):
-    """A printed date agrees with the declared one: the same month, or at most a day apart."""
-    printed = F.make_date(F.col("period") + 1, F.lit(7), 6 + F.col("period") % 3)
-    declared = C.earliest_publication(F.col("published_value"), F.col("published_precision"))
-    same = F.when(F.col("published_precision") == "day", F.abs(F.datediff(printed, declared)) <= 1).otherwise(F.date_format(printed, "yyyy-MM") == F.col("published_value"))
-    return T.releases(spark, sf).select("period", same.alias("matches"))
+    """Dates as printed on each entity's sheet against the declared one: the declared month, or at most a day apart; some are days, weeks or a year off."""
+    k = F.col("l_suppkey")
+    days = (k + F.col("period")) % 5 - 2 + F.when(k % 11 == 4, -7).when(k % 11 == 5, 25).when(k % 11 == 6, 365).otherwise(0)
+    sheets = T.signals(spark, sf).where("stratum = 'overall'").select("entity_key", "period", F.date_add(F.make_date(F.col("period") + 1, F.lit(7), F.lit(7)), days.cast("int")).alias("printed"))
+    declared = T.releases(spark, sf).select("period", "published_value", "published_precision")
+    return sheets.join(F.broadcast(declared), "period").select("entity_key", "period", "printed", C.printed_as_declared(F.col("printed"), F.col("published_value"), F.col("published_precision")).alias("matches"))
 
 
 @register("SELECT a.feature_release AS a_release, b.feature_release AS b_release FROM pairs a JOIN pairs b ON a.feature_start <= b.target_end AND b.target_start <= a.feature_end", "pairs")
@@ -423,9 +428,14 @@ def latest_status(spark, sf):
     return last.select("entity_key", "period", "n", "ratio", C.interval_status(F.col("lower"), F.col("upper")).alias("status"))
 
 
-@register("SELECT entity_key, period, stratum, n, ratio FROM (SELECT *, max(period) OVER (PARTITION BY entity_key) AS latest FROM signals) WHERE period = latest AND stratum <> 'overall'", "signals")
+@register(
+    """SELECT entity_key, period, stratum, s.n, s.ratio FROM (SELECT entity_key, max(period) AS period FROM kept GROUP BY entity_key) x CROSS JOIN (VALUES ('low'), ('medium'), ('high'), ('hard-to-place')) g(stratum) LEFT JOIN kept s USING (entity_key, period, stratum)""".replace("kept", "(SELECT * FROM signals WHERE NOT (stratum = 'medium' AND l_suppkey % 6 = 2) AND NOT (stratum = 'high' AND l_suppkey % 9 = 1))"),
+    "signals",
+)
 def latest_strata(spark, sf):
-    s = T.signals(spark, sf)
+    """All four strata of each entity's latest period; those that weren't reported (some are taken out here) are shown without values."""
+    s, k = T.signals(spark, sf), F.col("l_suppkey")
+    s = s.where(~((F.col("stratum") == "medium") & (k % 6 == 2)) & ~((F.col("stratum") == "high") & (k % 9 == 1)))
     latest = s.groupBy("entity_key").agg(F.max("period").alias("period"))
     grid = latest.withColumn("stratum", F.explode(F.array(*[F.lit(x) for x in T.SUBSTRATA])))
     return grid.join(s, ["entity_key", "period", "stratum"], "left").select("entity_key", "period", "stratum", "n", "ratio")

@@ -10,7 +10,7 @@ from ..operators import checks, evaluate, gates, models, pairs, panel, ranks
 from ..sources import lineage
 from ..sources import tables as T
 from .evaluation_queries import ridge_views, six
-from .panel_queries import r6
+from .panel_queries import predictions, r6, the_panel
 from .duck import view
 from .register import register
 
@@ -305,9 +305,9 @@ def history_asof(spark, sf):
     return h.select("feature_release", "target_release", "entity_key", "prior", "prior_release", r6("history_mean"), "history_count", "history_releases")
 
 
-_PAIR = f"""SELECT p.feature_release, p.target_release, u.entity_key, u.n AS feature_n, t.n AS target_n, t.published_total AS target_percent, h.prior, h.history_mean, coalesce(h.history_count, 0) AS history_count, f.first_release = p.feature_release AS first_observed,
-CASE WHEN t.n IS NULL THEN 'missing_target' WHEN t.n < 10 THEN 'small_target' WHEN h.prior IS NULL THEN 'missing_prior' ELSE 'eligible' END AS status,
-array_to_string(list_filter([CASE WHEN t.n IS NULL THEN 'missing_target' END, CASE WHEN t.n < 10 THEN 'small_target' END, CASE WHEN h.prior IS NULL THEN 'missing_prior' END], lambda x: x IS NOT NULL), ',') AS reasons
+_PAIR = f"""SELECT p.feature_release, p.target_release, u.entity_key, u.n AS feature_n, t.n AS target_n, t.published_total AS target_percent, h.prior, h.prior_release, h.history_mean, coalesce(h.history_count, 0) AS history_count, f.first_release = p.feature_release AS first_observed,
+CASE WHEN t.release IS NULL THEN 'missing_target' WHEN t.n IS NULL OR t.published_total IS NULL THEN 'missing_value' WHEN t.n < 10 THEN 'small_target' WHEN h.prior IS NULL THEN 'missing_prior' ELSE 'eligible' END AS status,
+array_to_string(list_filter([CASE WHEN t.release IS NULL THEN 'missing_target' END, CASE WHEN t.release IS NOT NULL AND (t.n IS NULL OR t.published_total IS NULL) THEN 'missing_value' END, CASE WHEN t.n < 10 THEN 'small_target' END, CASE WHEN h.prior IS NULL THEN 'missing_prior' END], lambda x: x IS NOT NULL), ',') AS reasons
 FROM pairs p JOIN outcomes u ON u.release = p.feature_release LEFT JOIN outcomes t ON t.release = p.target_release AND t.entity_key = u.entity_key
 LEFT JOIN ({_HIST.format(where='AND o.n >= 10')}) h ON h.feature_release = p.feature_release AND h.target_release = p.target_release AND h.entity_key = u.entity_key JOIN (SELECT entity_key, min(release) AS first_release FROM outcomes GROUP BY ALL) f ON f.entity_key = u.entity_key"""
 
@@ -316,15 +316,21 @@ _ACCESS = "a.person_years, a.rate_ratio, a.wait_text, TRY_CAST(a.wait_text AS DO
 _PANEL = f"SELECT x.*, {_ACCESS} FROM ({_PAIR}) x LEFT JOIN access a ON a.release = x.feature_release AND a.entity_key = x.entity_key LEFT JOIN acceptance s ON s.release = x.feature_release AND s.code = substr(x.entity_key, 1, 7)"
 _READS = ("pairs", "outcomes", "publications", "access", "acceptance")
 view("pair_table", _READS, f"SELECT *, {' OR '.join(f'{c} IS NULL' for c in pairs.ACCESS)} AS any_missing FROM ({_PANEL})")
+view("gapped", ("outcomes",), "SELECT * REPLACE (CASE WHEN l_suppkey % 11 = 8 THEN NULL ELSE published_total END AS published_total) FROM outcomes")
+view("receipts", (*_READS, "gapped"), _PANEL.replace("JOIN outcomes ", "JOIN gapped ").replace("AND o.n >= 10", "AND o.n >= 10 AND o.published_total IS NOT NULL"))
 
 
-@T.saved
-def pair_rows(spark, sf):
-    rows = pairs.build_pairs(facts(spark, sf), T.pairs(spark, sf), T.publications(spark, sf))
+def pairs_of(spark, sf, outcomes):
+    rows = pairs.build_pairs(outcomes, T.pairs(spark, sf), T.publications(spark, sf))
     full = pairs.with_access(rows, T.access(spark, sf), pairs.acceptance_strata(T.signals(spark, sf), "F"))
     return full.join(F.broadcast(T.pairs(spark, sf)), ["feature_release", "target_release"]).withColumn("any_missing", F.exists(F.array(*[f"missing_{c}" for c in pairs.ACCESS]), lambda c: c))
 
 
+@T.saved
+def pair_rows(spark, sf):
+    return pairs_of(spark, sf, facts(spark, sf))
+
+
 _TAKEN = ("safety_lower", "safety_upper", "acceptance_lower", "acceptance_upper")
 
 
@@ -345,13 +351,14 @@ def pair_panel_eligibility(spark, sf):
     return pair_rows(spark, sf).select("feature_release", "target_release", "entity_key", "status", "first_observed", (F.col("target_n") >= 20).alias("n20"), (F.col("target_n") >= 30).alias("n30"))
 
 
-@register(f"SELECT t.feature_release, t.target_release, entity_key, reasons, reasons = '' AS eligible, f.published_value AS origin_value, f.published_precision AS origin_precision, g.published_value AS target_published_value, prior, round(history_mean, 6) AS history_mean, {', '.join(f'round({c}, 6) AS {c}, {c} IS NULL AS missing_{c}' for c in pairs.ACCESS)} FROM pair_table t JOIN publications f ON f.release = t.feature_release JOIN publications g ON g.release = t.target_release", "pair_table", "publications")
+@register(f"SELECT t.feature_release, t.target_release, entity_key, reasons, reasons = '' AS eligible, f.published_value AS origin_value, f.published_precision AS origin_precision, g.published_value AS target_published_value, prior, round(history_mean, 6) AS history_mean, {', '.join(f'round({c}, 6) AS {c}, {c} IS NULL AS missing_{c}' for c in pairs.ACCESS)} FROM receipts t JOIN publications f ON f.release = t.feature_release JOIN publications g ON g.release = t.target_release", "receipts", "publications")
 def receipt_panel(spark, sf):
-    """The pair panel with all reasons against a row, its dates of publication, and access inputs with their flags."""
+    """The pair panel with all reasons against a row, its dates of publication, and access inputs with their flags; some outcomes are reported without their share here."""
     dates = T.publications(spark, sf)
     origin = dates.select(F.col("release").alias("feature_release"), F.col("published_value").alias("origin_value"), F.col("published_precision").alias("origin_precision"))
     target = dates.select(F.col("release").alias("target_release"), F.col("published_value").alias("target_published_value"))
-    rows = pair_rows(spark, sf).join(F.broadcast(origin), "feature_release").join(F.broadcast(target), "target_release")
+    gapped = facts(spark, sf).withColumn("percent", F.when(F.col("l_suppkey") % 11 != 8, F.col("percent")))
+    rows = pairs_of(spark, sf, gapped).join(F.broadcast(origin), "feature_release").join(F.broadcast(target), "target_release")
     return rows.select("feature_release", "target_release", "entity_key", "reasons", (F.col("reasons") == "").alias("eligible"), "origin_value", "origin_precision", "target_published_value", "prior", r6("history_mean"), *[r6(c) for c in pairs.ACCESS], *[f"missing_{c}" for c in pairs.ACCESS])
 
 
@@ -445,6 +452,85 @@ def violations_outcomes(spark, sf):
     return checks.violations(o, rules, "release").select(F.col("period").alias("release"), "entity_key", "rule")
 
 
+# the pairs' fields against each other and against their releases; some of each kind are made wrong here
+_FAULTS = {
+    "safety_log_width": "CASE WHEN k % 31 = 4 THEN safety_log_width + 0.5::DOUBLE ELSE safety_log_width END", "acceptance_lower": "CASE WHEN k % 37 = 5 THEN NULL WHEN k % 19 = 1 THEN acceptance_upper ELSE acceptance_lower END",
+    "acceptance_upper": "CASE WHEN k % 19 = 1 THEN acceptance_lower ELSE acceptance_upper END", "rate_ratio": "CASE WHEN k % 41 = 6 THEN rate_ratio - 9 ELSE rate_ratio END", "person_years": "CASE WHEN k % 43 = 7 THEN 'inf'::DOUBLE ELSE person_years END",
+    "history_mean": "CASE WHEN k % 47 = 8 THEN NULL WHEN k % 17 = 16 THEN history_mean + 1 ELSE history_mean END", "first_observed": "first_observed OR k % 27 = 9", "safety_ratio": "CASE WHEN k % 23 = 2 THEN NULL ELSE safety_ratio END", "prior": "CASE WHEN k % 13 = 12 THEN prior + 101 ELSE prior END",
+}
+_FLAGS = {c: f"{c} IS NULL" for c in pairs.ACCESS} | {"wait": "(wait IS NULL) <> (k % 29 = 3)", "safety_ratio": "safety_ratio IS NULL OR k % 23 = 2"}
+view("faulty_pairs", ("pair_table",), "SELECT * REPLACE (" + ", ".join(f"{v} AS {c}" for c, v in _FAULTS.items()) + "), " + ", ".join(f"{v} AS missing_{c}" for c, v in _FLAGS.items()) + " FROM (SELECT *, CAST(substr(entity_key, 2, 6) AS INTEGER) AS k FROM pair_table)")
+_ANY = lambda rules: "(" + " OR ".join(f"coalesce({r}, false)" for r in rules) + ")"
+_GAPS = "((safety_ratio IS NULL)::INTEGER + (safety_lower IS NULL)::INTEGER + (safety_upper IS NULL)::INTEGER)"
+_PAIR_RULES = {
+    "flag differs from its measure": _ANY([f"missing_{c} <> ({c} IS NULL)" for c in pairs.ACCESS]), "measure is not finite": _ANY([f"NOT isfinite({c}::DOUBLE)" for c in pairs.ACCESS]), "measure below zero": _ANY([f"{c} < 0" for c in pairs.ACCESS]),
+    "share outside 0 to 100": _ANY(["prior NOT BETWEEN 0 AND 100", "history_mean NOT BETWEEN 0 AND 100"]), "one bound without the other": "(acceptance_lower IS NULL) <> (acceptance_upper IS NULL)", "bounds in the wrong order": _ANY(["acceptance_lower > acceptance_upper", "safety_lower > safety_upper"]),
+    "ratio outside its bounds": _ANY(["acceptance_overall < acceptance_lower", "acceptance_overall > acceptance_upper", "safety_ratio < safety_lower", "safety_ratio > safety_upper"]), "safety reported in part": f"{_GAPS} IN (1, 2)",
+    "safety width differs from its bounds": f"CASE WHEN {_GAPS} > 0 THEN safety_log_width IS NOT NULL ELSE safety_log_width IS NULL OR abs(safety_log_width - (ln(safety_upper) - ln(safety_lower))) > 1e-12 END",
+    "history and its count disagree": "CASE WHEN history_count = 0 THEN prior IS NOT NULL OR history_mean IS NOT NULL ELSE prior IS NULL OR history_mean IS NULL END", "only outcome differs from its mean": "history_count = 1 AND abs(history_mean - prior) > 1e-12",
+    "first seen with earlier outcomes": "first_observed AND (history_count > 1 OR coalesce(prior_release <> feature_release, false))",
+}
+
+
+@register("SELECT feature_release, target_release, entity_key, rule FROM (SELECT *, unnest([" + ", ".join(f"'{k}'" for k in _PAIR_RULES) + "]) AS rule, unnest([" + ", ".join(f"coalesce({v}, false)" for v in _PAIR_RULES.values()) + "]) AS bad FROM faulty_pairs) WHERE bad", "faulty_pairs")
+def violations_pair_features(spark, sf):
+    """Measures, flags, bounds and histories of the pair panel against each other."""
+    k = F.substring("entity_key", 2, 6).cast("int")
+    put = lambda bad, value, c: F.when(bad, value).otherwise(F.col(c))
+    lower, upper, c = F.col("acceptance_lower"), F.col("acceptance_upper"), F.col
+    rows = pair_rows(spark, sf).withColumns({
+        "safety_log_width": put(k % 31 == 4, c("safety_log_width") + 0.5, "safety_log_width"), "acceptance_lower": F.when(k % 37 == 5, None).when(k % 19 == 1, upper).otherwise(lower), "acceptance_upper": put(k % 19 == 1, lower, "acceptance_upper"),
+        "rate_ratio": put(k % 41 == 6, c("rate_ratio") - 9, "rate_ratio"), "person_years": put(k % 43 == 7, F.lit(float("inf")), "person_years"), "history_mean": F.when(k % 47 == 8, None).when(k % 17 == 16, c("history_mean") + 1).otherwise(c("history_mean")),
+        "first_observed": c("first_observed") | (k % 27 == 9), "safety_ratio": put(k % 23 == 2, None, "safety_ratio"), "prior": put(k % 13 == 12, c("prior") + 101, "prior"), "missing_wait": c("missing_wait") != (k % 29 == 3), "missing_safety_ratio": c("missing_safety_ratio") | (k % 23 == 2),
+    })
+    found = checks.violations(rows.withColumn("pair_", F.struct("feature_release", "target_release")), checks.pair_rules(pairs.ACCESS), "pair_")
+    return found.select("period.feature_release", "period.target_release", "entity_key", "rule")
+
+
+_SPANS = ("feature_start", "feature_end", "target_start", "target_end")
+
+
+@register(
+    """SELECT feature_release, target_release, entity_key, rule, detail FROM (SELECT feature_release, target_release, entity_key, unnest(['not declared', 'feature_end', 'target_start', 'origin_value', 'source']) AS rule, unnest([k % 26 = 5, k % 26 <> 5 AND k % 21 = 3, k % 26 <> 5 AND k % 22 = 4, k % 26 <> 5 AND k % 24 = 6, k % 26 <> 5 AND k % 25 = 7]) AS bad,
+    unnest([NULL, CAST(feature_end + 1 AS VARCHAR), CAST(target_start - 31 AS VARCHAR), '1900-01', 'release=0']) AS detail FROM (SELECT t.feature_release, t.target_release + CASE WHEN k % 26 = 5 THEN 50 ELSE 0 END AS target_release, t.entity_key, k, p.feature_end, p.target_start
+    FROM (SELECT *, CAST(substr(entity_key, 2, 6) AS INTEGER) AS k FROM pair_table) t JOIN pairs p USING (feature_release, target_release))) WHERE bad""",
+    "pair_table", "pairs",
+)
+def violations_pair_metadata(spark, sf):
+    """Windows, dates of publication and sources of the pairs' rows against those of their releases."""
+    k = F.substring("entity_key", 2, 6).cast("int")
+    put = lambda bad, value, c: F.when(bad, value).otherwise(F.col(c))
+    value = T.publications(spark, sf).select(F.col("release").alias("feature_release"), F.col("published_value").alias("origin_value"))
+    declared = T.pairs(spark, sf).join(F.broadcast(value), "feature_release").withColumn("source", F.concat(F.lit("release="), "feature_release"))
+    rows = pair_rows(spark, sf).select("feature_release", "target_release", "entity_key").join(F.broadcast(declared), ["feature_release", "target_release"]).withColumns({
+        "feature_end": put(k % 21 == 3, F.date_add("feature_end", 1), "feature_end"), "target_start": put(k % 22 == 4, F.date_sub("target_start", 31), "target_start"), "origin_value": put(k % 24 == 6, "1900-01", "origin_value"), "source": put(k % 25 == 7, "release=0", "source"),
+        "target_release": put(k % 26 == 5, F.col("target_release") + 50, "target_release"),
+    })
+    return checks.attribute_violations(rows, declared, ["feature_release", "target_release"], [*_SPANS, "origin_value", "source"], "entity_key")
+
+
+_TWICE = {
+    "panel": ("panel", "entity_key || ' ' || feature_period", "k % 10 = 1"), "pairs": ("pair_table", "entity_key || ' ' || feature_release || ' ' || target_release", "k % 11 = 2"),
+    "predictions": ("predictions", "entity_key || ' ' || target_period || ' ' || model", "k % 12 = 3"), "vintages": ("annual", "entity_key || ' ' || year || ' ' || release", "k % 13 = 4"),
+}
+
+
+@register(" UNION ALL ".join(f"SELECT '{name}' AS source, {key} AS item, 2::BIGINT AS rows FROM (SELECT *, CAST(substr(entity_key, 2, 6) AS INTEGER) AS k FROM {table}) WHERE {twice}" for name, (table, key, twice) in _TWICE.items()), *(t for t, _, _ in _TWICE.values()))
+def violations_duplicate_rows(spark, sf):
+    """Keys that panel, pairs, predictions and vintages hold more than once; some rows of each are there twice."""
+    tables = {
+        "panel": (the_panel(spark, sf), ["entity_key", "feature_period"], 10, 1), "pairs": (pair_rows(spark, sf), ["entity_key", "feature_release", "target_release"], 11, 2),
+        "predictions": (predictions(spark, sf), ["entity_key", "target_period", "model"], 12, 3), "vintages": (T.annual(spark, sf), ["entity_key", "year", "release"], 13, 4),
+    }
+    found = None
+    for name, (table, keys, divisor, rest) in tables.items():
+        rows = table.select(*keys)
+        twice = rows.unionByName(rows.where(F.substring("entity_key", 2, 6).cast("int") % divisor == rest))
+        own = checks.duplicates(twice, *keys).select(F.lit(name).alias("source"), F.concat_ws(" ", *keys).alias("item"), "rows")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 view("timed_pairs", ("pairs",), """SELECT *, make_date(feature_release - 1, 12, 31) AS follow_up_end FROM pairs UNION ALL SELECT feature_release, feature_release + 1, feature_start, feature_end, make_date(feature_release - 1, 1, 1), make_date(feature_release, 6, 30), make_date(feature_release - 1, 12, 31) FROM pairs WHERE feature_release % 2 = 0
 UNION ALL SELECT target_release, feature_release, target_start, target_end, feature_start, feature_end, make_date(target_release - 1, 12, 31) FROM pairs WHERE feature_release % 3 = 0 UNION ALL SELECT feature_release, target_release + 40, feature_start, feature_end, make_date(target_release + 38, 7, 1), make_date(target_release + 39, 6, 30), make_date(target_release + 39, 1, 1) FROM pairs WHERE feature_release % 4 = 1""")
 
