@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from . import ranks
+from . import predictors, ranks
 
 
 def available(publications: DataFrame) -> DataFrame:
@@ -86,21 +86,10 @@ def strict_vintage_folds(pairs: DataFrame) -> DataFrame:
     return pairs.join(t, (F.col("train_target") <= F.col("feature_release")) & (F.col("train_end") < F.col("target_start")), "left").select("feature_release", "target_release", "train_feature", "train_target")
 
 
-#: Predictors of the pair models, from what is public at the feature release.
-PAIR_FEATURES = ("prior_logit", "history_logit", "log_n", "log_person_years", "log_rate", "wait", "safety_log_width", "log_acceptance", "missing_rate", "missing_waiting")
-
-
-def percent_logit(percent: Column) -> Column:
-    return F.log((percent + 0.5) / (100.5 - percent))
-
-
 def pair_matrix(rows: DataFrame) -> DataFrame:
     """Predictors and the target as a logit of each pair row, with its pair as text in `pair`."""
-    measured = rows.withColumns({
-        "prior_logit": percent_logit(F.col("prior")), "history_logit": percent_logit(F.col("history_mean")), "log_n": F.log1p("feature_n"), "log_person_years": F.log1p("person_years"), "log_rate": C.positive_log(F.col("rate_ratio")),
-        "log_acceptance": C.positive_log(F.col("acceptance_overall")), "missing_rate": F.col("missing_rate_ratio").cast("double"), "missing_waiting": F.col("missing_wait").cast("double"), "target_log": percent_logit(F.col("target_percent")), "target_period": F.col("target_release"),
-    })
-    return measured.select("entity_key", F.concat_ws("-", "feature_release", "target_release").alias("pair"), "feature_release", "target_release", "target_period", "target_log", "target_percent", *[F.col(c).cast("double").alias(c) for c in PAIR_FEATURES])
+    pair = F.concat_ws("-", "feature_release", "target_release").alias("pair")
+    return predictors.matrix(rows, "entity_key", pair, "feature_release", "target_release", F.col("target_release").alias("target_period"), predictors.percent_logit(F.col("target_percent")).alias("target_log"), "target_percent")
 
 
 def training_pairs(pairs: DataFrame) -> dict[int, list[str]]:

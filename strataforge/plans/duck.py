@@ -23,7 +23,7 @@ def query(final: str, *reads: str) -> str:
 
     for name in reads:
         add(name)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + final
+    return final if not order else "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + final
 
 
 _STRATA = {"overall": "true", "low": "l_quantity <= 16", "medium": "l_quantity > 16 AND l_quantity <= 33", "high": "l_quantity > 33", "hard-to-place": "l_discount >= 0.0799::DOUBLE"}

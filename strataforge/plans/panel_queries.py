@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import checks, panel
+from ..operators import checks, panel, windows
 from ..sources import contracts, lineage, storage
 from ..sources import tables as T
 from .register import register
@@ -223,9 +223,9 @@ def publication_checks(spark, sf):
 def window_overlaps(spark, sf):
     """Pairs whose feature window overlaps another pair's target window."""
     p = T.pairs(spark, sf)
-    a = p.select(F.col("feature_release").alias("a_release"), "feature_start", "feature_end")
-    b = p.select(F.col("feature_release").alias("b_release"), "target_start", "target_end")
-    return a.join(F.broadcast(b), (F.col("feature_start") <= F.col("target_end")) & (F.col("target_start") <= F.col("feature_end"))).select("a_release", "b_release")
+    a = p.select(F.col("feature_release").alias("a_release"), F.col("feature_start").alias("start_a"), F.col("feature_end").alias("end_a"))
+    b = p.select(F.col("feature_release").alias("b_release"), F.col("target_start").alias("start_b"), F.col("target_end").alias("end_b"))
+    return windows.overlaps(a, b).select("a_release", "b_release")
 
 
 @register("SELECT feature_release, target_release, CAST((year(target_start) - feature_release) * 12 + month(target_start) - 7 AS INTEGER) AS month_offset FROM pairs", "pairs")

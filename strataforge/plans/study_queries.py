@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import accounting as A
-from ..operators import checks, evaluate, gates, models, pairs, panel, ranks
+from ..operators import checks, evaluate, gates, models, pairs, panel, predictors, ranks, windows
 from ..sources import lineage
 from ..sources import tables as T
 from .evaluation_queries import ridge_views, six
@@ -588,19 +588,37 @@ def gate_continuation(spark, sf):
     return gates.continuation(pair_predictions(spark, sf), "historical_mean", ("persistence", "pooled_reference"))
 
 
+_IN_SQL = {"number": "{0}::DOUBLE", "missing": "({0} IS NULL)::DOUBLE", "log": "ln(CASE WHEN {0} > 0 THEN {0} END)", "log1p": "ln(1 + CASE WHEN {0} >= 0 THEN {0} END)", "log width": "CASE WHEN {1} >= {0} THEN ln({1}) - ln({0}) END", "logit of percent": "ln(({0} + 0.5::DOUBLE) / (100.5::DOUBLE - {0}))"}
+_PAIR_INPUTS = {name: ("({0} IS NULL OR {1} IS NULL)::DOUBLE" if kind == "missing" and len(sources) > 1 else _IN_SQL[kind]).format(*sources) for name, (kind, *sources) in predictors.REGISTRY.items()}
+_MATRIX_SQL = ", ".join(f"round({v}, 6) AS {k}" for k, v in _PAIR_INPUTS.items())
+
+
+@register(f"SELECT feature_release, target_release, entity_key, {_MATRIX_SQL} FROM pair_table WHERE status = 'eligible'", "pair_table")
+def pair_predictors(spark, sf):
+    """All declared predictors of the eligible pairs, from one projection."""
+    found = predictors.matrix(pair_rows(spark, sf).where("status = 'eligible'"), "feature_release", "target_release", "entity_key")
+    return six(found)
+
+
+@register(
+    """SELECT entity_key, count(*) AS windows, count(*) FILTER (opens <= reach) AS overlapping, max(date_diff('day', reach, opens)) FILTER (opens > reach) AS longest_gap FROM (
+    SELECT *, max(closes) OVER (PARTITION BY entity_key ORDER BY opens, closes, o, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS entity_key, l_shipdate::DATE AS opens, l_shipdate::DATE + CAST(1 + l_linenumber * 2 AS INTEGER) AS closes, l_orderkey AS o, l_linenumber AS l FROM lineitem)) GROUP BY entity_key"""
+)
+def entity_windows(spark, sf):
+    """Windows of each entity (a line's dates of transport) that begin before an earlier one has ended, and the longest time between windows."""
+    lines = T.read(spark, sf, "lineitem")
+    rows = lines.select(T.supplier_code(F.col("l_suppkey")).alias("entity_key"), F.to_date("l_shipdate").alias("opens"), F.date_add(F.to_date("l_shipdate"), (1 + F.col("l_linenumber") * 2).cast("int")).alias("closes"), "l_orderkey", "l_linenumber")
+    swept, gap = windows.sweep(rows, "entity_key", "opens", "closes", "l_orderkey", "l_linenumber"), F.datediff("opens", "reach")
+    return swept.groupBy("entity_key").agg(F.count("*").alias("windows"), F.count_if(F.col("opens") <= F.col("reach")).alias("overlapping"), F.max(F.when(gap > 0, gap)).cast("long").alias("longest_gap"))
+
+
 # ridge models of the pairs: strict vintage, logit target
-PAIR_GROUPS = {"history": ["prior_logit", "history_logit", "log_n"], "access": [*pairs.PAIR_FEATURES[:7], *pairs.PAIR_FEATURES[8:]], "all": list(pairs.PAIR_FEATURES)}
-_LOGIT = "ln(({c} + 0.5::DOUBLE) / (100.5::DOUBLE - {c}))"
-_PAIR_INPUTS = {
-    "prior_logit": _LOGIT.format(c="prior"), "history_logit": _LOGIT.format(c="history_mean"), "log_n": "ln(1 + feature_n)", "log_person_years": "ln(1 + person_years)", "log_rate": "ln(rate_ratio)", "wait": "wait", "safety_log_width": "safety_log_width",
-    "log_acceptance": "ln(acceptance_overall)", "missing_rate": "(rate_ratio IS NULL)::DOUBLE", "missing_waiting": "(wait IS NULL)::DOUBLE",
-}
 ridge_views(
     "pair_ridge",
-    f"""SELECT f.eval_period, f.role, t.entity_key, t.target_release AS target_period, {_LOGIT.format(c="target_percent")} AS target_log, t.first_observed, 0 AS quartile, {", ".join(f"{v} AS {k}" for k, v in _PAIR_INPUTS.items())} FROM pair_table t JOIN (
+    f"""SELECT f.eval_period, f.role, t.entity_key, t.target_release AS target_period, {_IN_SQL["logit of percent"].format("target_percent")} AS target_log, t.first_observed, 0 AS quartile, {", ".join(f"{v} AS {k}" for k, v in _PAIR_INPUTS.items())} FROM pair_table t JOIN (
     SELECT p.target_release AS eval_period, 'train' AS role, q.feature_release, q.target_release FROM pairs p JOIN pairs q ON q.target_release <= p.feature_release AND q.target_end < p.target_start
     UNION SELECT p.target_release, 'evaluate', p.feature_release, p.target_release FROM pairs p JOIN pairs q ON q.target_release <= p.feature_release AND q.target_end < p.target_start) f USING (feature_release, target_release) WHERE t.status = 'eligible'""",
-    [10.0], PAIR_GROUPS, pairs.PAIR_FEATURES, ("pair_table", "pairs"),
+    [10.0], predictors.GROUPS, tuple(predictors.REGISTRY), ("pair_table", "pairs"),
 )
 
 
@@ -608,8 +626,8 @@ ridge_views(
 def pair_ridge(spark, sf):
     """Groups of predictors on identical pairs, fitted on logits of what was public, as percentages."""
     rows, folds = pairs.pair_matrix(pair_rows(spark, sf).where("status = 'eligible'")), pairs.training_pairs(T.pairs(spark, sf))
-    features = list(pairs.PAIR_FEATURES)
+    features = list(predictors.REGISTRY)
     fits, _ = models.fit_cells(rows, features, "target_log", F.col("pair"), lambda cells: {fold: [c for c in own if c in cells] for fold, own in folds.items()})
-    fitted = models.parameters(spark, fits, features, [10.0], PAIR_GROUPS)
+    fitted = models.parameters(spark, fits, features, [10.0], predictors.GROUPS)
     found = models.predictions(rows.withColumn("eval_period", F.col("target_release")), fitted, features)
     return found.select("entity_key", F.col("target_period").alias("target_release"), "group", r6("predicted_log", "predicted_logit"), r6(100.0 * C.expit(F.col("predicted_log")), "predicted_percent"))

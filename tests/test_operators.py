@@ -294,3 +294,35 @@ def test_large_values_are_written_by_several_tasks(spark, tmp_path):
     files = spark.read.parquet(f"{tmp_path}/t").select("p", F.col("_metadata.file_name").alias("f"), "k").groupBy("p").agg(F.countDistinct("f").alias("files"), F.count("*").alias("rows"))
     found = {r.p: (r.files, r.rows) for r in files.collect()}
     assert found[9][0] > 3 and found[9][1] == 54_000 and all(found[p][1] == 2000 for p in (0, 1, 2))
+
+
+def test_sweep_and_overlaps_equal_plain_ones(spark):
+    """Two groups, one with most intervals, over several sorted ranges; ties, single days and intervals that contain others."""
+    from strataforge.operators import windows
+
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(400):
+        start = dt.date(2020, 1, 1) + dt.timedelta(int(r.integers(0, 1500)))
+        rows.append(("a" if k % 10 else "b", start, start + dt.timedelta(int(r.choice([0, 1, 5, 400]))), k))
+    df = spark.createDataFrame(rows, "g string, s date, e date, k int").repartition(5)
+    got = {x.k: x.reach for x in windows.sweep(df, "g", "s", "e", "k").collect()}
+    for g, s, e, k in rows:
+        before = [x[2] for x in rows if x[0] == g and (x[1], x[2], x[3]) < (s, e, k)]
+        assert got[k] == max(before, default=None)
+    a, b = (df.select("g", F.col("s").alias(f"start_{x}"), F.col("e").alias(f"end_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    pairs_ = sorted((x.k_a, x.k_b) for x in windows.overlaps(a, b, 30, ("g",)).collect())
+    assert pairs_ == sorted((x[3], y[3]) for x in rows for y in rows if x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+
+
+def test_predictors_are_declared_ones(spark):
+    from strataforge.operators import predictors
+
+    df = spark.createDataFrame([(50.0, 0.0), (None, -1.0)], "prior double, wait double")
+    got = predictors.matrix(df, names=["log_wait", "prior_logit", "missing_waiting"]).collect()
+    assert [tuple(x) for x in got] == [(0.0, 0.0, 0.0), (None, None, 0.0)]
+    for names in (["entity_key"], ["log_wait", "log_wait"], []):
+        with pytest.raises(ValueError, match="declared"):
+            predictors.matrix(df, names=names)
+    with pytest.raises(ValueError, match="lacks the columns"):
+        predictors.matrix(df)
