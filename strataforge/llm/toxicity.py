@@ -8,7 +8,8 @@ them; only one ! right at the beginning stands for a letter.
 The lexicon is learned from labelled texts: whole words and word beginnings of MIN_STEM to MAX_STEM letters, each weighted by
 its log odds between toxic and other texts. A longer entry is left out where its beginning weighs as much.
 A text's weight is the sum over its matches outside exception phrases, per 100 words (with PRIOR_WORDS more); a
-logistic curve fitted on the same labelled texts turns it into a score from 0 to 1.
+logistic curve turns it into a score from 0 to 1; it is fitted to labelled texts that
+the lexicon behind their weights hasn't seen.
 
 Exception phrases are EXCEPTIONS, and two-word phrases round an entry that the labelled texts show to be meant well: seen in at
 least LEAST_TEXTS texts, and in other texts relatively more often than in toxic ones.
@@ -38,6 +39,8 @@ MIN_STEM, MAX_STEM = 4, 7
 LEAST_TEXTS, LEAST_WEIGHT = 3, 2.5
 PRIOR_WORDS = 20
 THRESHOLD = 0.3
+#: The curve is fitted to one of FOLDS parts of the labelled texts, by a lexicon of the others; densities are counted in steps of 1 / STEPS.
+FOLDS, STEPS = 3, 1000
 #: Phrases (folded) in which an entry isn't meant badly; entries inside them don't count.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser syndrome", "dumb waiter", "dumb bell", "pond scum", "stupid simple", "kill switch", "not stupid", "no idiot")
 #: Look-alikes of Latin letters in other scripts, and signs that stand for letters.
@@ -263,33 +266,46 @@ def measure(docs: DataFrame, entries: dict[str, float], exceptions: tuple[str, .
     return chosen.mapInArrow(run, f"key {kind}, n_words long, n_matches long, weight double, density double")
 
 
-def fit_curve(density: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and intercept of the logistic curve, with a small ridge; Newton steps.
+def fit_curve(density: np.ndarray, toxic: np.ndarray, rows: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope (not negative) and intercept of the logistic curve, with a small ridge; Newton steps. rows: how many each value stands for.
 
     Without rows of both kinds the curve is flat, at the share of toxic rows (0 without rows).
     """
-    share = float(toxic.mean()) if len(toxic) else 0.0
+    rows = np.ones(len(toxic)) if rows is None else rows
+    share = float(toxic @ rows / rows.sum()) if len(toxic) else 0.0
     if share in (0.0, 1.0):
         return 0.0, 40.0 if share else -40.0
     x = np.stack([density, np.ones(len(density))], axis=1)
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (toxic - p) - 0.01 * beta
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope)
+        slope = x.T @ (rows * (toxic - p)) - 0.01 * beta
+        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
     return max(0.0, float(beta[0])), float(beta[1])
 
 
+def _unseen(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Densities of a FOLDS-th of the labelled texts by a lexicon that was learned from the others; toxic or not; and how many texts.
+
+    What is collected is a row for each STEPS-th of a density and label.
+    """
+    part = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(FOLDS))
+    others = sample.where(part != 0)
+    entries = lexicon(others)
+    own = measure(sample.where(part == 0), entries, tuple(sorted({*EXCEPTIONS, *meant_well(others, entries)})), id_col="toxic")
+    counted = own.groupBy((F.round(F.col("density") * STEPS) / STEPS).alias("density"), (F.col("key") > 0).cast("double").alias("toxic")).agg(F.count("*").alias("rows")).toPandas()
+    return counted.density.to_numpy(float), counted.toxic.to_numpy(float), counted.rows.to_numpy(float)
+
+
 def score(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """(doc_id, score, predicted, ...) of all texts, learned from `labels` (doc_id, toxic) and their texts in `docs`."""
     sample = _sample(docs, labels)
     entries = lexicon(sample)
     exceptions = tuple(sorted({*exceptions, *meant_well(sample, entries)}))
-    seen = measure(sample, entries, exceptions).select("key", "density").join(sample.select("key", "toxic").distinct(), "key").select("density", "toxic").toPandas()
-    slope, base = fit_curve(seen.density.to_numpy(), (seen.toxic > 0).to_numpy().astype(float))
+    slope, base = fit_curve(*_unseen(sample))
     value = 1 / (1 + F.exp(-(F.lit(slope) * F.col("density") + F.lit(base))))
     return measure(docs.select(F.col("doc_id").alias("key"), "text"), entries, exceptions).select(
         F.col("key").alias("doc_id"), value.alias("score"), F.when(value >= THRESHOLD, 1).otherwise(0).alias("predicted"), "n_words", "n_matches", "weight"
