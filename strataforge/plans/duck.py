@@ -91,7 +91,7 @@ _R = ", ".join(f"CAST(count(*) FILTER (slot = {i}) AS BIGINT) AS r{i}" for i in
 view("removed", (), f"SELECT l_suppkey, year, {_R} FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, least(7, 3 * CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END + CASE WHEN l_quantity <= 16 THEN 0 WHEN l_quantity <= 33 THEN 1 ELSE 2 END) AS slot FROM lineitem) GROUP BY ALL")
 view("added", (), "SELECT l_suppkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS additions FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 _GONE = " + ".join(f"r{i}" for i in range(8))
-view("flows", ("removed", "added"), "SELECT l_suppkey, year, coalesce(additions, 0) AS additions, " + ", ".join(f"coalesce(r{i}, 0) AS r{i}" for i in range(8)) + " FROM added FULL JOIN removed USING (l_suppkey, year) WHERE year <= 2000")
+view("flows", ("removed", "added"), "SELECT l_suppkey, year, coalesce(additions, 0) AS additions, " + ", ".join(f"coalesce(r{i}, 0) AS r{i}" for i in range(8)) + " FROM added FULL JOIN removed USING (l_suppkey, year)")
 view("stock", ("flows",), f"SELECT *, CAST(200 + coalesce(sum(additions - ({_GONE})) OVER (PARTITION BY l_suppkey ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ FROM flows")
 view(
     "annual",
@@ -99,7 +99,7 @@ view(
     f"""SELECT {CODE.format(k="l_suppkey")} || ':TX' AS entity_key, year, release, start_ + CASE WHEN (5 * l_suppkey + year) % 17 = 0 THEN 2 ELSE 0 END AS start,
     start_ + additions - ({_GONE}) + CASE WHEN (5 * l_suppkey + year) % 17 = 0 THEN 2 ELSE 0 END + CASE WHEN (13 * l_suppkey + year) % 29 = 0 THEN 1 ELSE 0 END + CASE WHEN release = year + 2 AND (l_suppkey + year) % 5 = 0 THEN 1 ELSE 0 END AS "end",
     additions + CASE WHEN release = year + 2 AND (l_suppkey + year) % 5 = 0 THEN 1 ELSE 0 END AS additions, r0, r1, r2, r3, r4, r5, r6, CASE WHEN (11 * l_suppkey + year) % 37 = 0 THEN NULL ELSE r7 END AS r7
-    FROM stock, (VALUES (1), (2)) v(lag) CROSS JOIN LATERAL (SELECT year + lag AS release) WHERE year + lag <= 2001 AND (lag = 2 OR (3 * l_suppkey + year) % 41 <> 0)""",
+    FROM stock, (VALUES (1), (2)) v(lag) CROSS JOIN LATERAL (SELECT year + lag AS release) WHERE year + lag <= 2002 AND (lag = 2 OR (3 * l_suppkey + year) % 41 <> 0)""",
 )
 view("chosen", ("annual",), "SELECT * FROM (SELECT *, min(release) OVER (PARTITION BY year) AS first_release FROM annual) WHERE release = first_release")
 view("accounts", ("chosen",), f'SELECT *, "end" - start AS growth, {_GONE} AS removal_total, "end" - start - additions + ({_GONE}) AS residual FROM chosen')
@@ -118,7 +118,7 @@ view(
     f"""SELECT release, {CODE.format(k="l_suppkey")} || ':P' || priority AS entity_key, l_suppkey, n, quantity, successes, success_nf, c0 * 100::DOUBLE / n AS "NF", c1 * 100::DOUBLE / n AS "NO", c2 * 100::DOUBLE / n AS "AF", c3 * 100::DOUBLE / n AS "AO", c4 * 100::DOUBLE / n AS "RF", c5 * 100::DOUBLE / n AS "RO",
     round(100::DOUBLE * successes / n, 1) AS published_total FROM (SELECT CAST(year(o_orderdate + INTERVAL 6 MONTH) + 1 AS INTEGER) AS release, l_suppkey, o_orderpriority[1] AS priority, count(*) AS n, sum(l_quantity) AS quantity, count(*) FILTER (l_returnflag = 'N') AS successes, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'F') AS success_nf, """
     + ", ".join(f"count(*) FILTER (l_returnflag || l_linestatus = '{s}') AS c{i}" for i, s in enumerate(("NF", "NO", "AF", "AO", "RF", "RO")))
-    + """ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) WHERE release BETWEEN 1997 AND 2002""",
+    + """ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)""",
 )
 view("pairs", ("outcomes",), "SELECT *, make_date(feature_release - 2, 7, 1) AS feature_start, make_date(feature_release - 1, 6, 30) AS feature_end, make_date(target_release - 2, 7, 1) AS target_start, make_date(target_release - 1, 6, 30) AS target_end FROM (SELECT f.release AS feature_release, t.release AS target_release FROM (SELECT DISTINCT release FROM outcomes) f JOIN (SELECT DISTINCT release FROM outcomes) t ON t.release = f.release + 2)")
 view("publications", ("outcomes",), "SELECT *, CASE published_precision WHEN 'day' THEN published_value::DATE ELSE (published_value || '-01')::DATE END AS earliest, CASE published_precision WHEN 'day' THEN published_value::DATE ELSE last_day((published_value || '-01')::DATE) END AS latest FROM (SELECT DISTINCT release, release::VARCHAR || CASE WHEN release % 2 = 1 THEN '-07-07' ELSE '-07' END AS published_value, CASE WHEN release % 2 = 1 THEN 'day' ELSE 'month' END AS published_precision FROM outcomes)")
