@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, katz, language, neardup, packing, pii, quality, tiff, toxicity, unigram, variants, wavelet
+from . import conversations, katz, language, neardup, oracle, packing, pii, quality, tiff, toxicity, unigram, variants, wavelet
 from ._spark import new_path, read
 
 
@@ -87,4 +87,4 @@ def op13_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tiff_pages, op2_nbest_segmentation, op3_probminhash_dedup, op4_perplexity_bands, op5_power_of_two_packing, op6_language_id, op7_pii_candidates, op8_katz_backoff, op9_toxicity_lexicon, op10_token_counts, op11_spelling_variants, op12_conversation_repair, op13_wavelet_shards)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.ORACLE_SQL)

@@ -260,3 +260,17 @@ def test_digest_of_texts(spark):
         image = np.frombuffer(padded, np.uint8).reshape(-1, 192, 1)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), tiff.feature(image))
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    want = con.sql(registry.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, folder)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert {tuple(r[c] for c in want.columns) for r in got.collect()} == set(want.fetchall())
