@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.lineage import cut
 from ..sources.tables import REMOVALS
 from . import ranks
 
@@ -82,6 +83,7 @@ def median_of_medians(usable: DataFrame, *by: str) -> DataFrame:
     counts = count_metrics()
     rows = [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in counts.items()] + [F.struct(F.lit(f"{k}_per100").alias("metric"), C.per100(v, F.col("start")).alias("value")) for k, v in counts.items()]
     own = usable.select(*by, "entity_key", F.explode(F.array(*rows)).alias("m_")).groupBy(*by, "entity_key", "m_.metric").agg(F.percentile("m_.value", F.lit(0.5)).alias("own"))
+    own = cut(own)  # read for counts, then for the medians over entities
     counted = own.groupBy(*by, "metric").agg(F.count("own").alias("entities"))
     middle = ranks.percentiles(own, [*by, "metric"], "own", [0.5]).select(*by, "metric", F.col("p")[0].alias("median"))
     return counted.join(F.broadcast(middle), [*by, "metric"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
 from . import ranks
 
 SCALES = ("ratio", "percent", "log")
@@ -91,6 +92,7 @@ def paired_comparison(errors: DataFrame, challenger: str, comparator: str) -> Da
     """Differences of absolute errors on every scale: level 'period', 'pooled', and 'balanced' (means over periods)."""
     of = lambda m, s: F.max(F.when(F.col("model") == m, F.col(f"absolute_{s}")))
     both = errors.where(F.col("model").isin(challenger, comparator)).groupBy("entity_key", "target_period").agg(*[(of(challenger, s) - of(comparator, s)).alias(s) for s in SCALES])
+    both = cut(both)  # read for counts and percentiles of both levels
     long = both.unpivot(["entity_key", "target_period"], list(SCALES), "scale", "difference").where(F.col("difference").isNotNull())
     by_period = wins(long, "target_period", "scale")
     pooled = wins(long, "scale")
