@@ -1,18 +1,28 @@
-"""Personal data: overlapping candidates, boosted trees over format and context flags, calibrated thresholds.
+"""Personal data: overlapping candidates, two sets of boosted trees that teach each other, calibrated thresholds.
 
 Everything runs as DataFrame functions. Generators with high recall propose spans of eight kinds, which may overlap. Each
-candidate has a word of flags: its kind, format and neighbours. Labels come from strict checks (Luhn, mod 97, octets
-up to 255, lengths, area, group and serial numbers, a word of the kind in front): candidates of all documents are counted by flags and label, so the
-training table has at most one row for each flag word, and boosted trees of two levels are fitted on those
-counts. One document in HELD_OUT is left out of the fit: for each kind the lowest threshold whose selected candidates were
-right to PRECISION in these documents selects the spans that are added (kinds that they lack take all documents); those of
-the four base kinds that pass their checks always stay, and an added span never overlaps one of them.
+candidate has a word of flags: its kind, format (digits, marks, checksums, number plans) and context (the word in front, clear
+ends). There are no labelled spans, so the first labels are strict checks (Luhn, mod 97, octets up to 255, lengths, area, group and
+serial numbers, a word of the kind in front). Trees of the context never see a checksum or a number plan, trees of the
+format never see a neighbour: each learns how likely the check that it can't see holds. In ROUNDS rounds the candidates that one
+view selects become labels of the other (co-training); the last trees see all flags and learn what passes a strict check or was selected by
+a view. So a card number with a wrong digit is found behind words that almost only introduce right ones, and a key without a name
+where almost all keys of its form have one.
+
+Candidates of all documents are counted by flags and label, and boosted trees of two levels are fitted on those counts. One
+document in HELD_OUT is left out of the fit: for each view and kind the lowest threshold whose selected candidates were right to
+PRECISION in these documents selects (kinds that they lack take all documents); a view's must rest on EVIDENCE right ones. Spans that
+the last trees select are added; those of the four base kinds that pass their checks always stay, and an added span never overlaps
+one of them.
 
 Patterns that repeat a group would recurse on long runs, so the text is first rewritten without changing lengths:
 single marks between digits become one private character, dots inside names another; then runs of one class do.
 
-Bounds: at most MAX_CELLS different flag words are collected. Positions are code points, ends exclusive. Defined
-cases: a null text is empty and has no spans; a null id stays null; repeated rows count each; without candidates nothing is added.
+Bounds: the flag words that can occur are fewer than 65,536 whatever the documents (eight kinds; five ranges of digits, four
+states of the ends, eight words in front, three flags of form, at most two of checks), and a row of counts for each is collected.
+Positions are code points, ends exclusive. Whole texts are searched, whatever their length. Defined cases: a null text is empty and
+has no spans; a null id stays null; repeated rows count each; ties of a threshold are selected together; columns of any name are
+allowed; without candidates nothing is added.
 """
 
 from __future__ import annotations
@@ -30,7 +40,9 @@ KINDS = (*BASE, "tel", "secret", "ssn", "iban")
 PRECISION = 0.99
 HELD_OUT = 5
 TREES, RATE, RIDGE = 24, 0.4, 1.0
-MAX_CELLS = 1 << 16
+ROUNDS = 3
+#: Held-out candidates that a view must select rightly before it teaches the other.
+EVIDENCE = 100
 CHUNK = 256
 GROUP, DOT, OTHER = "", "", ""
 LABEL_CHARS, LOCAL = "A-Za-z0-9-", f"A-Za-z0-9._%+{DOT}-"
@@ -62,9 +74,25 @@ GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{10,}[0-9]",
 KEY_WORDS = r"(?i)(token|secret|key|passw|pwd|auth)[a-z]{0,6}[\"']?[ ]{0,3}[=:]?[ ]{0,3}[\"']?$"
 CONTACT_WORDS = r"(?i)(tel|phone|fon|mobile|call|fax|cell|contact|movil|handy)[^a-z]{0,6}$"
 SECURITY_WORDS = r"(?i)(?<![a-z])(ssn|social|security|tax|taxpayer|tin|itin)([ .:#=-]{1,3}(security|id|no|nr|num|number|is|was)){0,4}[^a-z0-9]{0,6}$"
+
+
+def _introduced_by(words: str) -> str:
+    return rf"(?i)(?<![a-z])({words})([ .:#=-]{{1,3}}(number|no|nr|num|id|is|was|to|from)){{0,3}}[^a-z0-9]{{0,6}}$"
+
+
+#: Words in front, of which a candidate has the first that matches.
+WORDS = {
+    "key": KEY_WORDS, "contact": CONTACT_WORDS, "security": SECURITY_WORDS, "card": _introduced_by("card|visa|mastercard|amex|credit|debit|paid with"), "bank": _introduced_by("iban|account|acct|bank|bic|konto|transfer"),
+    "host": _introduced_by("ip|host|server|addr|address|peer|client|gateway"), "mail": _introduced_by("e-?mail|mail|write"),
+}
 #: Plan of the national numbers that are written in 3, 3 and 4 digits: area and exchange begin with 2 to 9 and don't end in 11.
 NATIONAL = "^([2-9](?!11)[0-9]{2}){2}"
-FLAGS = (*(f"kind_{k}" for k in KINDS), "digits_10", "digits_14", "digits_to_15", "digits_to_19", "clear_before", "clear_after", "key_word", "contact_word", "separated", "mixed", "octets", "luhn", "card_start", "mod97", "area", "security_word", "national")
+OF_KIND = tuple(f"kind_{k}" for k in KINDS)
+OF_FORMAT = ("digits_10", "digits_14", "digits_to_15", "digits_to_19", "separated", "mixed", "both_cases", "octets", "luhn", "card_start", "mod97", "area", "national")
+OF_CONTEXT = ("clear_before", "clear_after", *(f"{w}_word" for w in WORDS))
+FLAGS = (*OF_KIND, *OF_FORMAT, *OF_CONTEXT)
+#: What each set of trees may see.
+VIEWS = ((*OF_KIND, *OF_CONTEXT), (*OF_KIND, *OF_FORMAT))
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -115,23 +143,28 @@ def _described(kind: str, found: Column) -> Column:
     def one(x: Column) -> Column:
         digits = F.regexp_replace(x["value"], "[^0-9]", "") if kind != "email" else F.lit("")
         n = F.length(digits)
-        key, contact = x["before"].rlike(KEY_WORDS), x["before"].rlike(CONTACT_WORDS)
+        named = {w: x["before"].rlike(pattern) for w, pattern in WORDS.items()}
+        word = F.lit(-1)
+        for i in reversed(range(len(WORDS))):
+            word = F.when(named[list(WORDS)[i]], i).otherwise(word)
+        key, contact, security = named["key"], named["contact"], named["security"]
         octets = F.forall(F.split(x["value"], r"\."), lambda p: F.coalesce(F.try_to_number(F.right(F.concat(F.lit("0000"), F.regexp_replace(p, "^0+", "")), F.greatest(F.lit(4), F.length(F.regexp_replace(p, "^0+", "")))), F.lit("9999")) <= 255, no)) if kind == "ip" else no
         good_luhn = F.when(n.between(14, 19), luhn(digits)).otherwise(False) if kind == "card" else no
         area = ~digits.rlike("^(000|666|9|...00|.{5}0000)") if kind == "ssn" else no
-        security = x["before"].rlike(SECURITY_WORDS) if kind == "ssn" else no
         national = digits.rlike(NATIONAL) if kind == "tel" else no
         iban = mod97(F.replace(x["value"], F.lit(" "), F.lit(""))) if kind == "iban" else no
         strict = {"email": F.lit(True), "ip": octets, "card": good_luhn, "phone": n.between(10, 15), "tel": contact | national, "secret": key & x["value"].rlike("[A-Za-z]"), "ssn": area & security, "iban": iban}[kind]
-        flags = [
-            *(F.lit(k == kind) for k in KINDS), n >= 10, n >= 14, n <= 15, n <= 19,
-            x["before"].rlike(r"(^|[\s\"'(|>:=,])$"), x["after"].rlike(r"^($|[\s\"')|<,.;:!?])"), key, contact, x["value"].rlike(rf"[ ().{GROUP}-]"), x["value"].rlike("[A-Za-z]") & x["value"].rlike("[0-9]"),
-            octets, good_luhn, digits.rlike("^[3-6]"), iban, area, security, national,
-        ]
-        word = F.lit(0)
-        for k, flag in enumerate(flags):
-            word = word + F.when(flag, 1 << k).otherwise(0)
-        return F.struct(F.lit(order).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.coalesce(strict, no).alias("strict"), word.alias("flags"))
+        flags = {f"kind_{k}": F.lit(k == kind) for k in KINDS} | {
+            "digits_10": n >= 10, "digits_14": n >= 14, "digits_to_15": n <= 15, "digits_to_19": n <= 19, "separated": x["value"].rlike(rf"[ ().{GROUP}-]"), "mixed": x["value"].rlike("[A-Za-z]") & x["value"].rlike("[0-9]"),
+            "both_cases": x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]"), "octets": octets, "luhn": good_luhn, "card_start": digits.rlike("^[3-6]"), "mod97": iban, "area": area, "national": national,
+            "clear_before": x["before"].rlike(r"(^|[\s\"'(|>:=,])$"), "clear_after": x["after"].rlike(r"^($|[\s\"')|<,.;:!?])"),
+        }
+        bits = F.lit(0)
+        for k, name in enumerate(FLAGS):
+            if name in flags:
+                bits = bits + F.when(flags[name], 1 << k).otherwise(0)
+        bits = bits + F.when(word >= 0, F.call_function("shiftleft", F.lit(1 << FLAGS.index("key_word")), word)).otherwise(0)
+        return F.struct(F.lit(order).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.coalesce(strict, no).alias("strict"), bits.alias("flags"))
 
     return F.transform(found, one)
 
@@ -154,14 +187,15 @@ def candidates(docs: DataFrame, text_col: str = "text", out: str = "found") -> D
 
 
 class Trees:
-    """Boosted trees of two levels over flag bits, fitted on counts of right and all candidates by flag word."""
+    """Boosted trees of two levels over the flags of one view, fitted on counts of right and all candidates by flag word."""
 
-    def __init__(self, flags: np.ndarray, right: np.ndarray, total: np.ndarray):
+    def __init__(self, flags: np.ndarray, right: np.ndarray, total: np.ndarray, view: tuple[str, ...] = FLAGS):
         self.trees: list[tuple] = []
         n = max(1.0, float(total.sum()))
         rate = min(max(float(right.sum()) / n, 1e-3), 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
-        bits = (flags[:, None] >> np.arange(len(FLAGS)) & 1).astype(bool)
+        seen = np.array([FLAGS.index(name) for name in view])
+        bits = (flags[:, None] >> seen & 1).astype(bool)
         value = np.full(len(flags), self.base)
         for _ in range(TREES if len(flags) else 0):
             p = 1 / (1 + np.exp(-value))
@@ -175,8 +209,8 @@ class Trees:
                     leaf = at & (bits[:, below] == end)
                     step = RATE * float(slope[leaf].sum() / (curve[leaf].sum() + RIDGE))
                     value[leaf] += step
-                    leaves.append((below, step))
-            self.trees.append((root, leaves))
+                    leaves.append((int(seen[below]), step))
+            self.trees.append((int(seen[root]), leaves))
 
     def value_of(self, flags: np.ndarray) -> np.ndarray:
         """The probability of each flag word."""
@@ -202,8 +236,49 @@ class Trees:
         return 1 / (1 + F.exp(-total))
 
 
+def _thresholds(value: np.ndarray, kind: np.ndarray, fitted: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray], least: int) -> list[float]:
+    """Each kind's lowest threshold whose selected candidates are `least` at least and right to PRECISION; 2 if there is none.
+
+    fitted, held: (right, all) by flag word.
+    """
+    out = []
+    for k in range(len(KINDS)):
+        own = kind == k
+        (g, n), (g_held, n_held) = ((right[own], total[own]) for right, total in (fitted, held))
+        if not (n_held.sum() and g_held.sum()):
+            g_held, n_held = g + g_held, n + n_held
+        order = np.argsort(-value[own], kind="stable")
+        ranked, hits, count = value[own][order], np.cumsum(g_held[order]), np.cumsum(n_held[order])
+        last = np.append(ranked[1:] != ranked[:-1], True) if len(ranked) else np.zeros(0, bool)
+        fine = np.flatnonzero(last & (hits >= PRECISION * count) & (hits >= least))
+        out.append(float(ranked[fine[-1]]) - 1e-9 if len(fine) else 2.0)
+    return out
+
+
+def co_train(kind: np.ndarray, flags: np.ndarray, fitted: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray]) -> tuple[Trees, list[float]]:
+    """Trees over all flags and each kind's threshold. fitted, held: (strict, all) counts by flag word, of documents for the trees and for the thresholds.
+
+    A view's labels are the strict ones and, from the second round on, the flag words that the other view selected in the round
+    before, with EVIDENCE; the last trees take the strict labels and what either view selected.
+    """
+    known = fitted[1] > 0
+
+    def taught(by: np.ndarray, view: tuple[str, ...], least: int) -> tuple[Trees, list[float], np.ndarray]:
+        labels = [(np.where(by, total, right), total) for right, total in (fitted, held)]
+        trees = Trees(flags[known], labels[0][0][known].astype(float), labels[0][1][known].astype(float), view)
+        value = trees.value_of(flags)
+        limits = _thresholds(value, kind, *labels, least)
+        return trees, limits, value >= np.array(limits)[kind]
+
+    chosen = [np.zeros(len(flags), bool) for _ in VIEWS]
+    for _ in range(ROUNDS):
+        chosen = [taught(other, view, EVIDENCE)[2] for view, other in zip(VIEWS, reversed(chosen), strict=True)]
+    trees, limits, _ = taught(np.logical_or(*chosen), FLAGS, 1)
+    return trees, limits
+
+
 def fit(found: DataFrame, column: str, held_out: Column) -> tuple[Trees, list[float]]:
-    """Trees, and each kind's threshold, from the candidates in `column`. Counts of all documents, at most MAX_CELLS rows.
+    """Trees, and each kind's threshold, from the candidates in `column`. Counts of all documents, a row a flag word.
 
     held_out: whether a row's document serves for the thresholds alone.
     """
@@ -211,32 +286,26 @@ def fit(found: DataFrame, column: str, held_out: Column) -> tuple[Trees, list[fl
     right, every = F.col("c.strict").cast("long"), F.lit(1)
     of = lambda v, held: F.sum(F.when(F.col("held") == held, v).otherwise(0))
     cells = exploded.groupBy("c.kind", "c.flags").agg(of(right, False).alias("right"), of(every, False).alias("total"), of(right, True).alias("right_held"), of(every, True).alias("total_held"))
-    rows = cells.orderBy(F.desc(F.col("total") + F.col("total_held")), "kind", "flags").limit(MAX_CELLS).collect()
+    rows = sorted(cells.collect())
     kind, flags, good, seen, good_held, seen_held = (np.array([r[k] for r in rows], np.int64) for k in range(6))
-    fitted = seen > 0
-    trees = Trees(flags[fitted], good[fitted].astype(float), seen[fitted].astype(float))
-    value, thresholds = trees.value_of(flags), []
-    for k in range(len(KINDS)):
-        own = kind == k
-        g, n = (good_held[own], seen_held[own]) if seen_held[own].sum() and good_held[own].sum() else (good[own] + good_held[own], seen[own] + seen_held[own])
-        order = np.argsort(-value[own], kind="stable")
-        ranked, hits, count = value[own][order], np.cumsum(g[order]), np.cumsum(n[order])
-        last = np.append(ranked[1:] != ranked[:-1], True) if len(ranked) else np.zeros(0, bool)
-        fine = np.flatnonzero(last & (hits >= PRECISION * count) & (hits > 0))
-        thresholds.append(float(ranked[fine[-1]]) - 1e-9 if len(fine) else 2.0)
-    return trees, thresholds
+    return co_train(kind, flags, (good, seen), (good_held, seen_held))
 
 
 def with_spans(table: DataFrame, column: str, trees: Trees, thresholds: list[float]) -> DataFrame:
-    """`table` with the candidates in `column` replaced by base_ and every_: arrays of (start, kind, end), by start and kind."""
-    kept = [c for c in table.columns if c not in (column, "base_", "every_")]
+    """`table` with the candidates in `column` replaced by base_, more_ and every_: arrays of (start, kind, end), by start and kind.
+
+    more_: the added spans that pass no strict check.
+    """
+    kept = [c for c in table.columns if c not in (column, "base_", "more_", "every_")]
     is_base = lambda s: s["strict"] & (s["kind"] < len(BASE))
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     limit = F.array(*[F.lit(t) for t in thresholds])
     good = lambda s: ~is_base(s) & (trees.probability(s["flags"]) >= F.element_at(limit, s["kind"] + 1))
-    split = table.select(*kept, F.transform(F.filter(column, is_base), plain).alias("base_"), F.transform(F.filter(column, good), plain).alias("more_"))
+    split = table.select(*kept, F.transform(F.filter(column, is_base), plain).alias("base_"), F.filter(column, good).alias("more_"))
     free = lambda s: ~F.exists("base_", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return split.select(*kept, F.array_sort("base_").alias("base_"), F.array_sort(F.concat("base_", F.filter("more_", free))).alias("every_"))
+    split = split.select(*kept, "base_", F.filter("more_", free).alias("more_"))
+    unchecked = F.transform(F.filter("more_", lambda s: ~s["strict"]), plain)
+    return split.select(*kept, F.array_sort("base_").alias("base_"), F.array_sort(unchecked).alias("more_"), F.array_sort(F.concat("base_", F.transform("more_", plain))).alias("every_"))
 
 
 def written(spans: Column) -> Column:
@@ -253,12 +322,12 @@ def _held(key: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of the contract for each row of `docs`, and the number of all spans."""
+    """The columns of the contract for each row of `docs`, the number of all spans and of those that no strict check names."""
     found = cut(candidates(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))).select("key", "found"))
     trees, thresholds = fit(found, "found", _held(F.col("key")))
     spans = with_spans(found, "found", trees, thresholds)
     counts = [F.size(F.filter("base_", partial(_is_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
-    return spans.select(F.col("key").alias(id_col), *counts, F.sha2(written(F.col("base_")), 256).alias("base_sha256"), written(F.col("every_")).alias("spans"), F.size("every_").cast("long").alias("n_spans"))
+    return spans.select(F.col("key").alias(id_col), *counts, F.sha2(written(F.col("base_")), 256).alias("base_sha256"), written(F.col("every_")).alias("spans"), F.size("every_").cast("long").alias("n_spans"), F.size("more_").cast("long").alias("n_unchecked"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -642,6 +642,24 @@ def test_clear_cases_of_each_kind(spark):
     assert redacted[[text for _, text in rows].index(CLEAR["ssn"][0])] == "SSN: [SSN] on file"
 
 
+def test_views_find_what_no_strict_check_names(spark):
+    """Each view judges by what it can see: the words in front of a wrong card number, the form of a key without a name."""
+    r = random.Random(5)
+    luhn = lambda d: sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    cards = ["4" + "".join(r.choices("0123456789", k=15)) for _ in range(12000)]
+    right, wrong = [c for c in cards if luhn(c)][:900], [c for c in cards if not luhn(c)][:303]
+    form = lambda: "aB1" + "".join(r.choices("abcDEF0123", k=25))
+    keys = [form() for _ in range(903)]
+    rows = [f"card number: {c} is" for c in right] + [f"item {c} is" for c in wrong[:300]] + [f"token = {k} is" for k in keys[:900]] + [f"lower-case-file_name_{i:06d} is" for i in range(300)]
+    names = [f"card number: {c} is" for c in wrong[300:]], [f"we saw {k} is" for k in keys[900:]]
+    table = spark.createDataFrame(list(enumerate([*rows, *names[0], *names[1]])), "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.find(table).collect()}
+    at = len(rows)
+    assert [got[at + i].spans for i in range(3)] == ["card:13:29"] * 3 and [got[at + i].n_card for i in range(3)] == [0] * 3
+    assert [got[at + 3 + i].spans for i in range(3)] == ["secret:7:35"] * 3 and {got[at + i].n_unchecked for i in range(6)} == {1}
+    assert sum(x.n_unchecked for x in got.values()) == 6 and all(got[i].spans == "" for i in (*range(900, 1200), *range(2100, 2400)))
+
+
 def test_native_plan(spark, sf):
     plan = pii.find(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
