@@ -34,6 +34,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines that one task joins and counts. A task's groups are nearly as many as its lines, so its memory grows with them.
+LINES = 1_000_000
+
+
+def with_orders(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """`lines` joined with their orders, by l_orderkey and o_orderkey; no task gets more than about LINES lines, whatever spark.sql.shuffle.partitions says."""
+    parts = -(-lines.count() // LINES)  # from the files' footers
+    if parts > lines.sparkSession.sparkContext.defaultParallelism:
+        lines, orders = lines.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def supplier_code(key: Column) -> Column:
     return F.concat(F.lit("S"), F.lpad(key.cast("string"), 6, "0"))
 
@@ -102,7 +114,7 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     slot = F.least(F.lit(7), 3 * F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2) + F.when(q <= 16, 0).when(q <= 33, 1).otherwise(2))
     out = lines.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(*[F.count_if(slot == i).alias(f"r{i}") for i in range(8)])
-    come = lines.select("l_suppkey", "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey", "year").agg(F.count("*").alias("additions"))
+    come = with_orders(lines.select("l_suppkey", "l_orderkey"), orders).groupBy("l_suppkey", "year").agg(F.count("*").alias("additions"))
     flows = come.join(out, ["l_suppkey", "year"], "full").fillna(0, ["additions", *REMOVALS])
     gone = sum((F.col(r) for r in REMOVALS), F.lit(0))
     from pyspark.sql import Window
@@ -130,7 +142,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("status"), "l_quantity")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.substring("o_orderpriority", 1, 1).alias("priority"))
     dated = orders.withColumn("release", F.year(F.add_months("day", 6)) + 1)
-    counted = lines.join(dated, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("release", "l_suppkey", "priority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), *[F.count_if(F.col("status") == s).alias(f"c_{s}") for s in STATUSES])
+    counted = with_orders(lines, dated).groupBy("release", "l_suppkey", "priority").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), *[F.count_if(F.col("status") == s).alias(f"c_{s}") for s in STATUSES])
     percent = [(100.0 * F.col(f"c_{s}") / F.col("n")).alias(s) for s in STATUSES]
     return counted.select(
         "release", F.concat(supplier_code(F.col("l_suppkey")), F.lit(":P"), "priority").alias("entity_key"), "n", "quantity", F.col("c_NF").alias("success_nf"), (F.col("c_NF") + F.col("c_NO")).alias("successes"), *percent,

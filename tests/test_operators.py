@@ -333,3 +333,15 @@ def test_equal_errors_are_no_improvement_in_any_order(spark):
     rows = [(m, 1996, e, 0.0) for m, es in (("persistence", (0.1, 0.2, 0.3)), ("historical_mean", (0.3, 0.2, 0.1))) for e in es]
     found = gates.continuation(spark.createDataFrame(rows, "model string, feature_release int, predicted double, target_percent double").coalesce(1), "historical_mean", ("persistence",))
     assert [r.passed for r in found.where("criterion = 'improvement'").collect()] == [False]
+
+
+def test_lines_are_joined_with_orders_in_bounded_tasks(spark, monkeypatch):
+    from strataforge.sources import tables
+
+    monkeypatch.setattr(tables, "LINES", 100)
+    lines = spark.range(2_000).select((F.col("id") % 700).alias("l_orderkey"), "id")
+    orders = spark.range(500).select(F.col("id").alias("o_orderkey"))
+    joined = tables.with_orders(lines, orders)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 300
+    assert sorted(r.id for r in joined.select("id").collect()) == [k for k in range(2_000) if k % 700 < 500]
