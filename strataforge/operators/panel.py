@@ -47,7 +47,7 @@ def build_panel(signals: DataFrame, releases: DataFrame) -> DataFrame:
 
     One exchange by entity serves the window; the pivot before it is partially aggregated.
     """
-    base = pivot_strata(signals).withColumn("current_log", C.positive_log(F.col("ratio")))
+    base = pivot_strata(signals).withColumn("current_log", C.comparable_log(F.col("ratio")))
     order = Window.partitionBy("entity_key").orderBy("period")
     through = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = base.withColumns({
@@ -126,7 +126,7 @@ def predict(panel: DataFrame, periods: DataFrame, alpha: float = 10.0) -> DataFr
 
 
 def with_errors(predictions: DataFrame) -> DataFrame:
-    return predictions.withColumns(C.error_values(F.col("target_ratio"), F.col("predicted_ratio")))
+    return predictions.withColumns(C.error_values(*[F.col(c) for c in ("target_ratio", "predicted_ratio", "target_log", "predicted_log")]))
 
 
 def join_directory(signals: DataFrame, directory: DataFrame) -> DataFrame:

@@ -345,3 +345,13 @@ def test_lines_are_joined_with_orders_in_bounded_tasks(spark, monkeypatch):
     sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 10 and max(sizes) < 300
     assert sorted(r.id for r in joined.select("id").collect()) == [k for k in range(2_000) if k % 700 < 500]
+
+
+def test_logarithms_keep_their_last_bit(spark):
+    """Errors at the edge of a band: the panel's logarithm is the C library's, and errors are differences of the logarithms themselves."""
+    ratios = [k / 10_000 for k in range(5_000, 20_000, 7)]
+    df = spark.createDataFrame([(r, q) for r, q in zip(ratios, reversed(ratios))] + [(0.0, 1.0), (None, 1.0)], "target_ratio double, q double")
+    logs = df.withColumns({"target_log": C.comparable_log(F.col("target_ratio")), "predicted_log": C.comparable_log(F.col("q"))})
+    got = panel.with_errors(logs.withColumn("predicted_ratio", F.exp("predicted_log"))).collect()
+    assert [r.target_log for r in got] == [math.log(r) for r in ratios] + [None, None]
+    assert [r.signed_log for r in got] == [math.log(q) - math.log(r) for r, q in zip(ratios, reversed(ratios))] + [None, None]
