@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,15 @@ def test_logarithms_keep_their_last_bit(spark):
     got = panel.with_errors(logs.withColumn("predicted_ratio", F.exp("predicted_log"))).collect()
     assert [r.target_log for r in got] == [math.log(r) for r in ratios] + [None, None]
     assert [r.signed_log for r in got] == [math.log(q) - math.log(r) for r, q in zip(ratios, reversed(ratios))] + [None, None]
+
+
+def test_ranks_are_exact_when_sketches_differ(spark):
+    """Rows come in another order each time they are read, as from several executors, and so do the sketches that bracket the ranks: a task's 300,000 rows are more than these hold exactly."""
+
+    def shuffled(batches):
+        yield pd.concat(list(batches)).sample(frac=1.0)
+
+    n, parts = 600_000, [k / 20 for k in range(1, 20)]
+    df = spark.range(0, n, 1, 2).selectExpr("0 AS g", "cast(id as double) AS v").persist().mapInPandas(shuffled, "g int, v double")
+    got = ranks.order_values(df, ["g"], "v", parts, lambda n: [F.ceil(n * k / F.lit(20)) for k in range(1, 20)]).first()
+    assert got.n == n and list(got["values"]) == [n * k / 20 - 1 for k in range(1, 20)]
