@@ -516,6 +516,24 @@ def test_other_scripts_have_models(spark):
     assert [i for i, kept in got.items() if not kept and i % 83 < 80] == [] and not any(kept for i, kept in got.items() if i % 83 >= 80)
 
 
+def test_scripts_beyond_the_first_plane_have_models(spark):
+    """Scrambled letters lie outside the bands of a Gothic language (from U+10330 on), scrambled vowel signs outside those of a language in Devanagari."""
+    rows, gothic = [], {c: chr(0x10330 + k) for k, c in enumerate("abgdeqzhþiklmnjup")}
+    words = {"got": ["".join(gothic.get(c, c) for c in w) for w in "diupa munda handu meina bagme kaupa mandali gibande hilpam niman lagide dailja".split()], "hi": "नदी पत्थर धीरे हरी रोशनी पुराना चक्की मैदान जौ ढूँढता किनारे मिट्टी".split()}
+    for lang, own in words.items():
+        r = random.Random(lang)
+        rows += [(len(rows) + i, " ".join(r.choices(own, k=50 + r.randrange(30))), lang) for i in range(80)]
+        rows += [(len(rows) + i, " ".join("".join(r.choices("".join(own), k=6)) for _ in range(60)), lang) for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [i for i, kept in got.items() if not kept and i % 83 < 80] == [] and not any(kept for i, kept in got.items() if i % 83 >= 80)
+
+
+def test_every_code_point_has_a_symbol_of_its_kind():
+    table = quality.symbol_table()
+    kinds = {"é": range(31, 58), "𐌰": range(31, 58), "𠀀": range(31, 58), "𞤀": range(31, 58), "\u0301": range(31, 58), "ि": range(31, 58), "٣": [53], "𝟘": [53], "½": [53], "\u3000": [58], "\u2028": [61], "…": [62], "😀": [62], "\U0010ffff": [62]}
+    assert len(table) == 0x110000 and all(table[ord(c)] in wanted for c, wanted in kinds.items()) and table[ord("𞤀")] == table[ord("𞤢")]
+
+
 def test_trigrams_of_several_texts():
     code, document = quality.trigrams(*utf8(pa.array(["ab", "", None, "c"])))
     at = lambda *s: (s[0] * 64 + s[1]) * 64 + s[2]
